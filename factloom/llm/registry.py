@@ -5,11 +5,11 @@ from __future__ import annotations
 import functools
 
 from .. import session
-from . import langid
+from . import langid, quality, toxicity
 
 
 def queries() -> dict:
-    found = [langid.op1_language_id]
+    found = [langid.op1_language_id, quality.op2_quality, toxicity.op5_toxicity]
     return {f.__name__: shipped(f) for f in found}
 
 
