@@ -5,11 +5,11 @@ from __future__ import annotations
 import functools
 
 from .. import session
-from . import langid, quality, toxicity
+from . import langid, pii, quality, sharding, toxicity
 
 
 def queries() -> dict:
-    found = [langid.op1_language_id, quality.op2_quality, toxicity.op5_toxicity]
+    found = [langid.op1_language_id, quality.op2_quality, toxicity.op5_toxicity, pii.op8_pii, sharding.op10_sharding]
     return {f.__name__: shipped(f) for f in found}
 
 
@@ -25,4 +25,4 @@ def shipped(query):
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_pii": pii.op8_sql()}
