@@ -114,26 +114,34 @@ def keeps(kind: str, hit: Column, before: Column, after: Column) -> Column:
 
 
 def proposed(docs: DataFrame, text: str) -> DataFrame:
-    """docs with __hits_<kind>, the matches, and __gaps_<kind>, what stands between them."""
+    """docs with __hits_<kind>, the matches, __gaps_<kind>, what stands between them, and __lens_<kind>, from measured()."""
     for kind in KINDS:
         docs = docs.withColumn(f"__hits_{kind}", F.when(may_hold(kind, text), F.regexp_extract_all(text, F.lit(FAST[kind]), 0)))
     for kind in KINDS:
         docs = docs.withColumn(f"__gaps_{kind}", F.when(F.size(f"__hits_{kind}") > 0, F.split(F.col(text), FAST[kind], -1)))
+    for kind in KINDS:
+        docs = docs.withColumn(f"__lens_{kind}", F.when(F.size(f"__hits_{kind}") > 0, measured(kind)))
     return docs
 
 
+def measured(kind: str) -> Column:
+    """Length of each gap and the match after it."""
+    hits, gaps = F.col(f"__hits_{kind}"), F.col(f"__gaps_{kind}")
+    return F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+
+
 def spans_of(kind: str) -> Column:
     """array<struct<start, stop, score, ok>> of one kind, from proposed(); null where there is no match."""
     hits, gaps = F.col(f"__hits_{kind}"), F.col(f"__gaps_{kind}")
     n = F.size(hits)
-    starts = sums_before(F.zip_with(F.slice(gaps, F.lit(1), n), hits, lambda g, h: F.length(g) + F.length(h)))
+    zipped = F.arrays_zip(hits.alias("hit"), sums_before(F.col(f"__lens_{kind}")).alias("at"), F.slice(gaps, F.lit(1), n).alias("before"), F.slice(gaps, F.lit(2), n).alias("after"))
 
-    def span(hit: Column, i: Column) -> Column:
-        before, after = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
-        start = F.element_at(starts, i + 1) + F.length(before)
+    def span(z: Column) -> Column:
+        hit, before, after = z["hit"], z["before"], z["after"]
+        start = z["at"] + F.length(before)
         return F.struct(start.alias("start"), (start + F.length(hit)).alias("stop"), score(kind, before, after).alias("score"), keeps(kind, hit, before, after).alias("ok"))
 
-    return F.when(n > 0, F.filter(F.transform(hits, span), lambda s: s["ok"]))
+    return F.when(n > 0, F.filter(F.transform(zipped, span), lambda s: s["ok"]))
 
 
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -173,11 +181,11 @@ def masked_kind(docs: DataFrame, text: str, kind: str) -> DataFrame:
     found = docs.withColumn("__hits", F.when(may_hold(kind, text), F.regexp_extract_all(text, F.lit(FAST[kind]), 0)))
     found = found.withColumn("__gaps", F.when(F.size("__hits") > 0, F.split(F.col(text), FAST[kind], -1)))
 
-    def put(hit: Column, i: Column) -> Column:
-        before, after = F.element_at(gaps, i + 1), F.element_at(gaps, i + 2)
-        return F.concat(before, F.when(keeps(kind, hit, before, after), F.lit(f"[{kind.upper()}]")).otherwise(hit))
+    def put(z: Column) -> Column:
+        return F.concat(z["before"], F.when(keeps(kind, z["hit"], z["before"], z["after"]), F.lit(f"[{kind.upper()}]")).otherwise(z["hit"]))
 
-    made = F.concat(F.array_join(F.transform(hits, put), ""), F.element_at(gaps, -1))
+    zipped = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("before"), F.slice(gaps, F.lit(2), F.size(hits)).alias("after"))
+    made = F.concat(F.array_join(F.transform(zipped, put), ""), F.element_at(gaps, -1))
     return found.withColumn(text, F.when(F.size("__hits") > 0, made).otherwise(F.col(text))).drop("__hits", "__gaps")
 
 
