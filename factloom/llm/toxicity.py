@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from . import common, labelled, textkernel
 
 #: Labelled documents of each label (about), n-gram lengths with word ends, buckets, dimensions, words in a span.
-PER_LABEL, ORDERS, BUCKETS, WIDTH, SPAN = 1200, (3, 4, 5, 6), 1 << 18, 8, 3
-#: Spans of one document that are learned from, at most; passes; spans in a step; step size; the worst and other clean spans in a pass.
-SPANS_LEARNED, EPOCHS, STEP, RATE, HARD, OTHER = 400, 6, 512, 0.1, 6000, 12000
+PER_LABEL, ORDERS, BUCKETS, WIDTH, SPAN = 700, (3, 4, 5, 6), 1 << 18, 8, 3
+#: Spans of a document of label 0 and 1 that are learned from, at most; passes; spans in a step; step size; the worst and other clean spans in a pass.
+SPANS_LEARNED, EPOCHS, STEP, RATE, HARD, OTHER = (150, 600), 6, 512, 0.1, 6000, 12000
 
 
 def subwords(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float] | None:
             for doc, label, text in zip(ids, labels, texts, strict=True):
                 grams, _, n = subwords([text])
                 total = int(n[0])
-                chosen = np.unique(np.linspace(0, total - 1, SPANS_LEARNED).astype(int)) if total > SPANS_LEARNED else np.arange(total)
+                chosen = np.unique(np.linspace(0, total - 1, min(total, SPANS_LEARNED[label])).astype(int)) if total else []
                 buckets, of = np.concatenate([g[0] for g in grams] or [np.zeros(0)]), np.concatenate([g[1] for g in grams] or [np.zeros(0)])
                 order = np.argsort(of, kind="stable")
                 cut = np.searchsorted(of[order], np.arange(total + 1))
@@ -85,7 +85,9 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float] | None:
     if got.num_rows == 0:
         return None
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("span", "ascending")])
-    bags = [np.frombuffer(b, dtype=np.int32) for b in got["grams"].to_pylist()]
+    bags = pa.concat_arrays(got["grams"].chunks)
+    at = np.frombuffer(bags.buffers()[1], dtype=np.int32)[bags.offset : bags.offset + len(bags) + 1] // 4
+    flat, sizes = np.frombuffer(bags.buffers()[2], dtype=np.int32)[at[0] : at[-1]], np.diff(at).astype(np.int64)
     label = got["label"].to_numpy().astype(np.int64)
     doc = np.unique(np.stack([got["doc_id"].to_numpy(), label]), axis=1, return_inverse=True)[1].reshape(-1)
     first_of = np.unique(doc, return_index=True)[1]
@@ -93,8 +95,7 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float] | None:
     if share in (0.0, 1.0):
         return np.zeros(BUCKETS, dtype=np.float32), 20.0 * (2 * share - 1)
     learn = doc % 4 != 0 if len(first_of) >= 40 else np.ones(len(doc), dtype=bool)
-    model, bias = train(bags, label, doc, learn)
-    flat, sizes = np.concatenate(bags), np.fromiter(map(len, bags), dtype=np.int64, count=len(bags))
+    model, bias = train(flat, sizes, label, doc, learn)
     worst = np.full(len(first_of), -np.inf)
     np.maximum.at(worst, doc, margins(flat, sizes, model, bias))
     check = ~learn[first_of] if not learn.all() else np.ones(len(first_of), dtype=bool)
@@ -120,17 +121,22 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def first_guess(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, doc: np.ndarray, learn: np.ndarray) -> np.ndarray:
     """Mean log odds of a span's subwords by how many toxic and other documents hold them: which span of a toxic document is the likely cause."""
-    use = np.repeat(learn, sizes)
-    pairs = np.unique(np.repeat(doc, sizes)[use] * BUCKETS + flat[use])
-    toxic = np.zeros(doc.max() + 1, dtype=bool)
-    toxic[doc[label == 1]] = True
-    holds = toxic[pairs // BUCKETS]
-    n1, n0 = len(np.unique(doc[learn & (label == 1)])), len(np.unique(doc[learn & (label == 0)]))
-    in1, in0 = np.bincount(pairs[holds] % BUCKETS, minlength=BUCKETS), np.bincount(pairs[~holds] % BUCKETS, minlength=BUCKETS)
+    first = np.flatnonzero(np.diff(doc, prepend=-1))  # spans of a document are neighbours
+    cuts = np.append((np.cumsum(sizes) - sizes)[first], sizes.sum())
+    in1, in0, n1, n0 = np.zeros(BUCKETS), np.zeros(BUCKETS), 0, 0
+    for k, i in enumerate(first):
+        if learn[i]:
+            held = np.unique(flat[cuts[k] : cuts[k + 1]])
+            if label[i]:
+                in1[held] += 1
+                n1 += 1
+            else:
+                in0[held] += 1
+                n0 += 1
     return margins(flat, sizes, np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1)), 0.0)
 
 
-def train(bags: list[np.ndarray], label: np.ndarray, doc: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, float]:
+def train(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, doc: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, float]:
     """Joint descent on embeddings and softmax.
 
     Of a toxic document, the span that is worst so far is learned as toxic and the others are left out; of other
@@ -140,8 +146,7 @@ def train(bags: list[np.ndarray], label: np.ndarray, doc: np.ndarray, learn: np.
     embed = random.uniform(-1, 1, (BUCKETS, WIDTH)).astype(np.float32) / WIDTH / 4
     soft = random.normal(0, 1, (2, WIDTH)).astype(np.float32)
     bias, seen, seen_soft = np.zeros(2, dtype=np.float32), np.full(BUCKETS, 1e-5, dtype=np.float32), 1e-2
-    sizes = np.fromiter(map(len, bags), dtype=np.int64, count=len(bags))
-    flat, cuts = np.concatenate(bags), np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
     margin = first_guess(flat, sizes, label, doc, learn)
     clean = np.flatnonzero((label == 0) & learn & (sizes > 0))
     for _ in range(EPOCHS):
