@@ -5,9 +5,11 @@ arrivals come at the rate of the weight and hit a random register; a register ke
 an element stops once its next arrival is later than every register's. Two texts agree in a register with their
 probability Jaccard similarity. Texts that agree in all registers of a band are candidates.
 
-Within a bucket, members meet one centre, not each other. What the centre does not settle goes on to the next round:
-members unlike it, and of the alike ones those that may still, by the triangle inequality of the Jaccard distance, be
-linked with one of the unlike. So no link between candidates is lost, and no bucket is expanded into its pairs.
+Within a bucket, members meet centres, not each other: one in the first round, a fixed number in later ones. A centre
+is then settled and leaves. Of what is left, a bucket goes on while its members belong to more than one component of
+the links found so far, and only pairs across components, of shingle counts that allow the similarity, are verified.
+Members of small components become centres first, so that a few strangers in a large group end the bucket at once. So
+no link between candidates of different components is lost, and a round's pairs are in proportion to its members.
 Verified links (exact Jaccard similarity of the shingle sets, 0.8 or more) form classes by label propagation.
 """
 
@@ -15,13 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, textkernel
 
 #: Words in a shingle, least similarity, bands and registers in a band.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 5
+#: Centres of a bucket in each round but the first.
+CENTRES = 64
 REGISTERS = BANDS * ROWS
 
 
@@ -81,7 +85,7 @@ def band_keys(owner: np.ndarray) -> np.ndarray:
 
 
 def signed(texts: DataFrame) -> DataFrame:
-    """texts (doc_id, digest, text) with bands, an array of keys that is empty for a text without words, instead of the text."""
+    """texts (doc_id, digest, text) with n, its different shingles, and bands, an array of keys that is empty for a text without words, instead of the text."""
 
     def run(batches):
         for batch in batches:
@@ -90,11 +94,12 @@ def signed(texts: DataFrame) -> DataFrame:
                 owner, n = signatures(full[first:last])
                 held = np.where(n > 0, BANDS, 0)
                 flat = band_keys(owner)[n > 0].reshape(-1)
+                held_n = pa.array(n.astype(np.int64))
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(flat))
                 part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bands], names=["doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held_n, bands], names=["doc_id", "digest", "n", "bands"])
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>")
 
 
 def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -120,24 +125,32 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, sim double")
 
 
-def links_of(members: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) among members (bucket, node) of the same bucket; written round by round."""
+def links_of(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Verified links (a, b) among members (bucket, node) of the same bucket; written round by round. sizes: (node, n)."""
     found: DataFrame | None = None
+    centres = 1
+    known = members.join(sizes, "node").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(1).cast("long").alias("held"))
     while True:
-        # another centre in each bucket: the node that comes first under the bucket's own hash
-        draw = F.struct(F.xxhash64("bucket", "node").alias("h"), F.col("node").alias("node"))
-        centres = members.groupBy("bucket").agg(F.min(draw)["node"].alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-        met = common.written(members.join(centres, "bucket").where("node <> centre"), "neardup-met")
-        if met.isEmpty():
-            return found
-        sims = common.written(similarities(met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), texts), "neardup-sims")
-        good = sims.where(F.col("sim") >= SIMILAR).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        judged = met.join(sims.select(F.col("a").alias("node"), F.col("b").alias("centre"), "sim"), ["node", "centre"])
-        # the nearest of the unlike members of each bucket; an alike member may be linked with it only if it is far enough out
-        unlike = judged.where(F.col("sim") < SIMILAR).groupBy("bucket").agg(F.max("sim").alias("nearest"))
-        rest = judged.join(unlike, "bucket").where((F.col("sim") < SIMILAR) | (1 - F.col("sim") >= 1 - F.col("nearest") - (1 - SIMILAR) - 1e-9))
-        members = common.written(rest.select("bucket", "node"), "neardup-members")
+        # another order in each bucket, and small components first
+        order = Window.partitionBy("bucket").orderBy("held", F.xxhash64("bucket", "node"), "node")
+        centre = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
+        centre = common.written(centre.select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("component").alias("other"), "rank"), "neardup-centres")
+        met = known.join(centre, "bucket").where((F.col("component") != F.col("other")) & (F.least("n", "m") >= SIMILAR * F.greatest("n", "m")))
+        pairs = met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+        sims = common.written(similarities(pairs, texts).where(F.col("sim") >= SIMILAR).select("a", "b"), "neardup-links")
+        found = sims if found is None else found.unionByName(sims)
+        if found.isEmpty():
+            label = known.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("held")).limit(0)
+        else:
+            label = components(found)
+            label = label.join(label.groupBy("component").agg(F.count("*").alias("held")), "component")
+        rest = known.select("bucket", "node", "n").join(centre.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
+        rest = rest.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("held", F.lit(1)).alias("held"))
+        mixed = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        known = common.written(rest.join(mixed, "bucket"), "neardup-members")
+        if known.isEmpty():
+            return None if found.isEmpty() else found
+        centres = CENTRES
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,7 +175,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5("text")).alias("digest"), F.col("text").cast("string").alias("text"))
     full = rows.where(F.col("text").isNotNull())
-    copies = signed(full).groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    copies = signed(full).groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     nodes = common.written(copies.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
     crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -170,7 +183,7 @@ def classes(docs: DataFrame) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "digest", "least"), "node")
     same = F.col("r.digest").eqNullSafe(F.col("w.digest")) & F.col("r.doc_id").eqNullSafe(F.col("w.least"))
     texts = common.written(full.alias("r").join(wanted.alias("w"), same).select("w.node", "r.text").dropDuplicates(["node"]), "neardup-texts")
-    links = links_of(members, texts)
+    links = links_of(members, nodes.select("node", "n"), texts)
     named = nodes.select("digest", "node", "least")
     if links is None:
         named = named.select("digest", F.col("least").alias("class_id"))
