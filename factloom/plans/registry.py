@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+from pyspark.sql import DataFrame, SparkSession
+
+from factloom import session
+
+from . import journal
+
+PARTS = (journal,)
+
+
+def prepared(query):
+    """query, with the package on the executors, times in UTC and a checkpoint folder where none is set."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session.ship(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        return query(spark, sf_dir)
+
+    return run
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["recall_combined"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: prepared(q) for part in PARTS for name, q in part.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
