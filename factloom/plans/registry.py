@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom import session
 
-from . import journal
+from . import journal, search
 
-PARTS = (journal,)
+PARTS = (journal, search)
 
 
 def prepared(query):
