@@ -31,11 +31,14 @@ def canonical_json(value: str | None) -> str | None:
     return None if value is None else json.dumps(json.loads(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-@F.pandas_udf("string")
-def canonical_value(values: pd.Series) -> pd.Series:
+def canonical_batch(values: pd.Series) -> pd.Series:
     return values.map(canonical_json)
 
 
+def canonical_value(value: Column | str) -> Column:
+    return F.pandas_udf(canonical_batch, "string")(value)
+
+
 def utc_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom import session
 
-from . import journal, search
+from . import dialogue, journal, search
 
-PARTS = (journal, search)
+PARTS = (journal, search, dialogue)
 
 
 def prepared(query):
