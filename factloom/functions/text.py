@@ -77,28 +77,38 @@ def clean_path(path: Column) -> Column:
     return F.ltrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("./"))
 
 
+def tail_of(symbol: Column) -> Column:
+    return F.trim(F.element_at(F.split(symbol, "/"), -1))
+
+
 def display_name(symbol: Column) -> Column:
-    """The last descriptor identifier after the last slash."""
-    return F.element_at(F.regexp_extract_all(F.element_at(F.split(symbol, "/"), -1), F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), 0), -1)
+    """The last descriptor identifier after the last slash, or all that stands there."""
+    names = F.regexp_extract_all(tail_of(symbol), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)(?=[#.:()]|$)"), 1)
+    return F.coalesce(F.try_element_at(names, F.lit(-1)), tail_of(symbol))
+
+
+PARAMETER = r"\.\([A-Za-z_][A-Za-z0-9_]*\)$"
+METHOD = r"\([^()]*\)\.$"
 
 
 def symbol_kind(symbol: Column) -> Column:
     """Kinds by the suffix grammar, tested in this order."""
+    tail = tail_of(symbol)
     return (
         F.when(symbol.startswith("file:"), "file")
-        .when(symbol.rlike(r"\([^()]*\)$") & ~symbol.rlike(r"\(\)\.$"), "parameter")
-        .when(symbol.rlike(r"\(\)\.$"), "function")
-        .when(symbol.endswith("#"), "struct")
-        .when(symbol.endswith("/"), "module")
-        .when(symbol.endswith("."), "term")
+        .when(tail.rlike(PARAMETER) | (tail.startswith("(") & tail.endswith(")")), "parameter")
+        .when(tail.rlike(METHOD), "function")
+        .when(tail.endswith("#"), "struct")
+        .when(tail.endswith(":"), "module")
+        .when(tail.endswith("."), "term")
         .otherwise("symbol")
     )
 
 
 def descriptor_path(symbol: Column) -> Column:
-    """The tail after the last slash without method suffix and closing characters; empty for parameters."""
-    tail = F.element_at(F.split(symbol, "/"), -1)
-    return F.when(symbol_kind(symbol) == "parameter", "").otherwise(F.rtrim(F.regexp_replace(tail, r"\(\)\.$", ""), F.lit("#.")))
+    """The tail without method suffix and closing characters; empty for parameters."""
+    tail = tail_of(symbol)
+    return F.when(tail.rlike(PARAMETER), "").otherwise(F.rtrim(F.regexp_replace(tail, METHOD, ""), F.lit("#.")))
 
 
 def dialogue_ids(text: Column) -> Column:

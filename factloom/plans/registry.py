@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom import session
 
-from . import dialogue, journal, search
+from . import code, dialogue, journal, search
 
-PARTS = (journal, search, dialogue)
+PARTS = (journal, search, dialogue, code)
 
 
 def prepared(query):
