@@ -5,11 +5,11 @@ arrivals come at the rate of the weight and hit a random register; a register ke
 an element stops once its next arrival is later than every register's. Two texts agree in a register with their
 probability Jaccard similarity. Texts that agree in all registers of a band are candidates.
 
-Within a bucket, members meet centres, not each other: one in the first round, a fixed number in later ones. A centre
-is then settled and leaves. Of what is left, a bucket goes on while its members belong to more than one component of
-the links found so far, and only pairs across components, of shingle counts that allow the similarity, are verified.
-Members of small components become centres first, so that a few strangers in a large group end the bucket at once. So
-no link between candidates of different components is lost, and a round's pairs are in proportion to its members.
+In the first rounds the members of a bucket meet one centre each, not each other, which joins most large groups. A
+bucket goes on while its members belong to more than one component of the links found so far. What is left then is
+cut into blocks of bounded size; each pair of blocks is verified inside one task, where shingles that two members
+share are counted at once, members of one component are not compared, and only links that join components come out.
+So no link between candidates of different components is lost, and no bucket is expanded into rows of pairs.
 Verified links (exact Jaccard similarity of the shingle sets, 0.8 or more) form classes by label propagation.
 """
 
@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, textkernel
 
 #: Words in a shingle, least similarity, bands and registers in a band.
 WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 5
-#: Centres of a bucket in each round but the first.
-CENTRES = 64
+#: Rounds with one centre for each bucket; members of a bucket in a block.
+STAR_ROUNDS, BLOCK = 1, 768
 REGISTERS = BANDS * ROWS
 
 
@@ -128,29 +128,80 @@ def similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links_of(members: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Verified links (a, b) among members (bucket, node) of the same bucket; written round by round. sizes: (node, n)."""
     found: DataFrame | None = None
-    centres = 1
-    known = members.join(sizes, "node").select("bucket", "node", "n", F.col("node").alias("component"), F.lit(1).cast("long").alias("held"))
-    while True:
-        # another order in each bucket, and small components first
-        order = Window.partitionBy("bucket").orderBy("held", F.xxhash64("bucket", "node"), "node")
-        centre = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centres)
-        centre = common.written(centre.select("bucket", F.col("node").alias("centre"), F.col("n").alias("m"), F.col("component").alias("other"), "rank"), "neardup-centres")
-        met = known.join(centre, "bucket").where((F.col("component") != F.col("other")) & (F.least("n", "m") >= SIMILAR * F.greatest("n", "m")))
+    known = members.join(sizes, "node").select("bucket", "node", "n", F.col("node").alias("component"))
+    for turn in range(STAR_ROUNDS):
+        # one order in all buckets: texts that share many buckets meet the same centre there
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component"))
+        centre = known.groupBy("bucket").agg(first.alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.n").alias("m"), F.col("c.component").alias("other"))
+        met = known.join(centre, "bucket").where((F.col("component") != F.col("other")) & alike_in_size("n", "m"))
         pairs = met.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
         sims = common.written(similarities(pairs, texts).where(F.col("sim") >= SIMILAR).select("a", "b"), "neardup-links")
         found = sims if found is None else found.unionByName(sims)
-        if found.isEmpty():
-            label = known.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("held")).limit(0)
-        else:
-            label = components(found)
-            label = label.join(label.groupBy("component").agg(F.count("*").alias("held")), "component")
-        rest = known.select("bucket", "node", "n").join(centre.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("held", F.lit(1)).alias("held"))
-        mixed = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        known = common.written(rest.join(mixed, "bucket"), "neardup-members")
+        known = unsettled(known, found)
         if known.isEmpty():
             return None if found.isEmpty() else found
-        centres = CENTRES
+    found = found.unionByName(common.written(links_in_blocks(known, texts), "neardup-links"))
+    return None if found.isEmpty() else found
+
+
+def alike_in_size(a: str, b: str):
+    """Whether two counts of different shingles allow the similarity."""
+    return F.least(a, b) >= SIMILAR * F.greatest(a, b)
+
+
+def unsettled(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known (bucket, node, n, component) with new components, of the buckets whose members still have more than one."""
+    label = components(links) if not links.isEmpty() else known.select("node", "component").limit(0)
+    rest = known.select("bucket", "node", "n").join(label, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return common.written(rest.join(mixed, "bucket"), "neardup-members")
+
+
+def links_in_blocks(known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, from all pairs of members of a bucket, block by block."""
+    blocks = known.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = known.join(blocks, "bucket").select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own")
+    return keyed.join(texts, "node").select("bucket", "i", "j", "node", "component", "own", "text").groupBy("bucket", "i", "j").applyInArrow(joined_block, "a long, b long")
+
+
+def joined_block(group: pa.Table) -> pa.Table:
+    """The links that join components among the members of one or two blocks; of two, only across them."""
+    nodes, own = group["node"].to_numpy(), group["own"].to_numpy()
+    across = group["i"][0].as_py() != group["j"][0].as_py()
+    label = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+    held, of = [], []
+    texts = group["text"].to_pylist()
+    for first, last in textkernel.blocks(texts):
+        h, t = shingles(texts[first:last])
+        held.append(h)
+        of.append(t + first)
+    order = np.lexsort((held := np.concatenate(held), of := np.concatenate(of)))
+    held, of = held[order], of[order]
+    new = np.concatenate([[True], (held[1:] != held[:-1]) | (of[1:] != of[:-1])])
+    held, of = held[new], of[new]
+    n = np.bincount(of, minlength=len(nodes))
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    by = np.argsort(held, kind="stable")  # who has each shingle
+    values, owners = held[by], of[by]
+    low, high = np.searchsorted(values, held, side="left"), np.searchsorted(values, held, side="right")
+    largest = np.bincount(label).argmax()
+    out = []
+    for x in np.flatnonzero(label != largest):  # members of the largest component meet all others this way
+        a, b = low[cuts[x] : cuts[x + 1]], high[cuts[x] : cuts[x + 1]]
+        size = b - a
+        place = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(owners[place], minlength=len(nodes))
+        like = both / np.maximum(n + n[x] - both, 1) >= SIMILAR
+        like &= label != label[x]
+        if across:
+            like &= own != own[x]
+        for y in np.flatnonzero(like):
+            if label[y] != label[x]:
+                out.append((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
+                label[label == label[y]] = label[x]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def components(links: DataFrame) -> DataFrame:
