@@ -33,7 +33,7 @@ def squeezed(text: str) -> np.ndarray:
 def bucket_counts(text: str) -> np.ndarray:
     c = squeezed(text).astype(np.uint32)
     total = np.zeros(BUCKETS, dtype=np.int64)
-    for at in range(0, max(len(c) - 1, 1), PIECE):
+    for at in range(0, len(c), PIECE):
         part = c[at : at + PIECE + ORDERS[-1] - 1]
         h = np.zeros(len(part), dtype=np.uint32)
         for n in range(1, ORDERS[-1] + 1):
