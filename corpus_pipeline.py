@@ -13,27 +13,33 @@ from factloom import session
 from factloom.llm import common, decontamination, neardup, pii, quality, sentencepiece_fst
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column beside the text, so that no column can clash with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     session.ship(spark)
     model = quality.learned(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("predicted = 1").select(docs.columns)
+    return quality.scored(packed(docs), model).where("predicted = 1").select("row.*")
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one of the least doc_id; rows without doc_id stay."""
+    """One document of each class of near-duplicates, the one of the least doc_id; of equal rows one, rows without doc_id stay."""
     session.ship(spark)
-    classes = neardup.classes(docs)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    least = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id"))
+    kept = least.select("doc_id", F.coalesce(F.hex("digest"), F.lit("")).alias("digest")).distinct()
+    rows = packed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.upper(F.md5("text")), F.lit("")).alias("digest"))
+    named = rows.join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return named.unionByName(rows.where(F.col("doc_id").isNull())).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     session.ship(spark)
-    covered = decontamination.most_covered(docs, common.table(spark, sf_dir, "benchmark"))
-    return covered.where(F.col("coverage") < decontamination.COVERAGE).select(docs.columns)
+    covered = decontamination.most_covered(packed(docs), common.table(spark, sf_dir, "benchmark"))
+    return covered.where(F.col("coverage") < decontamination.COVERAGE).select("row.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
