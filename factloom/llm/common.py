@@ -71,12 +71,15 @@ def appended(df: DataFrame, text: str, make, fields: list[T.StructField], drop:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            texts = batch.column(len(kept)).to_pylist()
             made = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(scorer(texts), kinds, strict=True)]
             old = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(old + made, names=kept + [f.name for f in fields])
 
-    wide = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    last = "__text"
+    while last in df.columns:
+        last += "_"
+    wide = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias(last))
     return wide.mapInArrow(run, schema)
 
 

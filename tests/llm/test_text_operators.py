@@ -176,13 +176,15 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     docs = [(i, " ".join(some_words(40 + i, 60)) + ".", "en", "s", 1) for i in range(90)]
     docs += [(i, " ".join(w.upper() + "!!" for w in some_words(40 + i, 60)), "en", "s", 1) for i in range(90, 150)]
     docs += [(200, " ".join(base), "en", "s", 1), (201, " ".join(base[:-1] + ["new"]), "en", "s", 1), (202, " ".join(base[:30] + item), "en", "s", 1), (203, " ".join(some_words(9, 50)) + " joe@x.org", "en", "s", 1)]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "doc_id AS score", "1 AS coverage", "'x' AS predicted", "'y' AS class_id", "'z' AS __text").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i < 90), 0) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     at, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
     for name, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, str(tmp_path)).cache()
         kept[name] = {r.doc_id for r in at.select("doc_id").collect()}
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert at.columns[5:] == ["score", "coverage", "predicted", "class_id", "__text"] and at.where("score <> doc_id OR coverage <> 1").isEmpty()
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert kept[names[0]] == {*range(90), 200, 201, 202, 203} and kept[names[1]] == kept[names[0]] - {201} and kept[names[2]] == kept[names[1]] - {202}
     assert kept[names[3]] == kept[names[4]] == kept[names[2]] and corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[names[4]])
