@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fx
-from factloom.operators import codegraph, factgraph, lexical
+from factloom.operators import codegraph, codesearch, factgraph, fusion, lexical
 from factloom.sources import tables
 
 from .search import BOOST, TOKENS, parts_sql, ranked
@@ -108,7 +108,20 @@ def active_memory_topk(spark, sf_dir, k: int = 5):
     return lexical.top(rows, k).select("query_id", "rank", "doc", "score")
 
 
-QUERIES = {f.__name__: f for f in (edge_frequency, callers, callees, graph_degree, orphans, containment, contained_by, innermost_scope, call_targets, fact_endpoints, multi_hop_rank, update_linking, active_memory_topk)}
+def code_routes(spark, sf_dir, k: int = 5):
+    """Callers of each part among suppliers, by five channels; parts without callers are answered by words."""
+    part = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    supplier = tables.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + (1 << 32)).alias("doc"), F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("text"))
+    e = edges(spark, sf_dir)
+    found = codegraph.callers(part.select(F.col("id").alias("target")), e)
+    found = found.join(e.select(F.col("src").alias("id"), F.col("dst").alias("target"), "freq"), ["id", "target"]).select(F.col("target").alias("query_id"), "id", "place", F.col("freq").alias("frequency"))
+    queries = part.select(F.col("id").alias("query_id"), F.concat_ws(" ", "id", "text").alias("text")).where(F.col("doc") % 20 == 0)
+    found = found.join(queries.select("query_id"), "query_id", "left_semi")
+    rows = codesearch.routed(queries, found, part.unionByName(supplier), codegraph.degree(e), "callers")
+    return fusion.replayed(rows, (), k).where("selected").select("query_id", "id", "rank", "route", F.round("score", 4).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (code_routes, edge_frequency, callers, callees, graph_degree, orphans, containment, contained_by, innermost_scope, call_targets, fact_endpoints, multi_hop_rank, update_linking, active_memory_topk)}
 
 EDGE_SQL = """item AS (SELECT 'supplier-' || cast(l_suppkey AS varchar) AS src, 'part-' || cast(l_partkey AS varchar) AS dst, l_returnflag <> 'N' AS is_call, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem WHERE l_shipdate >= timestamp '1998-01-01' AND l_shipdate < timestamp '1998-02-01'),
 e AS (SELECT src, dst, count(*) AS freq, count(*) FILTER (is_call) AS calls, min(place) AS first FROM item GROUP BY ALL)"""

@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_every_query_of_the_engine_has_sql_or_is_known_to_have_none():
     from factloom.plans import registry
 
-    without = {"cluster_bootstrap", "date_reader", "rrf_weighted_context", "question_response_bridge", "calendar_rescue", "bridge_calendar", "context_balanced", "context_only", "call_targets"}
+    without = {"cluster_bootstrap", "date_reader", "rrf_weighted_context", "question_response_bridge", "calendar_rescue", "bridge_calendar", "context_balanced", "context_only", "call_targets", "code_routes"}
     assert set(registry.queries()) - set(registry.oracle_sql()) == without and set(registry.oracle_sql()) <= set(registry.queries())
 
 

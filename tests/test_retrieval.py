@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import session
 from factloom.functions import text as fx
-from factloom.operators import codegraph, dates, dialogue, factgraph, fusion, lexical, metrics
+from factloom.operators import codegraph, codesearch, dates, dialogue, factgraph, fusion, lexical, metrics
 from factloom.sources import files
 
 
@@ -175,3 +175,17 @@ def test_manifest_and_sources(spark, tmp_path):
     assert {r.path: r.flaw for r in files.verified(spark, str(tmp_path), manifest).collect()} == {"b.txt": "missing", "../c": "outside"}
     got = files.texts(spark, str(tmp_path), spark.createDataFrame([("a.txt",), ("no",)], "path string"))
     assert {r.path: r.text for r in got.collect()} == {"a.txt": "hello", "no": ""}
+
+
+def test_routes_fall_back_to_words(spark):
+    docs = spark.createDataFrame([(0, "a/readFile().", "read file open"), (1, "a/closeFile().", "close file"), (2, "a/other().", "nothing")], "doc long, id string, text string")
+    queries = spark.createDataFrame([("s", "who calls readFile"), ("w", "close file")], "query_id string, text string")
+    found = spark.createDataFrame([("s", "a/other().", 1, 2), ("s", "a/closeFile().", 2, 1)], "query_id string, id string, place int, frequency int")
+    degrees = spark.createDataFrame([("a/other().", 5)], "id string, degree long")
+    rows = codesearch.routed(queries, found, docs, degrees, "callers").collect()
+    assert [(r.id, r.route) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "s"] == [("a/other().", "structural"), ("a/closeFile().", "structural")]
+    assert [(r.id, r.route) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "w"][0] == ("a/closeFile().", "lexical_fallback")
+    assert all(len(r.signals) == (5 if r.query_id == "s" else 0) for r in rows)
+    assert {r.query_id for r in codesearch.routed(queries, found, docs, degrees, "lookup").collect()} == {"s"}
+    dense = spark.createDataFrame([("w", 2, 1)], "query_id string, doc long, rank int")
+    assert "a/other()." in [r.id for r in codesearch.routed(queries, found, docs, degrees, "callers", dense).collect() if r.query_id == "w"]
