@@ -82,8 +82,15 @@ def rrf_weighted_context(spark, sf_dir):
     return dialogue.fused_context(q, eps, dialogue.POLICIES["context_rrf"]).select("question_id", "rank", "dia_id", "score")
 
 
+def inventory_statistics(spark, sf_dir):
+    """Turns, statements, dated and planned ones of each conversation."""
+    turns = dialogue.with_people(tables.turns(spark, sf_dir))
+    said = dialogue.sentence_events(turns).groupBy("conversation_id").agg(F.count("*").alias("n_events"), F.count_if(F.size("times") > 0).alias("n_dated"), F.count_if(F.col("modality") == "planned").alias("n_planned"))
+    return turns.groupBy("conversation_id").agg(F.count("*").alias("n_turns")).join(said, "conversation_id")
+
+
 ROUTES = {"question_response_bridge": "bridge_adaptive", "calendar_rescue": "calendar_unique", "bridge_calendar": "bridge_calendar", "context_balanced": "context_balanced", "context_only": "context_only"}
-QUERIES = {q.__name__: q for q in [*map(dates_found, FILTERS), sentence_events, context_windows, previous_turn_links, *map(search, dialogue.PROFILES), date_reader, rrf_weighted_context, *(route(n, p) for n, p in ROUTES.items())]}
+QUERIES = {q.__name__: q for q in [*map(dates_found, FILTERS), sentence_events, context_windows, previous_turn_links, inventory_statistics, *map(search, dialogue.PROFILES), date_reader, rrf_weighted_context, *(route(n, p) for n, p in ROUTES.items())]}
 
 EVENTS_SQL = f"""{tables.TURNS_SQL},
 sent AS (SELECT * EXCLUDE (text), unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, text FROM turns),
@@ -147,5 +154,6 @@ def dates_sql(kind: str) -> str:
 SQL = {f"dates_{k}": dates_sql(k) for k in FILTERS} | {f"{p}_search": search_sql(p) for p in dialogue.PROFILES} | {
     "sentence_events": f"WITH {EVENTS_SQL}, who AS (SELECT conversation_id, list(DISTINCT speaker) AS people FROM turns GROUP BY ALL) SELECT conversation_id, dia_id, sentence, array_to_string(list_filter(['Anna', 'Ben'], lambda x: list_contains(people, x) AND CASE x WHEN 'Anna' THEN anna ELSE ben END), ',') AS subjects, CASE WHEN planned THEN 'planned' ELSE 'reported' END AS modality, said AS normalized_time FROM named JOIN who USING (conversation_id)",
     "context_windows": f"WITH {tables.TURNS_SQL} SELECT conversation_id, dia_id, array_to_string(list(dia_id) OVER w, ',') AS context_ids, array_to_string(list(speaker || ': ' || text) OVER w, ' ') AS context FROM turns WINDOW w AS (PARTITION BY conversation_id, session ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
+    "inventory_statistics": f"WITH {EVENTS_SQL}, t AS (SELECT conversation_id, count(*) AS n_turns FROM turns GROUP BY ALL) SELECT conversation_id, n_turns, count(*) AS n_events, count(p) AS n_dated, count(*) FILTER (planned) AS n_planned FROM named JOIN t USING (conversation_id) GROUP BY ALL",
     "previous_turn_links": f"WITH {tables.TURNS_SQL}, l AS (SELECT conversation_id, dia_id, text, lag(dia_id) OVER (PARTITION BY conversation_id, session ORDER BY pos) AS previous_id FROM turns) SELECT conversation_id, dia_id, previous_id FROM l WHERE previous_id IS NOT NULL AND regexp_matches(text, '(?i)\\b(it|her|him|they|them|that)\\b')",
 }

@@ -119,6 +119,27 @@ def cluster_bootstrap(spark, sf_dir):
     return metrics.cluster_bootstrap(spark, rows, samples=2000)
 
 
+def token_statistics(spark, sf_dir):
+    """How many tokens the tokenisers find in each document."""
+    t = F.col("text")
+    return tables.corpus(spark, sf_dir).select("doc", F.size(fx.conversation_terms(t)).cast("long").alias("n_terms"), F.size(F.array_distinct(fx.conversation_terms(t))).cast("long").alias("n_distinct"), F.size(fx.benchmark_tokens(t)).cast("long").alias("n_tokens"), F.length(fx.normalised(t)).cast("long").alias("normalised_chars"))
+
+
+def stage_diagnosis(spark, sf_dir):
+    """Where the plain ranking loses the boosted one's first three: not a candidate, ranked late, first place lost, or found."""
+    a, b = channels(spark, sf_dir, 20)
+    replay = b.select("query_id", F.col("doc").alias("id"), "rank", (F.col("rank") <= 5).alias("selected"))
+    gold = a.where("rank <= 3").select("query_id", F.col("doc").alias("id"), F.when(F.col("rank") == 1, "exact_symbol").otherwise("contains").alias("kind"), F.lit(None).cast("int").alias("k"))
+    return fusion.stages(replay, gold).select("query_id", "id", "stage")
+
+
+def run_completeness(spark, sf_dir):
+    """Questions and profiles that a full run would have and this one lacks: queries of an odd id were run with one profile only."""
+    q = tables.corpus_queries(spark, sf_dir).select(F.col("query_id").alias("question_id"))
+    runs = q.withColumn("profile", F.explode(F.when(F.col("question_id") % 2 == 1, fx.strings(["plain"])).otherwise(fx.strings(["plain", "boosted"]))))
+    return metrics.missing_runs(runs, q, ["plain", "boosted"])
+
+
 STOP = ", ".join(f"'{w}'" for w in fx.BENCHMARK_STOP)
 STOP1 = ", ".join(f"'{w}'" for w in fx.STOP)
 IRREGULAR = " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in fx.IRREGULAR.items())
@@ -159,9 +180,12 @@ graded AS (SELECT query_id, profile, len(list_intersect(ids, gold)) > 0 AS hit,
  cast(query_id % 4 AS varchar) AS category, cast(query_id % 3 AS varchar) AS conversation FROM g)"""
 MEANS = "count(*) AS n, round(avg(hit::double), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr"
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_repeat_boost, bm25_allowed_topk, bm25_code_scores, rrf_fusion, signal_ablation, hit_recall_mrr, grouping_report, paired_wins, percentiles, confusion, category_summary, expected_scores, cluster_bootstrap)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_repeat_boost, bm25_allowed_topk, bm25_code_scores, rrf_fusion, signal_ablation, hit_recall_mrr, grouping_report, paired_wins, percentiles, confusion, category_summary, expected_scores, cluster_bootstrap, token_statistics, stage_diagnosis, run_completeness)}
 _W = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in metrics.WEIGHTS.items()) + " END"
 SQL = {
+    "token_statistics": f"SELECT doc_id AS doc, len({TERMS}) AS n_terms, len(list_distinct({TERMS})) AS n_distinct, len({TOKENS}) AS n_tokens, length(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS normalised_chars FROM documents",
+    "stage_diagnosis": f"WITH {BOOST}, {PLAIN}, {ranked('boosted', 3, 'ra')}, {ranked('plain', 20, 'rb')} SELECT ra.query_id, ra.doc AS id, CASE WHEN rb.rank IS NULL THEN 'candidate_missing' WHEN rb.rank > 5 THEN 'ranking_loss' WHEN ra.rank = 1 AND rb.rank > 1 THEN 'ranking_position_loss' ELSE 'retrieved' END AS stage FROM ra LEFT JOIN rb ON ra.query_id = rb.query_id AND ra.doc = rb.doc",
+    "run_completeness": "SELECT item_id AS question_id, 'boosted' AS profile FROM benchmark WHERE item_id % 2 = 1",
     "bm25_topk": f"WITH {PLAIN}, {ranked('plain', 10, 'r')} SELECT * FROM r",
     "bm25_repeat_boost": f"WITH {BOOST}, {ranked('boosted', 10, 'r')} SELECT * FROM r",
     "bm25_allowed_topk": f"WITH {BOOST}, able AS (SELECT * FROM boosted WHERE doc IN (SELECT doc_id FROM labels WHERE quality = 1)), {ranked('able', 10, 'r')} SELECT * FROM r",
