@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SHARDS, SEED = 24, 20260
-#: Rows that a source block, and a bucket within a shard, are meant to hold; the most blocks that the driver draws for.
-BLOCK_ROWS, BUCKET_ROWS, MOST_BLOCKS = 20_000, 20_000, 8192
+#: Rows that a source block, and a bucket within a shard, are meant to hold; the most blocks that the driver draws for;
+#: the fewest blocks, and buckets in a shard, so that small inputs are dealt out as well.
+BLOCK_ROWS, BUCKET_ROWS, MOST_BLOCKS, LEAST_BLOCKS, LEAST_BUCKETS = 20_000, 20_000, 8192, 64, 8
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
@@ -77,20 +79,15 @@ def sharded(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
     old = [c for c in rows.columns if c not in ("shard", "slot")]
     numbered = common.written(rows.select(*[F.col(f"`{c}`") for c in old], F.monotonically_increasing_id().alias("__row")), "shard-input")
     total = numbered.count()
-    blocks = max(1, min(MOST_BLOCKS, -(-total // BLOCK_ROWS)))
-    # blocks of a third of the rows' tasks at least, so that small inputs are dealt out as well
-    blocks = max(blocks, min(MOST_BLOCKS, 64))
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-total // BLOCK_ROWS)))
     numbered = numbered.withColumn("__draw", F.xxhash64(F.lit(seed), "__row")).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), "__row"), F.lit(blocks)).cast("int"))
     sizes = {r[0]: r[1] for r in numbered.groupBy("__block").count().collect()}
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], shards, seed)
-    ends = []
-    for b, row in enumerate(matrix):
-        ends.append((b, [sum(row[: s + 1]) for s in range(shards)]))
+    ends = [(b, list(accumulate(row))) for b, row in enumerate(matrix)]
     cuts = spark.createDataFrame(ends, "__block int, __ends array<long>")
     placed = numbered.withColumn("__place", F.row_number().over(Window.partitionBy("__block").orderBy("__draw", "__row")))
     dealt = placed.join(F.broadcast(cuts), "__block").withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__place"))))
-    buckets = max(1, -(-total // (shards * BUCKET_ROWS)))
-    buckets = max(buckets, 8)
+    buckets = max(LEAST_BUCKETS, -(-total // (shards * BUCKET_ROWS)))
     again = F.pmod(F.xxhash64(F.lit(seed + 2), "__row"), F.lit(1 << 31))
     dealt = common.written(dealt.select(*[F.col(f"`{c}`") for c in old], "shard", "__row", again.alias("__again"), F.floor(again * buckets / F.lit(1 << 31)).cast("int").alias("__bucket")), "shard-dealt")
     held = dealt.groupBy("shard", "__bucket").count()
