@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,8 +28,8 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Chunks that a task keeps the encodings of; longer chunks than this are composed one by one.
-KEPT, LONGEST = 200_000, 40
+#: Chunks that a worker keeps the encodings of; longer chunks than this are composed one by one.
+KEPT, LONGEST = 400_000, 40
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -59,6 +60,17 @@ def fields(data: bytes):
             yield key >> 3, struct.unpack("<f", raw)[0] if kind == 5 else raw
 
 
+#: New pairs are kept apart from the settled ones up to this number, so that few additions move all pairs.
+RECENT = 20_000
+NOTHING = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
+
+
+def merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
 class Transducer:
     """The compiled machines of a model file's bytes."""
 
@@ -90,7 +102,7 @@ class Transducer:
         self.line_breaks_apart = "\n" not in letters
         self.lexicon(letters)
         self.out = [self.surface(i) for i in range(self.size)]
-        self.pairs, self.joins = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.settled, self.recent = NOTHING, NOTHING  # sorted pairs and whether they stay apart
         self.cache: dict[str, tuple[int, ...]] = {"": ()}
 
     def lexicon(self, letters: list[str]) -> None:
@@ -137,14 +149,27 @@ class Transducer:
     def finite(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The acceptor: which pairs (a, b) have an arc of finite weight; a < 0 is the start. Pairs are worked out when first met."""
         key = a * (self.size + 1) + b
-        at = np.searchsorted(self.pairs, key)
-        new = np.unique(key[(a >= 0) & (self.pairs[np.minimum(at, len(self.pairs) - 1)] != key if len(self.pairs) else True)])
+        says, known = self.looked_up(key)
+        known |= a < 0
+        new = np.unique(key[~known])
         if len(new):
-            says = np.array([self.stay_apart(int(k) // (self.size + 1), int(k) % (self.size + 1)) for k in new], dtype=bool)
-            order = np.argsort(np.concatenate([self.pairs, new]), kind="stable")
-            self.pairs, self.joins = np.concatenate([self.pairs, new])[order], np.concatenate([self.joins, says])[order]
-            at = np.searchsorted(self.pairs, key)
-        return (a < 0) | self.joins[np.minimum(at, len(self.joins) - 1)] if len(self.joins) else a < 0
+            fresh = np.array([self.stay_apart(int(k) // (self.size + 1), int(k) % (self.size + 1)) for k in new], dtype=bool)
+            self.recent = merged(self.recent, (new, fresh))
+            if len(self.recent[0]) > RECENT:
+                self.settled, self.recent = merged(self.settled, self.recent), NOTHING
+            says, _ = self.looked_up(key)
+        return (a < 0) | says
+
+    def looked_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is known of each pair, and whether anything is."""
+        says, known = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+        for pairs, joins in (self.settled, self.recent):
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                here = pairs[at] == key
+                says |= here & joins[at]
+                known |= here
+        return says, known
 
     def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The lexicon's next states, -1 where there is no arc."""
@@ -245,6 +270,12 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def compiled(data: bytes) -> Transducer:
+    """The machines of a model; a Python worker keeps them, and what they have worked out, from one task to the next."""
+    return Transducer(data)
+
+
 def encoded(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
     """docs with ids array<int>, n_tokens long and round_trip, whether decoding gives the text again.
 
@@ -255,7 +286,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFram
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        machine = Transducer(sent.value)
+        machine = compiled(sent.value)
 
         def run(texts):
             values, sizes, same = [], [], []
