@@ -34,7 +34,7 @@ def graph_degree(spark, sf_dir):
 
 
 def orphans(spark, sf_dir):
-    """Parts that no line item of the month calls."""
+    """Parts that no line item calls."""
     part = tables.table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("ord"), F.lit("symbol").alias("kind"), F.col("p_name").alias("name"), F.col("p_name").alias("path"))
     e = edges(spark, sf_dir)
     return codegraph.orphans(part, e, codegraph.degree(e), "symbol").select("id")

@@ -111,9 +111,9 @@ def relational_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def occurrences(spark: SparkSession, sf_dir: str, months: int = 1) -> DataFrame:
-    """Suppliers refer to parts: src, dst, is_call and the place of each line item shipped early in 1998."""
-    item = table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= "1998-01-01") & (F.col("l_shipdate") < F.add_months(F.lit("1998-01-01").cast("date"), months)))
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers refer to parts: src, dst, is_call and the place of each line item."""
+    item = table(spark, sf_dir, "lineitem")
     return item.select(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("dst"), (F.col("l_returnflag") != "N").alias("is_call"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
 
 
