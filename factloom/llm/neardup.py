@@ -5,6 +5,10 @@ arrivals come at the rate of the weight and hit a random register; a register ke
 an element stops once its next arrival is later than every register's. Two texts agree in a register with their
 probability Jaccard similarity. Texts that agree in all registers of a band are candidates.
 
+Links are similarities of sets, from which weighted ones can be far when a shingle is frequent in one text only. So a
+text that repeats shingles is keyed by a second set of registers as well, with all weights 1; without repeats both
+sets are the same. Two texts then agree in a register of that set with their set similarity, whatever their counts.
+
 In the first rounds the members of a bucket meet one centre each, not each other, which joins most large groups. A
 bucket goes on while its members belong to more than one component of the links found so far. What is left then is
 cut into blocks of bounded size; each pair of blocks is verified inside one task, where shingles that two members
@@ -44,16 +48,19 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, text
 
 
-def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Registers of each text, and its number of different shingles."""
+def elements(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different shingles of each text, the text of each and how often it has it."""
     hashes, text = shingles(texts)
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]
     new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])])) if len(hashes) else np.zeros(0, dtype=np.int64)
-    weight = 1 + np.log(np.diff(np.append(new, len(hashes))))
-    hashes, text = hashes[new], text[new]
-    n = np.bincount(text, minlength=len(texts))
-    first, owner = np.full(len(texts) * REGISTERS, np.inf), np.zeros(len(texts) * REGISTERS, dtype=np.uint64)
+    return hashes[new], text[new], np.diff(np.append(new, len(hashes)))
+
+
+def registers(hashes: np.ndarray, text: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """Registers of each text."""
+    n = np.bincount(text, minlength=texts)
+    first, owner = np.full(texts * REGISTERS, np.inf), np.zeros(texts * REGISTERS, dtype=np.uint64)
     single = n == 1
     if single.any():  # the only element hits every register first
         owner.reshape(-1, REGISTERS)[text[single[text]]] = hashes[single[text]][:, None]
@@ -72,7 +79,25 @@ def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         last = first.reshape(-1, REGISTERS).max(axis=1)
         going = when < last[text]
         hashes, text, weight, when, state = hashes[going], text[going], weight[going], when[going], state[going]
-    return owner.reshape(-1, REGISTERS), n
+    return owner.reshape(-1, REGISTERS)
+
+
+def signatures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted registers of each text, and its number of different shingles."""
+    hashes, text, count = elements(texts)
+    return registers(hashes, text, 1 + np.log(count), len(texts)), np.bincount(text, minlength=len(texts))
+
+
+def keyed(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Band keys of each text, of weighted registers and, where it repeats shingles, of unweighted ones; and its number of different shingles."""
+    hashes, text, count = elements(texts)
+    n = np.bincount(text, minlength=len(texts))
+    weighted = band_keys(registers(hashes, text, 1 + np.log(count), len(texts)))
+    repeats = np.bincount(text, weights=count > 1, minlength=len(texts)) > 0
+    place = np.cumsum(repeats) - 1
+    of = repeats[text]
+    even = band_keys(registers(hashes[of], place[text[of]], np.ones(of.sum()), int(repeats.sum())))
+    return [weighted[i][: BANDS * (n[i] > 0)] if not repeats[i] else np.unique(np.concatenate([weighted[i], even[place[i]]])) for i in range(len(texts))], n
 
 
 def band_keys(owner: np.ndarray) -> np.ndarray:
@@ -91,9 +116,9 @@ def signed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             full = batch.column(2).to_pylist()
             for first, last in textkernel.blocks(full):
-                owner, n = signatures(full[first:last])
-                held = np.where(n > 0, BANDS, 0)
-                flat = band_keys(owner)[n > 0].reshape(-1)
+                keys, n = keyed(full[first:last])
+                held = [len(k) for k in keys]
+                flat = np.concatenate(keys)
                 held_n = pa.array(n.astype(np.int64))
                 bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(flat))
                 part = batch.slice(first, last - first)

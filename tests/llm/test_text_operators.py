@@ -105,6 +105,18 @@ def test_near_duplicate_blocks_equal_brute_force_when_small(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_whose_repeats_differ(spark):
+    """Similarities are of sets: a line that one text repeats often must not keep its near copy away."""
+    rows = []
+    for pair in range(30):
+        head, line = some_words(1000 + pair, 104), some_words(2000 + pair, 20)
+        other = head[:-8] + some_words(3000 + pair, 8) if pair % 3 == 0 else head
+        rows += [(len(rows), " ".join(head + line * (50 + 30 * pair))), (len(rows) + 1, " ".join(other + line * 2))]
+    want = brute_classes(rows)
+    assert all(want[d] == d - d % 2 for d, _ in rows)
+    assert {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, DOC)).collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(3, None), (4, None), (5, ""), (2, ""), (9, "same words in this text"), (8, "same words in this text"), (8, "same words in this text"), (None, "same words in this text"), (1, "lonely")]
     got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, DOC)).collect()), key=str)
