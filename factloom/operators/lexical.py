@@ -77,11 +77,12 @@ def bm25_boosted(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
     return contributions(query_terms(queries, tokens), docs, tokens).groupBy("query_id", "doc").agg(F.round(folded("first", F.lit(0.0), step), PLACES).alias("score"))
 
 
-def top(scores: DataFrame, k: int, allowed: DataFrame | None = None, by: str = "query_id") -> DataFrame:
-    """The k best documents of each query, after a hard filter on (query, doc) if allowed is given; statistics stay global."""
+def top(scores: DataFrame, k: int | None, allowed: DataFrame | None = None, by: str = "query_id") -> DataFrame:
+    """The k best documents of each query, or all in their order if k is None, after a hard filter on (query, doc) if allowed is given; statistics stay global."""
     scores = scores if allowed is None else scores.join(allowed, [c for c in allowed.columns if c in scores.columns], "left_semi")
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "doc"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = scores.withColumn("rank", rank)
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
 def filled(best: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:

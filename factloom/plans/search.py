@@ -40,8 +40,8 @@ def bm25_code_scores(spark, sf_dir):
     return scores.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(F.col("score").cast("double")), 3).alias("best"))
 
 
-def channels(spark, sf_dir, k: int = 30):
-    """Two rankings of the corpus: boosted BM25 and plain BM25 on stems."""
+def channels(spark, sf_dir, k: int | None = None):
+    """Two rankings of the corpus, whole or the first k of each: boosted BM25 and plain BM25 on stems."""
     q, d = tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir)
     return lexical.top(lexical.bm25_boosted(q, d, tokens), k), lexical.top(lexical.bm25(q, d, fx.conversation_terms), k)
 

@@ -5,7 +5,10 @@ from datetime import datetime
 import pytest
 
 from factloom import session
-from factloom.plans import code
+from factloom.functions import text as fx
+from factloom.operators import lexical
+from factloom.plans import code, search
+from factloom.sources import tables
 
 
 @pytest.fixture(autouse=True)
@@ -39,3 +42,20 @@ def test_edges_are_of_all_line_items(spark, tmp_path):
     ends = [x for e in want for x in e]
     assert {r.id: r.degree for r in code.graph_degree(spark, here).collect()} == {x: ends.count(x) for x in ends}
     assert {r.route for r in code.code_routes(spark, here).collect()} == {"structural"}
+
+
+def test_fusion_adds_ranks_of_whole_rankings(spark, tmp_path):
+    docs = [(0, "reading" + " pad" * 40)] + [(n, "reads " * (1 + n % 3) + f"w{n}") for n in range(1, 50)] + [(n, "reading " + "pad " * n) for n in range(50, 90)]
+    here = stored(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=([(1, "reading")], "item_id long, text string"))
+    q, d = tables.corpus_queries(spark, here), tables.corpus(spark, here)
+    total, words = {}, {}
+    for weight, scores in ((1.0, lexical.bm25_boosted(q, d, fx.benchmark_tokens)), (0.5, lexical.bm25(q, d, fx.conversation_terms))):
+        for rank, (_, doc) in enumerate(sorted((-r.score, r.doc) for r in scores.collect()), 1):
+            total[doc] = total.get(doc, 0.0) + weight / (60 + rank)
+        words = words or {r.doc: r.score for r in scores.collect()}
+    want = sorted((-round(s, 9), doc) for doc, s in total.items())[:10]
+    assert [(-r.score, r.doc) for r in sorted(search.rrf_fusion(spark, here).collect(), key=lambda r: r["rank"])] == want
+    found = [doc for _, doc in want]
+    places = [sorted(found, key=key).index for key in (found.index, lambda x: (-words.get(x, 0.0), x), lambda x: (-(x % 7), x), lambda x: (-(x % 5), x))]
+    full = {x: round(sum(w / (61 + at(x)) for w, at in zip((1, 1, 1, 4), places, strict=True)), 9) for x in found}
+    assert {r.id: r.full_score for r in search.signal_ablation(spark, here).collect()} == pytest.approx(full, abs=2e-9)
