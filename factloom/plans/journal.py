@@ -82,8 +82,8 @@ def supersede_validation(spark, sf_dir):
 
 
 def replacement_reachability(spark, sf_dir):
-    """How many facts the replacements of each replaced fact lead to, along chains of any length, for one predicate."""
-    facts = tables.assertions(spark, sf_dir).where("predicate = 'signature' AND environment = 'env-0'")
+    """How many facts the replacements of each replaced fact lead to, along chains of any length."""
+    facts = tables.assertions(spark, sf_dir)
     replaced = journal.replacements(tables.proposed_replacements(facts), facts)
     found = journal.reachable(replaced, replaced.select(F.col("old_id").alias("source"))).where("source <> node")
     return found.groupBy("source").agg(F.count("*").alias("n_after"), F.max("node").alias("last_node"))
@@ -91,11 +91,10 @@ def replacement_reachability(spark, sf_dir):
 
 def event_timeline(spark, sf_dir):
     facts = tables.assertions(spark, sf_dir)
-    facts = facts.where("environment = 'env-0'")
     replaced = journal.replacements(tables.proposed_replacements(facts), facts)
     day = F.to_date("recorded_at")
     events = journal.timeline(facts, replaced)
-    return events.groupBy(day.alias("day")).agg(F.count_if(F.col("kind") == "assertion").alias("n_assertions"), F.count_if(F.col("kind") == "replacement").alias("n_replacements"), F.max("place").cast("long").alias("last_place"))
+    return events.groupBy("environment", day.alias("day")).agg(F.count_if(F.col("kind") == "assertion").alias("n_assertions"), F.count_if(F.col("kind") == "replacement").alias("n_replacements"), F.max("place").cast("long").alias("last_place"))
 
 
 def workspace_trace(spark, sf_dir):
