@@ -77,9 +77,9 @@ turns AS (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question for each turn of the first two sessions of a conversation: question_id, conversation_id, question."""
-    t = turns(spark, sf_dir).where(F.col("session") <= 2)
-    some = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), 1, 6), " ")
+    """One question for each turn, of all its words of letters: question_id, conversation_id, question."""
+    t = turns(spark, sf_dir)
+    some = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), " ")
     head = F.when(F.col("pos") % 3 == 0, "When did Anna meet ").when(F.col("pos") % 3 == 1, "What did Ben say about ").otherwise(F.concat(F.lit("In "), F.date_format("session_date", "MMMM yyyy"), F.lit(" what was ")))
     return t.select(F.concat_ws("/", F.col("conversation_id").cast("string"), "dia_id").alias("question_id"), "conversation_id", F.concat(head, some, F.lit("?")).alias("question"))
 
@@ -97,9 +97,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of each benchmark item as a query: query_id, text."""
-    words = F.slice(fx.benchmark_tokens(F.col("text")), 1, 12)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """Each benchmark item as a query: query_id, text."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def relational_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_fusion_adds_ranks_of_whole_rankings(spark, tmp_path):
     places = [sorted(found, key=key).index for key in (found.index, lambda x: (-words.get(x, 0.0), x), lambda x: (-(x % 7), x), lambda x: (-(x % 5), x))]
     full = {x: round(sum(w / (61 + at(x)) for w, at in zip((1, 1, 1, 4), places, strict=True)), 9) for x in found}
     assert {r.id: r.full_score for r in search.signal_ablation(spark, here).collect()} == pytest.approx(full, abs=2e-9)
+
+
+def test_questions_and_queries_are_of_whole_texts(spark, tmp_path):
+    talk = [(c, t, "user" if t % 2 == 0 else "assistant", "alpha beta gamma delta epsilon zeta eta theta") for c in range(20) for t in range(2)]
+    item = " ".join(f"word{n}" for n in range(30))
+    docs = [(1, "word29 " * 3), (2, "nothing here")]
+    here = stored(spark, tmp_path, conversations=(talk, "conv_id long, turn long, role string, text string"), benchmark=([(5, item)], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
+    asked = tables.questions(spark, here).collect()
+    assert {r.question_id for r in asked} == {f"{c // 10}/D{c % 10 + 1}:{t + 1}" for c, t, _, _ in talk} and len(asked) == len(talk)
+    assert all("alpha beta gamma delta epsilon zeta eta theta" in r.question for r in asked)
+    assert [r.doc for r in search.bm25_repeat_boost(spark, here).collect()] == [1]
