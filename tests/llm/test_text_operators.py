@@ -139,16 +139,106 @@ def test_encoding_equals_the_library(spark):
 
     import sentencepiece
 
-    machine = sentencepiece_fst.Transducer(open(sentencepiece_fst.MODEL, "rb").read())
+    machine = sentencepiece_fst.compiled()
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL)
     draw = random.Random(1)
     letters = "  abcdeénñ\n\t▁0123①日本語.,!THE ing"
-    texts = ["", " ", "  ", "\n", " a", "a ", "▁x", "x" * 100, "日本" * 30, "<s>hi</s>", "<0x0A>"] + ["".join(draw.choice(letters) for _ in range(draw.randrange(60))) for _ in range(2000)]
+    texts = ["", " ", "  ", "\n", " a", "a ", "▁x", "x" * 100, "日本" * 30, "<s>hi</s>", "<0x0A>", "a ▁", " " * 40, "x" + " " * 37 + "y", "ab" * 4000] + ["".join(draw.choice(letters) for _ in range(draw.randrange(60))) for _ in range(2000)]
     ours, theirs = machine.encode(texts), library.encode(texts, num_threads=1)
-    assert [list(i) for i in ours] == theirs and [machine.decode(i) for i in ours] == [library.decode(i) for i in theirs]
-    rows = sentencepiece_fst.encoded(spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "naïve ① " * 5000)], f"{DOC}, ids string".replace(", ids string", ""))).collect()
+    assert [i.tolist() for i in ours] == theirs and [machine.decode(i) for i in theirs] == [library.decode(i) for i in theirs]
+    data = [(1, "Hello world", "x"), (2, None, "x"), (3, "", "x"), (4, "naïve ① " * 5000, "x"), (1, "Hello world", "x"), (None, "Hello world", "x")]
+    rows = sentencepiece_fst.encoded(spark.createDataFrame(data, f"{DOC}, ids string").selectExpr("*", "1 AS n_tokens", "'y' AS __text")).collect()
     got = {r.doc_id: (r.n_tokens, list(r.ids), r.round_trip) for r in rows}
-    assert got[2] == got[3] == (0, [], True) and got[1][1] == library.encode("Hello world") and got[4][2]
+    assert got[2] == got[3] == (0, [], True) and got[1][1] == got[None][1] == library.encode("Hello world") and got[4][2]
+    assert len(rows) == 6 and {r["__text"] for r in rows} == {"y"}
+    assert sentencepiece_fst.encoded(spark.createDataFrame([], DOC)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(sentencepiece_fst.MODEL), reason="no model file")
+def test_texts_cut_into_parts_encode_alike(monkeypatch):
+    machine = sentencepiece_fst.compiled()
+    texts = [" ".join(some_words(i, 40)) + " \n " + "z" * 30 for i in range(30)] + ["a  b " * 50]
+    whole = [i.tolist() for i in machine.encode(texts)]
+    monkeypatch.setattr(sentencepiece_fst, "BLOCK", 37)
+    assert [i.tolist() for i in machine.encode(texts)] == whole
+
+
+@pytest.mark.skipif(not os.path.exists(sentencepiece_fst.MODEL), reason="no model file")
+def test_pairs_stay_apart_as_merging_says():
+    import random
+
+    machine, draw = sentencepiece_fst.compiled(), random.Random(3)
+    scores = [dict(sentencepiece_fst.fields(v)).get(2, 0.0) for n, v in sentencepiece_fst.fields(open(sentencepiece_fst.MODEL, "rb").read()) if n == 1]
+    normal = {p: i for i, p in enumerate(machine.pieces) if machine.kinds[i] == sentencepiece_fst.NORMAL}
+    able = [i for p, i in normal.items() if len(p) == 1 or machine.acceptor.rank[i] >= 0]
+    short = [i for i in able if len(machine.pieces[i]) < 4]
+    pairs = [(draw.choice(able), draw.choice(able)) for _ in range(2000)] + [(draw.choice(short), draw.choice(short)) for _ in range(2000)]
+    want = [sentencepiece_fst.stay_apart(machine.pieces[a], machine.pieces[b], normal, scores) for a, b in pairs]
+    a, b = np.array(pairs).T
+    assert machine.acceptor.apart(a, b).tolist() == want == [machine.acceptor.apart_one(x, y) for x, y in pairs] and 0 < sum(want) < len(want)
+
+
+def small_model(kind, pieces, squeeze=True, charsmap=b""):
+    """A model file's bytes, written field by field."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    number = lambda f, n: varint(f << 3) + varint(n)
+    block = lambda f, b: varint(f << 3 | 2) + varint(len(b)) + b
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{i:02X}>", 0.0, 6) for i in range(256)], *[(p, s, 1) for p, s in pieces]]
+    data = b"".join(block(1, block(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + number(3, k)) for p, s, k in rows)
+    return data + block(2, number(3, kind) + number(35, 1)) + block(3, block(1, b"own") + block(2, charsmap) + number(3, 1) + number(4, int(squeeze)) + number(5, 1))
+
+
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_unigram_paths_are_the_least_sums(squeeze):
+    """Weights of pieces add up and the minimum wins where paths meet: the library and a plain search over all segmentations agree."""
+    import random
+
+    import sentencepiece
+
+    pieces = [("▁", -2.5), ("a", -3.0), ("b", -3.25), ("c", -3.5), ("▁a", -2.0), ("ab", -4.0), ("bc", -4.5), ("abc", -7.0), ("▁ab", -5.5), ("ca", -5.0), ("cab", -6.0)]
+    data = small_model(1, pieces, squeeze)
+    machine, library = sentencepiece_fst.Transducer(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("aabbcc  xé") for _ in range(draw.randrange(18))) for _ in range(1500)]
+    assert [i.tolist() for i in machine.encode(texts)] == library.encode(texts)
+    cost = dict(pieces)
+
+    def least(word):
+        best = [0.0] + [float("inf")] * len(word)
+        for stop in range(1, len(word) + 1):
+            best[stop] = min((best[start] - cost[word[start:stop]] for start in range(stop) if word[start:stop] in cost), default=float("inf"))
+        return best[-1]
+
+    for word in ("abcab", "cabcab", "bcabc"):
+        found = machine.encode([word])[0]
+        assert sum(-cost[machine.pieces[i]] for i in found) == least("▁" + word)
+
+
+def test_character_maps_are_read():
+    """The normaliser of a map: longest rule first, as the library's own rule set does it."""
+    import sentencepiece
+
+    if not hasattr(sentencepiece, "SentencePieceNormalizer"):
+        pytest.skip("the library has no normaliser")
+    library = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc")
+    options = {n: v for n, v in sentencepiece_fst.fields(library.serialized_model_proto()) if n == 3}[3]
+    charsmap = dict(sentencepiece_fst.fields(options))[2]
+    machine = sentencepiece_fst.Normaliser(charsmap, False, False)
+    for text in ("ﬁne ①②", "ｈａｌｆ　ｗｉｄｅ", "é", "a\tb\r\nc", "ガｶﾞ", "plain words"):
+        assert machine.mapped(text) == library.normalize(text).replace("▁", " ").removeprefix(" ")
+
+
+def test_other_models_are_refused():
+    for data in (small_model(4, [("a", -1.0)]), small_model(2, [("a", -1.0), ("ab", -2.0)])):
+        with pytest.raises(ValueError):
+            sentencepiece_fst.Transducer(data)
 
 
 def plain_spans(text):
