@@ -8,6 +8,7 @@ evidence_json, negated); replacements are rows (id, old_id, new_id, effective, r
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ SINGLE_VALUED = ("default", "signature", "exists", "parameter_exists")
 MODES = ("baseline", "temporal", "conflict", "combined")
 SCOPE = ("repository", "branch", "environment")
 FOREVER = 1 << 62
+#: Rounds that are kept apart before they are written together.
+MOST_PARTS = 8
 
 
 def quoted(text: Column) -> Column:
@@ -39,6 +42,18 @@ def canonical_value(value: Column | str) -> Column:
     return F.pandas_udf(canonical_batch, "string")(value)
 
 
+#: JSON that is canonical as it stands: whole numbers, constants, plain strings, and objects of one plain string.
+PLAIN_STRING = r'"[^"\\\x00-\x1f]*"'
+PLAIN_JSON = r"^(null|true|false|0|-?[1-9][0-9]*|S|\{S:S\})\z".replace("S", PLAIN_STRING)
+
+
+def in_canonical_form(value: str) -> Column:
+    """A JSON column in canonical form; only what is not plainly so already is parsed, in Python."""
+    here = F.col(value)
+    plain = here.isNull() | here.rlike(PLAIN_JSON)
+    return F.when(plain, here).otherwise(canonical_value(F.when(~plain, here)))
+
+
 def utc_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
 
@@ -53,10 +68,10 @@ def canonical() -> Column:
     """The canonical JSON of a fact: keys in order, nulls written out."""
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     return F.concat(
-        F.lit('{"entity":'), quoted(F.col("entity")), F.lit(',"evidence":'), F.col("evidence_json"), F.lit(',"negated":'), F.col("negated").cast("string"),
+        F.lit('{"entity":'), quoted(F.col("entity")), F.lit(',"evidence":'), in_canonical_form("evidence_json"), F.lit(',"negated":'), F.col("negated").cast("string"),
         F.lit(',"predicate":'), quoted(F.col("predicate")), F.lit(',"recorded_at":"'), utc_text(F.col("recorded_at")),
         F.lit('","scope":{"branch":'), quoted(F.col("branch")), F.lit(',"environment":'), quoted(F.col("environment")), F.lit(',"repository":'), quoted(F.col("repository")),
-        F.lit('},"valid_from":'), number("valid_from"), F.lit(',"valid_to":'), number("valid_to"), F.lit(',"value":'), F.col("value_json"), F.lit("}"),
+        F.lit('},"valid_from":'), number("valid_from"), F.lit(',"valid_to":'), number("valid_to"), F.lit(',"value":'), in_canonical_form("value_json"), F.lit("}"),
     )
 
 
@@ -111,10 +126,40 @@ def refusals(proposals: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def event_id() -> Column:
+    """The content id of a replacement."""
+    return F.sha2(F.concat(F.lit('{"effective":'), F.col("effective").cast("string"), F.lit(',"new":"'), F.col("new_id").cast("string"), F.lit('","old":"'), F.col("old_id").cast("string"), F.lit('","recorded_at":"'), utc_text(F.col("recorded_at")), F.lit('"}')), 256)
+
+
 def replacements(proposals: DataFrame, facts: DataFrame) -> DataFrame:
-    """Accepted proposals with their content id, each once."""
-    text = F.concat(F.lit('{"effective":'), F.col("effective").cast("string"), F.lit(',"new":"'), F.col("new_id").cast("string"), F.lit('","old":"'), F.col("old_id").cast("string"), F.lit('","recorded_at":"'), utc_text(F.col("recorded_at")), F.lit('"}'))
-    return refusals(proposals, facts).where("refusal IS NULL").drop("refusal").withColumn("id", F.sha2(text, 256)).dropDuplicates(["id"])
+    """Proposals that no rule about their two facts speaks against, with their content id, each once.
+
+    Cycles are not looked for: that is for proposals that follow the order of time, as a journal's stored events do, and
+    so cannot close one. New events go through superseded().
+    """
+    return refusals(proposals, facts).where("refusal IS NULL").drop("refusal").withColumn("id", event_id()).dropDuplicates(["id"])
+
+
+def judged(proposals: DataFrame, facts: DataFrame, held: DataFrame) -> DataFrame:
+    """proposals with refusal, as refusals() gives it, or `cycle` where the old fact can be reached from the new one.
+
+    held: the journal's replacements (old_id, new_id). A batch counts as one: proposals that close a cycle only
+    together are all refused.
+    """
+    known = refusals(proposals, facts).checkpoint()
+    edges = held.select("old_id", "new_id").unionByName(known.where("refusal IS NULL").select("old_id", "new_id"))
+    bad = creates_cycle(known.where("refusal IS NULL").select("old_id", "new_id").distinct(), edges).select("old_id", "new_id", F.lit("cycle").alias("cycle"))
+    return known.join(bad, ["old_id", "new_id"], "left").withColumn("refusal", F.coalesce("refusal", "cycle")).select(*proposals.columns, "refusal")
+
+
+def superseded(proposals: DataFrame, facts: DataFrame, held: DataFrame) -> DataFrame:
+    """The replacements that a batch of proposals adds to held (old_id, new_id, id, ...), with their content ids.
+
+    The whole batch fails, with the name of the refusal, if one proposal is refused.
+    """
+    seen = judged(proposals, facts, held)
+    fine = seen.withColumn("old_id", F.when(F.col("refusal").isNotNull(), F.raise_error(F.concat(F.lit("refused replacement: "), F.col("refusal")))).otherwise(F.col("old_id")))
+    return fine.drop("refusal").withColumn("id", event_id()).dropDuplicates(["id"]).join(held.select("id"), "id", "left_anti")
 
 
 def reachable(edges: DataFrame, sources: DataFrame, hops: int | None = None) -> DataFrame:
@@ -124,16 +169,36 @@ def reachable(edges: DataFrame, sources: DataFrame, hops: int | None = None) ->
     executor costs no earlier round.
     """
     edges = edges.select("old_id", "new_id").distinct()
-    seen = sources.select("source", F.col("source").alias("node")).distinct()
-    frontier, done = seen, 0
+    frontier = sources.select("source", F.col("source").alias("node")).distinct().checkpoint()
+    parts, done = [frontier], 0
     while hops is None or done < hops:
         step = frontier.join(edges, F.col("node") == F.col("old_id")).select("source", F.col("new_id").alias("node")).distinct()
-        frontier = step.join(seen, ["source", "node"], "left_anti").checkpoint()
+        for part in parts:
+            step = step.join(part, ["source", "node"], "left_anti")
+        frontier = step.checkpoint()
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
+        parts.append(frontier)
+        if len(parts) > MOST_PARTS:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
         done += 1
-    return seen
+    return reduce(DataFrame.unionByName, parts)
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(source, node) for all nodes that edges lead to from each old_id, itself included, in rounds that double the length of walks.
+
+    Walks of up to 2 n edges are those of up to n, and those followed by a walk of just n. So chains of any length take
+    a logarithmic number of rounds; along a chain each pair is made once.
+    """
+    jump = edges.select(F.col("old_id").alias("node"), F.col("new_id").alias("next")).distinct().checkpoint()
+    seen = jump.select(F.col("node").alias("source"), "node").distinct().checkpoint()
+    while True:
+        new = seen.join(jump, "node").select("source", F.col("next").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").checkpoint()
+        if new.isEmpty():
+            return seen
+        seen = seen.unionByName(new).checkpoint()
+        jump = jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("further")), "next").select("node", F.col("further").alias("next")).distinct().checkpoint()
 
 
 def creates_cycle(proposals: DataFrame, edges: DataFrame) -> DataFrame:
@@ -142,13 +207,14 @@ def creates_cycle(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     return proposals.join(found, (F.col("new_id") == F.col("source")) & (F.col("old_id") == F.col("node")), "left_semi")
 
 
-def derived(facts: DataFrame, replaced: DataFrame, coordinates: DataFrame) -> DataFrame:
-    """Known facts at each coordinate (coordinate, at, known, and scope columns) with effective_to, superseded_by and status.
+def derived(facts: DataFrame, replaced: DataFrame, coordinates: DataFrame, entity: str | None = None) -> DataFrame:
+    """Known facts at each coordinate (coordinate, at, known, and scope columns) with effective_to, superseded_by and status; of one entity only if it is named.
 
     The journal is narrowed by scope and known time first; both compare with small broadcast coordinates, of which
     there are as many as the caller states.
     """
     here = F.broadcast(coordinates)
+    facts = facts if entity is None else facts.where(F.col("entity") == entity)
     known = facts.join(here, list(SCOPE)).where(F.col("recorded_at") <= F.col("known"))
     events = replaced.select("old_id", "new_id", "effective", F.col("recorded_at").alias("replaced_at"), F.col("id").alias("replacement_id"))
     now = F.broadcast(coordinates.select("coordinate", "at", "known"))
@@ -197,12 +263,13 @@ def pairs(rows: DataFrame, mode: str) -> DataFrame:
     """Diagnosed pairs among derived rows in modes conflict and combined: coordinate, left_id, right_id, diagnosis, current.
 
     An equi-join on (coordinate, entity, predicate); facts that cannot be in a pair, because no fact of their key
-    differs in value or sign, are left out before it.
+    differs in value or sign, are left out before it by an aggregate. A key with very many facts is one that adaptive
+    execution splits, since both sides of the join are plain shuffles.
     """
     key = ["coordinate", "entity", "predicate"]
-    w = Window.partitionBy(*key)
     shape = F.concat_ws("|", "value_json", F.col("negated").cast("string"))
-    able = rows.withColumn("__least", F.min(shape).over(w)).withColumn("__most", F.max(shape).over(w)).where("__least <> __most").drop("__least", "__most")
+    mixed = rows.groupBy(*key).agg(F.min(shape).alias("__least"), F.max(shape).alias("__most")).where("__least <> __most").select(*key)
+    able = rows.join(mixed, key, "left_semi")
     a, b = able.alias("a"), able.alias("b")
     on = (F.col("a.coordinate") == F.col("b.coordinate")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.id") < F.col("b.id"))
     now = F.lit(True) if mode == "conflict" else (F.col("a.status") == "active") & (F.col("b.status") == "active")
@@ -210,21 +277,39 @@ def pairs(rows: DataFrame, mode: str) -> DataFrame:
     return met.select(F.col("a.coordinate").alias("coordinate"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), diagnosis("a", "b", mode != "conflict").alias("diagnosis"), now.alias("current"))
 
 
-def answers(rows: DataFrame, coordinates: DataFrame, mode: str) -> DataFrame:
-    """One row for each coordinate, also where nothing is known: mode, n_selected, n_conflicts, answer."""
-    n = selected(rows, mode).groupBy("coordinate").agg(F.count("*").alias("n_selected"))
+def answers(rows: DataFrame, coordinates: DataFrame, *modes: str) -> DataFrame:
+    """One row for each coordinate and mode, also where nothing is known: mode, n_selected, n_conflicts, answer.
+
+    Mode combined asks for active facts only, which are the only ones joined for it when it is asked alone.
+    """
+    active = F.col("status") == "active"
+    n = rows.groupBy("coordinate").agg(F.count("*").alias("n_all"), F.count_if(active).alias("n_active"))
     out = coordinates.select("coordinate").join(n, "coordinate", "left")
-    if mode in ("conflict", "combined"):
-        against = pairs(rows, mode).where("diagnosis = 'conflict' AND current").groupBy("coordinate").agg(F.count("*").alias("n_conflicts"))
-        out = out.join(against, "coordinate", "left")
-    else:
-        out = out.withColumn("n_conflicts", F.lit(0))
-    held, bad = F.coalesce("n_selected", F.lit(0)), F.coalesce("n_conflicts", F.lit(0))
-    return out.select("coordinate", F.lit(mode).alias("mode"), held.cast("long").alias("n_selected"), bad.cast("long").alias("n_conflicts"), F.when(bad > 0, "conflict").when(held > 0, "supported").otherwise("unknown").alias("answer"))
+    if "conflict" in modes:
+        found = pairs(rows, "combined")
+        bare, exact = F.count_if(F.col("diagnosis") != "different_scope"), F.count_if((F.col("diagnosis") == "conflict") & F.col("current"))
+        out = out.join(found.groupBy("coordinate").agg(bare.alias("bare"), exact.alias("exact")), "coordinate", "left")
+    elif "combined" in modes:
+        found = pairs(rows.where(active), "combined").where("diagnosis = 'conflict'")
+        out = out.join(found.groupBy("coordinate").agg(F.count("*").alias("exact")), "coordinate", "left")
+    mode = F.col("mode")
+    out = out.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
+    zero = lambda c: F.coalesce(F.col(c) if c in out.columns else F.lit(0), F.lit(0)).cast("long")
+    held = F.when(mode.isin("temporal", "combined"), zero("n_active")).otherwise(zero("n_all"))
+    bad = F.when(mode == "conflict", zero("bare")).when(mode == "combined", zero("exact")).otherwise(F.lit(0)).cast("long")
+    return out.select("coordinate", "mode", held.alias("n_selected"), bad.alias("n_conflicts"), F.when(bad > 0, "conflict").when(held > 0, "supported").otherwise("unknown").alias("answer"))
 
 
 def timeline(facts: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Assertions and replacements as one list of events with their place in it: kind, ref, recorded_at, place."""
+    """Assertions and replacements of each scope as one list of events with their place in it: kind, ref, recorded_at, place.
+
+    Events are numbered within hours, and each hour starts where the hours before it end. Only the counts of hours are
+    ordered over a whole scope.
+    """
     a = facts.select(F.lit("assertion").alias("kind"), F.col("id").cast("string").alias("ref"), "recorded_at", *SCOPE)
     b = replaced.join(facts.select(F.col("id").alias("old_id"), *SCOPE), "old_id").select(F.lit("replacement").alias("kind"), F.col("id").cast("string").alias("ref"), "recorded_at", *SCOPE)
-    return a.unionByName(b).withColumn("place", F.row_number().over(Window.partitionBy(*SCOPE, F.to_date("recorded_at")).orderBy("recorded_at", "ref")))
+    events = a.unionByName(b).withColumn("__hour", F.date_trunc("hour", "recorded_at"))
+    hours = events.groupBy(*SCOPE, "__hour").agg(F.count("*").alias("__n"))
+    before = hours.select(*SCOPE, "__hour", (F.sum("__n").over(Window.partitionBy(*SCOPE).orderBy("__hour")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*SCOPE, "__hour").orderBy("recorded_at", "ref"))
+    return events.withColumn("__within", within).join(before, [*SCOPE, "__hour"]).select("kind", "ref", "recorded_at", *SCOPE, (F.col("__before") + F.col("__within")).alias("place"))

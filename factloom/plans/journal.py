@@ -42,11 +42,7 @@ def situation_matrix(spark, sf_dir):
     """Answers of all modes at six coordinates."""
     places = [(3 * i + j, at, known) for i, at in enumerate((5, 25)) for j, known in enumerate(("2023-12-31 00:00:00", "2024-01-15 00:00:00", "2024-01-31 00:00:00"))]
     _, _, here, rows = inputs(spark, sf_dir, places)
-    out = None
-    for mode in journal.MODES:
-        part = journal.answers(rows, here, mode)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return journal.answers(rows, here, *journal.MODES)
 
 
 def effective_intervals(spark, sf_dir):
@@ -85,16 +81,16 @@ def replacement_reachability(spark, sf_dir):
     """How many facts the replacements of each replaced fact lead to, along chains of any length."""
     facts = tables.assertions(spark, sf_dir)
     replaced = journal.replacements(tables.proposed_replacements(facts), facts)
-    found = journal.reachable(replaced, replaced.select(F.col("old_id").alias("source"))).where("source <> node")
+    found = journal.closure(replaced).where("source <> node")
     return found.groupBy("source").agg(F.count("*").alias("n_after"), F.max("node").alias("last_node"))
 
 
 def event_timeline(spark, sf_dir):
+    """Every event of the journal with its place in its scope's history."""
     facts = tables.assertions(spark, sf_dir)
     replaced = journal.replacements(tables.proposed_replacements(facts), facts)
-    day = F.to_date("recorded_at")
-    events = journal.timeline(facts, replaced)
-    return events.groupBy("environment", day.alias("day")).agg(F.count_if(F.col("kind") == "assertion").alias("n_assertions"), F.count_if(F.col("kind") == "replacement").alias("n_replacements"), F.max("place").cast("long").alias("last_place"))
+    events = journal.timeline(facts, replaced.withColumn("id", F.concat(F.lit("after-"), F.col("old_id").cast("string"))))
+    return events.select("environment", "kind", "ref", F.col("recorded_at").cast("timestamp_ntz").alias("recorded_at"), "place")
 
 
 def workspace_trace(spark, sf_dir):
@@ -172,9 +168,9 @@ SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "assertion_ids": f"WITH {FACTS_SQL} SELECT id AS event_id, {CANONICAL_SQL} AS id FROM facts",
     "journal_dedup": f"WITH {FACTS_SQL} SELECT id AS event_id, {CANONICAL_SQL} AS id FROM facts WHERE facts.id % 3 <> 0",
     "supersede_validation": f"WITH {FACTS_SQL} SELECT coalesce(refusal, 'accepted') AS outcome, count(*) AS n FROM judged GROUP BY ALL",
-    "replacement_reachability": f"WITH RECURSIVE {FACTS_SQL}, e AS (SELECT r.old_id, r.new_id FROM replaced r JOIN facts ON id = old_id WHERE predicate = 'signature' AND environment = 'env-0'), r AS (SELECT old_id AS source, new_id AS node FROM e UNION SELECT source, new_id FROM r JOIN e ON node = old_id) SELECT source, count(*) AS n_after, max(node) AS last_node FROM r GROUP BY ALL",
-    "event_timeline": f"""WITH {FACTS_SQL}, ev AS (SELECT 'assertion' AS kind, recorded_at FROM facts WHERE environment = 'env-0' UNION ALL SELECT 'replacement', replaced_at FROM replaced JOIN facts ON id = old_id WHERE environment = 'env-0')
-SELECT cast(recorded_at AS date) AS day, count(*) FILTER (kind = 'assertion') AS n_assertions, count(*) FILTER (kind = 'replacement') AS n_replacements, count(*) AS last_place FROM ev GROUP BY ALL""",
+    "replacement_reachability": f"WITH RECURSIVE {FACTS_SQL}, e AS (SELECT r.old_id, r.new_id FROM replaced r JOIN facts ON id = old_id), r AS (SELECT old_id AS source, new_id AS node FROM e UNION SELECT source, new_id FROM r JOIN e ON node = old_id) SELECT source, count(*) AS n_after, max(node) AS last_node FROM r GROUP BY ALL",
+    "event_timeline": f"""WITH {FACTS_SQL}, ev AS (SELECT environment, 'assertion' AS kind, cast(id AS varchar) AS ref, recorded_at FROM facts UNION ALL SELECT environment, 'replacement', 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id)
+SELECT *, row_number() OVER (PARTITION BY environment ORDER BY recorded_at, ref) AS place FROM ev""",
     "workspace_trace": f"""WITH {FACTS_SQL}, ends AS (SELECT old_id, min(effective) AS f, count(*) FILTER (effective <= {AT}) AS n FROM replaced WHERE replaced_at <= timestamp '{KNOWN}' GROUP BY ALL)
 SELECT id, CASE WHEN recorded_at > timestamp '{KNOWN}' THEN 'not_known' WHEN environment <> 'env-0' THEN 'different_environment' WHEN entity <> 'user-7' THEN 'different_entity' WHEN predicate <> 'exists' THEN 'different_predicate'
  WHEN valid_from IS NULL THEN 'unknown_validity' WHEN {AT} < valid_from THEN 'not_yet_valid' WHEN {AT} >= least(valid_to, f) THEN CASE WHEN coalesce(n, 0) > 0 THEN 'superseded' ELSE 'expired' END ELSE 'active' END AS reason

@@ -1,12 +1,13 @@
-"""The journal's write path as a stream: each micro-batch appends what the journal lacks and raises the revision.
+"""The journal on disk: tables of facts, replacements and runs that only grow, and the write path as a stream.
 
 Identity is by content and has no bound in time, so a batch is held against the journal itself, not against a
-watermark. A batch id that is in the journal already is not written again, so a replayed batch changes nothing.
+watermark. A batch that comes again, by a replay or from another stream, finds its rows there and adds nothing; so
+batch numbers never decide what is written. One writer at a time is assumed, as for any plain folder of Parquet files.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,37 +15,51 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from factloom.operators import journal
+from factloom.operators import journal, runs
 
 FACTS = "entity string, predicate string, value_json string, repository string, branch string, environment string, valid_from long, valid_to long, recorded_at timestamp, evidence_json string, negated boolean"
-HELD = f"{FACTS}, id string, batch long"
+PROPOSALS = "old_id string, new_id string, effective long, recorded_at timestamp"
+#: The journal's tables; write is a name of its own for each append.
+TABLES = {"facts": f"{FACTS}, id string, write string", "replacements": f"{PROPOSALS}, id string, write string", "runs": f"{runs.SCHEMA}, write string"}
 
 
-def held(spark: SparkSession, path: str) -> DataFrame:
-    """The journal at path; empty before the first write."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+def held(spark: SparkSession, path: str, table: str = "facts") -> DataFrame:
+    """A table of the journal at path; empty before the first write."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
     there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(HELD).parquet(path) if there else spark.createDataFrame([], HELD)
+    return spark.read.schema(TABLES[table]).parquet(f"{path}/{table}") if there else spark.createDataFrame([], TABLES[table])
 
 
 def revision(spark: SparkSession, path: str) -> int:
-    """How many batches brought something new."""
-    return held(spark, path).select("batch").distinct().count()
+    """How many writes of facts or replacements brought something new."""
+    writes = held(spark, path).select("write").unionByName(held(spark, path, "replacements").select("write"))
+    return writes.distinct().count()
 
 
-def append(batch: DataFrame, number: int, path: str) -> None:
-    """Append the new facts of one batch; all of it fails if one fact is wrong."""
-    spark = batch.sparkSession
-    known = held(spark, path)
-    if not known.where(F.col("batch") == number).isEmpty():
-        return
-    new = journal.fresh(batch, known).withColumn("batch", F.lit(number).cast("long")).select(*[x.split()[0] for x in HELD.split(", ")])
-    new.write.mode("append").parquet(path)
+def added(new: DataFrame, path: str, table: str) -> None:
+    names = [x.split()[0] for x in TABLES[table].split(", ")]
+    new.withColumn("write", F.lit(uuid.uuid4().hex)).select(*names).write.mode("append").parquet(f"{path}/{table}")
+
+
+def append(batch: DataFrame, path: str) -> None:
+    """Append the facts of a batch that the journal lacks; all of it fails if one fact is wrong."""
+    added(journal.fresh(batch, held(batch.sparkSession, path)), path, "facts")
+
+
+def supersede(proposals: DataFrame, path: str) -> None:
+    """Append replacements; all of them fail if one is refused, for a rule or for a cycle with the journal's or the batch's own."""
+    spark = proposals.sparkSession
+    added(journal.superseded(proposals, held(spark, path), held(spark, path, "replacements")), path, "replacements")
+
+
+def save_runs(batch: DataFrame, path: str) -> None:
+    """Append result documents (payload, parent_id) that are not there yet."""
+    added(runs.new_runs(batch, held(batch.sparkSession, path, "runs").select("id", "payload", "parent_id")), path, "runs")
 
 
 def written(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Start the write path for a stream of facts; it ends when what is there has been read."""
-    return stream.writeStream.foreachBatch(lambda df, n: append(df, n, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start the write path for a stream of facts; it ends when what is there has been read. Any number of streams may write one after the other."""
+    return stream.writeStream.foreachBatch(lambda df, _: append(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class OpenMemories(StatefulProcessor):
@@ -74,12 +89,3 @@ class OpenMemories(StatefulProcessor):
 def linked(stream: DataFrame) -> DataFrame:
     """(owner, key, since, until) of points that updates in a stream (owner, key, since, shuts) close, as they come in."""
     return stream.groupBy("owner", "key").transformWithStateInPandas(OpenMemories(), outputStructType="owner string, key string, since timestamp, until timestamp", outputMode="Append", timeMode="None")
-
-
-def run_id(payload: dict) -> str:
-    """The content id of a run document."""
-    import hashlib
-
-    if "run_id" in payload:
-        raise ValueError("a run document does not name itself")
-    return hashlib.sha256(journal.canonical_json(json.dumps(payload)).encode()).hexdigest()

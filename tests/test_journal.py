@@ -142,5 +142,63 @@ def test_stream_appends_what_is_new_and_replays_nothing(spark, tmp_path):
         q.awaitTermination(120)
         assert journal_stream.held(spark, journal_path).count() == 2 + n and journal_stream.revision(spark, journal_path) == 1 + n
         spark.createDataFrame([fact("2"), fact("3")], SCHEMA).write.mode("append").parquet(source)
-    journal_stream.append(spark.createDataFrame([fact("7")], SCHEMA), 0, journal_path)
-    assert journal_stream.held(spark, journal_path).count() == 3
+
+
+def test_two_streams_and_new_checkpoints_lose_nothing(spark, tmp_path):
+    session.ship(spark)
+    path = str(tmp_path / "journal")
+    for n, rows in enumerate(([fact("1"), fact("2")], [fact("3")], [fact("1"), fact("4")])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / f"in{n}"))
+        journal_stream.written(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / f"in{n}")), path, str(tmp_path / f"check{n}")).awaitTermination(120)
+    assert sorted(r.value_json for r in journal_stream.held(spark, path).collect()) == ["1", "2", "3", "4"]
+    assert journal_stream.revision(spark, path) == 3
+    journal_stream.append(spark.createDataFrame([fact("4")], SCHEMA), path)
+    assert journal_stream.revision(spark, path) == 3
+
+
+def test_replacements_and_runs_are_tables_of_the_journal(spark, tmp_path):
+    session.ship(spark)
+    path = str(tmp_path / "journal")
+    journal_stream.append(spark.createDataFrame([fact("1"), fact("2"), fact("3")], SCHEMA), path)
+    ids = {r.value_json: r.id for r in journal_stream.held(spark, path).collect()}
+    ask = lambda *rows: spark.createDataFrame([(ids[a], ids[b], 1, datetime(2024, 5, 2)) for a, b in rows], journal_stream.PROPOSALS)
+    journal_stream.supersede(ask(("1", "2")), path)
+    journal_stream.supersede(ask(("1", "2"), ("2", "3")), path)
+    assert journal_stream.held(spark, path, "replacements").count() == 2 and journal_stream.revision(spark, path) == 3
+    with pytest.raises(Exception, match="cycle"):
+        journal_stream.supersede(ask(("3", "1")), path)
+    assert journal_stream.held(spark, path, "replacements").count() == 2
+    journal_stream.save_runs(spark.createDataFrame([('{"a": 1}', None)], "payload string, parent_id string"), path)
+    assert journal_stream.held(spark, path, "runs").count() == 1
+
+
+def test_a_cycle_within_one_batch_is_refused(spark):
+    known = facts(spark, fact("1"), fact("2"), fact("3"), fact("4"))
+    ids = {r.value_json: r.id for r in known.collect()}
+    asked = [("1", "2"), ("2", "1"), ("3", "4")]
+    rows = spark.createDataFrame([(ids[a], ids[b], 1, datetime(2024, 5, 2)) for a, b in asked], "old_id string, new_id string, effective long, recorded_at timestamp")
+    got = {(r.old_id, r.new_id): r.refusal for r in journal.judged(rows, known, none(spark)).collect()}
+    assert got == {(ids["1"], ids["2"]): "cycle", (ids["2"], ids["1"]): "cycle", (ids["3"], ids["4"]): None}
+
+
+def test_key_order_and_spaces_do_not_change_identity(spark):
+    session.ship(spark)
+    rows = [fact('{"a":1,"b":2}'), fact('{"b": 2, "a": 1}'), fact('{"b": 2,\n"a":1}'), fact('"x"'), fact(' "x" '), fact('"\\u0078"'), fact("1"), fact("1.0"), fact("1\n")]
+    ids = [r.id for r in journal.identified(spark.createDataFrame(rows, SCHEMA).withColumn("n", F.monotonically_increasing_id())).orderBy("n").collect()]
+    assert len(set(ids[:3])) == 1 and len(set(ids[3:6])) == 1 and ids[6] == ids[8] != ids[7]
+    loose = (*fact()[:9], '{ "text": "t", "source": "doc" }', False), (*fact()[:9], '{"source":"doc","text":"t"}', False)
+    assert len({r.id for r in journal.identified(spark.createDataFrame(list(loose), SCHEMA)).collect()}) == 1
+
+
+def test_closure_equals_the_walk_along_edges(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("x", "y"), ("y", "x"), ("x", "b")]
+    table = spark.createDataFrame(edges, "old_id string, new_id string")
+    got = {(r.source, r.node) for r in journal.closure(table).collect()}
+    assert got == {(r.source, r.node) for r in journal.reachable(table, table.select(F.col("old_id").alias("source"))).collect()}
+    assert ("a", "f") in got and ("x", "f") in got and ("x", "x") in got and len(got) == 6 + 5 + 4 + 3 + 2 + 7 + 7
+
+
+def test_places_run_on_through_a_history(spark):
+    known = facts(spark, *[fact(str(n), day=1 + n // 3) for n in range(9)])
+    rows = journal.timeline(known, none(spark)).orderBy("recorded_at", "ref").collect()
+    assert [r.place for r in rows] == list(range(1, 10))
