@@ -1,8 +1,8 @@
 """BM25 over tables of documents and queries, set at a time.
 
-An index is two tables: postings (doc, term, tf) and lengths (doc, len). Queries are exploded to terms, met with the
-postings of those terms only, and each document's contributions are folded in a fixed order, so that equal documents
-get bit-equal scores whatever the partitioning. Scores are rounded before ranking; ties go to the smaller document.
+An index is one table of postings with the lengths of their documents, written once. Queries are exploded to terms and
+met with the postings of those terms only. Sums are rounded before ranking, so that equal documents tie whatever the
+partitioning; where the order of terms matters, contributions are folded in that order. Ties go to the smaller document.
 """
 
 from __future__ import annotations
@@ -17,37 +17,37 @@ PLACES = 6
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, tokens: Callable[[Column], Column], key: str = "doc", text: str = "text") -> DataFrame:
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def indexed(docs: DataFrame, tokens: Callable[[Column], Column], group: list[str] | None = None) -> DataFrame:
+    """The index, written once: (group..., doc, len, term, tf), and one row without a term for a document without tokens."""
+    toks = docs.select(*(group or []), "doc", tokens(F.col("text")).alias("toks"))
+    rows = toks.select(*(group or []), "doc", F.size("toks").cast("long").alias("len"), F.explode_outer("toks").alias("term"))
+    return rows.groupBy(*(group or []), "doc", "len", "term").agg(F.count("*").alias("tf")).checkpoint()
 
 
-def lengths(docs: DataFrame, tokens: Callable[[Column], Column], key: str = "doc", text: str = "text") -> DataFrame:
-    return docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("len"))
+def query_terms(queries: DataFrame, tokens: Callable[[Column], Column], group: list[str] | None = None) -> DataFrame:
+    """query_id, group..., term, qtf, first (the term's first place in the query)."""
+    places = queries.select("query_id", *(group or []), F.posexplode(tokens(F.col("text"))).alias("place", "term"))
+    return places.groupBy("query_id", *(group or []), "term").agg(F.count("*").alias("qtf"), F.min("place").alias("first"))
 
 
-def query_terms(queries: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """query_id, term, qtf, first (the term's first place in the query)."""
-    return queries.select("query_id", F.posexplode(tokens(F.col("text"))).alias("place", "term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.min("place").alias("first"))
-
-
-def contributions(asked: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column], group: list[str] | None = None, number: str = "double") -> DataFrame:
+def contributions(asked: DataFrame, index: DataFrame, group: list[str] | None = None, number: str = "double") -> DataFrame:
     """query_id, doc, term, qtf, first, part: what each query term adds to each document that holds it.
 
-    group: columns that docs and asked share and that split the documents into separate collections with their own
-    statistics. number: the type of the arithmetic, double or float.
+    index: from indexed(). group: columns that index and asked share and that split the documents into separate
+    collections with their own statistics. number: the type of the arithmetic, double or float. How terms and
+    statistics meet the postings is left to the planner, which knows their sizes.
     """
     group = group or []
     n = lambda x: F.lit(x).cast(number)
-    sizes = lengths(docs, tokens, "doc") if not group else docs.select(*group, "doc", F.size(tokens(F.col("text"))).cast("long").alias("len"))
-    held = docs.select(*group, "doc", F.explode(tokens(F.col("text"))).alias("term")).join(asked.select(*group, "term").distinct(), [*group, "term"], "left_semi").groupBy(*group, "doc", "term").agg(F.count("*").alias("tf"))
+    sizes = index.groupBy(*group, "doc").agg(F.max("len").alias("len"))
     whole = sizes.groupBy(*group).agg(F.count("*").alias("total"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
-    df = held.groupBy(*group, "term").agg(F.count("*").alias("df"))
-    rows = held.join(sizes, [*group, "doc"]).join(df, [*group, "term"])
-    rows = rows.join(F.broadcast(whole), group) if group else rows.crossJoin(F.broadcast(whole))
+    df = index.where("term IS NOT NULL").groupBy(*group, "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)).cast(number)
+    terms = asked.join(df, [*group, "term"])
+    terms = (terms.join(whole, group) if group else terms.crossJoin(F.broadcast(whole))).withColumn("idf", idf).drop("df", "total")
     tf = F.col("tf").cast(number)
-    part = idf * (tf * n(2.2)) / (tf + n(K1) * (n(1 - B) + n(B) * (F.col("len").cast(number) / F.col("mean").cast(number))))
-    return asked.join(rows, [*group, "term"]).select("query_id", *group, "doc", "term", "qtf", "first", part.cast(number).alias("part"))
+    part = F.col("idf") * (tf * n(2.2)) / (tf + n(K1) * (n(1 - B) + n(B) * (F.col("len").cast(number) / F.col("mean").cast(number))))
+    return terms.join(index, [*group, "term"]).select("query_id", *group, "doc", "term", "qtf", "first", part.cast(number).alias("part"))
 
 
 def folded(order: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
@@ -56,25 +56,22 @@ def folded(order: str, start: Column, step: Callable[[Column, Column], Column])
 
 
 def bm25(queries: DataFrame, docs: DataFrame, tokens, group: list[str] | None = None) -> DataFrame:
-    """query_id, doc, score of documents with a hit: distinct query terms, added in alphabetical order."""
-    parts = contributions(query_terms_grouped(queries, tokens, group), docs, tokens, group)
-    return parts.groupBy("query_id", *(group or []), "doc").agg(F.round(folded("term", F.lit(0.0), lambda a, x: a + x["part"]), PLACES).alias("score"))
-
-
-def query_terms_grouped(queries: DataFrame, tokens, group: list[str] | None) -> DataFrame:
-    return query_terms(queries, tokens) if not group else query_terms(queries, tokens).join(queries.select("query_id", *group), "query_id")
+    """query_id, doc, score of documents with a hit: the sum over distinct query terms."""
+    parts = contributions(query_terms(queries, tokens, group), indexed(docs, tokens, group), group)
+    return parts.groupBy("query_id", *(group or []), "doc").agg(F.round(F.sum("part"), PLACES).alias("score"))
 
 
 def bm25_float(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
     """Single-precision scores: each term weighs as often as the query has it, added in the order of first appearance."""
-    parts = contributions(query_terms(queries, tokens), docs, tokens, None, "float")
+    parts = contributions(query_terms(queries, tokens), indexed(docs, tokens), None, "float")
     return parts.groupBy("query_id", "doc").agg(folded("first", F.lit(0.0).cast("float"), lambda a, x: (a + x["part"] * x["qtf"].cast("float")).cast("float")).alias("score"))
 
 
 def bm25_boosted(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
     """After each matched term, in the order of first appearance, the running total grows by 5 % for each repeat, two at most."""
     step = lambda a, x: (a + x["part"]) * (1 + 0.05 * F.least(x["qtf"] - 1, F.lit(2)))
-    return contributions(query_terms(queries, tokens), docs, tokens).groupBy("query_id", "doc").agg(F.round(folded("first", F.lit(0.0), step), PLACES).alias("score"))
+    parts = contributions(query_terms(queries, tokens), indexed(docs, tokens))
+    return parts.groupBy("query_id", "doc").agg(F.round(folded("first", F.lit(0.0), step), PLACES).alias("score"))
 
 
 def top(scores: DataFrame, k: int | None, allowed: DataFrame | None = None, by: str = "query_id") -> DataFrame:

@@ -123,7 +123,7 @@ def code_routes(spark, sf_dir, k: int = 5):
 
 QUERIES = {f.__name__: f for f in (code_routes, edge_frequency, callers, callees, graph_degree, orphans, containment, contained_by, innermost_scope, call_targets, fact_endpoints, multi_hop_rank, update_linking, active_memory_topk)}
 
-EDGE_SQL = """item AS (SELECT 'supplier-' || cast(l_suppkey AS varchar) AS src, 'part-' || cast(l_partkey AS varchar) AS dst, l_returnflag <> 'N' AS is_call, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem WHERE l_shipdate >= timestamp '1998-01-01' AND l_shipdate < timestamp '1998-02-01'),
+EDGE_SQL = """item AS (SELECT 'supplier-' || cast(l_suppkey AS varchar) AS src, 'part-' || cast(l_partkey AS varchar) AS dst, l_returnflag <> 'N' AS is_call, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
 e AS (SELECT src, dst, count(*) AS freq, count(*) FILTER (is_call) AS calls, min(place) AS first FROM item GROUP BY ALL)"""
 GEO_SQL = """w AS (SELECT regexp_replace(r_name, '[^A-Za-z0-9]', '_', 'g') AS r, regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g') AS n, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
 k AS (SELECT 'geo/' || r || '#' AS parent, 'geo/' || r || '#' || n || '#' AS child, n_nationkey + 100 AS o FROM w UNION ALL

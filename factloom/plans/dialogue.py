@@ -128,7 +128,7 @@ df AS (SELECT conversation_id, term, count(*) AS df FROM p GROUP BY ALL),
 qt AS (SELECT DISTINCT question_id, conversation_id, unnest(toks) AS term FROM (SELECT question_id, conversation_id, {TERMS} AS toks FROM (SELECT question_id, conversation_id, question AS text FROM q2))),
 parts AS (SELECT question_id, qt.conversation_id, dia_id, term, ln(1 + (total - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (len(toks) / mean))) AS part
  FROM qt JOIN p USING (conversation_id, term) JOIN df USING (conversation_id, term) JOIN d USING (conversation_id, dia_id) JOIN w USING (conversation_id)),
-sc AS (SELECT question_id, conversation_id, dia_id, round(list_reduce(list_prepend(0::double, list(part ORDER BY term)), lambda a, x: a + x), 6) AS raw FROM parts GROUP BY ALL),
+sc AS (SELECT question_id, conversation_id, dia_id, round(sum(part), 6) AS raw FROM parts GROUP BY ALL),
 facts AS (SELECT question_id, sc.dia_id, bool_or(CASE subject WHEN 'Anna' THEN anna WHEN 'Ben' THEN ben END) AS has, count(sentence) AS n_ev, bool_or(NOT anna AND NOT ben) FILTER (sentence IS NOT NULL) AS open_ev,
  bool_or({bears} AND f <= (qf + interval 1 month)::date - 1 AND qf <= CASE p WHEN 'day' THEN f ELSE (f + interval 1 month)::date - 1 END) AS over_
  FROM sc JOIN q2 USING (question_id) LEFT JOIN named ON named.conversation_id = sc.conversation_id AND named.dia_id = sc.dia_id GROUP BY ALL),

@@ -146,7 +146,7 @@ IRREGULAR = " ".join(f"WHEN w = '{a}' THEN '{b}'" for a, b in fx.IRREGULAR.items
 TOKENS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ({STOP}))"
 TERMS = f"list_transform(list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+'), lambda w: w NOT IN ({STOP1})), lambda w: CASE {IRREGULAR} WHEN length(w) > 5 AND w LIKE '%ing' THEN left(w, length(w) - 3) WHEN length(w) > 4 AND w LIKE '%ed' THEN left(w, length(w) - 2) WHEN length(w) > 4 AND w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END)"
 WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
-QUERY = f"SELECT item_id AS query_id, array_to_string(({TOKENS})[1:12], ' ') AS text FROM benchmark"
+QUERY = "SELECT item_id AS query_id, text FROM benchmark"
 
 
 def parts_sql(name: str, tokens: str, number: str = "double", queries: str = QUERY, docs: str = "SELECT doc_id AS doc, text FROM documents") -> str:
@@ -163,14 +163,14 @@ def parts_sql(name: str, tokens: str, number: str = "double", queries: str = QUE
 
 
 BOOST = parts_sql("b", TOKENS) + ", boosted AS (SELECT query_id, doc, round(list_reduce(list_prepend({'part': 0::double, 'qtf': 1::bigint}, list({'part': part, 'qtf': qtf} ORDER BY first)), lambda a, x: {'part': (a.part + x.part) * (1 + 0.05::double * least(x.qtf - 1, 2)), 'qtf': 1::bigint}).part, 6) AS score FROM b GROUP BY ALL)"
-PLAIN = parts_sql("s", TERMS) + ", plain AS (SELECT query_id, doc, round(list_reduce(list_prepend(0::double, list(part ORDER BY term)), lambda a, x: a + x), 6) AS score FROM s GROUP BY ALL)"
+PLAIN = parts_sql("s", TERMS) + ", plain AS (SELECT query_id, doc, round(sum(part), 6) AS score FROM s GROUP BY ALL)"
 
 
-def ranked(source: str, k: int, name: str) -> str:
-    return f"{name} AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS integer) AS rank, doc, score FROM {source} QUALIFY rank <= {k})"
+def ranked(source: str, k: int | None, name: str) -> str:
+    return f"{name} AS (SELECT query_id, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS integer) AS rank, doc, score FROM {source} {f'QUALIFY rank <= {k}' if k else ''})"
 
 
-FUSE = f"{BOOST}, {PLAIN}, {ranked('boosted', 30, 'ra')}, {ranked('plain', 30, 'rb')}, fu AS (SELECT query_id, doc, round(list_reduce(list_prepend(0::double, list(p ORDER BY c)), lambda a, x: a + x), 9) AS score FROM (SELECT query_id, doc, 0 AS c, 1::double / (60 + rank) AS p FROM ra UNION ALL SELECT query_id, doc, 1, 0.5::double / (60 + rank) FROM rb) GROUP BY ALL)"
+FUSE = f"{BOOST}, {PLAIN}, {ranked('boosted', None, 'ra')}, {ranked('plain', None, 'rb')}, fu AS (SELECT query_id, doc, round(list_reduce(list_prepend(0::double, list(p ORDER BY c)), lambda a, x: a + x), 9) AS score FROM (SELECT query_id, doc, 0 AS c, 1::double / (60 + rank) AS p FROM ra UNION ALL SELECT query_id, doc, 1, 0.5::double / (60 + rank) FROM rb) GROUP BY ALL)"
 GRADED = f"""{BOOST}, {PLAIN}, {ranked('boosted', 5, 'ra')}, {ranked('plain', 5, 'rb')},
 runs AS (SELECT *, 'boosted' AS profile FROM ra UNION ALL SELECT *, 'plain' FROM rb), ids AS (SELECT query_id, profile, list(doc ORDER BY rank) AS ids FROM runs GROUP BY ALL),
 gold AS (SELECT query_id, list(doc ORDER BY doc) AS gold FROM ra WHERE rank <= 3 AND doc IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),

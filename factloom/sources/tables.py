@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fx
@@ -88,8 +88,8 @@ QUESTIONS_SQL = """
 questions AS (
  SELECT cast(conversation_id AS varchar) || '/' || dia_id AS question_id, conversation_id,
   CASE WHEN pos % 3 = 0 THEN 'When did Anna meet ' WHEN pos % 3 = 1 THEN 'What did Ben say about ' ELSE 'In ' || strftime(session_date, '%B %Y') || ' what was ' END
-  || array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:6], ' ') || '?' AS question
- FROM turns WHERE session <= 2)"""
+  || array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ') || '?' AS question
+ FROM turns)"""
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +114,3 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers refer to parts: src, dst, is_call and the place of each line item."""
     item = table(spark, sf_dir, "lineitem")
     return item.select(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("dst"), (F.col("l_returnflag") != "N").alias("is_call"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
-
-
-def col_or(name: str, other: Column) -> Column:
-    return F.coalesce(F.col(name), other)
