@@ -37,8 +37,8 @@ FILTERS = {"explicit": "form IN (0, 1, 3)", "month": "form = 2", "relative": "fo
 
 def inputs(spark, sf_dir):
     turns = tables.turns(spark, sf_dir)
-    eps = dialogue.episodes(turns)
-    return eps, dialogue.asked(tables.questions(spark, sf_dir), eps)
+    eps = dialogue.episodes(turns).checkpoint()
+    return eps, dialogue.asked(tables.questions(spark, sf_dir), eps).checkpoint()
 
 
 def sentence_events(spark, sf_dir):
@@ -65,7 +65,7 @@ def search(profile):
 
 def date_reader(spark, sf_dir):
     eps, q = inputs(spark, sf_dir)
-    return dialogue.date_answers(q, dialogue.searched(q, eps, "guarded"))
+    return dialogue.date_answers(q, dialogue.guarded(q, eps))
 
 
 def route(name, profile):
@@ -79,7 +79,7 @@ def route(name, profile):
 
 def rrf_weighted_context(spark, sf_dir):
     eps, q = inputs(spark, sf_dir)
-    return dialogue.fused_context(q, eps, dialogue.POLICIES["context_rrf"]).select("question_id", "rank", "dia_id", "score")
+    return dialogue.fused_context(q, eps, dialogue.settings("context_rrf")).select("question_id", "rank", "dia_id", "score")
 
 
 def inventory_statistics(spark, sf_dir):

@@ -9,11 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: dict[str, str] = {}
+#: Rows and bytes of an Arrow batch that goes to a Python worker: texts are long, so batches are smaller than by default.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application, and bound Arrow batches where the session's own settings do not."""
     context = spark.sparkContext
+    for key, value in BATCH.items():
+        if not context.getConf().contains(key):
+            spark.conf.set(key, value)
     if context.applicationId not in _sent:
         root = Path(__file__).resolve().parent
         held = tempfile.mkdtemp(prefix="spark-package-")

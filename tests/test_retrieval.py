@@ -53,14 +53,25 @@ def test_paths_and_ids(spark):
         ("next week", date(2024, 1, 3), date(2024, 1, 8), date(2024, 1, 14), "calendar_week_assumption"),
     ],
 )
-def test_dates(text, ref, first, last, precision):
-    got = dates.times_in(text, ref)
+def test_dates(spark, text, ref, first, last, precision):
+    got = spans(spark, text, ref)
     assert [(g["first"], g["last"], g["precision"]) for g in got] == [(first, last, precision)]
 
 
-def test_dates_that_are_none():
-    assert dates.times_in("30 February 2024", None)[0]["precision"] == "month"
-    assert dates.times_in("May 0000, yesterday, 300 days ago", None) == [] and dates.times_in(None, None) == [] and dates.times_in("300 days ago", date(2024, 1, 1)) == []
+def spans(spark, text, ref):
+    row = spark.createDataFrame([(text, ref)], "t string, d date")
+    return row.select((dates.times("t", "d") if ref else dates.explicit_times(F.col("t"))).alias("s")).first().s
+
+
+def test_dates_that_are_none(spark):
+    assert spans(spark, "30 February 2024", None)[0]["precision"] == "month"
+    assert spans(spark, "May 0000, yesterday, 300 days ago", None) == [] and spans(spark, None, None) == [] and spans(spark, "300 days ago", date(2024, 1, 1)) == []
+
+
+def test_earlier_rules_claim_their_places(spark):
+    got = spans(spark, "Yesterday, on 5 May 2023 and in May 2024, two weeks ago in 1999, the day after tomorrow", date(2024, 6, 1))
+    assert [(g.expression, g.rule) for g in got] == [("Yesterday", "relative_day"), ("5 May 2023", "explicit_date"), ("May 2024", "explicit_month"), ("two weeks ago", "relative_ago"), ("1999", "explicit_year"), ("the day after tomorrow", "compound_relative_day")]
+    assert [g.offset for g in got] == [0, 14, 32, 42, 59, 65] and got[0].first == date(2024, 5, 31)
 
 
 def talk(spark, *lines):
@@ -87,7 +98,7 @@ def test_plans_reports_and_subjects(spark):
 def test_bridge_follows_a_question_to_its_response(spark):
     turns = talk(spark, (1, 1, "Ann", "Bob, where did you adopt the puppy?"), (1, 2, "Bob", "From a shelter near the old harbour."), (1, 3, "Ann", "Lovely weather today."), (2, 1, "Bob", "The puppy sleeps."))
     eps = dialogue.episodes(turns).cache()
-    got = dialogue.bridged(ask(spark, eps, "Where did Bob adopt the puppy?"), eps, dialogue.Policy(preserve=1, bridge=True)).orderBy("rank").collect()
+    got = dialogue.bridged(ask(spark, eps, "Where did Bob adopt the puppy?"), eps, dialogue.settings("answer_bridge") | {"kept": 1}).orderBy("rank").collect()
     assert "D1:2" in [r.dia_id for r in got if r.tier == 1]
 
 
@@ -99,7 +110,7 @@ def test_date_reader_and_calendar(spark):
     q = ask(spark, eps, "When did Ann sing a song?")
     assert dialogue.date_answers(q, dialogue.searched(q, eps, "guarded")).first().reason == "non_day_or_ambiguous_time"
     q = ask(spark, eps, "What happened to Ann in June 2023 with jewels?")
-    assert "D2:1" in [r.dia_id for r in dialogue.rescued(q, eps, dialogue.POLICIES["calendar_unique"]).collect()]
+    assert "D2:1" in [r.dia_id for r in dialogue.rescued(q, eps, dialogue.settings("calendar_unique")).collect()]
 
 
 def test_employment_history(spark):
