@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +20,7 @@ def prepared(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         session.ship(spark)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        session.shared_folder(spark)
         return query(spark, sf_dir)
 
     return run

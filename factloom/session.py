@@ -24,3 +24,20 @@ def ship(spark: SparkSession) -> None:
         held = tempfile.mkdtemp(prefix="spark-package-")
         context.addPyFile(shutil.make_archive(f"{held}/{root.name}_package", "zip", root.parent, root.name))
         _sent[context.applicationId] = held
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that was set before.
+
+    Where neither is set, one below the warehouse is set, and a temporary one only if all runs on this machine.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        here = context.master == "local" or context.master.startswith("local[")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
