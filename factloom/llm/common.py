@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -11,28 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: The most frequent values of a label that a sample is drawn for.
+MOST_LABELS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,9 +35,10 @@ def remainder(column: str, n: int) -> Column:
 def bounded_sample(rows: DataFrame, counts: DataFrame, key: str, label: str, cap: int) -> DataFrame:
     """Rows of each label whose key hashes below cap / count: about cap rows of each label, the same ones in every run.
 
-    counts: the rows that are counted, usually rows without the wide columns. Labels are a closed set.
+    counts: the rows that are counted, usually rows without the wide columns. Of more than MOST_LABELS labels the most frequent ones are drawn.
     """
-    sizes = {r[0]: r[1] for r in counts.groupBy(label).count().collect() if r[0] is not None}
+    most = counts.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LABELS)
+    sizes = {r[0]: r[1] for r in most.collect()}
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30))
     keep = F.lit(False)
     for value, n in sorted(sizes.items()):

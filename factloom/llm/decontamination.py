@@ -22,6 +22,8 @@ from . import common, textkernel
 #: Words in the shortest tile, share of an item that tiles must cover, characters of the benchmark that are broadcast at once.
 TILE, COVERAGE, BLOCK_CHARS = 5, 0.5, 1 << 25
 FILTER_BITS = 20
+#: Pairs of a text's seed and an item's place that are held at once (about).
+ENTRIES = 1 << 20
 
 
 class Seeds:
@@ -38,32 +40,60 @@ class Seeds:
         self.hashes, self.item, self.at = hashes[order], item[order], order - edges[item[order]]
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.hashes >> np.uint64(64 - FILTER_BITS)] = True
+        # entries of one hash lie in the order of items, so hash and item together are sorted
+        first = np.concatenate([[True], self.hashes[1:] != self.hashes[:-1]]) if len(self.hashes) else np.zeros(0, dtype=bool)
+        self.rank = np.cumsum(first) - 1
+        self.key = self.rank * len(items) + self.item
 
     def tilings(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text (item_id, coverage, tiles, longest tile) of the items that share a seed with it, in the items' order."""
+        """For each text (item_id, coverage, tiles, longest tile) of the items that share a seed with it, in the items' order.
+
+        Seeds and entries of the benchmark are met for so many texts, or items of one text, at a time that about ENTRIES
+        pairs are held; a seed that many items share costs passes, not memory.
+        """
         out: list[list[tuple]] = [[] for _ in texts]
         for first, last in textkernel.blocks(texts):
             words, edges = textkernel.word_hashes(texts[first:last])
             hashes = textkernel.windows(words, TILE)
             seen = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
             low = np.searchsorted(self.hashes, hashes[seen], side="left")
-            high = np.searchsorted(self.hashes, hashes[seen], side="right")
+            n = np.searchsorted(self.hashes, hashes[seen], side="right") - low
             doc = np.searchsorted(edges, seen, side="right") - 1
-            real = (high > low) & (seen + TILE <= edges[doc + 1])
-            seen, low, n, doc = seen[real], low[real], (high - low)[real], doc[real]
-            if not len(seen):
+            real = (n > 0) & (seen + TILE <= edges[doc + 1])
+            seen, low, n, doc = seen[real], low[real], n[real], doc[real]
+            ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc)) if len(doc) else []
+            at = held = 0
+            start = 0
+            for end in ends:
+                more = int(n[at:end].sum())
+                if held and held + more > ENTRIES:
+                    self.met(out, first, edges, seen[start:at], low[start:at], n[start:at], doc[start:at])
+                    start, held = at, 0
+                at, held = end, held + more
+            if at > start:
+                self.met(out, first, edges, seen[start:at], low[start:at], n[start:at], doc[start:at])
+        return out
+
+    def met(self, out, first: int, edges: np.ndarray, seen: np.ndarray, low: np.ndarray, n: np.ndarray, doc: np.ndarray) -> None:
+        """Put the tilings of some texts, given by their seeds, into out; by ranges of items where one text has too many pairs."""
+        parts = max(1, -(-int(n.sum()) // (2 * ENTRIES)))
+        bounds = np.linspace(0, len(self.ids), min(parts, len(self.ids)) + 1).astype(np.int64)
+        rank = self.rank[low] * len(self.ids)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            here, many = (low, n) if len(bounds) == 2 else (np.searchsorted(self.key, rank + a), np.searchsorted(self.key, rank + b) - np.searchsorted(self.key, rank + a))
+            total = int(many.sum())
+            if not total:
                 continue
-            entry = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            doc, place = np.repeat(doc, n), np.repeat(seen, n)
+            entry = np.repeat(here - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
+            docs, place = np.repeat(doc, many), np.repeat(seen, many)
             item, at = self.item[entry], self.at[entry]
-            order = np.lexsort((place, place - at, item, doc))
-            doc, item, place, at = doc[order], item[order], place[order], at[order]
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-            for a, b in zip(new, [*new[1:], len(doc)], strict=True):
-                size = int(self.sizes[item[a]])
-                tiles = tiled(place[a:b] - edges[doc[a]], at[a:b], size)
-                out[first + doc[a]].append((self.ids[item[a]], sum(tiles) / size, len(tiles), max(tiles)))
-        return out
+            order = np.lexsort((place, place - at, item, docs))
+            docs, item, place, at = docs[order], item[order], place[order], at[order]
+            new = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (item[1:] != item[:-1])]))
+            for i, j in zip(new, [*new[1:], len(docs)], strict=True):
+                size = int(self.sizes[item[i]])
+                tiles = tiled(place[i:j] - edges[docs[i]], at[i:j], size)
+                out[first + docs[i]].append((self.ids[item[i]], sum(tiles) / size, len(tiles), max(tiles)))
 
 
 def tiled(place: np.ndarray, at: np.ndarray, size: int) -> list[int]:
@@ -93,14 +123,14 @@ def tiled(place: np.ndarray, at: np.ndarray, size: int) -> list[int]:
 
 
 def seed_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS):
-    """A broadcast Seeds for each block of the benchmark of about chars characters."""
+    """(number of blocks, a broadcast Seeds) for each block of the benchmark of about chars characters."""
     spark = benchmark.sparkSession
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // chars))
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else rows
-        yield spark.sparkContext.broadcast(Seeds(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+        yield n, spark.sparkContext.broadcast(Seeds(sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -110,8 +140,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE)
     words, never match. Repeated rows give repeated results.
     """
     found = None
-    for sent in seed_blocks(benchmark):
+    for n, sent in seed_blocks(benchmark):
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(finder(sent, coverage), "doc_id long, item_id long, coverage double, tiles int, longest int")
+        if n > 1:  # one block's broadcast at a time
+            part = common.written(part, "tilings")
+            sent.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -135,11 +168,14 @@ def most_covered(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
         return lambda: lambda texts: (np.array([max((h[1] for h in hits), default=0.0) for hits in sent.value.tilings(texts)], dtype=np.float64),)
 
     out = None
-    for sent in seed_blocks(benchmark):
+    for n, sent in seed_blocks(benchmark):
         if out is None:
             out = common.appended(docs, text, maker(sent), [common.double("coverage")])
         else:
             out = common.appended(out.withColumnRenamed("coverage", "__before"), text, maker(sent), [common.double("coverage")]).withColumn("coverage", F.greatest("coverage", "__before")).drop("__before")
+        if n > 1:
+            out = common.written(out, "coverage")
+            sent.unpersist()
     return out
 
 

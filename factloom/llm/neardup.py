@@ -1,6 +1,6 @@
 """Near-duplicates by ProbMinHash over weighted five-word shingles, banding and exact verification.
 
-Equal texts are collapsed first. A text's shingles, weighted by 1 + ln(count), are elements of a Poisson process each:
+Equal texts are collapsed; a task signs what it meets again only once. A text's shingles, weighted by 1 + ln(count), are elements of a Poisson process each:
 arrivals come at the rate of the weight and hit a random register; a register keeps the element that hit it first, and
 an element stops once its next arrival is later than every register's. Two texts agree in a register with their
 probability Jaccard similarity. Texts that agree in all registers of a band are candidates.
@@ -31,6 +31,8 @@ WORDS, SIMILAR, BANDS, ROWS = 5, 0.8, 30, 5
 #: Rounds with one centre for each bucket; members of a bucket in a block.
 STAR_ROUNDS, BLOCK = 1, 768
 REGISTERS = BANDS * ROWS
+#: Signed texts that a task remembers; parts that a bucket's members are dealt to when they learn their bucket's number of blocks.
+SIGNED, SALTS = 20_000, 16
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +115,20 @@ def signed(texts: DataFrame) -> DataFrame:
     """texts (doc_id, digest, text) with n, its different shingles, and bands, an array of keys that is empty for a text without words, instead of the text."""
 
     def run(batches):
+        known: dict[bytes, tuple[np.ndarray, int]] = {}  # texts that were met in this task are not signed again
         for batch in batches:
-            full = batch.column(2).to_pylist()
-            for first, last in textkernel.blocks(full):
-                keys, n = keyed(full[first:last])
-                held = [len(k) for k in keys]
-                flat = np.concatenate(keys)
-                held_n = pa.array(n.astype(np.int64))
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(flat))
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), held_n, bands], names=["doc_id", "digest", "n", "bands"])
+            full, digests = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            new = list({d: i for i, d in enumerate(digests) if d not in known}.values())
+            texts_ = [full[i] for i in new]
+            for first, last in textkernel.blocks(texts_):
+                for i, key, n in zip(new[first:last], *keyed(texts_[first:last]), strict=True):
+                    known[digests[i]] = key, int(n)
+            keys = [known[d][0] for d in digests]
+            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([known[d][1] for d in digests], pa.int64()), bands], names=["doc_id", "digest", "n", "bands"])
+            if len(known) > SIGNED:
+                known.clear()
 
     return texts.mapInArrow(run, "doc_id long, digest binary, n long, bands array<long>")
 
@@ -186,7 +192,9 @@ def links_in_blocks(known: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that join components, from all pairs of members of a bucket, block by block."""
     blocks = known.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = known.join(blocks, "bucket").select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    salted = known.withColumn("salt", F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(SALTS)).cast("int"))
+    blocks = blocks.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    spread = salted.join(blocks, ["bucket", "salt"]).select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "own")
     return keyed.join(texts, "node").select("bucket", "i", "j", "node", "component", "own", "text").groupBy("bucket", "i", "j").applyInArrow(joined_block, "a long, b long")
 

@@ -190,9 +190,11 @@ def masked_kind(docs: DataFrame, text: str, kind: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the digest columns: scores, of every span in the order of spans, in hundredths."""
     found = detected(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     counts = [F.size(f"spans_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:BASE]]
-    return found.select("doc_id", *counts, F.sha2(joined(KINDS[:BASE]), 256).alias("base_sha256"), joined(KINDS).alias("spans"))
+    scores = F.concat(*[F.transform(f"spans_{k}", lambda s: F.round(s["score"] * 100).cast("int").cast("string")) for k in KINDS])
+    return found.select("doc_id", *counts, F.sha2(joined(KINDS[:BASE]), 256).alias("base_sha256"), joined(KINDS).alias("spans"), F.array_join(scores, ",").alias("scores"))
 
 
 def op8_sql() -> str:
@@ -217,7 +219,9 @@ def op8_sql() -> str:
         start = f"(coalesce(list_sum(list_slice(l_{k}, 1, i - 1)), 0) + length(g_{k}[i]))"
         said = f"'{k}:' || cast({start} AS bigint) || ':' || cast({start} + length(h_{k}[i]) AS bigint)"
         ok = test[k].replace("h,", f"h_{k}[i],").replace("(h)", f"(h_{k}[i])")
-        parts.append((lens, f"list_transform(list_filter(range(1, len(h_{k}) + 1), lambda i: {keep} AND {ok}), lambda i: {said}) AS s_{k}"))
+        able = f"list_filter(range(1, len(h_{k}) + 1), lambda i: {keep} AND {ok})"
+        score = f"CASE WHEN {near} THEN '{round(SCORE[k][1] * 100)}' ELSE '{round(SCORE[k][0] * 100)}' END"
+        parts.append((lens, f"list_transform({able}, lambda i: {said}) AS s_{k}, list_transform({able}, lambda i: {score}) AS p_{k}"))
     lens = ", ".join(f"{p[0]} AS l_{k}" for k, p in zip(KINDS, parts, strict=True))
     counts = ", ".join(f"cast(len(s_{k}) AS bigint) AS n_{k}" for k in KINDS[:BASE])
     base, every = (" || ".join(f"s_{k}" for k in kinds) for kinds in (KINDS[:BASE], KINDS))
@@ -226,5 +230,5 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 h AS (SELECT doc_id, {hits} FROM d),
 l AS (SELECT *, {lens} FROM h),
 s AS (SELECT doc_id, {', '.join(p[1] for p in parts)} FROM l)
-SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, array_to_string({every}, ',') AS spans FROM s
+SELECT doc_id, {counts}, sha256(array_to_string({base}, ',')) AS base_sha256, array_to_string({every}, ',') AS spans, array_to_string({' || '.join(f"p_{k}" for k in KINDS)}, ',') AS scores FROM s
 """

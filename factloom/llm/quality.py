@@ -21,9 +21,12 @@ from . import common, labelled, textkernel
 
 #: Labelled documents of each label (about), latent dimensions, neighbours that vote, documents in a block.
 PER_LABEL, RANK, NEIGHBOURS, ROWS = 900, 48, 15, 256
-#: Classes of characters; trigrams of classes are the terms. Bins of each document statistic are terms as well.
-CLASSES, STATS, BINS, STAT_WEIGHT = 16, 6, 8, 2.0
-TERMS = CLASSES**3 + STATS * BINS
+#: Terms are hashed words, trigrams of classes of characters, and bins of document statistics: buckets of words, classes, statistics, bins.
+WORDS, CLASSES, STATS, BINS = 1 << 13, 16, 6, 8
+SHAPES = WORDS + CLASSES**3
+TERMS = SHAPES + STATS * BINS
+#: Length of a document's vector of words, of shapes and of statistics.
+WEIGHTS = (1.0, 1.0, 1.0)
 
 
 @cache
@@ -38,7 +41,7 @@ def char_class() -> np.ndarray:
 
 
 def statistics(text: str) -> np.ndarray:
-    """Shares in 0..1: different words, repeated neighbours, different lines, letters, word length, longest line."""
+    """Shares in 0..1: different words, repeated neighbours, different lines, words of letters only, word length, lines to words."""
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
     n = max(len(words), 1)
     again = sum(map(eq, words, words[1:]))
@@ -46,22 +49,37 @@ def statistics(text: str) -> np.ndarray:
     return np.array([len(set(words)) / n, again / n, len(set(lines)) / max(len(lines), 1), sum(map(str.isalpha, words)) / n, min(length / 16, 1.0), min(len(lines) / n, 1.0)])
 
 
+def scaled(counts: np.ndarray, weight: float) -> np.ndarray:
+    """Sublinear counts as a vector of the given length."""
+    out = np.log1p(counts)
+    return out * (weight / max(float(np.linalg.norm(out)), 1e-9))
+
+
 def term_weights(text: str) -> np.ndarray:
-    """Sublinear counts of the class trigrams of the whole text, then linear interpolation between the statistics' bins."""
+    """Sublinear counts of the words and of the class trigrams of the whole text, then linear interpolation between the statistics' bins."""
     c = char_class()[textkernel.codes(text)]
     out = np.zeros(TERMS, dtype=np.float32)
+    words = textkernel.word_hashes([text])[0]
+    if len(words):
+        out[:WORDS] = scaled(np.bincount((words >> np.uint64(64 - 13)).astype(np.int64), minlength=WORDS), WEIGHTS[0])
     if len(c) > 2:
         grams = (c[:-2] * np.uint16(CLASSES * CLASSES) + c[1:-1] * np.uint16(CLASSES) + c[2:]).astype(np.int64)
-        out[: CLASSES**3] = np.log1p(np.bincount(grams, minlength=CLASSES**3))
-        out /= max(float(np.linalg.norm(out)), 1e-9)
+        out[WORDS:SHAPES] = scaled(np.bincount(grams, minlength=CLASSES**3), WEIGHTS[1])
     place = statistics(text) * (BINS - 1)
     low = np.minimum(place.astype(int), BINS - 2)
-    base = CLASSES**3 + np.arange(STATS) * BINS
-    out[base + low] = (1 - (place - low)) / STATS**0.5 * STAT_WEIGHT
-    out[base + low + 1] = (place - low) / STATS**0.5 * STAT_WEIGHT
+    base = SHAPES + np.arange(STATS) * BINS
+    out[base + low] = (1 - (place - low)) / STATS**0.5 * WEIGHTS[2]
+    out[base + low + 1] = (place - low) / STATS**0.5 * WEIGHTS[2]
     return out
 
 
+def projected(text: str, projection: np.ndarray) -> np.ndarray:
+    """A text's place in the latent space; only terms that it has are multiplied."""
+    weights = term_weights(text)
+    at = np.flatnonzero(weights)
+    return weights[at] @ projection[at]
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -80,22 +98,22 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     if got.num_rows == 0:
         return None
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    x = np.zeros((got.num_rows, TERMS))
+    x = np.zeros((got.num_rows, TERMS), dtype=np.float32)
     for i, (at, value) in enumerate(zip(got["at"].to_pylist(), got["value"].to_pylist(), strict=True)):
         x[i, np.frombuffer(at, dtype=np.int32)] = np.frombuffer(value, dtype=np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
     x *= idf
-    size, left = np.linalg.eigh(x @ x.T)
+    size, left = np.linalg.eigh((x @ x.T).astype(np.float64))
     keep = np.argsort(size)[::-1][:RANK]
     keep = keep[size[keep] > 1e-9 * max(size.max(), 1e-30)]
-    projection = (idf[:, None] * (x.T @ left[:, keep]) / np.sqrt(size[keep])).astype(np.float32)
-    return projection, unit((x / idf).astype(np.float32) @ projection), got["label"].to_numpy().astype(np.float32)
+    axes = x.T @ (left[:, keep] / np.sqrt(size[keep])).astype(np.float32)
+    return idf[:, None] * axes, unit(x @ axes), got["label"].to_numpy().astype(np.float32)
 
 
 def scored(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
     """docs with score, the similarity-weighted share of label 1 among the nearest labelled vectors, and predicted (score >= 0.5).
 
-    Null texts and texts without a word get 0.0, as do all texts when nothing was labelled. Where no neighbour has a
+    Null texts and texts of nothing but white space get 0.0, as do all texts when nothing was labelled. Where no neighbour has a
     positive similarity, the share of label 1 in the sample is the score. Whole texts are read. Other columns pass through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -109,7 +127,7 @@ def scored(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFram
             for first in range(0, len(full), ROWS):
                 rows = full[first : first + ROWS]
                 projection, known, label = fitted
-                latent = unit(np.stack([term_weights(texts[i]) for i in rows]) @ projection)
+                latent = unit(np.stack([projected(texts[i], projection) for i in rows]))
                 near = latent @ known.T
                 k = min(NEIGHBOURS, len(label))
                 top = np.argpartition(near, -k, axis=1)[:, -k:]

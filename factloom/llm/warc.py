@@ -1,9 +1,11 @@
 """WARC archives written and read by Spark, and their capture index merged into global order.
 
-Each task writes one archive of gzip members into the shared folder; its captures, sorted by URL key and time, are one
-run of the index. The index is range-partitioned by (URL key, time, record); within a partition the runs that meet
-there are merged by a k-way loser tree, so that partitions read one after the other give all captures of each URL in
-order of time. Ranges also split the captures of one URL, so a hot host or URL is spread over partitions.
+Each task writes archives of gzip members into the shared folder; an archive's captures, sorted by URL key and time, are
+one run of the index. The runs are written once, outside the archives. Spark then deals them into ranges of (URL key,
+time, record) of a bounded number of captures each; within a range the runs that meet there are merged by a k-way loser
+tree whose cursors unpack a block of a run at a time, and ranges read one after the other give all captures of each URL
+in order of time. Ranges also split the captures of one URL, so a hot host or URL is spread over tasks; places in a
+URL's history are counted within ranges and then shifted by the counts of the ranges before.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import session
 from . import common
 
 #: Payloads shorter than this are never revisits; an archive is closed when it has this many bytes.
 LEAST_BYTES, ARCHIVE_BYTES = 100, 32 << 20
+#: Captures in a range of the merged index (about), and rows of a run that a cursor unpacks at a time.
+RANGE_ROWS, CURSOR_ROWS = 50_000, 1024
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 #: A capture in the index.
 INDEX = "url_key string, capture_ts string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, archive string, offset long, length long, run string"
@@ -131,19 +136,23 @@ INDEX_KINDS = [pa.int64() if x.endswith(" long") else pa.string() for x in INDEX
 
 
 class LoserTree:
-    """Merge of k sorted lists: inner nodes hold the loser of their match, the root the winner; a step replays one path."""
+    """Merge of k sorted runs: inner nodes hold the loser of their match, the root the winner; a step replays one path.
 
-    def __init__(self, runs: list[list]):
-        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
+    runs are iterators; of each, one entry is held.
+    """
+
+    def __init__(self, runs: list):
+        self.runs, self.k = [iter(r) for r in runs], len(runs)
+        self.head = [next(r, None) for r in self.runs]
         self.tree = [-1] * max(self.k, 1)
         for i in range(self.k):
             self.replay(i)
 
     def beats(self, a: int, b: int) -> bool:
         """Whether run a's head comes before run b's; an exhausted run comes last."""
-        if self.at[a] >= len(self.runs[a]):
+        if self.head[a] is None:
             return False
-        return self.at[b] >= len(self.runs[b]) or (self.runs[a][self.at[a]], a) < (self.runs[b][self.at[b]], b)
+        return self.head[b] is None or (self.head[a], a) < (self.head[b], b)
 
     def replay(self, i: int) -> None:
         node = (i + self.k) // 2
@@ -159,40 +168,77 @@ class LoserTree:
     def __iter__(self):
         while self.k:
             i = self.tree[0]
-            if self.at[i] >= len(self.runs[i]):
+            if self.head[i] is None:
                 return
-            yield self.runs[i][self.at[i]]
-            self.at[i] += 1
+            yield self.head[i]
+            self.head[i] = next(self.runs[i], None)
             self.replay(i)
 
 
-def merged(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """index in global order of (URL key, time, record): ranges across partitions, loser-tree merges of runs within them.
+def cursor(parts: list[pa.RecordBatch], keys: tuple[int, ...], number: int):
+    """Keys of a run's entries with where they are, (key..., run number, part, row); a block of rows is unpacked at a time."""
+    for p, part in enumerate(parts):
+        for at in range(0, part.num_rows, CURSOR_ROWS):
+            block = part.slice(at, CURSOR_ROWS)
+            for i, key in enumerate(zip(*(block.column(k).to_pylist() for k in keys), strict=True)):
+                yield (*key, number, p, at + i)
+
+
+HISTORY = f"{INDEX}, range int, within long"
+
 
-    Equal captures stay as often as they are there. Nothing is held but one range's index entries.
+def merged(index: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """index in global order of (URL key, time, record), by ranges of about that many rows: loser-tree merges of the runs within them.
+
+    index is a written table. Equal captures stay as often as they are there. range is the range's place in the order,
+    within a capture's place among its URL's in the range.
     """
-    ranged = index.repartitionByRange(*([partitions] if partitions else []), "url_key", "capture_ts", "record_id").sortWithinPartitions("run", "url_key", "capture_ts", "record_id")
+    partitions = max(1, -(-index.count() // rows))
+    ranged = index.repartitionByRange(partitions, "url_key", "capture_ts", "record_id").sortWithinPartitions("run", "url_key", "capture_ts", "record_id").withColumn("range", F.spark_partition_id())
+    keys = tuple(INDEX_NAMES.index(c) for c in ("url_key", "capture_ts", "record_id"))
 
     def merge(batches):
-        runs: list[list] = []
+        runs: list[list[pa.RecordBatch]] = []
         last = None
         for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(len(INDEX_NAMES))), strict=True)
-            for row in keys:
-                if row[-1] != last:
+            names = batch.column(len(INDEX_NAMES) - 1).to_pylist()
+            cuts = [i for i in range(1, len(names)) if names[i] != names[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                if b > a and (not runs or names[a] != last):
                     runs.append([])
-                    last = row[-1]
-                runs[-1].append((row[:3], row))
-        held = []
-        for _, row in LoserTree(runs):
-            held.append(row)
+                    last = names[a]
+                if b > a:
+                    runs[-1].append(batch.slice(a, b - a))
+        url, n, held = None, 0, []
+        for key, _, _, run, part, row in LoserTree([cursor(parts, keys, i) for i, parts in enumerate(runs)]):
+            url, n = key, n + 1 if key == url else 1
+            held.append((run, part, row, n))
             if len(held) == 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), INDEX_KINDS, strict=True)], names=INDEX_NAMES)
+                yield gathered(runs, held)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), INDEX_KINDS, strict=True)], names=INDEX_NAMES)
+            yield gathered(runs, held)
+
+    return ranged.mapInArrow(merge, HISTORY)
+
+
+def gathered(runs: list[list[pa.RecordBatch]], held: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    """The rows (run, part, row) of the runs in that order, with their places."""
+    used = sorted({(r, p) for r, p, _, _ in held})
+    start, total = {}, 0
+    for r, p in used:
+        start[r, p] = total
+        total += runs[r][p].num_rows
+    table = pa.Table.from_batches([runs[r][p] for r, p in used]).take(pa.array([start[r, p] + row for r, p, row, _ in held]))
+    return table.append_column("within", pa.array([n for _, _, _, n in held], pa.int64())).combine_chunks().to_batches()[0]
+
 
-    return ranged.mapInArrow(merge, INDEX)
+def histories(index: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """The merged index with place, a capture's place in its URL's history, from 1."""
+    ordered = common.written(merged(index, rows), "warc-history")
+    counts = ordered.groupBy("range", "url_key").agg(F.count("*").alias("n"))
+    before = counts.select("range", "url_key", (F.sum("n").over(Window.partitionBy("url_key").orderBy("range")) - F.col("n")).alias("before"))
+    return ordered.join(before, ["range", "url_key"]).withColumn("place", F.col("before") + F.col("within")).drop("before", "within")
 
 
 def classified(pages: DataFrame) -> DataFrame:
@@ -214,21 +260,28 @@ def classified(pages: DataFrame) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = posixpath.join(common.shared_dir(spark), f"warc-{uuid.uuid4().hex}")
+    """Beside the digest columns: url_key, capture_ts and place, the capture's place in its URL's history."""
+    folder = posixpath.join(session.shared_folder(spark), f"warc-{uuid.uuid4().hex}")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     archives = common.written(written(classified(common.table(spark, sf_dir, "pages")), folder), "warc-archives")
-    history = merged(indexed(spark, folder, archives))
+    history = histories(common.written(indexed(spark, folder, archives), "warc-index"))
     number = lambda c: F.when(F.col(c) != "null", F.col(c).cast("long"))
-    return history.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return history.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url_key", "capture_ts", "place")
 
 
-OP9_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-f AS (SELECT page_id, strlen(html) AS n, sha256(html) AS d, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, trim(coalesce(url, '')) AS url FROM pages),
+f AS (SELECT page_id, strlen(html) AS n, sha256(html) AS d, min(page_id) OVER (PARTITION BY html) AS first_id,
+      regexp_replace(lower(regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)(?::([0-9]+))?([^#]*)', 1, 'i')), '^www[0-9]*\.', '') AS host,
+      regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)(?::([0-9]+))?([^#]*)', 2, 'i') AS port,
+      regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)(?::([0-9]+))?([^#]*)', 3, 'i') AS rest FROM p),
+k AS (SELECT *, array_to_string(list_reverse(string_split(rtrim(host, '.'), '.')), ',') || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END AS url_key,
+      strftime(timestamp '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS capture_ts FROM f)
 SELECT page_id, cast(n AS bigint) AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 100 AND first_id <> page_id THEN first_id END AS refers_to
-FROM f
+       CASE WHEN n >= 100 AND first_id <> page_id THEN first_id END AS refers_to,
+       url_key, capture_ts, row_number() OVER (PARTITION BY url_key ORDER BY capture_ts, cast(page_id AS varchar)) AS place
+FROM k
 """
