@@ -22,6 +22,15 @@ BENCHMARK_STOP = (
 ).split()
 
 
+# Tokens of code; stamps of memories and days in questions.
+CODE_WORD = r"[A-Za-z_][A-Za-z0-9_]*|\d+"
+CAMEL_PART = r"[A-Z]+(?=[A-Z][a-z]|\b)|[A-Z]?[a-z]+|[A-Za-z_][A-Za-z0-9_]*|\d+"
+MEMORY_STAMP = r"\b([A-Z][a-z]{2})\s+(\d{1,2}),\s+(20\d{2}).*?(\d{2}:\d{2}:\d{2})\s*$"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+NAMED_DAY = r"(?i)\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)(?:\s+(\d{1,2}))?,?\s+(20\d{2})\b"
+ISO_DAY = r"\b20\d{2}-\d{2}-\d{2}\b"
+
+
 def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -48,11 +57,11 @@ def code_tokens(text: Column) -> Column:
     """Identifiers and numbers: each whole word in lower case, then its camel-case pieces, then its underscore pieces; repeats stay."""
 
     def pieces(w: Column) -> Column:
-        camel = F.transform(F.regexp_extract_all(w, F.lit(r"[A-Z]+(?=[A-Z][a-z]|\b)|[A-Z]?[a-z]+|[A-Za-z_][A-Za-z0-9_]*|\d+"), 0), F.lower)
+        camel = F.transform(F.regexp_extract_all(w, F.lit(CAMEL_PART), 0), F.lower)
         under = F.when(F.contains(w, F.lit("_")), F.filter(F.transform(F.split(w, "_"), F.lower), lambda p: p != "")).otherwise(F.array().cast("array<string>"))
         return F.concat(F.array(F.lower(w)), F.filter(camel, lambda p: p != F.lower(w)), under)
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*|\d+"), 0), pieces))
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CODE_WORD), 0), pieces))
 
 
 def benchmark_tokens(text: Column) -> Column:
@@ -87,6 +96,7 @@ def display_name(symbol: Column) -> Column:
     return F.coalesce(F.try_element_at(names, F.lit(-1)), tail_of(symbol))
 
 
+# The grammar of symbols.
 PARAMETER = r"\.\([A-Za-z_][A-Za-z0-9_]*\)$"
 METHOD = r"\([^()]*\)\.$"
 
@@ -124,9 +134,27 @@ def gold_date(text: Column) -> Column:
 
 
 def memory_time(text: Column) -> Column:
-    """`Mon d, yyyy … HH:MM:SS` as a timestamp; null where it is absent."""
-    parts = [F.regexp_extract(text, r"([A-Z][a-z]{2}) (\d{1,2}), (\d{4}).*?(\d{2}:\d{2}:\d{2})", i) for i in (1, 2, 3, 4)]
-    return F.try_to_timestamp(F.concat_ws(" ", *parts), F.lit("MMM d yyyy HH:mm:ss"))
+    """`Mon d, yyyy … HH:MM:SS` at the end of a text as a timestamp; another text is an error, null stays null."""
+    parts = [F.regexp_extract(text, MEMORY_STAMP, i) for i in (1, 2, 3, 4)]
+    got = F.try_to_timestamp(F.concat_ws(" ", *parts), F.lit("MMM d yyyy HH:mm:ss"))
+    return F.when(text.isNotNull(), F.coalesce(got, F.raise_error(F.concat(F.lit("not a memory time: "), text)).cast("timestamp")))
+
+
+def question_time(question: Column, session_end: Column) -> Column:
+    """The latest day that a question names, at its end; a month without a day is its last day, a day beyond the month's end is that end; else the session's end."""
+    iso = F.transform(F.regexp_extract_all(question, F.lit(ISO_DAY), 0), lambda d: F.try_to_date(d, "yyyy-MM-dd"))
+
+    def named(hit: Column) -> Column:
+        month = F.lower(F.left(F.regexp_extract(hit, NAMED_DAY, 1), F.lit(3)))
+        number = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])[month]
+        day, year = F.regexp_extract(hit, NAMED_DAY, 2), F.regexp_extract(hit, NAMED_DAY, 3)
+        first = F.make_date(year.cast("int"), number, F.lit(1))
+        asked = F.when(day == "", 31).otherwise(F.greatest(day.try_cast("int"), F.lit(1)))
+        return F.least(F.date_add(first, asked - 1), F.last_day(first))
+
+    days = F.concat(iso, F.transform(F.regexp_extract_all(question, F.lit(NAMED_DAY), 0), named))
+    last = F.array_max(days)
+    return F.when(last.isNotNull(), F.date_add(last, 1).cast("timestamp") - F.expr("INTERVAL 1 SECOND")).otherwise(session_end)
 
 
 def nested_question(text: Column) -> Column:

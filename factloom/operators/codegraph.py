@@ -59,7 +59,7 @@ def holds(b: Column, line: Column, column: Column) -> Column:
 
 def innermost_scope(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """points (path, point, line, column) with scope, the smallest of scopes (path, scope, bounds, ord) around it, else the file's own id."""
-    met = points.join(scopes, "path").where(holds(F.col("bounds"), F.col("line"), F.col("column")))
+    met = points.select("path", "point", "line", "column").join(scopes, "path").where(holds(F.col("bounds"), F.col("line"), F.col("column")))
     size = F.struct((F.col("bounds.l1") - F.col("bounds.l0")).alias("l"), (F.col("bounds.c1") - F.col("bounds.c0")).alias("c"), F.col("ord").alias("o"))
     best = met.groupBy("path", "point").agg(F.min_by("scope", size).alias("scope"))
     return points.join(best, ["path", "point"], "left").withColumn("scope", F.coalesce("scope", F.concat(F.lit("file:"), F.col("path"))))
@@ -136,8 +136,13 @@ def numbered(rows: DataFrame, order: list) -> DataFrame:
     return once.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("key", "id"))).drop("key")
 
 
-def callers(targets: DataFrame, edges: DataFrame, implements: DataFrame | None = None, mode: str = "calls") -> DataFrame:
-    """target, id, place: who calls (or refers to) each target in the order first seen, then its implementors."""
+def callers(targets: DataFrame, edges: DataFrame, implements: DataFrame | None = None, mode: str = "calls", cat: DataFrame | None = None) -> DataFrame:
+    """target, id, place: who calls (or refers to) each target in the order first seen, then its implementors; of a file its own symbols, where cat is given."""
+    if cat is not None:
+        is_file = F.col("target").startswith("file:")
+        own = targets.where(is_file).select("target", F.substring("target", 6, 1 << 30).alias("path_")).join(cat, F.col("path_") == F.col("source_path"))
+        here = numbered(shown(own.select("target", "id", "ord"), HIDDEN), ["ord"])
+        return callers(targets.where(~is_file), edges, implements, mode).unionByName(here)
     used = edges if mode == "references" else edges.where("calls > 0")
     found = targets.join(used, F.col("target") == F.col("dst")).select("target", F.col("src").alias("id"), F.lit(0).alias("tier"), "first")
     if implements is not None:
@@ -182,3 +187,66 @@ def lookup(queries: DataFrame, cat: DataFrame) -> DataFrame:
     wanted = F.coalesce(F.lower("asked_kind"), F.lit(""))
     fits = (wanted == "") | (wanted == F.col("kind")) | ((wanted == "class") & (F.col("kind") == "struct"))
     return exact.unionByName(by_path.unionByName(by_name).where(fits).select("query_id", "id", "ord", F.lit(0.98).alias("confidence")))
+
+
+def implementors(targets: DataFrame, implements: DataFrame, cat: DataFrame) -> DataFrame:
+    """target, id, place: what implements each target, in the order of the corpus."""
+    found = targets.join(implements, F.col("target") == F.col("interface")).select("target", F.col("implementor").alias("id"))
+    return numbered(found.join(cat.select("id", "ord"), "id", "left").withColumn("ord", F.coalesce("ord", F.lit(LAST))), ["ord"])
+
+
+#: The place of ids that no catalogue holds; confidence of each operation's results.
+LAST = 1 << 62
+CONFIDENCE = {"file_symbols": ("file_scope", 1.0), "contained_by": ("containment", 1.0), "implementors": ("implementation", 1.0), "callers": ("{mode}_incoming", 0.95), "callees": ("{mode}_outgoing", 0.95), "orphans": ("orphan_scan", 0.9)}
+
+
+def graph(symbols: DataFrame, relationships: DataFrame, occurrences: DataFrame, sources: DataFrame, root: str | None = None) -> dict[str, DataFrame]:
+    """The whole graph of a projection: catalogue, contains, implements, references (with scope, call and witness) and edges.
+
+    symbols (id, ord, source_path), relationships (id, target, is_implementation), occurrences (path, point, symbol,
+    is_definition, range, enclosing) and sources (path, text), as files.projection_tables() and files.texts() give them.
+    Scopes are function definitions with an enclosing range; a reference belongs to the innermost one around it, or to
+    its file. Both ends of an edge have to be known.
+    """
+    cat = catalogue(symbols, root).checkpoint()
+    places = occurrences.withColumn("bounds", bounds(F.col("range"))).where("bounds IS NOT NULL")
+    scopes = places.where("is_definition").withColumn("around", bounds(F.col("enclosing"))).where(F.col("around").isNotNull() & (fx.symbol_kind(F.col("symbol")) == "function"))
+    scopes = scopes.join(cat.select(F.col("id").alias("symbol")), "symbol", "left_semi").select("path", F.col("symbol").alias("scope"), F.col("around").alias("bounds"), F.col("point").alias("ord"))
+    points = places.where("NOT is_definition").join(cat.select(F.col("id").alias("symbol")), "symbol", "left_semi").select("path", "point", F.col("bounds.l0").alias("line"), F.col("bounds.c0").alias("column"), F.col("symbol").alias("dst"), "bounds")
+    inside = innermost_scope(points, scopes).withColumnRenamed("scope", "src")
+    known = cat.select("id").unionByName(cat.select(F.concat(F.lit("file:"), F.col("source_path")).alias("id"))).distinct().withColumnRenamed("id", "src")
+    called = marked_calls(inside.join(known, "src", "left_semi"), call_spans(sources))
+    references = witnesses(called, sources).withColumn("place", F.struct("path", "point")).checkpoint()
+    return {"catalogue": cat, "contains": containment(cat), "implements": implementations(relationships, cat), "references": references, "edges": reference_edges(references)}
+
+
+def search(queries: DataFrame, held: dict[str, DataFrame], limit: int = 512, mode: str = "calls") -> DataFrame:
+    """query_id, operation, id, place, route, confidence: the first results of structural queries (query_id, operation, target).
+
+    target: a symbol, a file's path for file_symbols, `file:` and a path for callers, a kind for orphans. An operation
+    that is not known has no results.
+    """
+    cat, edges = held["catalogue"], held["edges"]
+
+    def of(operation: str) -> DataFrame:
+        return queries.where(F.col("operation") == operation).select("target").distinct()
+
+    degrees = degree(edges, held["contains"], held["implements"])
+    free = of("orphans")
+    kinds = ("function", "struct", "term", "module", "symbol")
+    unused = reduce(DataFrame.unionByName, [orphans(cat, edges, degrees, k).select(F.lit(k).alias("target"), "id", "key") for k in kinds]).join(free, "target", "left_semi")
+    found = {
+        "file_symbols": file_symbols(cat, of("file_symbols")),
+        "contained_by": contained_by(of("contained_by"), held["contains"]),
+        "implementors": implementors(of("implementors"), held["implements"], cat),
+        "callers": callers(of("callers"), edges, held["implements"], mode, cat),
+        "callees": callees(of("callees"), edges, mode),
+        "orphans": unused.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("key", "id"))).drop("key"),
+    }
+    parts = [rows.select("target", "id", "place", F.lit(op).alias("operation"), F.lit(CONFIDENCE[op][0].format(mode=mode)).alias("route"), F.lit(CONFIDENCE[op][1]).alias("confidence")) for op, rows in found.items()]
+    return queries.join(reduce(DataFrame.unionByName, parts), ["operation", "target"]).where(F.col("place") <= max(0, limit)).select("query_id", "operation", "id", "place", "route", "confidence")
+
+
+def in_corpus_order(values: DataFrame, cat: DataFrame) -> DataFrame:
+    """values (target, id) each once with place, in the order of the catalogue, unknown ids last."""
+    return numbered(values.join(cat.select("id", "ord"), "id", "left").withColumn("ord", F.coalesce("ord", F.lit(LAST))), ["ord"])

@@ -13,35 +13,53 @@ POOL, CONSTANT = 200, 60
 
 
 def id_overlap(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """candidates (query_id, id) with overlap, the query's tokens that the id holds as well."""
-    asked = queries.select("query_id", F.array_distinct(fx.code_tokens(F.col("text"))).alias("asked"))
+    """candidates (query_id, id) with overlap, the different tokens that the asked target's id and theirs share."""
+    asked = queries.select("query_id", F.array_distinct(fx.code_tokens(F.col("target"))).alias("asked"))
     return candidates.join(asked, "query_id").withColumn("overlap", F.size(F.array_intersect("asked", fx.code_tokens(F.col("id"))))).drop("asked")
 
 
 def fallback(queries: DataFrame, documents: DataFrame, dense: DataFrame | None = None) -> DataFrame:
-    """query_id, doc, rank by words, the first 200; fused in equal parts with dense (query_id, doc, rank) where it is given."""
-    words = lexical.top(lexical.bm25_float(queries, documents, fx.code_tokens), POOL)
-    if dense is None:
-        return words.select("query_id", "doc", "rank", F.col("score").cast("double").alias("score"))
-    return lexical.top(fusion.fused([words, dense], [1.0, 1.0], CONSTANT), POOL)
+    """query_id, doc, rank and score of the first 200 documents by words; fused in equal parts with dense (query_id, doc, rank) where it is given.
+
+    Documents without a hit fill up in the order of the corpus. A score is a sum of reciprocal ranks, not of words.
+    """
+    hits = lexical.bm25_float(queries, documents, fx.code_tokens).select("query_id", "doc", F.col("score").cast("double").alias("score"))
+    words = lexical.filled(lexical.top(hits, POOL), queries, documents, POOL)
+    rankings = [words] if dense is None else [dense, words]
+    return lexical.top(fusion.fused(rankings, [1.0] * len(rankings), CONSTANT), POOL)
 
 
-def routed(queries: DataFrame, found: DataFrame, documents: DataFrame, degrees: DataFrame, operation: str, dense: DataFrame | None = None) -> DataFrame:
-    """query_id, id, rank, score, signals and route of each query (query_id, text).
+def routed(queries: DataFrame, found: DataFrame, documents: DataFrame, degrees: DataFrame, operation: str, dense: DataFrame | None = None, references: DataFrame | None = None, mode: str = "references") -> DataFrame:
+    """query_id, id, corpus_order, rank, score, signals and route of each query (query_id, text, target), with the candidate's text, source and definition line, and the edge and witnesses that speak for it.
 
     found: (query_id, id, place, frequency) of the structural operation. documents: (doc, id, text), doc being the
-    corpus order. A query without a structural result is answered by words, unless it was a lookup.
+    corpus order, and source and definition_line where they are known. references: of codegraph.graph(). A query without
+    a structural result is answered by words, unless it was a lookup.
     """
     texts = documents.select("doc", "text")
-    words = lexical.bm25_float(queries, texts, fx.code_tokens).join(documents.select("doc", "id"), "doc").select("query_id", "id", F.col("score").cast("double").alias("lexical"))
+    words = lexical.bm25_float(queries.join(found.select("query_id"), "query_id", "left_semi"), texts, fx.code_tokens).join(documents.select("doc", "id"), "doc").select("query_id", "id", F.col("score").cast("double").alias("lexical"))
     rows = found.join(documents.select("id", F.col("doc").alias("corpus_order")), "id").join(words, ["query_id", "id"], "left").join(degrees, "id", "left")
     rows = id_overlap(queries, rows.fillna(0.0, ["lexical"]).fillna(0, ["degree"]))
     ranked = fusion.channel_ranks(rows, {"structural_order": "place", "bm25": "lexical", "edge_frequency": "frequency", "graph_degree": "degree", "id_overlap": "overlap"})
     whole = fusion.explained(ranked, operation).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_order")))
     out = whole.select("query_id", "id", "corpus_order", "rank", "score", "signals", F.lit("structural").alias("route"))
-    if operation == "lookup":
-        return out
-    rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    plain = fallback(rest, texts, dense).join(documents.select("doc", "id"), "doc")
-    none = F.array().cast(dict(out.dtypes)["signals"])
-    return out.unionByName(plain.select("query_id", "id", F.col("doc").alias("corpus_order"), "rank", "score", none.alias("signals"), F.lit("lexical_fallback").alias("route")))
+    if operation != "lookup":
+        rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
+        plain = fallback(rest, texts, dense).join(documents.select("doc", "id"), "doc")
+        none = F.array().cast(dict(out.dtypes)["signals"])
+        label = "bm25_fallback" if dense is None else "recorded_dense_bm25_fallback"
+        out = out.unionByName(plain.select("query_id", "id", F.col("doc").alias("corpus_order"), "rank", "score", none.alias("signals"), F.lit(label).alias("route")))
+    more = [c for c in ("text", "source", "definition_line") if c in documents.columns]
+    out = out.join(documents.select("id", *more), "id")
+    return out if references is None else evidenced(out, queries, references, operation, mode)
+
+
+def evidenced(candidates: DataFrame, queries: DataFrame, references: DataFrame, operation: str, mode: str) -> DataFrame:
+    """candidates with edge (source, relation, target) and witnesses, the places that speak for it; null and empty without any."""
+    used = references if mode == "references" else references.where("is_call")
+    proof = used.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("path", "first_line", "last_line", "text", "source_hash", "available"))).alias("witnesses"))
+    near, far = ("id", "target") if operation == "callers" else ("target", "id")
+    rows = candidates.join(queries.select("query_id", "target"), "query_id")
+    met = rows.join(proof, (F.col(near) == F.col("src")) & (F.col(far) == F.col("dst")), "left")
+    edge = F.when(F.col("witnesses").isNotNull(), F.struct(F.col(near).alias("source"), F.lit(mode).alias("relation"), F.col(far).alias("target")))
+    return met.withColumn("edge", edge).withColumn("witnesses", F.coalesce("witnesses", F.array().cast(dict(proof.dtypes)["witnesses"]))).drop("src", "dst", "target")

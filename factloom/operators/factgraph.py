@@ -48,14 +48,24 @@ TEMPLATES = (
 HOPS, POOL, PINNED, DECAY = 3, 20, 3, 0.82
 
 
+def one_pattern() -> tuple[str, str]:
+    """All templates as one pattern, tried in order, and the replacement that puts the fitting one's ends around a mark."""
+    pattern = "(?d)^(?:" + "|".join(re.sub("<[so]>", "(.+?)", t) + r"\.?$" for t in TEMPLATES) + ")"
+    first, second = ([2 * i + 1 + k for i in range(len(TEMPLATES))] for k in (0, 1))
+    swapped = [t.index("<s>") > t.index("<o>") for t in TEMPLATES]
+    assert not any(swapped), "a template names its object first"
+    return pattern, "".join(f"${i}" for i in first) + MARK + "".join(f"${i}" for i in second)
+
+
+MARK = "\x01"
+
+
 def endpoints(text: Column) -> Column:
     """(subject, object), normalised, of the first template that fits; null if none does."""
-    out = None
-    for template in TEMPLATES:
-        pattern = "^" + re.sub("<[so]>", "(.+?)", template) + r"\.?$"
-        pair = F.struct(fx.normalised(F.regexp_extract(text, pattern, 1)).alias("s"), fx.normalised(F.regexp_extract(text, pattern, 2)).alias("o"))
-        out = F.when(text.rlike(pattern), pair) if out is None else out.when(text.rlike(pattern), pair)
-    return out
+    pattern, ends = one_pattern()
+    cut = F.split(F.regexp_replace(text, pattern, ends), MARK)
+    pair = F.struct(fx.normalised(cut[0]).alias("s"), fx.normalised(cut[1]).alias("o"))
+    return F.when(text.rlike(pattern) & ~F.contains(text, F.lit(MARK)), pair)
 
 
 def fact_nodes(facts: DataFrame) -> DataFrame:
@@ -86,10 +96,13 @@ def reached(seeds: DataFrame, nodes: DataFrame, hops: int = HOPS) -> DataFrame:
 
 
 def multi_hop(queries: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, doc: the first three by words, then documents by words, hops from the best one and links."""
+    """query_id, rank, doc: the first three by words, then documents by words, hops from the best one and links.
+
+    The nodes of the facts and the ranking by words are written once; all rounds read them.
+    """
     tokens = fx.benchmark_tokens
-    direct = lexical.filled(lexical.top(lexical.bm25_boosted(queries, facts, tokens), POOL), queries, facts, POOL).select("query_id", "doc", F.col("rank").alias("direct"))
-    nodes = fact_nodes(facts)
+    direct = lexical.filled(lexical.top(lexical.bm25_boosted(queries, facts, tokens), POOL), queries, facts, POOL).select("query_id", "doc", F.col("rank").alias("direct")).checkpoint()
+    nodes = fact_nodes(facts).checkpoint()
     hops = reached(direct.where("direct = 1"), nodes)
     links = nodes.groupBy("node").agg((F.count("*") - 1).alias("others"))
     degree = nodes.join(links, "node").groupBy("doc").agg(F.sum("others").alias("degree"))
@@ -101,11 +114,35 @@ def multi_hop(queries: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
     return both.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc")
 
 
+def routed(queries: DataFrame, facts: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, profile (words, graph), routed, rank, doc: the first k by words, and along chains where the question asks along one.
+
+    Questions that do not keep their ranking by words in both profiles. No function here accepts an expected answer.
+    """
+    gate = fx.nested_question(F.col("text"))
+    plain = lexical.filled(lexical.top(lexical.bm25_boosted(queries, facts, fx.benchmark_tokens), k), queries, facts, k).select("query_id", "rank", "doc").checkpoint()
+    chained = multi_hop(queries.where(gate), facts, k)
+    graph = chained.unionByName(plain.join(queries.where(~gate).select("query_id"), "query_id", "left_semi"))
+    asked = queries.select("query_id", gate.alias("routed"))
+    return plain.withColumn("profile", F.lit("words")).unionByName(graph.withColumn("profile", F.lit("graph"))).join(asked, "query_id")
+
+
 def answered(found: DataFrame, facts: DataFrame, expected: DataFrame) -> DataFrame:
-    """query_id, hit: whether a found fact holds one of the expected answers (query_id, answers) as text. Evaluation only."""
-    said = found.join(facts, "doc").select("query_id", fx.normalised(F.col("text")).alias("said"))
+    """query_id and the other columns of found but rank and doc, hit: whether a found fact holds one of the expected answers (query_id, answers) as text. Evaluation only."""
+    keys = [c for c in found.columns if c not in ("rank", "doc")]
+    said = found.join(facts.select("doc", "text"), "doc").select(*keys, fx.normalised(F.col("text")).alias("said"))
     met = said.join(expected, "query_id").withColumn("hit", F.exists("answers", lambda a: (fx.normalised(a) != "") & F.contains(F.col("said"), fx.normalised(a))))
-    return met.groupBy("query_id").agg(F.bool_or("hit").alias("hit"))
+    return met.groupBy(*keys).agg(F.bool_or("hit").alias("hit"))
+
+
+def routed_report(hits: DataFrame) -> DataFrame:
+    """hits (query_id, source, profile, routed, hit): by source and over all, n, routed, hits of both profiles and wins, losses and ties of the graph."""
+    both = hits.groupBy("source", "query_id").agg(F.bool_or("routed").alias("routed"), F.bool_or(F.when(F.col("profile") == "words", F.col("hit"))).alias("words"), F.bool_or(F.when(F.col("profile") == "graph", F.col("hit"))).alias("graph"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    return both.groupingSets([[F.col("source")], []], F.col("source")).agg(
+        F.count("*").alias("n"), count(F.col("routed"), "n_routed"), count(F.col("words"), "words_hits"), count(F.col("graph"), "graph_hits"),
+        count(F.col("graph") & ~F.col("words"), "wins"), count(F.col("words") & ~F.col("graph"), "losses"), count(F.col("words") == F.col("graph"), "ties"),
+    )
 
 
 def linked_updates(points: DataFrame) -> DataFrame:
@@ -131,3 +168,62 @@ def linked_updates(points: DataFrame) -> DataFrame:
 
 def active(at: Column, since: Column, until: Column) -> Column:
     return (since <= at) & (until.isNull() | (at < until))
+
+
+def snapshot_links(points: DataFrame) -> DataFrame:
+    """points (owner, session, pos, text, since, closes) with until and until_session, when and in which session an update closed each."""
+    linked = linked_updates(points.withColumn("since", F.struct("since", "session")))
+    return linked.withColumn("until_session", F.col("until.session")).withColumn("until", F.col("until.since")).withColumn("since", F.col("since.since"))
+
+
+def as_of_sessions(points: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id and each point that its session's snapshot holds, as it was then: an update of a later session is not seen.
+
+    points: from snapshot_links(). questions: (question_id, owner, session). An equi-join on the owner: a snapshot is
+    the owner's points of the sessions so far.
+    """
+    q = questions.select("question_id", "owner", F.col("session").alias("asked_session"))
+    seen = q.join(points, "owner").where(F.col("session") <= F.col("asked_session"))
+    return seen.withColumn("until", F.when(F.col("until_session") <= F.col("asked_session"), F.col("until"))).drop("until_session")
+
+
+def memory_search(points: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """question_id, arm (flat, temporal), rank, point, stale: the k best points of each question's snapshot, and of its active ones.
+
+    questions: (question_id, owner, session, text, at). Statistics are those of the snapshot as it was in that session,
+    so each (owner, session) is a collection of its own. Points without a common word fill up in their order.
+    stale: the point is not active at the question's time.
+    """
+    asked = questions.withColumn("snapshot", F.struct("owner", "session"))
+    held = as_of_sessions(points, asked.select(F.to_json("snapshot").alias("question_id"), "owner", "session").distinct()).withColumnRenamed("question_id", "snapshot").checkpoint()
+    docs = held.select("snapshot", F.col("pos").alias("doc"), "text")
+    ask = asked.select(F.col("question_id").alias("query_id"), F.to_json("snapshot").alias("snapshot"), "text")
+    scores = lexical.bm25_boosted(ask, docs, fx.benchmark_tokens, ["snapshot"]).select("query_id", "doc", "score")
+    every = ask.select("query_id", "snapshot").join(held.select("snapshot", F.col("pos").alias("doc"), "since", "until"), "snapshot").drop("snapshot")
+    rows = every.join(scores, ["query_id", "doc"], "left").fillna(0.0, ["score"]).join(questions.select(F.col("question_id").alias("query_id"), "at"), "query_id")
+    rows = rows.withColumn("stale", ~active(F.col("at"), F.col("since"), F.col("until"))).select("query_id", "doc", "score", "stale")
+    flat, temporal = lexical.top(rows, k), lexical.top(rows.where("NOT stale"), k)
+    both = flat.withColumn("arm", F.lit("flat")).unionByName(temporal.withColumn("arm", F.lit("temporal")))
+    return both.select(F.col("query_id").alias("question_id"), "arm", "rank", F.col("doc").alias("point"), "stale")
+
+
+def memory_metrics(found: DataFrame, points: DataFrame, evidence: DataFrame) -> DataFrame:
+    """question_id, arm, hit, recall, stale: found points held against evidence (question_id, evidence array<string>), by normalised text. Evaluation only."""
+    said = found.join(points.select(F.col("pos").alias("point"), fx.normalised(F.col("text")).alias("said")), "point").groupBy("question_id", "arm").agg(F.collect_set("said").alias("said"), F.count_if("stale").alias("stale"))
+    want = evidence.select("question_id", F.array_distinct(F.transform("evidence", fx.normalised)).alias("want"))
+    arms = want.withColumn("arm", F.explode(fx.strings(["flat", "temporal"])))
+    rows = arms.join(said, ["question_id", "arm"], "left").withColumn("both", F.coalesce(F.size(F.array_intersect("said", "want")), F.lit(0)))
+    return rows.select("question_id", "arm", F.size("want").alias("evidence_count"), (F.col("both") > 0).alias("hit"), F.coalesce(F.col("both") / F.nullif(F.size("want"), F.lit(0)), F.lit(0.0)).alias("recall"), F.coalesce("stale", F.lit(0)).alias("stale"))
+
+
+def memory_report(rows: DataFrame, types: DataFrame) -> DataFrame:
+    """By question type and over all, of questions with evidence: n, rates of both arms, wins, losses and stale slots. types: (question_id, type)."""
+    arm = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
+    names = [(a, c) for c in ("hit", "recall", "stale") for a in ("flat", "temporal")]
+    one = rows.where("evidence_count > 0").groupBy("question_id").agg(*[arm(a, c).alias(f"{a}_{c}") for a, c in names]).join(types, "question_id")
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 6).alias(f"{c}5")
+    return one.groupingSets([[F.col("type")], []], F.col("type")).agg(
+        F.count("*").alias("n"), rate("flat_hit"), rate("temporal_hit"), rate("flat_recall"), rate("temporal_recall"),
+        F.count_if(F.col("temporal_hit") & ~F.col("flat_hit")).alias("wins"), F.count_if(F.col("flat_hit") & ~F.col("temporal_hit")).alias("losses"),
+        F.sum("flat_stale").cast("long").alias("flat_stale_slots"), F.sum("temporal_stale").cast("long").alias("temporal_stale_slots"),
+    )

@@ -77,3 +77,27 @@ def stages(replay: DataFrame, gold: DataFrame, readers: DataFrame | None = None)
         met = met.join(readers.select("query_id", "id", F.lit(True).alias("read")), ["query_id", "id"], "left")
         stage = stage.when(F.col("read").isNull(), "reader_drop")
     return met.withColumn("stage", stage.otherwise("retrieved")).drop("read")
+
+
+def gold_ids(kind: Column, target: Column, wanted: Column) -> Column:
+    """The ids that an expectation names: one for exact_symbol and in_top_k, all for exact_set and contains, none for others."""
+    none = F.array().cast("array<string>")
+    one = F.when(target.isNotNull() & (target != ""), F.array(target)).otherwise(none)
+    return F.when(kind.isin("exact_symbol", "in_top_k"), one).when(kind.isin("exact_set", "contains"), F.coalesce(wanted, none)).otherwise(none)
+
+
+def served(replay: DataFrame, score: DataFrame, runs: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Runs (payload, parent_id) of replayed rankings: case, frozen order and score, which is joined only after the order is fixed.
+
+    replay: rows of replayed() with case_id; score: (query_id, score). parents: (case_id, parent_id); a parent of
+    another case, or one that runs (id, payload) lacks, fails the batch.
+    """
+    frozen = replay.groupBy("query_id", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids"))
+    rows = frozen.join(score, "query_id", "left")
+    payload = F.to_json(F.struct("case_id", "query_id", "ids", "score"), {"ignoreNullFields": "false"})
+    if parents is None:
+        return rows.select(payload.alias("payload"), F.lit(None).cast("string").alias("parent_id"))
+    known = runs.select(F.col("id").alias("parent_id"), F.get_json_object("payload", "$.case_id").alias("parent_case"))
+    met = rows.join(parents, "case_id", "left").join(known, "parent_id", "left")
+    wrong = F.col("parent_id").isNotNull() & ~F.col("parent_case").eqNullSafe(F.col("case_id").cast("string"))
+    return met.select(F.when(wrong, F.raise_error(F.lit("a parent run of another case"))).otherwise(payload).alias("payload"), "parent_id")

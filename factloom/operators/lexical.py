@@ -67,11 +67,11 @@ def bm25_float(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
     return parts.groupBy("query_id", "doc").agg(folded("first", F.lit(0.0).cast("float"), lambda a, x: (a + x["part"] * x["qtf"].cast("float")).cast("float")).alias("score"))
 
 
-def bm25_boosted(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
+def bm25_boosted(queries: DataFrame, docs: DataFrame, tokens, group: list[str] | None = None) -> DataFrame:
     """After each matched term, in the order of first appearance, the running total grows by 5 % for each repeat, two at most."""
     step = lambda a, x: (a + x["part"]) * (1 + 0.05 * F.least(x["qtf"] - 1, F.lit(2)))
-    parts = contributions(query_terms(queries, tokens), indexed(docs, tokens))
-    return parts.groupBy("query_id", "doc").agg(F.round(folded("first", F.lit(0.0), step), PLACES).alias("score"))
+    parts = contributions(query_terms(queries, tokens, group), indexed(docs, tokens, group), group)
+    return parts.groupBy("query_id", *(group or []), "doc").agg(F.round(folded("first", F.lit(0.0), step), PLACES).alias("score"))
 
 
 def top(scores: DataFrame, k: int | None, allowed: DataFrame | None = None, by: str = "query_id") -> DataFrame:
@@ -90,8 +90,11 @@ def filled(best: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> Data
 
 
 def dense_ranks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Cosine ranks as an optional channel: query_id, doc, rank. queries: (query_id, v), a small stated set; vectors: (doc, v)."""
+    """Cosine ranks as an optional channel: query_id, doc, rank. queries: (query_id, v), a stated set; vectors: (doc, v).
+
+    Every query meets every vector: the planner broadcasts the queries while they are few, and deals out blocks beyond.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.crossJoin(F.broadcast(queries.withColumnRenamed("v", "q")))
+    both = vectors.crossJoin(queries.withColumnRenamed("v", "q"))
     score = F.round(dot("q", "v") / F.nullif(F.sqrt(dot("q", "q") * dot("v", "v")), F.lit(0.0)), PLACES)
     return top(both.select("query_id", "doc", score.alias("score")), k)

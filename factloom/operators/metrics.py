@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Weights of the task categories.
@@ -18,7 +16,7 @@ def expected_score(kind: Column, returned: Column, target: Column, k: Column, wa
     size = F.size(got) + F.size(want)
     return (
         F.when(kind == "exact_symbol", F.coalesce((F.get(returned, F.lit(0)) == target).cast("double"), F.lit(0.0)))
-        .when(kind == "in_top_k", F.array_contains(F.slice(returned, F.lit(1), F.greatest(F.coalesce(k, F.lit(5)), F.lit(1))), target).cast("double"))
+        .when(kind == "in_top_k", F.array_contains(F.slice(returned, F.lit(1), F.greatest(F.coalesce(k, F.lit(5)), F.lit(0))), target).cast("double"))
         .when(kind == "contains", F.when(F.size(wanted) == 0, 1.0).otherwise(F.size(F.filter(wanted, lambda x: F.array_contains(returned, x))) / F.size(wanted)))
         .when(kind == "exact_set", F.when(size == 0, 1.0).otherwise(2 * both / size))
         .otherwise(0.0)
@@ -67,15 +65,16 @@ def percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 def cluster_bootstrap(spark: SparkSession, deltas: DataFrame, samples: int = 10_000, seed: int = 42) -> DataFrame:
     """Mean and 95 % interval of deltas (cluster, delta) when clusters are drawn with replacement.
 
-    Clusters are conversations of a benchmark, few by nature; their numbers are drawn on the driver with one seed, the
-    sums are met in a join.
+    A draw's cluster is a hash of seed, sample and draw; draws are made on executors and meet the clusters' numbered
+    sums in a join.
     """
     sums = deltas.groupBy("cluster").agg(F.sum("delta").alias("total"), F.count("*").alias("n"))
-    names = [r[0] for r in sums.select("cluster").orderBy("cluster").collect()]
-    draw = random.Random(seed)
-    picks = [(s, c) for s in range(samples) for c in draw.choices(names, k=len(names))]
-    chosen = spark.createDataFrame(picks, ["sample", "cluster"])
-    means = chosen.join(F.broadcast(sums), "cluster").groupBy("sample").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    numbered = sums.withColumn("k", F.row_number().over(Window.orderBy("cluster")) - 1).checkpoint()
+    clusters = numbered.count()
+    draws = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(clusters - 1, 0)))).alias("draw"))
+    digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("sample").cast("string"), F.col("draw").cast("string")))
+    picked = draws.select("sample", (F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") % max(clusters, 1)).cast("int").alias("k"))
+    means = picked.join(numbered, "k").groupBy("sample").agg((F.sum("total") / F.sum("n")).alias("mean"))
     bounds = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY mean)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY mean)").alias("high"))
     return deltas.agg(F.avg("delta").alias("mean")).crossJoin(bounds)
 

@@ -103,38 +103,126 @@ ev AS (SELECT * EXCLUDE (text), regexp_matches(sentence, '(?i)\\bAnna\\b') OR (s
 named AS (SELECT *, CASE WHEN p = 'day' THEN strftime(f, '%-d %B %Y') WHEN p = 'month' THEN strftime(f, '%B %Y') ELSE '' END AS said FROM ev)"""
 
 
-def search_sql(profile: str) -> str:
-    """Profiles by the planted names and dates of the rendered turns."""
+def conversation_scores(name: str, docs: str) -> str:
+    """CTE name_sc: question_id, conversation_id, dia_id, raw; BM25 of the questions q2 within their conversations. docs: conversation_id, dia_id, text."""
     from .search import TERMS
 
+    return f"""
+{name}_d AS (SELECT conversation_id, dia_id, {TERMS} AS toks FROM ({docs})), {name}_w AS (SELECT conversation_id, count(*) AS total, avg(len(toks)) AS mean FROM {name}_d GROUP BY ALL),
+{name}_p AS (SELECT conversation_id, dia_id, term, count(*) AS tf FROM (SELECT conversation_id, dia_id, unnest(toks) AS term FROM {name}_d) GROUP BY ALL),
+{name}_df AS (SELECT conversation_id, term, count(*) AS df FROM {name}_p GROUP BY ALL),
+{name}_parts AS (SELECT question_id, qt.conversation_id, dia_id, term, ln(1 + (total - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (len(toks) / mean))) AS part
+ FROM qt JOIN {name}_p USING (conversation_id, term) JOIN {name}_df USING (conversation_id, term) JOIN {name}_d USING (conversation_id, dia_id) JOIN {name}_w USING (conversation_id)),
+{name}_sc AS (SELECT question_id, conversation_id, dia_id, round(sum(part), 6) AS raw FROM {name}_parts GROUP BY ALL)"""
+
+
+def asked_sql() -> str:
+    """CTEs of turns, statements (named) and questions (q2, their terms qt), by the planted names and dates of the rendered turns."""
+    from .search import TERMS
+
+    return f"""{EVENTS_SQL}, {tables.QUESTIONS_SQL},
+q AS (SELECT *, CASE WHEN question LIKE 'In %' THEN strptime('1 ' || regexp_extract(question, '^In ([A-Za-z]+ [0-9]+)', 1), '%d %B %Y')::date END AS qf, question LIKE 'When %' AS open_when FROM questions),
+who AS (SELECT conversation_id, list_sort(list(DISTINCT speaker)) AS people FROM turns GROUP BY ALL),
+q2 AS (SELECT q.*, people, CASE WHEN regexp_matches(question, '(?i)\\bAnna\\b') AND list_contains(people, 'Anna') AND NOT (regexp_matches(question, '(?i)\\bBen\\b') AND list_contains(people, 'Ben')) THEN 'Anna' WHEN regexp_matches(question, '(?i)\\bBen\\b') AND list_contains(people, 'Ben') AND NOT (regexp_matches(question, '(?i)\\bAnna\\b') AND list_contains(people, 'Anna')) THEN 'Ben' END AS subject FROM q JOIN who USING (conversation_id)), q3 AS (SELECT * EXCLUDE (conversation_id) FROM q2),
+qt AS (SELECT DISTINCT question_id, conversation_id, unnest(toks) AS term FROM (SELECT question_id, conversation_id, {TERMS} AS toks FROM (SELECT question_id, conversation_id, question AS text FROM q2))),
+tm AS (SELECT conversation_id, dia_id, string_agg(said, ' ' ORDER BY f, sentence) FILTER (said <> '') AS said FROM named GROUP BY ALL),
+tt AS (SELECT turns.*, coalesce(said, '') AS said, regexp_matches(text, '(?i)\\bAnna\\b') OR (speaker = 'Anna' AND regexp_matches(text, '(?i)\\b(I|my|me|we|our)\\b')) OR (speaker = 'Ben' AND regexp_matches(text, '(?i)\\b(you|your)\\b')) AS t_anna,
+ regexp_matches(text, '(?i)\\bBen\\b') OR (speaker = 'Ben' AND regexp_matches(text, '(?i)\\b(I|my|me|we|our)\\b')) OR (speaker = 'Anna' AND regexp_matches(text, '(?i)\\b(you|your)\\b')) AS t_ben FROM turns LEFT JOIN tm USING (conversation_id, dia_id))"""
+
+
+def relation_sql(name: str, pairs: str) -> str:
+    """CTE name: question_id, dia_id, mismatch: whether the turn's statements are about others than the asked subject. pairs: question_id, conversation_id, dia_id."""
+    return f"""{name} AS (SELECT x.question_id, x.dia_id, any_value(subject) IS NOT NULL AND NOT coalesce(bool_or(CASE subject WHEN 'Anna' THEN anna WHEN 'Ben' THEN ben END), false) AND count(sentence) > 0 AND NOT coalesce(bool_or(NOT anna AND NOT ben) FILTER (sentence IS NOT NULL), false) AS mismatch
+ FROM ({pairs}) x JOIN q2 USING (question_id) LEFT JOIN named ON named.conversation_id = x.conversation_id AND named.dia_id = x.dia_id GROUP BY ALL)"""
+
+
+def search_ctes(profile: str, name: str = "") -> str:
+    """CTE name_r: question_id, dia_id, session, pos, time_overlap, score of all hits, and name_top with their ranks and candidates, the first five."""
     guarded, temporal = profile == "guarded", profile in ("temporal", "combined", "guarded")
     text = "speaker || ': ' || text" if guarded or not temporal else "concat_ws(' ', speaker || ': ' || text, said)"
     hard = "AND (subject IS NULL OR CASE subject WHEN 'Anna' THEN t_anna ELSE t_ben END)" if profile in ("provenance", "combined") else ""
     bears = "(subject IS NULL OR (subject = 'Anna' AND anna) OR (subject = 'Ben' AND ben)" + (" OR (NOT anna AND NOT ben))" if guarded else ")")
     boost = "coalesce(over_, false)" if temporal else "false"
-    guard = "CASE WHEN subject IS NOT NULL AND NOT coalesce(has, false) AND coalesce(n_ev, 0) > 0 AND NOT coalesce(open_ev, false) AND NOT open_when THEN 0.5::double ELSE 1 END" if guarded else "1::double"
-    return f"""WITH {EVENTS_SQL}, {tables.QUESTIONS_SQL},
-q AS (SELECT *, CASE WHEN regexp_matches(question, '(?i)\\bAnna\\b') AND regexp_matches(question, '(?i)\\bBen\\b') THEN NULL WHEN regexp_matches(question, '(?i)\\bAnna\\b') THEN 'Anna' WHEN regexp_matches(question, '(?i)\\bBen\\b') THEN 'Ben' END AS subject,
- CASE WHEN question LIKE 'In %' THEN strptime('1 ' || regexp_extract(question, '^In ([A-Za-z]+ [0-9]+)', 1), '%d %B %Y')::date END AS qf, question LIKE 'When %' AS open_when FROM questions),
-who AS (SELECT conversation_id, list_sort(list(DISTINCT speaker)) AS people FROM turns GROUP BY ALL),
-q2 AS (SELECT q.* EXCLUDE (subject), CASE WHEN regexp_matches(question, '(?i)\\bAnna\\b') AND list_contains(people, 'Anna') AND NOT (regexp_matches(question, '(?i)\\bBen\\b') AND list_contains(people, 'Ben')) THEN 'Anna' WHEN regexp_matches(question, '(?i)\\bBen\\b') AND list_contains(people, 'Ben') AND NOT (regexp_matches(question, '(?i)\\bAnna\\b') AND list_contains(people, 'Anna')) THEN 'Ben' END AS subject FROM q JOIN who USING (conversation_id)),
-tm AS (SELECT conversation_id, dia_id, string_agg(said, ' ' ORDER BY f, sentence) FILTER (said <> '') AS said FROM named GROUP BY ALL),
-tt AS (SELECT turns.*, coalesce(said, '') AS said, regexp_matches(text, '(?i)\\bAnna\\b') OR (speaker = 'Anna' AND regexp_matches(text, '(?i)\\b(I|my|me|we|our)\\b')) OR (speaker = 'Ben' AND regexp_matches(text, '(?i)\\b(you|your)\\b')) AS t_anna,
- regexp_matches(text, '(?i)\\bBen\\b') OR (speaker = 'Ben' AND regexp_matches(text, '(?i)\\b(I|my|me|we|our)\\b')) OR (speaker = 'Anna' AND regexp_matches(text, '(?i)\\b(you|your)\\b')) AS t_ben FROM turns LEFT JOIN tm USING (conversation_id, dia_id)),
-d AS (SELECT conversation_id, session, pos, dia_id, t_anna, t_ben, {TERMS} AS toks FROM (SELECT * EXCLUDE (text), {text} AS text FROM tt)),
-w AS (SELECT conversation_id, count(*) AS total, avg(len(toks)) AS mean FROM d GROUP BY ALL),
-p AS (SELECT conversation_id, dia_id, term, count(*) AS tf FROM (SELECT conversation_id, dia_id, unnest(toks) AS term FROM d) GROUP BY ALL),
-df AS (SELECT conversation_id, term, count(*) AS df FROM p GROUP BY ALL),
-qt AS (SELECT DISTINCT question_id, conversation_id, unnest(toks) AS term FROM (SELECT question_id, conversation_id, {TERMS} AS toks FROM (SELECT question_id, conversation_id, question AS text FROM q2))),
-parts AS (SELECT question_id, qt.conversation_id, dia_id, term, ln(1 + (total - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (len(toks) / mean))) AS part
- FROM qt JOIN p USING (conversation_id, term) JOIN df USING (conversation_id, term) JOIN d USING (conversation_id, dia_id) JOIN w USING (conversation_id)),
-sc AS (SELECT question_id, conversation_id, dia_id, round(sum(part), 6) AS raw FROM parts GROUP BY ALL),
-facts AS (SELECT question_id, sc.dia_id, bool_or(CASE subject WHEN 'Anna' THEN anna WHEN 'Ben' THEN ben END) AS has, count(sentence) AS n_ev, bool_or(NOT anna AND NOT ben) FILTER (sentence IS NOT NULL) AS open_ev,
- bool_or({bears} AND f <= (qf + interval 1 month)::date - 1 AND qf <= CASE p WHEN 'day' THEN f ELSE (f + interval 1 month)::date - 1 END) AS over_
- FROM sc JOIN q2 USING (question_id) LEFT JOIN named ON named.conversation_id = sc.conversation_id AND named.dia_id = sc.dia_id GROUP BY ALL),
-r AS (SELECT question_id, dia_id, session, pos, {boost} AS time_overlap, round(raw * (CASE WHEN {boost} THEN 1.2::double ELSE 1 END * {guard}), 6) AS score
- FROM sc JOIN d USING (conversation_id, dia_id) JOIN q2 USING (question_id) LEFT JOIN facts USING (question_id, dia_id) WHERE true {hard})
-SELECT question_id, cast(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, session, pos) AS integer) AS rank, dia_id, score, time_overlap, count(*) OVER (PARTITION BY question_id) AS candidates FROM r QUALIFY rank <= 5"""
+    guard = "CASE WHEN mismatch AND NOT open_when THEN 0.5::double ELSE 1 END" if guarded else "1::double"
+    return f"""{conversation_scores(name + 's', f"SELECT conversation_id, dia_id, {text} AS text FROM tt")}, {relation_sql(name + '_rel', f'SELECT * FROM {name}s_sc')},
+{name}_over AS (SELECT x.question_id, x.dia_id, bool_or({bears} AND f <= (qf + interval 1 month)::date - 1 AND qf <= CASE p WHEN 'day' THEN f ELSE (f + interval 1 month)::date - 1 END) AS over_
+ FROM {name}s_sc x JOIN q2 USING (question_id) LEFT JOIN named ON named.conversation_id = x.conversation_id AND named.dia_id = x.dia_id GROUP BY ALL),
+{name}_r AS (SELECT question_id, conversation_id, dia_id, session, pos, {boost} AS time_overlap, round(raw * (CASE WHEN {boost} THEN 1.2::double ELSE 1 END * {guard}), 6) AS score
+ FROM {name}s_sc x JOIN tt USING (conversation_id, dia_id) JOIN q3 USING (question_id) JOIN {name}_rel USING (question_id, dia_id) JOIN {name}_over USING (question_id, dia_id) WHERE true {hard}),
+{name}_top AS (SELECT *, cast(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, session, pos) AS integer) AS rank, count(*) OVER (PARTITION BY question_id) AS candidates FROM {name}_r QUALIFY rank <= 5)"""
+
+
+def search_sql(profile: str) -> str:
+    return f"WITH {asked_sql()}, {search_ctes(profile)} SELECT question_id, rank, dia_id, score, time_overlap, candidates FROM _top"
+
+
+def reader_ctes(name: str = "") -> str:
+    """CTE name_read: question_id, answer, reason, from name_top."""
+    from .search import TERMS
+
+    return f"""{name}_qw AS (SELECT question_id, list_filter(list_distinct({TERMS}), lambda w: NOT list_contains(list_transform(people, lambda x: lower(x)), w)) AS terms FROM (SELECT question_id, people, question AS text FROM q2)),
+{name}_st AS (SELECT conversation_id, dia_id, anna, ben, planned, f, p, {TERMS} AS toks FROM (SELECT * EXCLUDE (sentence), sentence AS text FROM named) WHERE p IS NOT NULL),
+{name}_rd AS (SELECT t.question_id, f, p, len(list_distinct(list_intersect(terms, toks))) AS common FROM {name}_top t JOIN q3 USING (question_id) JOIN {name}_qw USING (question_id) JOIN {name}_st s ON s.conversation_id = t.conversation_id AND s.dia_id = t.dia_id
+ WHERE t.rank = 1 AND (subject IS NULL OR CASE subject WHEN 'Anna' THEN anna ELSE ben END) AND planned = regexp_matches(question, '(?i)\\b(will|plan|plans|planning|want|wants|hope|hopes)\\b')),
+{name}_bst AS (SELECT question_id, count(DISTINCT f) FILTER (p = 'day') AS days, count(*) FILTER (p <> 'day') AS coarse, min(f) AS day FROM (SELECT *, max(common) OVER (PARTITION BY question_id) AS most FROM {name}_rd WHERE common > 0) WHERE common = most GROUP BY ALL),
+{name}_read AS (SELECT q2.question_id, CASE WHEN ok AND days = 1 AND coarse = 0 THEN day END AS answer, CASE WHEN NOT ok THEN 'unsupported_question_or_no_evidence' WHEN days IS NULL THEN 'no_supported_time' WHEN NOT (days = 1 AND coarse = 0) THEN 'non_day_or_ambiguous_time' END AS reason
+ FROM (SELECT *, regexp_matches(question, '(?i)^when\\b') AND question_id IN (SELECT question_id FROM {name}_top) AS ok FROM q2) q2 LEFT JOIN {name}_bst USING (question_id))"""
+
+
+def context_sql(route: str) -> str:
+    """The fused context of a route: CTE fused with question_id, dia_id, rank, score."""
+    s = dialogue.settings(route)
+    near = f"SELECT conversation_id, dia_id, array_to_string(list(speaker || ': ' || text) OVER (PARTITION BY conversation_id, session ORDER BY pos ROWS BETWEEN {s['radius']} PRECEDING AND {s['radius']} FOLLOWING), ' ') AS text FROM turns"
+    score = "CASE WHEN mismatch AND NOT (lower(ltrim(question)) LIKE 'when %' AND qf IS NULL) THEN raw * 0.5::double ELSE raw END" if s["penalty"] else "raw"
+    return f"""WITH {asked_sql()}, {search_ctes('guarded')}, {conversation_scores('c', near)}, {relation_sql('crel', 'SELECT * FROM c_sc')},
+cr AS (SELECT question_id, dia_id, session, pos, row_number() OVER (PARTITION BY question_id ORDER BY {score} DESC, session, pos) AS context_rank FROM c_sc JOIN tt USING (conversation_id, dia_id) JOIN q3 USING (question_id) JOIN crel USING (question_id, dia_id)),
+bo AS (SELECT coalesce(b.question_id, cr.question_id) AS question_id, coalesce(b.dia_id, cr.dia_id) AS dia_id, coalesce(b.session, cr.session) AS session, coalesce(b.pos, cr.pos) AS pos, b.rank AS base_rank, context_rank FROM _top b FULL JOIN cr ON cr.question_id = b.question_id AND cr.dia_id = b.dia_id),
+fs AS (SELECT *, round(coalesce({1 - s['weight']}::double / ({s['constant']} + base_rank), 0) + coalesce({s['weight']}::double / ({s['constant']} + context_rank), 0), 9) AS score FROM bo),
+fused AS (SELECT question_id, dia_id, cast(row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN base_rank <= {min(s['kept'], 5)} THEN base_rank END NULLS LAST, score DESC, session, pos) AS integer) AS rank, score FROM fs QUALIFY rank <= 5)"""
+
+
+def bridge_ctes(route: str) -> str:
+    """CTE bridged: question_id, dia_id, rank, from _top."""
+    from .search import TERMS
+
+    s = dialogue.settings(route)
+    terms = lambda text, key: f"SELECT {key}, list_distinct({TERMS}) AS toks FROM (SELECT {key}, {text} AS text FROM turns)"
+    clause = "list_extract(regexp_split_to_array(trim(text), '[.!?][ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f][-–—][ \\t\\n\\r\\f]'), -1)"
+    share = lambda toks: f"coalesce(list_sum(list_transform(list_filter(ws, lambda x: list_contains({toks}, x.term)), lambda x: x.w)), 0) / coalesce(nullif(list_sum(list_transform(ws, lambda x: x.w)), 0), 1)"
+    return f"""
+bt AS ({terms("speaker || ': ' || text", 'conversation_id, dia_id')}), bdf AS (SELECT conversation_id, term, count(*) AS df FROM (SELECT conversation_id, unnest(toks) AS term FROM bt) GROUP BY ALL), btot AS (SELECT conversation_id, count(*) AS total FROM turns GROUP BY ALL),
+btx AS ({terms('text', 'conversation_id, dia_id')}), bcl AS ({terms(clause, 'conversation_id, dia_id')}),
+bw AS (SELECT question_id, list({{'term': term, 'w': ln(1 + (total + 0.5::double) / (coalesce(df, 0) + 0.5::double))}}) AS ws FROM qt JOIN q3 USING (question_id) JOIN btot USING (conversation_id) LEFT JOIN bdf USING (conversation_id, term) WHERE NOT list_contains(list_transform(people, lambda x: lower(x)), term) GROUP BY ALL),
+bf AS (SELECT question_id, CASE WHEN count(*) >= 5 AND max(score) FILTER (rank = 1) > 0 THEN min(score) / max(score) FILTER (rank = 1) ELSE 0 END AS tail FROM _top GROUP BY ALL),
+nx AS (SELECT conversation_id, dia_id, lead(dia_id) OVER w AS n_dia, lead(session) OVER w AS n_session, lead(speaker) OVER w AS n_speaker, lead(text) OVER w AS n_text FROM turns WINDOW w AS (PARTITION BY conversation_id ORDER BY session, pos)),
+bc AS (SELECT t.question_id, t.conversation_id, nx.n_dia AS dia_id, t.rank FROM _top t JOIN bf ON bf.question_id = t.question_id JOIN q3 ON q3.question_id = t.question_id JOIN tt ON tt.conversation_id = t.conversation_id AND tt.dia_id = t.dia_id JOIN nx ON nx.conversation_id = t.conversation_id AND nx.dia_id = t.dia_id LEFT JOIN bw ON bw.question_id = t.question_id
+ JOIN btx ON btx.conversation_id = t.conversation_id AND btx.dia_id = t.dia_id JOIN bcl ON bcl.conversation_id = t.conversation_id AND bcl.dia_id = t.dia_id JOIN btx nt ON nt.conversation_id = t.conversation_id AND nt.dia_id = nx.n_dia
+ WHERE t.rank <= 2 AND tail <= {s['tail']} AND rtrim(tt.text) LIKE '%?' AND {share('btx.toks')} >= {s['anchor']} AND (tail <= {s['aligned']} OR {share('bcl.toks')} >= {s['clause']}) AND n_session = t.session AND n_speaker <> speaker AND (subject IS NULL OR n_speaker = subject) AND NOT rtrim(n_text) LIKE '%?' AND len(nt.toks) >= 3),
+{relation_sql('brel', 'SELECT question_id, conversation_id, dia_id FROM bc')},
+bo AS (SELECT question_id, dia_id, 1 AS tier, rank AS place FROM bc JOIN brel USING (question_id, dia_id) WHERE NOT mismatch UNION ALL SELECT question_id, dia_id, CASE WHEN rank <= {min(s['kept'], 5)} THEN 0 ELSE 2 END, rank FROM _top),
+bridged AS (SELECT question_id, dia_id, cast(row_number() OVER (PARTITION BY question_id ORDER BY first, dia_id) AS integer) AS rank FROM (SELECT question_id, dia_id, min((tier, place)) AS first FROM bo GROUP BY ALL) QUALIFY rank <= 5)"""
+
+
+def rescue_ctes(route: str) -> str:
+    """CTE rescued: question_id, dia_id, rank, from _top."""
+    kept = min(dialogue.settings(route)["kept"], 5)
+    return f"""
+rm AS (SELECT DISTINCT question_id, dia_id FROM q2 JOIN named USING (conversation_id) WHERE subject IS NOT NULL AND qf IS NOT NULL AND p IS NOT NULL AND CASE subject WHEN 'Anna' THEN anna ELSE ben END AND planned = regexp_matches(question, '(?i)\\b(will|plan|plans|planning|want|wants|hope|hopes)\\b')
+ AND qf <= f AND CASE p WHEN 'day' THEN f ELSE (f + interval 1 month)::date - 1 END <= (qf + interval 1 month)::date - 1),
+ro AS (SELECT question_id, min(dia_id) AS dia_id FROM rm GROUP BY ALL HAVING count(*) = 1), rn AS (SELECT ro.* FROM ro ANTI JOIN _top USING (question_id, dia_id)),
+rx AS (SELECT t.question_id, t.dia_id, 0 AS tier, t.rank AS place FROM _top t LEFT JOIN rn ON rn.question_id = t.question_id WHERE rn.dia_id IS NULL OR t.rank <= {kept} UNION ALL SELECT question_id, dia_id, 1, 1 FROM rn),
+rescued AS (SELECT question_id, dia_id, cast(row_number() OVER (PARTITION BY question_id ORDER BY tier, place, dia_id) AS integer) AS rank FROM rx QUALIFY rank <= 5)"""
+
+
+ROUTE_SQL = {
+    "date_reader": f"WITH {asked_sql()}, {search_ctes('guarded')}, {reader_ctes()} SELECT question_id, answer, reason FROM _read",
+    "rrf_weighted_context": f"{context_sql('context_rrf')} SELECT question_id, rank, dia_id, score FROM fused",
+    "context_balanced": f"{context_sql('context_balanced')} SELECT question_id, rank, dia_id FROM fused",
+    "context_only": f"{context_sql('context_only')} SELECT question_id, rank, dia_id FROM fused",
+    "question_response_bridge": f"WITH {asked_sql()}, {search_ctes('guarded')}, {bridge_ctes('bridge_adaptive')} SELECT question_id, rank, dia_id FROM bridged",
+    "calendar_rescue": f"WITH {asked_sql()}, {search_ctes('guarded')}, {rescue_ctes('calendar_unique')} SELECT question_id, rank, dia_id FROM rescued",
+    "bridge_calendar": f"WITH {asked_sql()}, {search_ctes('guarded')}, {bridge_ctes('bridge_calendar')}, {rescue_ctes('bridge_calendar')} SELECT question_id, rank, dia_id FROM rescued JOIN q2 USING (question_id) WHERE qf IS NOT NULL UNION ALL SELECT question_id, rank, dia_id FROM bridged JOIN q2 USING (question_id) WHERE qf IS NULL",
+}
 
 
 DAY = "cast(o_orderdate AS date)"
@@ -151,7 +239,7 @@ def dates_sql(kind: str) -> str:
     return f"SELECT o_orderkey, {pick(0)} AS first_day, {pick(1)} AS last_day, {pick(2)} AS precision, {pick(3)} AS rule FROM orders WHERE {FILTERS[kind].replace('form', 'o_orderkey % 12')}"
 
 
-SQL = {f"dates_{k}": dates_sql(k) for k in FILTERS} | {f"{p}_search": search_sql(p) for p in dialogue.PROFILES} | {
+SQL = {f"dates_{k}": dates_sql(k) for k in FILTERS} | {f"{p}_search": search_sql(p) for p in dialogue.PROFILES} | ROUTE_SQL | {
     "sentence_events": f"WITH {EVENTS_SQL}, who AS (SELECT conversation_id, list(DISTINCT speaker) AS people FROM turns GROUP BY ALL) SELECT conversation_id, dia_id, sentence, array_to_string(list_filter(['Anna', 'Ben'], lambda x: list_contains(people, x) AND CASE x WHEN 'Anna' THEN anna ELSE ben END), ',') AS subjects, CASE WHEN planned THEN 'planned' ELSE 'reported' END AS modality, said AS normalized_time FROM named JOIN who USING (conversation_id)",
     "context_windows": f"WITH {tables.TURNS_SQL} SELECT conversation_id, dia_id, array_to_string(list(dia_id) OVER w, ',') AS context_ids, array_to_string(list(speaker || ': ' || text) OVER w, ' ') AS context FROM turns WINDOW w AS (PARTITION BY conversation_id, session ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
     "inventory_statistics": f"WITH {EVENTS_SQL}, t AS (SELECT conversation_id, count(*) AS n_turns FROM turns GROUP BY ALL) SELECT conversation_id, n_turns, count(*) AS n_events, count(p) AS n_dated, count(*) FILTER (planned) AS n_planned FROM named JOIN t USING (conversation_id) GROUP BY ALL",

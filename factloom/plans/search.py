@@ -116,7 +116,7 @@ def expected_scores(spark, sf_dir):
 
 def cluster_bootstrap(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "documents").select(F.col("source").alias("cluster"), (F.col("n_chars") % 3 - 1).cast("double").alias("delta"))
-    return metrics.cluster_bootstrap(spark, rows, samples=2000)
+    return metrics.cluster_bootstrap(spark, rows).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def token_statistics(spark, sf_dir):
@@ -149,6 +149,18 @@ WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
 QUERY = "SELECT item_id AS query_id, text FROM benchmark"
 
 
+def grouped_parts_sql(name: str, tokens: str, queries: str, docs: str) -> str:
+    """As parts_sql, for documents and queries that a column g splits into collections with statistics of their own."""
+    return f"""
+{name}_d AS (SELECT g, doc, {tokens} AS toks FROM ({docs})), {name}_l AS (SELECT g, doc, len(toks) AS len FROM {name}_d),
+{name}_w AS (SELECT g, count(*) AS total, coalesce(nullif(avg(len), 0), 1) AS mean FROM {name}_l GROUP BY ALL),
+{name}_p AS (SELECT g, doc, term, count(*) AS tf FROM (SELECT g, doc, unnest(toks) AS term FROM {name}_d) GROUP BY ALL),
+{name}_f AS (SELECT g, term, count(*) AS df FROM {name}_p GROUP BY ALL),
+{name}_q AS (SELECT query_id, g, term, count(*) AS qtf, min(place) AS first FROM (SELECT query_id, g, unnest(toks) AS term, generate_subscripts(toks, 1) AS place FROM (SELECT query_id, g, {tokens} AS toks FROM ({queries}))) GROUP BY ALL),
+{name} AS (SELECT query_id, doc, term, qtf, first, ln(1 + (total - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (len / mean))) AS part
+ FROM {name}_q JOIN {name}_p USING (g, term) JOIN {name}_f USING (g, term) JOIN {name}_l USING (g, doc) JOIN {name}_w USING (g))"""
+
+
 def parts_sql(name: str, tokens: str, number: str = "double", queries: str = QUERY, docs: str = "SELECT doc_id AS doc, text FROM documents") -> str:
     """CTE name: query_id, doc, term, qtf, first, part."""
     n = lambda x: f"cast({x} AS {number})"
@@ -199,6 +211,9 @@ SQL = {
     "hit_recall_mrr": f"WITH {GRADED} SELECT query_id, profile, hit, round(recall, 6) AS recall, round(mrr, 6) AS mrr, full_evidence FROM graded",
     "grouping_report": f"WITH {GRADED} SELECT profile, category, conversation, {MEANS} FROM graded GROUP BY GROUPING SETS ((profile), (profile, category), (profile, conversation))",
     "paired_wins": f"WITH {GRADED}, m AS (SELECT query_id, profile, 'hit' AS metric, hit::double AS v FROM graded UNION ALL SELECT query_id, profile, 'mrr', mrr FROM graded) SELECT a.profile, a.metric, count(*) FILTER (a.v > b.v) AS wins, count(*) FILTER (a.v < b.v) AS losses, count(*) FILTER (a.v = b.v) AS ties FROM m a JOIN m b ON a.query_id = b.query_id AND a.metric = b.metric AND a.profile = 'boosted' AND b.profile = 'plain' GROUP BY ALL",
+    "cluster_bootstrap": """WITH r AS (SELECT source AS cluster, cast(n_chars % 3 - 1 AS double) AS delta FROM documents), s AS (SELECT cluster, sum(delta) AS total, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS k, count(*) OVER () AS clusters FROM s),
+ d AS (SELECT i AS sample, cast('0x' || substr(md5('42/' || i || '/' || j), 1, 8) AS bigint) % (SELECT max(clusters) FROM c) AS k FROM range(10000) a(i), range((SELECT max(clusters) FROM c)) b(j)), m AS (SELECT sum(total) / sum(n) AS mean FROM d JOIN c USING (k) GROUP BY sample)
+ SELECT round((SELECT avg(delta) FROM r), 6) AS mean, round(quantile_disc(mean, 0.025), 6) AS low, round(quantile_disc(mean, 0.975), 6) AS high FROM m""",
     "percentiles": "SELECT l_returnflag, median(l_extendedprice) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS p95, count(l_extendedprice) AS n FROM lineitem GROUP BY ALL",
     "confusion": "WITH r AS (SELECT source, quality = 1 AS e, n_chars >= 1000 AS f FROM documents JOIN labels USING (doc_id)), c AS (SELECT source, count(*) FILTER (e AND f) AS tp, count(*) FILTER (f AND NOT e) AS fp, count(*) FILTER (e AND NOT f) AS fn FROM r GROUP BY ALL) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM c",
     "category_summary": f"WITH r AS (SELECT ({list(metrics.WEIGHTS)})[doc_id % 6 + 1] AS category, CASE WHEN n_chars > 800 THEN 1.0::double ELSE 0.25 END AS score FROM documents), e AS (SELECT category, count(*) AS n, count(*) FILTER (score > 0.999) AS passed, avg(score) AS average, sum(score) AS total FROM r GROUP BY ALL) SELECT category, n, passed, round(average, 6) AS average, NULL::double AS weighted FROM e UNION ALL SELECT NULL, sum(n)::bigint, sum(passed)::bigint, round(sum(total) / sum(n), 6), round(sum({_W}::double * average) / sum({_W}::double), 6) FROM e",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fx
+from factloom.operators.factgraph import TEMPLATES
 
 #: Event types as predicates.
 PREDICATES = {"signup": "exists", "purchase": "default", "click": "parameter_exists", "error": "signature", "view": "calls"}
@@ -114,3 +115,45 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers refer to parts: src, dst, is_call and the place of each line item."""
     item = table(spark, sf_dir, "lineitem")
     return item.select(F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("dst"), (F.col("l_returnflag") != "N").alias("is_call"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+
+
+def template_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence about each customer and nation, the customers taking the templates in turn: doc, text."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    people = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    plain = [t.replace("(?:state in|the)", "the") for t in TEMPLATES]
+    chosen = F.element_at(fx.strings(plain), (F.col("c_custkey") % len(plain) + 1).cast("int"))
+    said = F.replace(F.replace(chosen, F.lit("<s>"), F.col("c_name")), F.lit("<o>"), F.col("n_name"))
+    a = people.select((F.col("c_custkey") + 1000).alias("doc"), F.concat(said, F.when(F.col("c_custkey") % 2 == 0, ".").otherwise("")).alias("text"))
+    b = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("doc"), F.concat("n_name", F.lit(" is located in the continent of "), "r_name", F.lit(".")).alias("text"))
+    return a.unionByName(b)
+
+
+#: Lines that each customer's function takes in its nation's source.
+LINES = 5
+
+
+def code_projection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(symbols, relationships, occurrences, sources): a source for each nation, with a function for each of its customers.
+
+    A function calls the function of one customer and names another's; those with a balance implement their nation.
+    """
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.concat(F.lit("geo/nation"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c"), F.col("c_nationkey").cast("long").alias("n"), F.col("c_acctbal").alias("balance"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("n").orderBy("c")) - 1)
+    total = rows.agg(F.count("*").alias("total"))
+    rows = rows.join(nation, "n").crossJoin(F.broadcast(total)).select("*", ((F.col("c") * 7) % F.col("total") + 1).alias("calls"), ((F.col("c") * 11) % F.col("total") + 1).alias("names"))
+    symbol = lambda c: F.concat(F.lit("geo/customer"), F.col(c).cast("string"), F.lit("()."))
+    first = F.col("nth") * LINES
+    body = F.concat(F.lit("def customer"), F.col("c").cast("string"), F.lit("(x):\n    y = customer"), F.col("calls").cast("string"), F.lit("(x)\n    z = customer"), F.col("names").cast("string"), F.lit("\n    return y\n\n"))
+    sources = rows.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", body.alias("body")))), lambda x: x["body"]), "").alias("text"))
+    interface = F.concat(F.lit("geo/nation"), F.col("n").cast("string"), F.lit("#"))
+    symbols = rows.select(symbol("c").alias("id"), (F.col("c") + 1000).alias("ord"), F.col("path").alias("source_path")).unionByName(nation.select(interface.alias("id"), F.col("n").alias("ord"), F.col("path").alias("source_path")))
+    related = rows.select(symbol("c").alias("id"), interface.alias("target"), (F.col("balance") > 0).alias("is_implementation"))
+    wide = lambda c: F.length(F.concat(F.lit("customer"), F.col(c).cast("string")))
+    place = lambda line, start, size: F.array(first + line, F.lit(start), F.lit(start) + size).cast("array<int>")
+    one = lambda number, name, defines, at, around: F.struct(F.struct(F.col("nth"), F.lit(number).alias("part")).alias("point"), name.alias("symbol"), F.lit(defines).alias("is_definition"), at.alias("range"), around.alias("enclosing"))
+    none = F.lit(None).cast("array<int>")
+    whole = F.array(first, F.lit(0), first + LINES - 1, F.lit(0)).cast("array<int>")
+    found = F.array(one(0, symbol("c"), True, place(0, 4, wide("c")), whole), one(1, symbol("calls"), False, place(1, 8, wide("calls")), none), one(2, symbol("names"), False, place(2, 8, wide("names")), none))
+    return symbols, related, rows.select("path", F.explode(found).alias("o")).select("path", "o.*"), sources
