@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom import session
 
-from . import code, dialogue, journal, search
+from . import code, dialogue, evaluation, journal, search
 
-PARTS = (journal, search, dialogue, code)
+PARTS = (journal, search, dialogue, code, evaluation)
 
 
 def prepared(query):

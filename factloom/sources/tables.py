@@ -157,3 +157,25 @@ def code_projection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     whole = F.array(first, F.lit(0), first + LINES - 1, F.lit(0)).cast("array<int>")
     found = F.array(one(0, symbol("c"), True, place(0, 4, wide("c")), whole), one(1, symbol("calls"), False, place(1, 8, wide("calls")), none), one(2, symbol("names"), False, place(2, 8, wide("names")), none))
     return symbols, related, rows.select("path", F.explode(found).alias("o")).select("path", "o.*"), sources
+
+
+def question_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of questions(): category 1 to 5, raw evidence (the next turn and the third one on, some with leading zeros, empty or of no turn) and an answer.
+
+    question_id, conversation_id, question, category, evidence, answer_text
+    """
+    t = turns(spark, sf_dir).select(F.concat_ws("/", F.col("conversation_id").cast("string"), "dia_id").alias("question_id"), "session", "pos", "session_date")
+    zero = F.when(F.col("pos") % 3 == 1, "D0").otherwise("D")
+    own = F.concat(zero, F.col("session").cast("string"), F.lit(":"), (F.col("pos") + 1).cast("string"), F.lit("; D"), F.col("session").cast("string"), F.lit(":"), (F.col("pos") + 3).cast("string"))
+    evidence = F.when(F.col("pos") % 7 == 0, F.array().cast("array<string>")).when(F.col("pos") % 11 == 0, F.array(F.lit("D99:1"))).otherwise(F.array(own))
+    said = F.when(F.col("pos") % 2 == 0, F.date_format("session_date", "d MMMM, yyyy")).otherwise("nobody knows")
+    rows = t.select("question_id", (F.col("pos") % 5 + 1).cast("int").alias("category"), evidence.alias("evidence"), said.alias("answer_text"))
+    return questions(spark, sf_dir).join(rows, "question_id")
+
+
+LABELS_SQL = """
+labels AS (SELECT question_id, cast(pos % 5 + 1 AS integer) AS category, pos, session,
+  CASE WHEN pos % 7 = 0 THEN []::varchar[] WHEN pos % 11 = 0 THEN ['D99:1'] ELSE list_sort(['D' || session || ':' || (pos + 1), 'D' || session || ':' || (pos + 3)]) END AS gold,
+  pos % 7 <> 0 AND pos % 11 <> 0 AND pos % 3 = 1 AS padded,
+  CASE WHEN pos % 2 = 0 THEN session_date END AS said_day
+ FROM (SELECT *, cast(conversation_id AS varchar) || '/' || dia_id AS question_id FROM turns))"""
