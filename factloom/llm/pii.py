@@ -104,7 +104,7 @@ def may_hold(kind: str, text: str) -> Column:
 
 
 def score(kind: str, before: Column, after: Column) -> Column:
-    """The kind's score, raised where one of its words stands within NEAR characters before or after."""
+    """The kind's score, raised where one of its words stands within NEAR characters before or after, up to the next match of the kind."""
     around = F.lower(F.concat(F.right(before, F.lit(NEAR)), F.lit(" "), F.left(after, F.lit(NEAR))))
     return F.when(around.rlike("|".join(WORDS[kind])), SCORE[kind][1]).otherwise(SCORE[kind][0])
 

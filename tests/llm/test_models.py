@@ -99,9 +99,72 @@ def test_subwords_of_texts_do_not_depend_on_their_neighbours():
     for i, t in enumerate(texts):
         alone, _, m = toxicity.subwords([t])
         first, last = n[:i].sum(), n[: i + 1].sum()
-        for (gt, st), (ga, sa) in zip(together, alone, strict=False):
+        for (gt, st, wt), (ga, sa, wa) in zip(together, alone, strict=False):
             here = (st >= first) & (st < last)
-            assert sorted(zip(gt[here].tolist(), (st[here] - first).tolist(), strict=True)) == sorted(zip(ga.tolist(), sa.tolist(), strict=True))
+            assert wt == wa and sorted(zip(gt[here].tolist(), (st[here] - first).tolist(), strict=True)) == sorted(zip(ga.tolist(), sa.tolist(), strict=True))
+
+
+def plain_margins(text, model, bias):
+    """Span margins of one text, word by word."""
+    words, spans = [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()], {}
+    n = -(-len(words) // toxicity.SPAN)
+    for k, word in enumerate(words):
+        held = spans.setdefault(k * n // len(words), [])
+        padded = f" {word} "
+        for size in toxicity.ORDERS:
+            for at in range(len(padded) - size + 1):
+                h = 0
+                for c in padded[at : at + size]:
+                    h = (h * 0x01000193 + ord(c) * 0x9E3779B1) % (1 << 32)
+                h = (h ^ (h >> 15)) * 0x85EBCA6B % (1 << 32)
+                held.append(model[h >> 14])
+        mixed = lambda x: int(textkernel.mixed(np.array([x], dtype=np.uint64))[0])
+        whole = sum(mixed(ord(c)) * int(p) for c, p in zip(word, textkernel.powers(len(word)), strict=True)) % (1 << 64)
+        held += [model[mixed(whole) >> 46]] * toxicity.WHOLE
+    return [sum(spans[s]) / len(spans[s]) + bias for s in sorted(spans)]
+
+
+def test_toxicity_margins_equal_a_plain_loop():
+    model = np.random.default_rng(4).normal(size=toxicity.BUCKETS)
+    texts = ["", "A", "one two, three-four; FIVE six seven", "é ß 日本語 x1 y2", "  lead and trail  ", "a b c d e f g h i j k"]
+    margin, of = toxicity.margins_of(texts, model, 0.25)
+    for i, text in enumerate(texts):
+        assert np.allclose(margin[of == i], plain_margins(text, model, 0.25))
+
+
+def test_votes_equal_brute_force(spark):
+    docs, labels = corpus(spark)
+    model = quality.learned(docs, labels)
+    projection, known, label = model
+    rows = quality.scored(docs.limit(40), model).collect()
+    for r in rows:
+        latent = quality.term_weights(r.text) @ projection
+        latent = latent / np.linalg.norm(latent)
+        near = sorted(((float(latent @ k), float(y)) for k, y in zip(known, label, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        weight = [max(c, 0.0) ** 4 for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weight, near, strict=True)) / sum(weight)
+        assert abs(r.score - want) < 1e-3
+    assert all(quality.term_weights(t)[: quality.WORDS].any() for t in ("lamp", "Lamp river"))
+
+
+def test_wrong_labels_do_not_lead_the_toxicity_model(spark):
+    """One toxic label in ten stands at a clean text."""
+    docs, labels = corpus(spark)
+    noisy = labels.selectExpr("doc_id", "quality", "CASE WHEN doc_id % 30 = 1 THEN 1 ELSE toxic END AS toxic")
+    held = docs.join(labels, "doc_id").where("crc32(cast(doc_id AS string)) % 3 = 1")
+    rows = toxicity.scored(held.drop("quality", "toxic"), toxicity.learned(docs, noisy)).join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in rows]) > 0.93
+
+
+@pytest.mark.parametrize("operator", ["language", "quality", "toxicity"])
+def test_models_on_empty_tables_odd_rows_and_clashing_names(spark, operator):
+    docs, labels = corpus(spark)
+    tagged = docs.selectExpr("*", "CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS lang")
+    run = {"language": lambda d: langid.predicted(d, langid.learned(tagged)), "quality": lambda d: quality.scored(d, quality.learned(docs, labels)), "toxicity": lambda d: toxicity.scored(d, toxicity.learned(docs, labels))}[operator]
+    assert run(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (None, ""), (2, "!!!"), (2, "!!!"), (3, "river stone " * 100_000)], "doc_id long, text string").selectExpr("*", "'x' AS score", "'y' AS predicted", "1 AS __text", "'z' AS lang_pred")
+    rows = run(odd).collect()
+    assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and {r["__text"] for r in rows} == {1} and len({r.score for r in rows if r.doc_id == 2}) == 1
 
 
 def test_word_hashes_are_those_of_each_text_alone():
