@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame
@@ -34,13 +36,18 @@ def get(runs: DataFrame, run_id: str) -> str:
     return row["payload"]
 
 
+def recall_key(rules: str, revision: int, at: int, known: str, scope: dict, entity: str | None, mode: str) -> str:
+    """The digest of all that a recall depends on: rules, revision and coordinates."""
+    return hashlib.sha256(json.dumps([rules, revision, at, known, scope, entity, mode], ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 class Recalls:
-    """The last recalls by revision and coordinates, as persisted tables; the oldest is let go beyond a size."""
+    """The last recalls by recall_key(), as persisted tables; the oldest is let go beyond a size."""
 
     def __init__(self, size: int = 128):
         self.size, self.held = size, OrderedDict()
 
-    def get(self, key: tuple, make) -> tuple[DataFrame, bool]:
+    def get(self, key: str, make) -> tuple[DataFrame, bool]:
         """(table, whether it was held)."""
         hit = key in self.held
         if not hit:

@@ -98,6 +98,28 @@ def workspace_trace(spark, sf_dir):
     return workspace.trace(facts, replaced, here, entity="user-7", predicate="exists").select("id", "reason")
 
 
+REQUESTS = ((0, 0, "user-7", "exists"), (1, 60, "user-7", "exists"), (2, 700, "user-3", "default"), (3, 900, "user-3", "calls"))
+
+
+def workspace_snapshots(spark, sf_dir):
+    """How some subjects of one environment stand after so many events of its history."""
+    facts = tables.assertions(spark, sf_dir)
+    replaced = journal.replacements(tables.proposed_replacements(facts), facts).withColumn("id", F.concat(F.lit("after-"), F.col("old_id").cast("string")))
+    rows = [(n, "events", "main", "env-0", AT, place, "2023-12-31 00:00:00", entity, predicate) for n, place, entity, predicate in REQUESTS]
+    asked = spark.createDataFrame(rows, "coordinate int, repository string, branch string, environment string, at long, position long, created string, entity string, predicate string").withColumn("created", F.to_timestamp("created"))
+    return workspace.snapshots(facts, replaced, asked).withColumn("known", F.col("known").cast("timestamp_ntz"))
+
+
+def seeded_recall(spark, sf_dir):
+    """Controlled cases made of all parts: what is known of each at two positions and three times."""
+    cases = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("case_id"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("entity"), F.col("p_size").cast("string").alias("original"), (F.col("p_size") + 1).cast("string").alias("changed"), F.lit("part.csv").alias("source"), F.col("p_name").alias("text"))
+    facts, proposals = workspace.seeded(cases)
+    facts = facts.checkpoint()
+    replaced = journal.replacements(proposals.checkpoint(), facts)
+    rows = journal.derived(facts, replaced, workspace.knowledge_coordinates(spark, [0, 1]))
+    return rows.select("case_id", "kind", "coordinate", "status")
+
+
 FACTS_SQL = """
 facts AS (
  SELECT event_id AS id, 'user-' || cast(user_id AS varchar) AS entity,
@@ -115,11 +137,11 @@ judged AS (SELECT *, CASE WHEN effective IS NULL THEN 'effective'
 replaced AS (SELECT id AS old_id, new_id, effective, replaced_at FROM judged WHERE refusal IS NULL)"""
 
 
-def recall_sql(places) -> str:
-    """The CTE rows: facts known at each coordinate with their status."""
+def recall_sql(places, coordinates: str | None = None) -> str:
+    """The CTE rows: facts known at each coordinate with their status. coordinates: the CTE c in place of stated places."""
     values = ", ".join(f"({n}, {at}, timestamp '{known}')" for n, at, known in places)
     return f"""{FACTS_SQL},
-c(coordinate, pos, known) AS (VALUES {values}),
+{coordinates or f"c(coordinate, pos, known) AS (VALUES {values})"},
 ends AS (SELECT coordinate, old_id, min(effective) AS f, count(*) FILTER (effective <= pos) AS n FROM replaced, c WHERE replaced_at <= known GROUP BY ALL),
 derived AS (SELECT c.*, facts.*, coalesce(ends.n, 0) AS n_superseding, least(valid_to, ends.f) AS effective_to FROM facts JOIN c ON recorded_at <= known LEFT JOIN ends ON ends.coordinate = c.coordinate AND old_id = id WHERE environment = 'env-0'),
 shown AS (SELECT *, CASE WHEN valid_from IS NULL THEN 'unknown_validity' WHEN pos < valid_from THEN 'not_yet_valid'
@@ -157,8 +179,11 @@ SELECT *, CASE WHEN n_conflicts > 0 THEN 'conflict' WHEN n_selected > 0 THEN 'su
 
 QUERIES = {f"recall_{m}": recall(m) for m in journal.MODES} | {
     f.__name__: f
-    for f in (recall_known_then_vs_now, situation_matrix, effective_intervals, conflict_pairs, pair_diagnosis_histogram, assertion_ids, journal_dedup, supersede_validation, replacement_reachability, event_timeline, workspace_trace)
+    for f in (recall_known_then_vs_now, situation_matrix, effective_intervals, conflict_pairs, pair_diagnosis_histogram, assertion_ids, journal_dedup, supersede_validation, replacement_reachability, event_timeline, workspace_trace, workspace_snapshots, seeded_recall)
 }
+_ASKED = ", ".join(f"({n}, {place}, '{entity}', '{predicate}')" for n, place, entity, predicate in REQUESTS)
+CUTOFF_SQL = f"""tl AS (SELECT recorded_at, row_number() OVER (ORDER BY recorded_at, ref) AS place FROM (SELECT cast(id AS varchar) AS ref, recorded_at FROM facts WHERE environment = 'env-0' UNION ALL SELECT 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id WHERE environment = 'env-0')),
+asked(coordinate, place, about, wanted) AS (VALUES {_ASKED}), c AS (SELECT coordinate, {AT} AS pos, coalesce(tl.recorded_at, timestamp '2023-12-31') AS known, about, wanted FROM asked LEFT JOIN tl USING (place))"""
 SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "recall_known_then_vs_now": f"WITH {recall_sql([(0, AT, '2024-01-10 00:00:00'), (1, AT, '2024-01-31 00:00:00')])}, p AS (SELECT id, max(status) FILTER (coordinate = 0) AS then_status, max(status) FILTER (coordinate = 1) AS now_status FROM shown GROUP BY id) SELECT then_status, now_status, count(*) AS n FROM p GROUP BY ALL",
     "situation_matrix": matrix_sql(),
@@ -171,6 +196,11 @@ SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "replacement_reachability": f"WITH RECURSIVE {FACTS_SQL}, e AS (SELECT r.old_id, r.new_id FROM replaced r JOIN facts ON id = old_id), r AS (SELECT old_id AS source, new_id AS node FROM e UNION SELECT source, new_id FROM r JOIN e ON node = old_id) SELECT source, count(*) AS n_after, max(node) AS last_node FROM r GROUP BY ALL",
     "event_timeline": f"""WITH {FACTS_SQL}, ev AS (SELECT environment, 'assertion' AS kind, cast(id AS varchar) AS ref, recorded_at FROM facts UNION ALL SELECT environment, 'replacement', 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id)
 SELECT *, row_number() OVER (PARTITION BY environment ORDER BY recorded_at, ref) AS place FROM ev""",
+    "workspace_snapshots": f"""WITH {recall_sql([], CUTOFF_SQL)}, mine AS (SELECT * FROM shown WHERE entity = about AND predicate = wanted AND status = 'active'),
+ nc AS (SELECT met.coordinate, count(*) AS n FROM met JOIN mine a ON a.coordinate = met.coordinate AND a.id = left_id JOIN mine b ON b.coordinate = met.coordinate AND b.id = right_id WHERE diagnosis = 'conflict' GROUP BY ALL), ns AS (SELECT coordinate, count(*) AS n FROM mine GROUP BY ALL)
+ SELECT c.coordinate, c.known, coalesce(ns.n, 0) AS n_selected, coalesce(nc.n, 0) AS n_conflicts, CASE WHEN coalesce(nc.n, 0) > 0 THEN 'conflict' WHEN coalesce(ns.n, 0) > 0 THEN 'supported' ELSE 'unknown' END AS answer FROM c LEFT JOIN ns ON ns.coordinate = c.coordinate LEFT JOIN nc ON nc.coordinate = c.coordinate""",
+    "seeded_recall": """WITH s(pos, step) AS (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)) SELECT p_partkey AS case_id, 'original' AS kind, cast(10 * pos + step AS integer) AS coordinate, CASE WHEN pos = 1 AND step = 2 THEN 'superseded' ELSE 'active' END AS status FROM part, s
+ UNION ALL SELECT p_partkey, 'changed', cast(10 * pos + step AS integer), CASE WHEN pos = 1 THEN 'active' ELSE 'not_yet_valid' END FROM part, s WHERE step > 0""",
     "workspace_trace": f"""WITH {FACTS_SQL}, ends AS (SELECT old_id, min(effective) AS f, count(*) FILTER (effective <= {AT}) AS n FROM replaced WHERE replaced_at <= timestamp '{KNOWN}' GROUP BY ALL)
 SELECT id, CASE WHEN recorded_at > timestamp '{KNOWN}' THEN 'not_known' WHEN environment <> 'env-0' THEN 'different_environment' WHEN entity <> 'user-7' THEN 'different_entity' WHEN predicate <> 'exists' THEN 'different_predicate'
  WHEN valid_from IS NULL THEN 'unknown_validity' WHEN {AT} < valid_from THEN 'not_yet_valid' WHEN {AT} >= least(valid_to, f) THEN CASE WHEN coalesce(n, 0) > 0 THEN 'superseded' ELSE 'expired' END ELSE 'active' END AS reason

@@ -20,7 +20,7 @@ from factloom.operators import journal, runs
 FACTS = "entity string, predicate string, value_json string, repository string, branch string, environment string, valid_from long, valid_to long, recorded_at timestamp, evidence_json string, negated boolean"
 PROPOSALS = "old_id string, new_id string, effective long, recorded_at timestamp"
 #: The journal's tables; write is a name of its own for each append.
-TABLES = {"facts": f"{FACTS}, id string, write string", "replacements": f"{PROPOSALS}, id string, write string", "runs": f"{runs.SCHEMA}, write string"}
+TABLES = {"facts": f"{FACTS}, id string, write string", "replacements": f"{PROPOSALS}, id string, write string", "runs": f"{runs.SCHEMA}, write string", "rooms": "id string, created timestamp, write string"}
 
 
 def held(spark: SparkSession, path: str, table: str = "facts") -> DataFrame:

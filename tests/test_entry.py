@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_every_query_of_the_engine_has_sql_or_is_known_to_have_none():
     from factloom.plans import registry
 
-    without = {"cluster_bootstrap", "date_reader", "rrf_weighted_context", "question_response_bridge", "calendar_rescue", "bridge_calendar", "context_balanced", "context_only", "call_targets", "code_routes"}
+    without = {"evaluation_checks", "ranking_digests"}
     assert set(registry.queries()) - set(registry.oracle_sql()) == without and set(registry.oracle_sql()) <= set(registry.queries())
 
 
@@ -24,6 +24,26 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
+def test_entry_imports_with_an_empty_folder_left(tmp_path):
+    import shutil
+
+    shutil.copytree(ROOT / "factloom", tmp_path / "factloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "factloom" / "llm").mkdir()
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'pipeline' not in e.queries()"], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_errors_within_the_subpackage_are_raised(tmp_path):
+    import shutil
+
+    shutil.copytree(ROOT / "factloom", tmp_path / "factloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "factloom" / "llm").mkdir()
+    (tmp_path / "factloom" / "llm" / "registry.py").write_text("import no_such_module\n")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode != 0 and "no_such_module" in done.stderr
+
+
 def test_flagship(spark):
     import __spark_entry__
 

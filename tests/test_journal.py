@@ -116,7 +116,7 @@ def test_runs_are_immutable(spark):
 def test_recalls_are_held_by_key(spark):
     held = runs.Recalls(1)
     make = lambda: spark.range(3)
-    assert [held.get(("a",), make)[1], held.get(("a",), make)[1], held.get(("b",), make)[1], held.get(("a",), make)[1]] == [False, True, False, False]
+    assert [held.get("a", make)[1], held.get("a", make)[1], held.get("b", make)[1], held.get("a", make)[1]] == [False, True, False, False]
 
 
 def test_workspace_guards_and_trace(spark):

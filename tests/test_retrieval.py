@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom import session
 from factloom.functions import text as fx
-from factloom.operators import codegraph, codesearch, dates, dialogue, factgraph, fusion, lexical, metrics
+from factloom.operators import codegraph, codesearch, dates, dialogue, factgraph, fusion, journal, lexical, metrics
 from factloom.sources import files
+from factloom.streaming import journal_stream
 
 
 @pytest.fixture(autouse=True)
@@ -189,14 +190,94 @@ def test_manifest_and_sources(spark, tmp_path):
 
 
 def test_routes_fall_back_to_words(spark):
-    docs = spark.createDataFrame([(0, "a/readFile().", "read file open"), (1, "a/closeFile().", "close file"), (2, "a/other().", "nothing")], "doc long, id string, text string")
-    queries = spark.createDataFrame([("s", "who calls readFile"), ("w", "close file")], "query_id string, text string")
+    docs = spark.createDataFrame([(0, "a/readFile().", "read file open"), (1, "a/closeFile().", "close file"), (2, "a/other().", "nothing"), (3, "a/more().", "more")], "doc long, id string, text string")
+    queries = spark.createDataFrame([("s", "who calls readFile", "a/readFile()."), ("w", "close file", "a/none().")], "query_id string, text string, target string")
     found = spark.createDataFrame([("s", "a/other().", 1, 2), ("s", "a/closeFile().", 2, 1)], "query_id string, id string, place int, frequency int")
     degrees = spark.createDataFrame([("a/other().", 5)], "id string, degree long")
     rows = codesearch.routed(queries, found, docs, degrees, "callers").collect()
     assert [(r.id, r.route) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "s"] == [("a/other().", "structural"), ("a/closeFile().", "structural")]
-    assert [(r.id, r.route) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "w"][0] == ("a/closeFile().", "lexical_fallback")
+    words = [(r.id, r.route, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "w"]
+    assert words == [(i, "bm25_fallback", round(1 / (61 + n), 9)) for n, i in enumerate(["a/closeFile().", "a/readFile().", "a/other().", "a/more()."])]
     assert all(len(r.signals) == (5 if r.query_id == "s" else 0) for r in rows)
     assert {r.query_id for r in codesearch.routed(queries, found, docs, degrees, "lookup").collect()} == {"s"}
-    dense = spark.createDataFrame([("w", 2, 1)], "query_id string, doc long, rank int")
-    assert "a/other()." in [r.id for r in codesearch.routed(queries, found, docs, degrees, "callers", dense).collect() if r.query_id == "w"]
+    overlap = {r.id: r.overlap for r in codesearch.id_overlap(queries, found).collect()}
+    assert overlap == {"a/other().": 1, "a/closeFile().": 2}
+    dense = spark.createDataFrame([("w", 3, 1)], "query_id string, doc long, rank int")
+    assert codesearch.fallback(queries.where("query_id = 'w'"), docs.select("doc", "text"), dense).orderBy("rank").first().doc == 3
+
+
+def test_bridge_keeps_questions_that_name_people_only(spark):
+    turns = talk(spark, (1, 1, "Ann", "Bob, are you there?"), (1, 2, "Bob", "Here near the old harbour."), (2, 1, "Ann", "Fine."))
+    eps = dialogue.episodes(turns).cache()
+    settings = dialogue.settings("answer_bridge") | {"kept": 1}
+    got = dialogue.bridged(ask(spark, eps, "Bob?"), eps, settings).collect()
+    assert "D1:2" in [r.dia_id for r in got]
+    assert [r.tier for r in dialogue.bridged(ask(spark, eps, "Bob?"), eps, settings | {"anchor": 0.1}).collect()].count(1) == 0
+
+
+def test_episodes_and_employment_become_facts(spark, tmp_path):
+    turns = talk(spark, (1, 1, "Ann", "I work at Blue Mill."), (2, 1, "Ann", "I no longer work at Blue Mill."), (2, 2, "Bob", "Oh."))
+    eps = dialogue.episodes(turns).cache()
+    path = str(tmp_path / "journal")
+    journal_stream.append(dialogue.episode_facts(eps), path)
+    assert journal_stream.held(spark, path).where("predicate = 'episode'").count() == 3
+    said = journal.identified(dialogue.employment_facts(turns)).cache()
+    journal_stream.append(said.drop("id", "session", "pos"), path)
+    journal_stream.supersede(dialogue.employment_changes(said), path)
+    here = spark.createDataFrame([(0, 1, "1", "conversation-history", "source-local-time"), (1, 2, "1", "conversation-history", "source-local-time")], "coordinate int, at long, repository string, branch string, environment string").withColumn("known", F.lit("2030-01-01").cast("timestamp"))
+    rows = journal.derived(journal_stream.held(spark, path), journal_stream.held(spark, path, "replacements"), here).where("predicate = 'exists'")
+    assert {(r.coordinate, r.value_json): r.status for r in rows.collect()} == {(0, "true"): "active", (0, "false"): "not_yet_valid", (1, "true"): "superseded", (1, "false"): "active"}
+    other = dialogue.episodes(talk(spark, (1, 1, "Ann", "I work at Blue Mill!"), (2, 1, "Ann", "I no longer work at Blue Mill."), (2, 2, "Bob", "Oh.")))
+    assert dialogue.index_hashes(eps).first().index_hash != dialogue.index_hashes(other).first().index_hash and dialogue.index_hashes(eps).collect() == dialogue.index_hashes(eps.repartition(3)).collect()
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("what by May 2024?", "2024-05-31 23:59:59"), ("on Feb 31, 2023 or 2022-01-01", "2023-02-28 23:59:59"), ("as of 2024-02-29", "2024-02-29 23:59:59"), ("nothing", "2021-01-01 10:00:00")],
+)
+def test_question_times(spark, text, want):
+    got = one(spark, fx.question_time(F.lit(text), F.lit("2021-01-01 10:00:00").cast("timestamp")).cast("string"))
+    assert got == want
+
+
+def test_memory_times(spark):
+    assert str(one(spark, fx.memory_time(F.lit("Sep 4, 2025, 19:05:11")))) == "2025-09-04 19:05:11" and one(spark, fx.memory_time(F.lit(None).cast("string"))) is None
+    with pytest.raises(Exception, match="not a memory time"):
+        one(spark, fx.memory_time(F.lit("yesterday")))
+    assert str(one(spark, dates.session_time(F.lit("1:56 pm on 8 May, 2023")))) == "2023-05-08 13:56:00"
+
+
+def test_snapshots_do_not_see_later_updates(spark):
+    rows = [("u", 1, 1, "likes tea", 10, []), ("u", 2, 2, "likes milk", 20, ["likes tea"]), ("u", 3, 3, "has a cat", 30, [])]
+    points = factgraph.snapshot_links(spark.createDataFrame(rows, "owner string, session int, pos int, text string, since int, closes array<string>"))
+    questions = spark.createDataFrame([(1, "u", 1, "what likes tea", 100), (2, "u", 2, "what likes tea", 100)], "question_id int, owner string, session int, text string, at int")
+    found = factgraph.memory_search(points, questions)
+    got = {(r.question_id, r.arm): [(x.point, x.stale) for x in sorted(found.where((F.col("question_id") == r.question_id) & (F.col("arm") == r.arm)).collect(), key=lambda x: x["rank"])] for r in found.select("question_id", "arm").distinct().collect()}
+    assert got == {(1, "flat"): [(1, False)], (1, "temporal"): [(1, False)], (2, "flat"): [(1, True), (2, False)], (2, "temporal"): [(2, False)]}
+    evidence = spark.createDataFrame([(1, ["Likes tea!"]), (2, ["likes tea"])], "question_id int, evidence array<string>")
+    scores = factgraph.memory_metrics(found, points, evidence)
+    assert {(r.question_id, r.arm): (r.hit, r.recall, r.stale) for r in scores.collect()} == {(1, "flat"): (True, 1.0, 0), (1, "temporal"): (True, 1.0, 0), (2, "flat"): (True, 1.0, 1), (2, "temporal"): (False, 0.0, 0)}
+    total = factgraph.memory_report(scores, spark.createDataFrame([(1, "a"), (2, "b")], "question_id int, type string")).where("type IS NULL").first()
+    assert (total.n, total.wins, total.losses, total.flat_stale_slots, total.temporal_stale_slots) == (2, 0, 1, 1, 0)
+
+
+def test_every_template_gives_its_ends(spark):
+    rows = [(n, t.replace("(?:state in|the)", "the").replace("<s>", "Ada B").replace("<o>", "Cy D") + "." * (n % 2)) for n, t in enumerate(factgraph.TEMPLATES)] + [(99, "Nothing fits"), (100, None)]
+    got = {r.doc: (r.e and (r.e.s, r.e.o)) for r in spark.createDataFrame(rows, "doc int, text string").select("doc", factgraph.endpoints(F.col("text")).alias("e")).collect()}
+    assert got == {n: ("ada b", "cy d") for n in range(len(factgraph.TEMPLATES))} | {99: None, 100: None}
+
+
+def test_closed_memories_in_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [("u", "x", datetime(2024, 1, d), shuts) for d, shuts in ((1, False), (2, False), (3, True), (4, True), (5, True))]
+    spark.createDataFrame(rows, "owner string, key string, since timestamp, shuts boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("owner string, key string, since timestamp, shuts boolean").parquet(str(tmp_path / "in"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = journal_stream.linked(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    assert sorted((r.since.day, r.until.day) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 4), (2, 3)]
