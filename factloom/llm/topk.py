@@ -18,6 +18,8 @@ from . import common
 
 #: Pivots; vectors that pivots are chosen from and that give each query its first threshold; vectors in a candidate group, queries in a block.
 PIVOTS, SAMPLE, GROUP, BLOCK = 32, 512, 2048, 8192
+#: Parts that queries are dealt to when they meet the groups' bounds.
+DEALS = 32
 #: Candidates that are evaluated between two tests of the stopping rule.
 STRIDE = 64
 
@@ -124,7 +126,10 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     block = F.pmod(F.xxhash64(F.lit(2), "row"), F.col("blocks")).cast("int")
     asks = grouped.where("is_query").join(asked, "dim").select("dim", "row", "vec_id", "v", F.col("qdist").alias("dist"), F.lit(True).alias("asks"), "floor", "norm", "most", block.alias("b"))
     gap = F.aggregate(F.arrays_zip("dist", "low", "high"), F.lit(0.0), lambda a, z: F.greatest(a, F.coalesce(z["dist"] - z["high"], F.lit(0.0)), F.coalesce(z["low"] - z["dist"], F.lit(0.0))))
-    sent = asks.join(groups, "dim").where(F.col("floor").isNull() | (upper_bound(F.col("norm"), F.col("most"), gap) >= F.col("floor"))).drop("low", "high")
+    # one length is one key: queries are dealt to parts that all groups' bounds are copied to
+    asks = asks.withColumn("deal", F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(DEALS)).cast("int"))
+    dealt = groups.withColumn("deal", F.explode(F.array(*map(F.lit, range(DEALS)))))
+    sent = asks.join(dealt, ["dim", "deal"]).where(F.col("floor").isNull() | (upper_bound(F.col("norm"), F.col("most"), gap) >= F.col("floor"))).drop("low", "high", "deal")
     wanted = sent.select("dim", "near", "part", "b").distinct()
     held = grouped.select("dim", "near", "part", "row", "vec_id", "v", "dist", F.lit(False).alias("asks"), F.lit(None).cast("long").alias("floor"), "norm", "most").join(wanted, ["dim", "near", "part"])
 
