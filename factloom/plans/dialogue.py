@@ -32,6 +32,15 @@ def dates_found(kind):
     return query
 
 
+def dates_mixed(spark, sf_dir):
+    """Sentences with several spans, some inside others: which rule claims which place, in order of place."""
+    o = tables.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    f = lambda p: F.date_format("day", p)
+    text = F.concat(F.lit("Tomorrow, not on "), f("d MMMM yyyy"), F.lit(" or in "), f("MMM yyyy"), F.lit(" or "), f("yyyy"), F.lit(", the day before yesterday; 2 years ago, today, last year."))
+    rows = o.withColumn("text", text).select("o_orderkey", F.posexplode(dates.times("text", "day")).alias("place", "t"))
+    return rows.select("o_orderkey", "place", F.col("t.offset").alias("offset"), F.col("t.expression").alias("expression"), F.col("t.rule").alias("rule"), F.col("t.first").alias("first_day"), F.col("t.last").alias("last_day"))
+
+
 FILTERS = {"explicit": "form IN (0, 1, 3)", "month": "form = 2", "relative": "form IN (4, 5, 8)", "ago_week": "form IN (6, 7)", "period": "form IN (9, 10, 11)"}
 
 
@@ -90,7 +99,7 @@ def inventory_statistics(spark, sf_dir):
 
 
 ROUTES = {"question_response_bridge": "bridge_adaptive", "calendar_rescue": "calendar_unique", "bridge_calendar": "bridge_calendar", "context_balanced": "context_balanced", "context_only": "context_only"}
-QUERIES = {q.__name__: q for q in [*map(dates_found, FILTERS), sentence_events, context_windows, previous_turn_links, inventory_statistics, *map(search, dialogue.PROFILES), date_reader, rrf_weighted_context, *(route(n, p) for n, p in ROUTES.items())]}
+QUERIES = {q.__name__: q for q in [*map(dates_found, FILTERS), dates_mixed, sentence_events, context_windows, previous_turn_links, inventory_statistics, *map(search, dialogue.PROFILES), date_reader, rrf_weighted_context, *(route(n, p) for n, p in ROUTES.items())]}
 
 EVENTS_SQL = f"""{tables.TURNS_SQL},
 sent AS (SELECT * EXCLUDE (text), unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, text FROM turns),
@@ -239,7 +248,24 @@ def dates_sql(kind: str) -> str:
     return f"SELECT o_orderkey, {pick(0)} AS first_day, {pick(1)} AS last_day, {pick(2)} AS precision, {pick(3)} AS rule FROM orders WHERE {FILTERS[kind].replace('form', 'o_orderkey % 12')}"
 
 
-SQL = {f"dates_{k}": dates_sql(k) for k in FILTERS} | {f"{p}_search": search_sql(p) for p in dialogue.PROFILES} | ROUTE_SQL | {
+_SPANS = (
+    ("'Tomorrow'", "relative_day", f"{DAY} + 1", f"{DAY} + 1", "', not on '"), (f"strftime({DAY}, '%-d %B %Y')", "explicit_date", DAY, DAY, "' or in '"),
+    (f"strftime({DAY}, '%b %Y')", "explicit_month", f"date_trunc('month', {DAY})", f"last_day({DAY})", "' or '"), (f"strftime({DAY}, '%Y')", "explicit_year", f"make_date(year({DAY}), 1, 1)", f"make_date(year({DAY}), 12, 31)", "', '"),
+    ("'the day before yesterday'", "compound_relative_day", f"{DAY} - 2", f"{DAY} - 2", "'; '"), ("'2 years ago'", "relative_ago", f"make_date(year({DAY}) - 2, 1, 1)", f"make_date(year({DAY}) - 2, 12, 31)", "', '"),
+    ("'today'", "relative_day", DAY, DAY, "', '"), ("'last year'", "relative_period", f"make_date(year({DAY}) - 1, 1, 1)", f"make_date(year({DAY}) - 1, 12, 31)", "'.'"),
+)
+
+
+def mixed_sql() -> str:
+    """A row for each span, its offset the length of what stands before it."""
+    parts, before = [], "''"
+    for place, (said, rule, first, last, after) in enumerate(_SPANS):
+        parts.append(f"SELECT o_orderkey, {place} AS place, cast(length({before}) AS integer) AS \"offset\", {said} AS expression, '{rule}' AS rule, cast({first} AS date) AS first_day, cast({last} AS date) AS last_day FROM orders")
+        before = f"{before} || {said} || {after}"
+    return " UNION ALL ".join(parts)
+
+
+SQL = {f"dates_{k}": dates_sql(k) for k in FILTERS} | {"dates_mixed": mixed_sql()} | {f"{p}_search": search_sql(p) for p in dialogue.PROFILES} | ROUTE_SQL | {
     "sentence_events": f"WITH {EVENTS_SQL}, who AS (SELECT conversation_id, list(DISTINCT speaker) AS people FROM turns GROUP BY ALL) SELECT conversation_id, dia_id, sentence, array_to_string(list_filter(['Anna', 'Ben'], lambda x: list_contains(people, x) AND CASE x WHEN 'Anna' THEN anna ELSE ben END), ',') AS subjects, CASE WHEN planned THEN 'planned' ELSE 'reported' END AS modality, said AS normalized_time FROM named JOIN who USING (conversation_id)",
     "context_windows": f"WITH {tables.TURNS_SQL} SELECT conversation_id, dia_id, array_to_string(list(dia_id) OVER w, ',') AS context_ids, array_to_string(list(speaker || ': ' || text) OVER w, ' ') AS context FROM turns WINDOW w AS (PARTITION BY conversation_id, session ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
     "inventory_statistics": f"WITH {EVENTS_SQL}, t AS (SELECT conversation_id, count(*) AS n_turns FROM turns GROUP BY ALL) SELECT conversation_id, n_turns, count(*) AS n_events, count(p) AS n_dated, count(*) FILTER (planned) AS n_planned FROM named JOIN t USING (conversation_id) GROUP BY ALL",
