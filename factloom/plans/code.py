@@ -125,7 +125,7 @@ def active_memory_topk(spark, sf_dir, k: int = 5):
 def code_routes(spark, sf_dir, k: int = 5):
     """Callers of parts and of suppliers, those whose number 20 divides, by five channels; what nobody calls is answered by words."""
     part = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
-    supplier = tables.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + (1 << 32)).alias("doc"), F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("text"))
+    supplier = tables.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + (20 << 28)).alias("doc"), F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("text"))
     documents = part.unionByName(supplier)
     queries = documents.where(F.col("doc") % 20 == 0).select(F.col("id").alias("query_id"), F.concat_ws(" ", "id", "text").alias("text"), F.col("id").alias("target"))
     e = edges(spark, sf_dir).checkpoint()
@@ -243,7 +243,7 @@ uses AS (SELECT c, path, nth, 1 AS part, c * 7 % total + 1 AS t FROM cu UNION AL
 refs AS (SELECT uses.*, 'geo/customer' || c || '().' AS src, 'geo/customer' || t || '().' AS dst FROM uses WHERE t IN (SELECT c FROM cu)),
 eg AS (SELECT src, dst, count(*) AS freq, count(*) FILTER (part = 1) AS calls, min((path, nth, part)) AS first FROM refs WHERE src <> dst GROUP BY ALL)"""
 CODE = "list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+'), lambda w: lower(w))"
-ROUTE_DOCS = "SELECT p_partkey AS doc, 'part-' || p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part UNION ALL SELECT s_suppkey + 4294967296, 'supplier-' || s_suppkey, s_name FROM supplier"
+ROUTE_DOCS = "SELECT p_partkey AS doc, 'part-' || p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part UNION ALL SELECT s_suppkey + 5368709120, 'supplier-' || s_suppkey, s_name FROM supplier"
 ROUTE_QUERIES = f"SELECT id AS query_id, id || ' ' || text AS text FROM ({ROUTE_DOCS}) WHERE doc % 20 = 0"
 MEMORY_SQL = """
 p AS (SELECT user_id AS owner, event_id AS pos, ts, date_diff('day', date '2024-01-01', cast(ts AS date)) // 7 AS session, event_type || ' ' || cast(cast(floor(value) AS bigint) % 3 AS varchar) AS key, event_id % 3 = 0 AS shuts FROM events),
