@@ -122,9 +122,10 @@ def searched(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     grouped = common.written(rows, "pivot-groups")
     low, high = (F.array(*[f(F.get("dist", F.lit(p))) for p in range(PIVOTS)]) for f in (F.min, F.max))
     groups = grouped.groupBy("dim", "near", "part").agg(low.alias("low"), high.alias("high"))
-    asked = grouped.where("is_query").groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(2), "row"), F.col("blocks")).cast("int")
-    asks = grouped.where("is_query").join(asked, "dim").select("dim", "row", "vec_id", "v", F.col("qdist").alias("dist"), F.lit(True).alias("asks"), "floor", "norm", "most", block.alias("b"))
+    asked = {r[0]: -(-r[1] // BLOCK) for r in grouped.where("is_query").groupBy("dim").count().collect()}  # a row for each length of vectors
+    blocks = F.create_map(*[F.lit(x) for kv in sorted(asked.items()) for x in kv])[F.col("dim")] if asked else F.lit(1)
+    block = F.pmod(F.xxhash64(F.lit(2), "row"), blocks).cast("int")
+    asks = grouped.where("is_query").select("dim", "row", "vec_id", "v", F.col("qdist").alias("dist"), F.lit(True).alias("asks"), "floor", "norm", "most", block.alias("b"))
     gap = F.aggregate(F.arrays_zip("dist", "low", "high"), F.lit(0.0), lambda a, z: F.greatest(a, F.coalesce(z["dist"] - z["high"], F.lit(0.0)), F.coalesce(z["low"] - z["dist"], F.lit(0.0))))
     # one length is one key: queries are dealt to parts that all groups' bounds are copied to
     asks = asks.withColumn("deal", F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(DEALS)).cast("int"))
