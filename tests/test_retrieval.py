@@ -114,6 +114,14 @@ def test_date_reader_and_calendar(spark):
     assert "D2:1" in [r.dia_id for r in dialogue.rescued(q, eps, dialogue.settings("calendar_unique")).collect()]
 
 
+def test_turns_with_flaws_and_without_words(spark):
+    turns = talk(spark, (1, 1, "Ann", "Hello there."), (1, 1, "Ann", "Again."), (2, 1, " ", "Who?"))
+    assert sorted(r.dia_id for r in dialogue.flawed(turns).collect()) == ["D1:1", "D1:1", "D2:1"]
+    docs = spark.createDataFrame([(1, "the of"), (2, "")], "doc long, text string")
+    assert lexical.bm25(spark.createDataFrame([(1, "the fox")], "query_id int, text string"), docs, fx.benchmark_tokens).isEmpty()
+    assert one(spark, fx.question_clause(F.lit("It rained. Well - where did you go?"))) == "where did you go?"
+
+
 def test_employment_history(spark):
     turns = talk(spark, (1, 1, "Ann", "I work at Blue Mill."), (2, 1, "Ann", "I no longer work at Blue Mill."), (3, 1, "Ann", "I work at Blue Mill, again"))
     assert [(r.active, r.replaces) for r in dialogue.employment(turns).orderBy("session").collect()] == [(True, None), (False, "D1:1"), (True, "D2:1")]
@@ -174,6 +182,16 @@ def test_equal_documents_tie_by_id(spark):
     assert [r.doc for r in got] == [1, 2] and got[0].score == got[1].score
 
 
+def test_percentiles_equal_the_engine_s_own(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(g, None if draw.random() < 0.1 else float(draw.choice([draw.randrange(40), draw.gauss(0, 1e6)]))) for g in ("a", "b", None) for _ in range(301)] + [("one", 5.0), ("same", 2.0), ("same", 2.0), ("same", 2.0), ("none", None)]
+    table = spark.createDataFrame(rows, "g string, v double")
+    want = table.groupBy("g").agg(F.median("v").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY v)").alias("p95"), F.count("v").alias("n"))
+    assert {r.g: (r.p50, r.p95, r.n) for r in metrics.percentiles(table, "v", ["g"]).collect()} == {r.g: (r.p50, r.p95, r.n) for r in want.collect()}
+
+
 def test_bootstrap_is_seeded(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 2.0)], "cluster string, delta double")
     a, b = (metrics.cluster_bootstrap(spark, rows, 200).first() for _ in range(2))
