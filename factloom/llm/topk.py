@@ -24,11 +24,11 @@ DEALS = 32
 STRIDE = 64
 
 
-def quantised(rows: DataFrame) -> DataFrame:
-    """(vec_id, v) with v = floor(256 x) of each component. Vectors that are null, or hold null or non-finite components, and rows without vec_id go. Rows that share a vec_id all stay."""
+def quantised(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(vec_id, keep..., v) with v = floor(256 x) of each component. Vectors that are null, or hold null or non-finite components, and rows without vec_id go. Rows that share a vec_id all stay."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.col("vec_id").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return rows.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * 256).cast("long")).alias("v"))
+    return rows.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), *(keep or []), F.transform(x, lambda c: F.floor(c * 256).cast("long")).alias("v"))
 
 
 def lifted(v: np.ndarray, most: float) -> np.ndarray:
