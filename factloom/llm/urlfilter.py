@@ -102,7 +102,7 @@ def reputations(pages: DataFrame) -> DataFrame:
     """
     name = name_of(F.col("host"))
     counted = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = counted.select("host", "n", "bad", domain_of(name).alias("domain"), suffix_of(name).alias("suffix")).where("host <> ''")
+    hosts = common.written(counted.select("host", "n", "bad", domain_of(name).alias("domain"), suffix_of(name).alias("suffix")).where("host <> ''"), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.round((F.coalesce(F.sum("bad"), F.lit(0)) + WHOLE[0]) / (F.coalesce(F.sum("n"), F.lit(0)) + WHOLE[0] + WHOLE[1]), PLACES).alias("mean"))
