@@ -55,7 +55,8 @@ def spread(rows: DataFrame) -> dict[int, tuple[int, int]]:
     """By length of the vectors, the two components that vary most in a sample; lengths are few."""
     found = {}
     for (dim,) in rows.select(F.size("v")).distinct().collect():
-        sample = np.array([r[0] for r in rows.where(F.size("v") == dim).orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect()], dtype=np.float64).reshape(-1, dim)
+        got = rows.where(F.size("v") == dim).orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").collect()
+        sample = np.array([r[0] for r in got], dtype=np.float64).reshape(len(got), dim)
         order = np.argsort(-sample.var(axis=0), kind="stable")
         found[dim] = (int(order[0]) if dim else 0, int(order[min(1, dim - 1)]) if dim else 0)
     return found
