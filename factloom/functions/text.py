@@ -42,7 +42,7 @@ def conversation_terms(text: Column) -> Column:
     def stem(w: Column) -> Column:
         n = F.length(w)
         return (
-            F.when(irregular[w].isNotNull(), irregular[w])
+            F.when(w.isin(*IRREGULAR), irregular[w])
             .when((n > 5) & w.endswith("ing"), F.left(w, n - 3))
             .when((n > 4) & w.endswith("ed"), F.left(w, n - 2))
             .when((n > 4) & w.endswith("s"), F.left(w, n - 1))

@@ -1,27 +1,65 @@
 """BM25 over tables of documents and queries, set at a time.
 
-An index is one table of postings with the lengths of their documents, written once. Queries are exploded to terms and
-met with the postings of those terms only. Sums are rounded before ranking, so that equal documents tie whatever the
-partitioning; where the order of terms matters, contributions are folded in that order. Ties go to the smaller document.
+An index is a table of postings, written once: terms are counted within a document's row, so that nothing is shuffled
+to build it. The asked terms with their weights are a small table that is written before it meets the postings, so
+that the planner knows its size. Whole scores meet the postings of all asked terms.
+
+An index that serves many batches of queries can have bounds: documents are dealt to blocks of few documents of about
+one length, and a second table holds for each term and block the largest tf and the least length. A search for the
+first k then reads less. A query's terms of the largest bounds give partial sums; the best of these documents are scored
+exactly, and their k-th score is a threshold. Terms whose bounds together stay below it cannot lift a document alone,
+so only the others are read; a document goes on if its partial sum and the bounds of its block for the rest reach the
+threshold, and what is left is scored exactly. Common terms, which hold most postings, are met by those few only.
+
+Sums are rounded before ranking, so that equal documents tie whatever the partitioning; where the order of terms
+matters, contributions are folded in that order. Ties go to the smaller document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom import session
+
 #: Decimal places of scores that are ranked.
 PLACES = 6
 K1, B = 1.2, 0.75
+#: Documents in a block at most, on average; share of a query's bounds that the first pass leaves unread; documents scored exactly for the threshold, for each of the k.
+BLOCK, UNREAD, SEEDS = 16, 0.4, 10
+#: More than any rounding of sums and bounds.
+MARGIN = 2e-6
+
+
+class Index(NamedTuple):
+    """postings: (group..., term, doc, len, tf). whole: (group..., total, mean), the number of documents and their mean length."""
 
+    postings: DataFrame
+    whole: DataFrame
 
-def indexed(docs: DataFrame, tokens: Callable[[Column], Column], group: list[str] | None = None) -> DataFrame:
-    """The index, written once: (group..., doc, len, term, tf), and one row without a term for a document without tokens."""
-    toks = docs.select(*(group or []), "doc", tokens(F.col("text")).alias("toks"))
-    rows = toks.select(*(group or []), "doc", F.size("toks").cast("long").alias("len"), F.explode_outer("toks").alias("term"))
-    return rows.groupBy(*(group or []), "doc", "len", "term").agg(F.count("*").alias("tf")).checkpoint()
+
+def run_starts(tokens: Column) -> Column:
+    """Where each run of equal tokens starts in an array of sorted ones."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)))
+    return F.when(F.size(tokens) > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
+def indexed(docs: DataFrame, tokens: Callable[[Column], Column], group: list[str] | None = None) -> Index:
+    """The index of docs (group..., doc, text), written once. A document without tokens has no postings but counts as a document."""
+    group = group or []
+    rows = docs.select(*group, "doc", F.sort_array(tokens(F.col("text"))).alias("toks"))
+    rows = rows.select(*group, "doc", "toks", F.size("toks").alias("len"), run_starts(F.col("toks")).alias("starts"))
+    ends = F.when(F.col("len") > 0, F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(1))), F.array("len"))).otherwise(F.col("starts"))
+    # outer: else the planner asks for texts with tokens first, and so cuts all texts twice
+    runs = rows.select(*group, "doc", "toks", "len", F.explode_outer(F.arrays_zip("starts", ends.alias("ends"))).alias("x")).where("x IS NOT NULL")
+    postings = session.written(runs.select(*group, F.get("toks", F.col("x.starts")).alias("term"), "doc", F.col("len").cast("long").alias("len"), (F.col("x.ends") - F.col("x.starts")).cast("long").alias("tf")), "postings")
+    number = docs.groupBy(*group).agg(F.count("*").alias("total"))
+    said = postings.groupBy(*group).agg(F.sum("tf").alias("tokens"))
+    mean = F.coalesce(F.nullif(F.coalesce("tokens", F.lit(0)) / F.nullif(F.col("total"), F.lit(0)), F.lit(0.0)), F.lit(1.0))
+    return Index(postings, (number.join(said, group, "left") if group else number.crossJoin(F.broadcast(said))).select(*group, "total", mean.alias("mean")))  # one row without a group
 
 
 def query_terms(queries: DataFrame, tokens: Callable[[Column], Column], group: list[str] | None = None) -> DataFrame:
@@ -30,35 +68,56 @@ def query_terms(queries: DataFrame, tokens: Callable[[Column], Column], group: l
     return places.groupBy("query_id", *(group or []), "term").agg(F.count("*").alias("qtf"), F.min("place").alias("first"))
 
 
-def contributions(asked: DataFrame, index: DataFrame, group: list[str] | None = None, number: str = "double") -> DataFrame:
+def added(number: str = "double", tf: Column | None = None, length: Column | None = None) -> Column:
+    """What a term of some idf adds to a document in which it occurs tf times; mean is the collection's mean length."""
+    n = lambda x: F.lit(x).cast(number)
+    tf, length = (F.col("tf") if tf is None else tf).cast(number), (F.col("len") if length is None else length).cast(number)
+    return (F.col("idf") * (tf * n(2.2)) / (tf + n(K1) * (n(1 - B) + n(B) * (length / F.col("mean").cast(number))))).cast(number)
+
+
+def weighted(asked: DataFrame, df: DataFrame, whole: DataFrame, group: list[str] | None = None, number: str = "double") -> DataFrame:
+    """asked with idf and mean. df: (group..., term, df)."""
+    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)).cast(number)
+    terms = asked.join(df, [*(group or []), "term"])
+    return (terms.join(whole, group) if group else terms.crossJoin(F.broadcast(whole))).withColumn("idf", idf).drop("df", "total")  # whole is one row without a group
+
+
+def contributions(asked: DataFrame, index: Index, group: list[str] | None = None, number: str = "double") -> DataFrame:
     """query_id, doc, term, qtf, first, part: what each query term adds to each document that holds it.
 
     index: from indexed(). group: columns that index and asked share and that split the documents into separate
-    collections with their own statistics. number: the type of the arithmetic, double or float. How terms and
-    statistics meet the postings is left to the planner, which knows their sizes.
+    collections with their own statistics. number: the type of the arithmetic, double or float. Terms and their
+    statistics are written first; how they meet the postings is left to the planner, which then knows their sizes.
     """
     group = group or []
-    n = lambda x: F.lit(x).cast(number)
-    sizes = index.groupBy(*group, "doc").agg(F.max("len").alias("len"))
-    whole = sizes.groupBy(*group).agg(F.count("*").alias("total"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("mean"))
-    df = index.where("term IS NOT NULL").groupBy(*group, "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)).cast(number)
-    terms = asked.join(df, [*group, "term"])
-    terms = (terms.join(whole, group) if group else terms.crossJoin(F.broadcast(whole))).withColumn("idf", idf).drop("df", "total")
-    tf = F.col("tf").cast(number)
-    part = F.col("idf") * (tf * n(2.2)) / (tf + n(K1) * (n(1 - B) + n(B) * (F.col("len").cast(number) / F.col("mean").cast(number))))
-    return terms.join(index, [*group, "term"]).select("query_id", *group, "doc", "term", "qtf", "first", part.cast(number).alias("part"))
+    df = index.postings.groupBy(*group, "term").agg(F.count("*").alias("df"))
+    weights = session.written(weighted(asked, df, index.whole, group, number), "weights")
+    met = weights.join(index.postings, [*group, "term"])
+    return met.select("query_id", *group, "doc", "term", "qtf", "first", added(number).alias("part"))
 
 
 def folded(order: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """The contributions of a group, in order, folded from start."""
-    return F.aggregate(F.array_sort(F.collect_list(F.struct(order, "part", "qtf"))), start, step)
+    return F.aggregate(F.sort_array(F.collect_list(F.struct(order, "part", "qtf"))), start, step)
+
+
+def grown(a: Column, x: Column) -> Column:
+    """The running total after one more term, 5 % more for each repeat in the query, two at most."""
+    return (a + x["part"]) * (1 + 0.05 * F.least(x["qtf"] - 1, F.lit(2)))
+
+
+def plain_score() -> Column:
+    return F.round(F.sum("part"), PLACES)
+
+
+def boosted_score() -> Column:
+    return F.round(folded("first", F.lit(0.0), grown), PLACES)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, tokens, group: list[str] | None = None) -> DataFrame:
     """query_id, doc, score of documents with a hit: the sum over distinct query terms."""
     parts = contributions(query_terms(queries, tokens, group), indexed(docs, tokens, group), group)
-    return parts.groupBy("query_id", *(group or []), "doc").agg(F.round(F.sum("part"), PLACES).alias("score"))
+    return parts.groupBy("query_id", *(group or []), "doc").agg(plain_score().alias("score"))
 
 
 def bm25_float(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
@@ -69,9 +128,75 @@ def bm25_float(queries: DataFrame, docs: DataFrame, tokens) -> DataFrame:
 
 def bm25_boosted(queries: DataFrame, docs: DataFrame, tokens, group: list[str] | None = None) -> DataFrame:
     """After each matched term, in the order of first appearance, the running total grows by 5 % for each repeat, two at most."""
-    step = lambda a, x: (a + x["part"]) * (1 + 0.05 * F.least(x["qtf"] - 1, F.lit(2)))
     parts = contributions(query_terms(queries, tokens, group), indexed(docs, tokens, group), group)
-    return parts.groupBy("query_id", *(group or []), "doc").agg(F.round(folded("first", F.lit(0.0), step), PLACES).alias("score"))
+    return parts.groupBy("query_id", *(group or []), "doc").agg(boosted_score().alias("score"))
+
+
+def bounded(index: Index) -> tuple[DataFrame, DataFrame]:
+    """(postings with block, bounds), written: (term, block, df, most_tf, least_len) of an index without a group."""
+    blocks = F.greatest(F.lit(1), F.floor(F.col("total") / BLOCK))
+    block = F.floor(2 * F.log2(F.col("len") + 1)).cast("long") * blocks + F.pmod(F.xxhash64("doc"), blocks)
+    rows = index.postings.crossJoin(F.broadcast(index.whole.select("total"))).select("term", block.alias("block"), "doc", "len", "tf")  # one row
+    postings = session.written(rows.repartition("term", F.pmod("block", F.lit(64))).sortWithinPartitions("term", "block"), "blocks")
+    bounds = postings.groupBy("term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"))
+    return postings, session.written(bounds, "bounds")
+
+
+class Pruned(NamedTuple):
+    """A top-k search and what it read: read is (step, n), the postings that entered a sum in each step."""
+
+    rows: DataFrame
+    read: DataFrame
+
+
+def pruned(queries: DataFrame, index: Index, tokens, k: int, boosted: bool = False, allowed: DataFrame | None = None) -> Pruned:
+    """The k best documents of each query, of those in allowed (doc) if it is given, as top() gives them of all scores, without reading all postings (see above)."""
+    able, bounds = bounded(index)
+    asked = query_terms(queries, tokens)
+    # a total grows by the factors of all terms from its own on, at most
+    later = Window.partitionBy("query_id").orderBy("first").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    grows = F.exp(F.sum(F.log(1 + 0.05 * F.least(F.col("qtf") - 1, F.lit(2)))).over(later)) * (1 + 1e-12) if boosted else F.lit(1.0)
+    terms = bounds.groupBy("term").agg(F.sum("df").alias("df"), F.max("most_tf").alias("most_tf"), F.min("least_len").alias("least_len"))
+    ceiling = F.col("grows") * added(tf=F.col("most_tf"), length=F.col("least_len"))
+    up = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = weighted(asked.withColumn("grows", grows), terms, index.whole).withColumn("bound", ceiling).withColumn("below", F.sum("bound").over(up))
+    ranked = ranked.withColumn("probes", F.col("below") > UNREAD * F.sum("bound").over(Window.partitionBy("query_id")))
+    weights = session.written(ranked.select("query_id", "term", "qtf", "first", "idf", "mean", "grows", "bound", "below", "probes"), "weights")
+    able = able if allowed is None else able.join(allowed.select("doc").distinct(), "doc", "left_semi")
+
+    def partial(some: DataFrame) -> DataFrame:
+        return some.join(able, "term").groupBy("query_id", "doc", "block").agg(F.sum(added() * F.col("grows")).alias("partial"), F.count("*").alias("met"))
+
+    def exactly(pairs: DataFrame) -> DataFrame:
+        """Scores of stated pairs (query_id, doc), written."""
+        met = able.join(pairs.select("doc").distinct(), "doc", "left_semi").join(weights, "term").join(pairs, ["query_id", "doc"], "left_semi")
+        parts = met.select("query_id", "doc", "term", "qtf", "first", added().alias("part"))
+        return session.written(parts.groupBy("query_id", "doc").agg((boosted_score() if boosted else plain_score()).alias("score"), F.count("*").alias("met")), "scored")
+
+    def placed(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "doc")))
+
+    seeds = session.written(placed(partial(weights.where("probes")), "partial").where(F.col("place") <= SEEDS * k).select("query_id", "doc"), "seeds")
+    known = exactly(seeds)
+    bars = placed(known, "score").where(F.col("place") == k).select("query_id", (F.col("score") - MARGIN).alias("bar"))
+    # without k scored documents there is no threshold, and every term is read
+    barred = session.written(weights.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0))).withColumn("reads", F.col("below") >= F.col("bar")), "barred")
+    rest = barred.groupBy("query_id").agg(F.first("bar").alias("bar"), F.coalesce(F.sum(F.when(~F.col("reads"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    begun = partial(barred.where("reads"))
+    alive = session.written(begun.join(rest, "query_id").where(F.col("partial") + F.col("rest") >= F.col("bar")).join(seeds, ["query_id", "doc"], "left_anti"), "alive")
+    tight = alive.select("query_id", "block").distinct().join(barred.where("NOT reads").select("query_id", "term", "idf", "grows", "mean"), "query_id").join(bounds.select("term", "block", "most_tf", "least_len"), ["term", "block"])
+    tight = tight.groupBy("query_id", "block").agg(F.sum(ceiling).alias("tight"))
+    left = alive.join(tight, ["query_id", "block"], "left").where(F.col("partial") + F.coalesce("tight", F.lit(0.0)) >= F.col("bar")).select("query_id", "doc")
+    more = exactly(session.written(left, "left"))
+    steps = (("terms", begun), ("seeds", known), ("rest", more))
+    read = [rows.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("n")).select(F.lit(step).alias("step"), "n") for step, rows in steps]
+    return Pruned(top(known.unionByName(more).select("query_id", "doc", "score"), k).select("query_id", "rank", "doc", "score"), read[0].unionByName(read[1]).unionByName(read[2]))
+
+
+def best(queries: DataFrame, docs: DataFrame, tokens, k: int, boosted: bool = False) -> DataFrame:
+    """query_id, rank, doc, score of the k best documents of each query, of whole scores."""
+    scores = (bm25_boosted if boosted else bm25)(queries, docs, tokens)
+    return top(scores, k).select("query_id", "rank", "doc", "score")
 
 
 def top(scores: DataFrame, k: int | None, allowed: DataFrame | None = None, by: str = "query_id") -> DataFrame:

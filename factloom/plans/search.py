@@ -18,20 +18,18 @@ def words(text):
 
 
 def bm25_topk(spark, sf_dir, k: int = 10):
-    scores = lexical.bm25(tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir), fx.conversation_terms)
-    return lexical.top(scores, k).select("query_id", "rank", "doc", "score")
+    return lexical.best(tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir), fx.conversation_terms, k)
 
 
 def bm25_repeat_boost(spark, sf_dir, k: int = 10):
-    scores = lexical.bm25_boosted(tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir), tokens)
-    return lexical.top(scores, k).select("query_id", "rank", "doc", "score")
+    return lexical.best(tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir), tokens, k, boosted=True)
 
 
 def bm25_allowed_topk(spark, sf_dir, k: int = 10):
-    """Only documents of the label 1 may be returned; statistics are those of all."""
+    """Only documents of the label 1 may be returned; statistics are those of all. The search reads what its bounds cannot rule out."""
     good = tables.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("doc"))
-    scores = lexical.bm25_boosted(tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir), tokens)
-    return lexical.top(scores, k, good).select("query_id", "rank", "doc", "score")
+    index = lexical.indexed(tables.corpus(spark, sf_dir), tokens)
+    return lexical.pruned(tables.corpus_queries(spark, sf_dir), index, tokens, k, boosted=True, allowed=good).rows
 
 
 def bm25_code_scores(spark, sf_dir):

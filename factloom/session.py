@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: dict[str, str] = {}
 #: Rows and bytes of an Arrow batch that goes to a Python worker: texts are long, so batches are smaller than by default.
@@ -41,3 +42,10 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage is cut, its columns are pruned and its filters pushed down."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
