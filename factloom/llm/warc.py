@@ -33,6 +33,8 @@ START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 #: A capture in the index.
 INDEX = "url_key string, capture_ts string, record_id string, record_type string, payload_digest string, payload_bytes long, refers_to string, archive string, offset long, length long, run string"
 HEAD = re.compile(rb"\r\n\r\n")
+#: Bytes of an archive that the unpacker is fed at a time; what it leaves of them is copied.
+SLICE = 8 << 10
 
 
 def url_key(url: str | None) -> str:
@@ -62,18 +64,29 @@ def clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
+def members(archive: bytes):
+    """(offset, length, content) of each gzip member, in time proportional to the archive: the unpacker is fed slices, and what it leaves of one is at most that slice."""
+    view, at, read = memoryview(archive), 0, 0
+    while at < len(archive):
+        unpack, content = zlib.decompressobj(31), []
+        read = at
+        while not unpack.eof:
+            if read >= len(archive):
+                raise ValueError("an archive ends within a member")
+            content.append(unpack.decompress(view[read : read + SLICE]))
+            read = min(read + SLICE, len(archive))
+        end = read - len(unpack.unused_data)
+        yield at, end - at, b"".join(content)
+        at = end
+
+
 def parsed(archive: bytes):
     """(offset, length, fields, payload) of each gzip member."""
-    at = 0
-    while at < len(archive):
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(memoryview(archive)[at:])
-        length = len(archive) - at - len(unpack.unused_data)
+    for at, length, raw in members(archive):
         cut = HEAD.search(raw)
         lines = raw[: cut.start()].decode().split("\r\n")
         fields = dict(x.split(": ", 1) for x in lines[1:])
         yield at, length, fields, raw[cut.end() : cut.end() + int(fields["Content-Length"])]
-        at += length
 
 
 def written(pages: DataFrame, folder: str) -> DataFrame:

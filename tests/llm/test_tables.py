@@ -82,6 +82,28 @@ def test_archives_of_an_empty_table_and_of_long_pages(spark, tmp_path, monkeypat
     assert sorted((r.url_key, r.place, r.page_id) for r in got) == sorted((f"org,x)/{n % 2}", n // 2 + 1, n) for n in range(12))
 
 
+def test_reading_an_archive_takes_time_in_proportion_to_its_members():
+    import time
+
+    draw = random.Random(3)
+    one = [warc.record("response", str(i), f"http://x.org/{i}", warc.stamp(i), "0" * 64, draw.randbytes(7000), None) for i in range(4000)]
+
+    def seconds(n):
+        archive, took = b"".join(one[:n]), []
+        for _ in range(3):
+            began = time.perf_counter()
+            found = list(warc.parsed(archive))
+            took.append(time.perf_counter() - began)
+            assert len(found) == n and sum(x[1] for x in found) == len(archive) and found[-1][2]["WARC-Record-ID"] == f"<urn:capture:{n - 1}>"
+        return min(took)
+
+    assert seconds(4000) < 2.5 * seconds(2000)
+    large = warc.record("response", "a", "http://x.org", warc.stamp(1), "0" * 64, draw.randbytes(300_000), None)
+    assert [len(x[3]) for x in warc.parsed(large + one[0] + large)] == [300_000, 7000, 300_000]
+    with pytest.raises(ValueError, match="within a member"):
+        list(warc.parsed(large[:-5]))
+
+
 def test_matrix_has_exact_sums():
     sizes = [0, 7, 100, 31, 1]
     m = sharding.communication_matrix(sizes, 6, 3)
