@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom import session
+
 CHANNELS = ("structural_order", "bm25", "edge_frequency", "graph_degree", "id_overlap")
 # Constant and channel weights of each structural operation.
 POLICY = {
@@ -40,6 +42,45 @@ def fused(rankings: list[DataFrame], weights: list[float], constant: float) -> D
     return both.groupBy("query_id", "doc").agg(F.round(fold, PLACES).alias("score"))
 
 
+def depth(weights: list[float], constant: float, k: int) -> int:
+    """How many places of each ranking the first k are among the candidates of, whatever the rankings.
+
+    A ranking of k documents or more lifts k of them to its weight / (constant + k) at least; a document that stands in
+    no ranking's first places gets less than all weights / (constant + depth). Shorter rankings are seen whole.
+    """
+    used = [w for w in weights if w]
+    return int(sum(used) / min(used) * (constant + k) - constant) + 1
+
+
+def fused_top(scores: list[DataFrame], weights: list[float], constant: float, k: int) -> DataFrame:
+    """query_id, rank, doc, score: the first k of fused() over whole rankings, which are not made.
+
+    scores: (query_id, doc, score) each, written; a ranking is by score, then document. Only the first depth() places of
+    each are ordered. Their documents have bounds: known places count, unknown ones count as the first one unseen. For
+    those whose upper bound reaches the k-th lower one, the places that are still unknown are counted: one more than
+    the hits of the query that stand before it, an aggregate that is summed before it is shuffled.
+    """
+    used = [(s.select("query_id", "doc", "score"), float(w)) for s, w in zip(scores, weights, strict=True) if w]
+    deep = depth([w for _, w in used], constant, k)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
+    heads = [s.withColumn("rank", place).where(F.col("rank") <= deep).select("query_id", "doc", F.lit(i).alias("channel"), "rank") for i, (s, _) in enumerate(used)]
+    names = [f"rank_{i}" for i in range(len(used))]
+    seen = reduce(DataFrame.unionByName, heads).groupBy("query_id", "doc").agg(*[F.max(F.when(F.col("channel") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)])
+    part = lambda n, w, other: F.coalesce(w / (constant + F.col(n)), F.lit(other))
+    bound = lambda unknown: sum((part(n, w, w * unknown) for n, (_, w) in zip(names, used, strict=True)), F.lit(0.0))
+    seen = seen.withColumn("lower", bound(0.0)).withColumn("upper", bound(1 / (constant + deep + 1)))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
+    bars = seen.withColumn("nth", nth).where(F.col("nth") == k).select("query_id", F.col("lower").alias("bar"))
+    able = session.written(seen.join(bars, "query_id", "left").where(F.col("upper") >= F.coalesce("bar", F.lit(0.0)) - 10.0**-PLACES).select("query_id", "doc", *names), "fused-candidates")
+    for n, (s, _) in zip(names, used, strict=True):
+        wanted = s.join(able.where(F.col(n).isNull()).select("query_id", "doc"), ["query_id", "doc"], "left_semi")
+        before = wanted.select("query_id", F.col("doc").alias("this"), F.col("score").alias("own")).join(s, "query_id").where((F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("doc") <= F.col("this"))))
+        counted = before.groupBy("query_id", F.col("this").alias("doc")).agg(F.count("*").cast("int").alias("counted"))
+        able = able.join(counted, ["query_id", "doc"], "left").withColumn(n, F.coalesce(n, "counted")).drop("counted")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    return able.withColumn("score", F.round(bound(0.0), PLACES)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc", "score")
+
+
 def channel_ranks(candidates: DataFrame, values: dict[str, str]) -> DataFrame:
     """candidates (query_id, id, corpus_order) with rank_<channel> of each value column, best first, ties by corpus order."""
     out = candidates

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.functions import text as fx
 from factloom.operators import fusion, lexical, metrics
 from factloom.sources import tables
@@ -38,21 +39,25 @@ def bm25_code_scores(spark, sf_dir):
     return scores.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(F.col("score").cast("double")), 3).alias("best"))
 
 
-def channels(spark, sf_dir, k: int | None = None):
-    """Two rankings of the corpus, whole or the first k of each, written once: boosted BM25 and plain BM25 on stems."""
+def scores(spark, sf_dir):
+    """All scores of two rankings of the corpus, written once: boosted BM25 and plain BM25 on stems."""
     q, d = tables.corpus_queries(spark, sf_dir), tables.corpus(spark, sf_dir)
-    return lexical.top(lexical.bm25_boosted(q, d, tokens), k).checkpoint(), lexical.top(lexical.bm25(q, d, fx.conversation_terms), k).checkpoint()
+    return [session.written(s.select("query_id", "doc", "score"), "scores") for s in (lexical.bm25_boosted(q, d, tokens), lexical.bm25(q, d, fx.conversation_terms))]
+
+
+def channels(spark, sf_dir, k: int):
+    """The first k of both rankings, written once."""
+    return [session.written(lexical.top(s, k), "ranks") for s in scores(spark, sf_dir)]
 
 
 def rrf_fusion(spark, sf_dir, k: int = 10):
-    a, b = channels(spark, sf_dir)
-    return lexical.top(fusion.fused([a, b], [1.0, 0.5], 60), k).select("query_id", "rank", "doc", "score")
+    return fusion.fused_top(scores(spark, sf_dir), [1.0, 0.5], 60, k)
 
 
 def signal_ablation(spark, sf_dir):
     """Five channels over the fused candidates, replayed with and without the lexical one."""
-    a, b = channels(spark, sf_dir)
-    first = lexical.top(fusion.fused([a, b], [1.0, 0.5], 60), 10).select("query_id", F.col("doc").alias("id"), F.col("doc").alias("corpus_order"), F.col("rank").alias("found"))
+    a, b = scores(spark, sf_dir)
+    first = session.written(fusion.fused_top([a, b], [1.0, 0.5], 60, 10), "fused").select("query_id", F.col("doc").alias("id"), F.col("doc").alias("corpus_order"), F.col("rank").alias("found"))
     value = first.join(a.select("query_id", F.col("doc").alias("id"), F.col("score").alias("lexical")), ["query_id", "id"], "left").select("*", (F.col("id") % 7).alias("frequency"), (F.col("id") % 5).alias("degree"), (F.col("id") % 3).alias("overlap"))
     value = value.withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     ranked = fusion.channel_ranks(value, {"structural_order": "found", "bm25": "lexical", "edge_frequency": "frequency", "graph_degree": "degree", "id_overlap": "overlap"})

@@ -3,7 +3,7 @@
 import numpy as np
 
 from factloom.functions import text as fx
-from factloom.operators import lexical
+from factloom.operators import fusion, lexical
 
 
 def corpus(spark, n=400):
@@ -37,3 +37,24 @@ def test_bounded_search_equals_whole_scores_and_reads_less(spark):
     met = lexical.contributions(lexical.query_terms(queries, fx.benchmark_tokens), index).count()
     read = sum(r.n for r in lexical.pruned(queries, index, fx.benchmark_tokens, 1).read.collect())
     assert read < met / 2
+
+
+def test_fusion_counts_places_that_stand_deep_in_a_ranking(spark):
+    """The first documents of one ranking stand last in the other, queries have few hits, and scores tie."""
+    rng = np.random.default_rng(2)
+    rows = [[], [], []]
+    for n in range(1500):
+        rows[0].append((1, n, float(1500 - n)))
+        rows[1].append((1, n, float(n) if n < 8 else float(rng.integers(8, 300))))
+        rows[2].append((1, n, float(rng.integers(0, 5))))
+        if n % 7:
+            rows[1].append((2, n, float(rng.integers(0, 40))))
+    rows[0] += [(2, n, 1.0) for n in range(3)] + [(3, 4, 2.0), (3, 5, 2.0)]
+    frames = [spark.createDataFrame(r, "query_id long, doc long, score double") for r in rows]
+    for weights, k in (([1.0, 0.5, 0.0], 10), ([1.0, 1.0, 0.25], 3)):
+        whole = fusion.fused([lexical.top(f, None) for f in frames], weights, 60)
+        want = sorted(tuple(r) for r in lexical.top(whole, k).select("query_id", "rank", "doc", "score").collect())
+        got = sorted(tuple(r) for r in fusion.fused_top(frames, weights, 60, k).collect())
+        assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-9 for x, y in zip(got, want, strict=True))
+    assert (1, 1, 0) in [x[:3] for x in sorted(tuple(r) for r in fusion.fused_top(frames, [1.0, 0.5, 0.0], 60, 10).collect())]
+    assert fusion.depth([1.0, 0.5], 60, 10) == 151
