@@ -47,10 +47,13 @@ PLAIN_STRING = r'"[^"\\\x00-\x1f]*"'
 PLAIN_JSON = r"^(null|true|false|0|-?[1-9][0-9]*|S|\{S:S\})\z".replace("S", PLAIN_STRING)
 
 
+def plainly_canonical(value: str) -> Column:
+    return F.col(value).isNull() | F.col(value).rlike(PLAIN_JSON)
+
+
 def in_canonical_form(value: str) -> Column:
-    """A JSON column in canonical form; only what is not plainly so already is parsed, in Python."""
-    here = F.col(value)
-    plain = here.isNull() | here.rlike(PLAIN_JSON)
+    """A JSON column in canonical form. Every row goes through Python; identified() parts rows instead."""
+    here, plain = F.col(value), plainly_canonical(value)
     return F.when(plain, here).otherwise(canonical_value(F.when(~plain, here)))
 
 
@@ -64,20 +67,25 @@ def utc(text: Column) -> Column:
     return F.when(fine, F.to_timestamp(text)).otherwise(F.when(text.isNull(), F.lit(None)).otherwise(F.raise_error(F.concat(F.lit("time without offset: "), text))))
 
 
-def canonical() -> Column:
-    """The canonical JSON of a fact: keys in order, nulls written out."""
+def canonical(evidence: Column | None = None, value: Column | None = None) -> Column:
+    """The canonical JSON of a fact: keys in order, nulls written out. evidence, value: its open JSON, if it is in canonical form already."""
+    evidence = in_canonical_form("evidence_json") if evidence is None else evidence
+    value = in_canonical_form("value_json") if value is None else value
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     return F.concat(
-        F.lit('{"entity":'), quoted(F.col("entity")), F.lit(',"evidence":'), in_canonical_form("evidence_json"), F.lit(',"negated":'), F.col("negated").cast("string"),
+        F.lit('{"entity":'), quoted(F.col("entity")), F.lit(',"evidence":'), evidence, F.lit(',"negated":'), F.col("negated").cast("string"),
         F.lit(',"predicate":'), quoted(F.col("predicate")), F.lit(',"recorded_at":"'), utc_text(F.col("recorded_at")),
         F.lit('","scope":{"branch":'), quoted(F.col("branch")), F.lit(',"environment":'), quoted(F.col("environment")), F.lit(',"repository":'), quoted(F.col("repository")),
-        F.lit('},"valid_from":'), number("valid_from"), F.lit(',"valid_to":'), number("valid_to"), F.lit(',"value":'), in_canonical_form("value_json"), F.lit("}"),
+        F.lit('},"valid_from":'), number("valid_from"), F.lit(',"valid_to":'), number("valid_to"), F.lit(',"value":'), value, F.lit("}"),
     )
 
 
 def identified(facts: DataFrame) -> DataFrame:
-    """facts with id, the SHA-256 of their canonical form."""
-    return facts.withColumn("id", F.sha2(canonical(), 256))
+    """facts with id, the SHA-256 of their canonical form. Rows whose JSON is plainly canonical as it stands stay out of Python."""
+    plain = plainly_canonical("evidence_json") & plainly_canonical("value_json")
+    here = facts.where(plain).withColumn("id", F.sha2(canonical(F.col("evidence_json"), F.col("value_json")), 256))
+    parsed = facts.where(~plain).withColumn("id", F.sha2(canonical(canonical_value("evidence_json"), canonical_value("value_json")), 256))
+    return here.unionByName(parsed)
 
 
 def flaw() -> Column:
@@ -210,18 +218,19 @@ def creates_cycle(proposals: DataFrame, edges: DataFrame) -> DataFrame:
 def derived(facts: DataFrame, replaced: DataFrame, coordinates: DataFrame, entity: str | None = None) -> DataFrame:
     """Known facts at each coordinate (coordinate, at, known, and scope columns) with effective_to, superseded_by and status; of one entity only if it is named.
 
-    The journal is narrowed by scope and known time first; both compare with small broadcast coordinates, of which
-    there are as many as the caller states.
+    Coordinates may also name an entity and a predicate each: then they are requests, and only facts about their own
+    subject are met. Facts meet coordinates by equal columns, replacements meet what is left by the fact they replace,
+    so a table of requests of any size is dealt out like the journal; the planner broadcasts one that it knows is small.
     """
-    here = F.broadcast(coordinates)
+    own = [c for c in ("entity", "predicate") if c in coordinates.columns]
+    here = coordinates.select("coordinate", "at", "known", *SCOPE, *own)
     facts = facts if entity is None else facts.where(F.col("entity") == entity)
-    known = facts.join(here, list(SCOPE)).where(F.col("recorded_at") <= F.col("known"))
-    events = replaced.select("old_id", "new_id", "effective", F.col("recorded_at").alias("replaced_at"), F.col("id").alias("replacement_id"))
-    now = F.broadcast(coordinates.select("coordinate", "at", "known"))
+    known = facts.join(here, [*SCOPE, *own]).where(F.col("recorded_at") <= F.col("known"))
+    events = replaced.select(F.col("old_id").alias("id"), "new_id", "effective", F.col("recorded_at").alias("replaced_at"), F.col("id").alias("replacement_id"))
     ends = (
-        events.join(now, F.col("replaced_at") <= F.col("known"))
-        .groupBy("coordinate", F.col("old_id").alias("id"))
-        .agg(F.min("effective").alias("replaced_from"), F.array_sort(F.collect_list(F.when(F.col("effective") <= F.col("at"), F.struct("effective", "replacement_id", "new_id")))).alias("by"))
+        known.select("coordinate", "id", "at", "known").join(events, "id").where(F.col("replaced_at") <= F.col("known"))
+        .groupBy("coordinate", "id")
+        .agg(F.min("effective").alias("replaced_from"), F.sort_array(F.collect_list(F.when(F.col("effective") <= F.col("at"), F.struct("effective", "replacement_id", "new_id")))).alias("by"))
     )
     out = known.join(ends, ["coordinate", "id"], "left")
     end = F.least("valid_to", "replaced_from")

@@ -9,6 +9,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import session
+
 from . import journal
 
 # Limits of a workspace and its predicates; the clock of seeded cases.
@@ -31,7 +33,7 @@ def checked_room(room: str) -> str:
 
 
 def checked_text(value, most: int) -> str:
-    if not isinstance(value, str) or not value.strip() or len(value.strip()) > most:
+    if not isinstance(value, str) or not value.strip() or len(value) > most:
         raise ValueError(f"text of 1 to {most} characters is asked for")
     return value.strip()
 
@@ -94,12 +96,13 @@ def cutoffs(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def snapshots(facts: DataFrame, replaced: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row for each request (coordinate, scope columns, at, position, created, entity, predicate): known, n_selected, n_conflicts and answer of the facts about its subject."""
-    events = journal.timeline(facts, replaced)
-    at = cutoffs(events, requests).checkpoint()
-    rows = journal.derived(facts, replaced, at.select("coordinate", "at", "known", *journal.SCOPE))
-    about = rows.join(at.select("coordinate", F.col("entity").alias("asked"), F.col("predicate").alias("wanted")), "coordinate").where("entity = asked AND predicate = wanted").drop("asked", "wanted")
-    return journal.answers(about, at, "combined").drop("mode").join(at.select("coordinate", "known"), "coordinate")
+    """One row for each request (coordinate, scope columns, at, position, created, entity, predicate): known, n_selected, n_conflicts and answer of the facts about its subject.
+
+    requests may be as many as events: a request meets the facts about its own subject only.
+    """
+    at = session.written(cutoffs(journal.timeline(facts, replaced), requests), "requests")
+    rows = session.written(journal.derived(facts, replaced, at), "snapshots")
+    return journal.answers(rows, at, "combined").drop("mode").join(at.select("coordinate", "known"), "coordinate")
 
 
 def seeded(cases: DataFrame) -> tuple[DataFrame, DataFrame]:

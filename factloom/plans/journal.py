@@ -98,15 +98,14 @@ def workspace_trace(spark, sf_dir):
     return workspace.trace(facts, replaced, here, entity="user-7", predicate="exists").select("id", "reason")
 
 
-REQUESTS = ((0, 0, "user-7", "exists"), (1, 60, "user-7", "exists"), (2, 700, "user-3", "default"), (3, 900, "user-3", "calls"))
-
-
 def workspace_snapshots(spark, sf_dir):
-    """How some subjects of one environment stand after so many events of its history."""
+    """A request for every event whose id 20 divides: how the event's subject stands at some position after some part of its environment's history."""
     facts = tables.assertions(spark, sf_dir)
     replaced = journal.replacements(tables.proposed_replacements(facts), facts).withColumn("id", F.concat(F.lit("after-"), F.col("old_id").cast("string")))
-    rows = [(n, "events", "main", "env-0", AT, place, "2023-12-31 00:00:00", entity, predicate) for n, place, entity, predicate in REQUESTS]
-    asked = spark.createDataFrame(rows, "coordinate int, repository string, branch string, environment string, at long, position long, created string, entity string, predicate string").withColumn("created", F.to_timestamp("created"))
+    asked = facts.where("event_id % 20 = 0").select(
+        F.col("event_id").alias("coordinate"), *journal.SCOPE, (F.col("event_id") % 31).alias("at"), F.floor(F.col("event_id") / 2).alias("position"),
+        F.to_timestamp(F.lit("2023-12-31 00:00:00")).alias("created"), "entity", "predicate",
+    )
     return workspace.snapshots(facts, replaced, asked).withColumn("known", F.col("known").cast("timestamp_ntz"))
 
 
@@ -181,9 +180,6 @@ QUERIES = {f"recall_{m}": recall(m) for m in journal.MODES} | {
     f.__name__: f
     for f in (recall_known_then_vs_now, situation_matrix, effective_intervals, conflict_pairs, pair_diagnosis_histogram, assertion_ids, journal_dedup, supersede_validation, replacement_reachability, event_timeline, workspace_trace, workspace_snapshots, seeded_recall)
 }
-_ASKED = ", ".join(f"({n}, {place}, '{entity}', '{predicate}')" for n, place, entity, predicate in REQUESTS)
-CUTOFF_SQL = f"""tl AS (SELECT recorded_at, row_number() OVER (ORDER BY recorded_at, ref) AS place FROM (SELECT cast(id AS varchar) AS ref, recorded_at FROM facts WHERE environment = 'env-0' UNION ALL SELECT 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id WHERE environment = 'env-0')),
-asked(coordinate, place, about, wanted) AS (VALUES {_ASKED}), c AS (SELECT coordinate, {AT} AS pos, coalesce(tl.recorded_at, timestamp '2023-12-31') AS known, about, wanted FROM asked LEFT JOIN tl USING (place))"""
 SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "recall_known_then_vs_now": f"WITH {recall_sql([(0, AT, '2024-01-10 00:00:00'), (1, AT, '2024-01-31 00:00:00')])}, p AS (SELECT id, max(status) FILTER (coordinate = 0) AS then_status, max(status) FILTER (coordinate = 1) AS now_status FROM shown GROUP BY id) SELECT then_status, now_status, count(*) AS n FROM p GROUP BY ALL",
     "situation_matrix": matrix_sql(),
@@ -196,8 +192,14 @@ SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "replacement_reachability": f"WITH RECURSIVE {FACTS_SQL}, e AS (SELECT r.old_id, r.new_id FROM replaced r JOIN facts ON id = old_id), r AS (SELECT old_id AS source, new_id AS node FROM e UNION SELECT source, new_id FROM r JOIN e ON node = old_id) SELECT source, count(*) AS n_after, max(node) AS last_node FROM r GROUP BY ALL",
     "event_timeline": f"""WITH {FACTS_SQL}, ev AS (SELECT environment, 'assertion' AS kind, cast(id AS varchar) AS ref, recorded_at FROM facts UNION ALL SELECT environment, 'replacement', 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id)
 SELECT *, row_number() OVER (PARTITION BY environment ORDER BY recorded_at, ref) AS place FROM ev""",
-    "workspace_snapshots": f"""WITH {recall_sql([], CUTOFF_SQL)}, mine AS (SELECT * FROM shown WHERE entity = about AND predicate = wanted AND status = 'active'),
- nc AS (SELECT met.coordinate, count(*) AS n FROM met JOIN mine a ON a.coordinate = met.coordinate AND a.id = left_id JOIN mine b ON b.coordinate = met.coordinate AND b.id = right_id WHERE diagnosis = 'conflict' GROUP BY ALL), ns AS (SELECT coordinate, count(*) AS n FROM mine GROUP BY ALL)
+    "workspace_snapshots": f"""WITH {FACTS_SQL},
+ tl AS (SELECT environment, recorded_at, row_number() OVER (PARTITION BY environment ORDER BY recorded_at, ref) AS place FROM (SELECT environment, cast(id AS varchar) AS ref, recorded_at FROM facts UNION ALL SELECT environment, 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id)),
+ c AS (SELECT f.id AS coordinate, f.environment, f.id % 31 AS pos, coalesce(tl.recorded_at, timestamp '2023-12-31') AS known, f.entity, f.predicate FROM facts f LEFT JOIN tl ON tl.environment = f.environment AND tl.place = f.id // 2 WHERE f.id % 20 = 0),
+ k AS (SELECT c.coordinate, pos, known, f.* FROM facts f JOIN c ON c.environment = f.environment AND c.entity = f.entity AND c.predicate = f.predicate AND f.recorded_at <= known),
+ ends AS (SELECT coordinate, old_id, min(effective) AS until FROM replaced JOIN k ON k.id = old_id AND replaced_at <= known GROUP BY ALL),
+ mine AS (SELECT k.* FROM k LEFT JOIN ends ON ends.coordinate = k.coordinate AND old_id = k.id WHERE valid_from <= pos AND pos < coalesce(least(valid_to, until), 1152921504606846976)),
+ nc AS (SELECT a.coordinate, count(*) AS n FROM mine a JOIN mine b ON a.coordinate = b.coordinate AND a.id < b.id WHERE CASE WHEN a.negated <> b.negated THEN a.value_json = b.value_json ELSE NOT a.negated AND a.predicate <> 'calls' AND a.value_json <> b.value_json END GROUP BY ALL),
+ ns AS (SELECT coordinate, count(*) AS n FROM mine GROUP BY ALL)
  SELECT c.coordinate, c.known, coalesce(ns.n, 0) AS n_selected, coalesce(nc.n, 0) AS n_conflicts, CASE WHEN coalesce(nc.n, 0) > 0 THEN 'conflict' WHEN coalesce(ns.n, 0) > 0 THEN 'supported' ELSE 'unknown' END AS answer FROM c LEFT JOIN ns ON ns.coordinate = c.coordinate LEFT JOIN nc ON nc.coordinate = c.coordinate""",
     "seeded_recall": """WITH s(pos, step) AS (VALUES (0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)) SELECT p_partkey AS case_id, 'original' AS kind, cast(10 * pos + step AS integer) AS coordinate, CASE WHEN pos = 1 AND step = 2 THEN 'superseded' ELSE 'active' END AS status FROM part, s
  UNION ALL SELECT p_partkey, 'changed', cast(10 * pos + step AS integer), CASE WHEN pos = 1 THEN 'active' ELSE 'not_yet_valid' END FROM part, s WHERE step > 0""",

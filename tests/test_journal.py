@@ -122,7 +122,7 @@ def test_recalls_are_held_by_key(spark):
 def test_workspace_guards_and_trace(spark):
     room = workspace.new_room()
     assert workspace.checked_room(room) == room and workspace.checked_text(" x ", 3) == "x" and workspace.checked_position(100) == 100
-    for call in (lambda: workspace.checked_room("x"), lambda: workspace.checked_text(" ", 3), lambda: workspace.checked_position(True), lambda: workspace.checked_position(101)):
+    for call in (lambda: workspace.checked_room("x"), lambda: workspace.checked_text(" ", 3), lambda: workspace.checked_text(" xxx ", 4), lambda: workspace.checked_position(True), lambda: workspace.checked_position(101)):
         with pytest.raises(ValueError):
             call()
     t = datetime(2024, 1, 1)
@@ -190,6 +190,25 @@ def test_key_order_and_spaces_do_not_change_identity(spark):
     assert len({r.id for r in journal.identified(spark.createDataFrame(list(loose), SCHEMA)).collect()}) == 1
 
 
+def test_plain_json_meets_no_python(spark, monkeypatch):
+    """A parser that fails on plain JSON is never asked for it."""
+    session.ship(spark)
+    pattern = journal.PLAIN_JSON.replace(r"\z", r"\Z")
+
+    def strict(values):
+        import re
+
+        if any(re.search(pattern, v) for v in values):
+            raise ValueError("plain JSON in Python")
+        return values.map(lambda v: json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+    loose = (*fact()[:2], "[1, 2]", *fact()[3:9], '{"b": 1, "a": 2}', False)
+    rows = [fact(str(n)) for n in range(200)] + [fact('"x"'), fact("true"), loose]
+    want = {r.id for r in journal.identified(spark.createDataFrame(rows, SCHEMA)).collect()}
+    monkeypatch.setattr(journal, "canonical_value", lambda c: F.pandas_udf(strict, "string")(c))
+    assert {r.id for r in journal.identified(spark.createDataFrame(rows, SCHEMA)).collect()} == want and len(want) == 203
+
+
 def test_closure_equals_the_walk_along_edges(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("x", "y"), ("y", "x"), ("x", "b")]
     table = spark.createDataFrame(edges, "old_id string, new_id string")
