@@ -22,8 +22,8 @@ from . import common, textkernel
 #: Words in the shortest tile, share of an item that tiles must cover, characters of the benchmark that are broadcast at once.
 TILE, COVERAGE, BLOCK_CHARS = 5, 0.5, 1 << 25
 FILTER_BITS = 20
-#: Pairs of a text's seed and an item's place that are held at once (about).
-ENTRIES = 1 << 20
+#: Pairs of a text's seed and an item's place that are held at once (about); characters of texts that are hashed at once.
+ENTRIES, CHARS = 1 << 17, 1 << 18
 
 
 class Seeds:
@@ -52,7 +52,7 @@ class Seeds:
         pairs are held; a seed that many items share costs passes, not memory.
         """
         out: list[list[tuple]] = [[] for _ in texts]
-        for first, last in textkernel.blocks(texts):
+        for first, last in textkernel.blocks(texts, CHARS):
             words, edges = textkernel.word_hashes(texts[first:last])
             hashes = textkernel.windows(words, TILE)
             seen = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
