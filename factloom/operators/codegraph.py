@@ -14,9 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.functions import text as fx
 
 HIDDEN = ("module", "parameter", "term")
+# What ends a line of a source.
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+# End of fixed values.
 BOUNDS = "struct<l0:int,c0:int,l1:int,c1:int>"
 
 
@@ -103,12 +107,32 @@ def marked_calls(references: DataFrame, spans: DataFrame) -> DataFrame:
     return references.join(called, ["path", "point"], "left").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
 
 
-def witnesses(references: DataFrame, sources: DataFrame) -> DataFrame:
-    """references with the source's hash, the one-based lines and their text, and whether the source was there."""
-    text = sources.select("path", F.sha2("text", 256).alias("source_hash"), F.split("text", "\n").alias("lines"))
-    out = references.join(text, "path", "left").withColumn("available", F.col("lines").isNotNull())
-    n = F.greatest(F.lit(1), F.col("bounds.l1") - F.col("bounds.l0") + 1)
-    return out.withColumn("first_line", F.col("bounds.l0") + 1).withColumn("last_line", F.col("bounds.l1") + 1).withColumn("text", F.array_join(F.slice("lines", F.col("bounds.l0") + 1, n), "\n")).drop("lines")
+def source_lines(sources: DataFrame) -> DataFrame:
+    """(path, line, line_text) of sources (path, text), lines from 0 and without their ends, of whatever kind those are; no line follows a last end."""
+    cut = sources.select("path", F.posexplode(F.split("text", LINE_ENDS, -1)).alias("line", "line_text"), F.size(F.split("text", LINE_ENDS, -1)).alias("n"))
+    return cut.where((F.col("line") < F.col("n") - 1) | (F.col("line_text") != "")).drop("n")
+
+
+def witnesses(places: DataFrame, sources: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """places (path, point, bounds, ...), one row for each path and point, with first_line and last_line from 1, their text, the source's hash and whether it is there.
+
+    lines: of source_lines(), met by path and line. A missing or empty source is not available; its text is empty and its
+    hash that of nothing. A place without bounds has line 1 to 0, no line at all.
+    """
+    lines = source_lines(sources) if lines is None else lines
+    first, last = F.col("bounds.l0"), F.col("bounds.l1")
+    wide = places.where(last > first).select("path", "point", F.explode(F.sequence(first, last)).alias("line")).join(lines, ["path", "line"])
+    wide = wide.groupBy("path", "point").agg(F.sort_array(F.collect_list(F.struct("line", "line_text"))).alias("found"))
+    long = places.where(last > first).join(wide, ["path", "point"], "left").withColumn("text", F.array_join(F.transform("found", lambda x: x["line_text"]), "\n")).drop("found")
+    short = places.where(~F.coalesce(last > first, F.lit(False)))
+    here = lines.select("path", F.col("line").alias("__line"), F.col("line_text").alias("text"))
+    met = short.withColumn("__line", F.when(last == first, first)).join(here, ["path", "__line"], "left").drop("__line")
+    stamps = sources.select("path", F.sha2("text", 256).alias("source_hash"), (F.col("text") != "").alias("available"))
+    out = met.unionByName(long).join(stamps, "path", "left")
+    return out.select(
+        *places.columns, F.coalesce("source_hash", F.sha2(F.lit(""), 256)).alias("source_hash"), F.coalesce("available", F.lit(False)).alias("available"),
+        (F.coalesce(first, F.lit(0)) + 1).alias("first_line"), F.coalesce(last + 1, F.lit(0)).alias("last_line"), F.coalesce("text", F.lit("")).alias("text"),
+    )
 
 
 def degree(edges: DataFrame, contains: DataFrame | None = None, implements: DataFrame | None = None) -> DataFrame:
@@ -179,8 +203,9 @@ def orphans(cat: DataFrame, edges: DataFrame, degrees: DataFrame, kind: str = "f
 
 def lookup(queries: DataFrame, cat: DataFrame) -> DataFrame:
     """query_id, id, confidence. queries: (query_id, name, bare, kind). An id is exact; a bare name is a descriptor path, else a display name; nothing is guessed."""
-    exact = queries.where(~F.col("bare")).join(cat, F.col("id") == queries["name"]).select("query_id", "id", cat["ord"], F.lit(1.0).alias("confidence"))
-    bare = queries.where("bare").select("query_id", F.col("name").alias("asked"), F.col("kind").alias("asked_kind"))
+    asked = queries.select("query_id", F.col("name").alias("asked"), F.col("kind").alias("asked_kind"), "bare")
+    exact = asked.where(~F.col("bare")).join(cat, F.col("id") == F.col("asked")).select("query_id", "id", "ord", F.lit(1.0).alias("confidence"))
+    bare = asked.where("bare").drop("bare")
     by_path = bare.join(cat.where("path <> ''"), F.col("asked") == F.col("path")).select("query_id", "id", "kind", "asked_kind", "ord")
     rest = bare.join(by_path.select("query_id").distinct(), "query_id", "left_anti")
     by_name = rest.join(cat, F.col("asked") == F.col("name")).select("query_id", "id", "kind", "asked_kind", "ord")
@@ -195,13 +220,15 @@ def implementors(targets: DataFrame, implements: DataFrame, cat: DataFrame) -> D
     return numbered(found.join(cat.select("id", "ord"), "id", "left").withColumn("ord", F.coalesce("ord", F.lit(LAST))), ["ord"])
 
 
+#: Results of a structural query at most.
+LIMIT = 512
 #: The place of ids that no catalogue holds; confidence of each operation's results.
 LAST = 1 << 62
 CONFIDENCE = {"file_symbols": ("file_scope", 1.0), "contained_by": ("containment", 1.0), "implementors": ("implementation", 1.0), "callers": ("{mode}_incoming", 0.95), "callees": ("{mode}_outgoing", 0.95), "orphans": ("orphan_scan", 0.9)}
 
 
 def graph(symbols: DataFrame, relationships: DataFrame, occurrences: DataFrame, sources: DataFrame, root: str | None = None) -> dict[str, DataFrame]:
-    """The whole graph of a projection: catalogue, contains, implements, references (with scope, call and witness) and edges.
+    """The whole graph of a projection: catalogue, contains, implements, references (with scope, call and witness), definitions (id and witness) and edges.
 
     symbols (id, ord, source_path), relationships (id, target, is_implementation), occurrences (path, point, symbol,
     is_definition, range, enclosing) and sources (path, text), as files.projection_tables() and files.texts() give them.
@@ -209,18 +236,22 @@ def graph(symbols: DataFrame, relationships: DataFrame, occurrences: DataFrame,
     its file. Both ends of an edge have to be known.
     """
     cat = catalogue(symbols, root).checkpoint()
-    places = occurrences.withColumn("bounds", bounds(F.col("range"))).where("bounds IS NOT NULL")
+    lines = session.written(source_lines(sources), "lines")
+    every = occurrences.withColumn("bounds", bounds(F.col("range")))
+    defined = every.where("is_definition").select(F.col("symbol").alias("id"), "path", "point", "bounds").join(cat.select("id"), "id", "left_semi")
+    places = every.where("bounds IS NOT NULL")
     scopes = places.where("is_definition").withColumn("around", bounds(F.col("enclosing"))).where(F.col("around").isNotNull() & (fx.symbol_kind(F.col("symbol")) == "function"))
     scopes = scopes.join(cat.select(F.col("id").alias("symbol")), "symbol", "left_semi").select("path", F.col("symbol").alias("scope"), F.col("around").alias("bounds"), F.col("point").alias("ord"))
     points = places.where("NOT is_definition").join(cat.select(F.col("id").alias("symbol")), "symbol", "left_semi").select("path", "point", F.col("bounds.l0").alias("line"), F.col("bounds.c0").alias("column"), F.col("symbol").alias("dst"), "bounds")
     inside = innermost_scope(points, scopes).withColumnRenamed("scope", "src")
     known = cat.select("id").unionByName(cat.select(F.concat(F.lit("file:"), F.col("source_path")).alias("id"))).distinct().withColumnRenamed("id", "src")
     called = marked_calls(inside.join(known, "src", "left_semi"), call_spans(sources))
-    references = witnesses(called, sources).withColumn("place", F.struct("path", "point")).checkpoint()
-    return {"catalogue": cat, "contains": containment(cat), "implements": implementations(relationships, cat), "references": references, "edges": reference_edges(references)}
+    references = session.written(witnesses(called, sources, lines).withColumn("place", F.struct("path", "point")), "references")
+    definitions = session.written(witnesses(defined, sources, lines), "definitions")
+    return {"definitions": definitions, "catalogue": cat, "contains": containment(cat), "implements": implementations(relationships, cat), "references": references, "edges": reference_edges(references)}
 
 
-def search(queries: DataFrame, held: dict[str, DataFrame], limit: int = 512, mode: str = "calls") -> DataFrame:
+def search(queries: DataFrame, held: dict[str, DataFrame], limit: int = LIMIT, mode: str = "calls") -> DataFrame:
     """query_id, operation, id, place, route, confidence: the first results of structural queries (query_id, operation, target).
 
     target: a symbol, a file's path for file_symbols, `file:` and a path for callers, a kind for orphans. An operation

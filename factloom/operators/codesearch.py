@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as fx
 
-from . import fusion, lexical
+from . import codegraph, fusion, lexical
 
 POOL, CONSTANT = 200, 60
 
@@ -29,11 +29,11 @@ def fallback(queries: DataFrame, documents: DataFrame, dense: DataFrame | None =
     return lexical.top(fusion.fused(rankings, [1.0] * len(rankings), CONSTANT), POOL)
 
 
-def routed(queries: DataFrame, found: DataFrame, documents: DataFrame, degrees: DataFrame, operation: str, dense: DataFrame | None = None, references: DataFrame | None = None, mode: str = "references") -> DataFrame:
-    """query_id, id, corpus_order, rank, score, signals and route of each query (query_id, text, target), with the candidate's text, source and definition line, and the edge and witnesses that speak for it.
+def routed(queries: DataFrame, found: DataFrame, documents: DataFrame, degrees: DataFrame, operation: str, dense: DataFrame | None = None, references: DataFrame | None = None, mode: str = "references", definitions: DataFrame | None = None) -> DataFrame:
+    """query_id, id, corpus_order, rank, score, signals and route of each query (query_id, text, target), with the candidate's text, source and definition line, the edge and witnesses that speak for it, and its definitions.
 
     found: (query_id, id, place, frequency) of the structural operation. documents: (doc, id, text), doc being the
-    corpus order, and source and definition_line where they are known. references: of codegraph.graph(). A query without
+    corpus order, and source and definition_line where they are known. references, definitions: of codegraph.graph(). The route is the operation's own. A query without
     a structural result is answered by words, unless it was a lookup.
     """
     texts = documents.select("doc", "text")
@@ -42,7 +42,7 @@ def routed(queries: DataFrame, found: DataFrame, documents: DataFrame, degrees:
     rows = id_overlap(queries, rows.fillna(0.0, ["lexical"]).fillna(0, ["degree"]))
     ranked = fusion.channel_ranks(rows, {"structural_order": "place", "bm25": "lexical", "edge_frequency": "frequency", "graph_degree": "degree", "id_overlap": "overlap"})
     whole = fusion.explained(ranked, operation).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_order")))
-    out = whole.select("query_id", "id", "corpus_order", "rank", "score", "signals", F.lit("structural").alias("route"))
+    out = whole.select("query_id", "id", "corpus_order", "rank", "score", "signals", F.lit(codegraph.CONFIDENCE[operation][0].format(mode=mode) if operation in codegraph.CONFIDENCE else operation).alias("route"))
     if operation != "lookup":
         rest = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
         plain = fallback(rest, texts, dense).join(documents.select("doc", "id"), "doc")
@@ -51,15 +51,26 @@ def routed(queries: DataFrame, found: DataFrame, documents: DataFrame, degrees:
         out = out.unionByName(plain.select("query_id", "id", F.col("doc").alias("corpus_order"), "rank", "score", none.alias("signals"), F.lit(label).alias("route")))
     more = [c for c in ("text", "source", "definition_line") if c in documents.columns]
     out = out.join(documents.select("id", *more), "id")
-    return out if references is None else evidenced(out, queries, references, operation, mode)
+    return out if references is None else evidenced(out.withColumn("operation", F.lit(operation)), queries, references, mode, definitions).drop("operation")
 
 
-def evidenced(candidates: DataFrame, queries: DataFrame, references: DataFrame, operation: str, mode: str) -> DataFrame:
-    """candidates with edge (source, relation, target) and witnesses, the places that speak for it; null and empty without any."""
+WITNESS = ("path", "first_line", "last_line", "text", "source_hash", "available")
+
+
+def evidenced(candidates: DataFrame, queries: DataFrame, references: DataFrame, mode: str = "references", definitions: DataFrame | None = None) -> DataFrame:
+    """candidates (query_id, id, operation, ...) with edge (source, relation, target), witnesses, the places that speak for it, and definitions, where the candidate is defined; null and empty without any.
+
+    queries: (query_id, target). An edge runs from the candidate to the target for callers, the other way for all others.
+    """
     used = references if mode == "references" else references.where("is_call")
-    proof = used.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("path", "first_line", "last_line", "text", "source_hash", "available"))).alias("witnesses"))
-    near, far = ("id", "target") if operation == "callers" else ("target", "id")
-    rows = candidates.join(queries.select("query_id", "target"), "query_id")
-    met = rows.join(proof, (F.col(near) == F.col("src")) & (F.col(far) == F.col("dst")), "left")
-    edge = F.when(F.col("witnesses").isNotNull(), F.struct(F.col(near).alias("source"), F.lit(mode).alias("relation"), F.col(far).alias("target")))
-    return met.withColumn("edge", edge).withColumn("witnesses", F.coalesce("witnesses", F.array().cast(dict(proof.dtypes)["witnesses"]))).drop("src", "dst", "target")
+    proof = used.groupBy("src", "dst").agg(F.sort_array(F.collect_list(F.struct(*WITNESS))).alias("witnesses"))
+    incoming = F.col("operation") == "callers"
+    rows = candidates.join(queries.select("query_id", "target"), "query_id").withColumn("src", F.when(incoming, F.col("id")).otherwise(F.col("target"))).withColumn("dst", F.when(incoming, F.col("target")).otherwise(F.col("id")))
+    met = rows.join(proof, ["src", "dst"], "left")
+    edge = F.when(F.col("witnesses").isNotNull(), F.struct(F.col("src").alias("source"), F.lit(mode).alias("relation"), F.col("dst").alias("target")))
+    none = F.array().cast(dict(proof.dtypes)["witnesses"])
+    out = met.withColumn("edge", edge).withColumn("witnesses", F.coalesce("witnesses", none)).drop("src", "dst", "target")
+    if definitions is None:
+        return out
+    said = definitions.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*WITNESS))).alias("definitions"))
+    return out.join(said, "id", "left").withColumn("definitions", F.coalesce("definitions", none))

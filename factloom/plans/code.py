@@ -129,9 +129,9 @@ def code_routes(spark, sf_dir, k: int = 5):
     documents = part.unionByName(supplier)
     queries = documents.where(F.col("doc") % 20 == 0).select(F.col("id").alias("query_id"), F.concat_ws(" ", "id", "text").alias("text"), F.col("id").alias("target"))
     e = edges(spark, sf_dir).checkpoint()
-    found = codegraph.callers(queries.select("target"), e)
+    found = codegraph.callers(queries.select("target"), e).where(F.col("place") <= codegraph.LIMIT)
     found = found.join(e.select(F.col("src").alias("id"), F.col("dst").alias("target"), "freq"), ["id", "target"]).select(F.col("target").alias("query_id"), "id", "place", F.col("freq").alias("frequency")).checkpoint()
-    rows = codesearch.routed(queries, found, documents, codegraph.degree(e), "callers")
+    rows = codesearch.routed(queries, found, documents, codegraph.degree(e), "callers", mode="calls")
     return fusion.replayed(rows, (), k).where("selected").select("query_id", "id", "rank", "route", F.round("score", 6).alias("score"))
 
 
@@ -161,6 +161,27 @@ def structural_search(spark, sf_dir):
     return codegraph.search(queries, held)
 
 
+def code_evidence(spark, sf_dir):
+    """Who refers to each function and what it refers to, with the edge, the first line that shows it, and where the candidate is defined."""
+    held = code_graph(spark, sf_dir)
+    ways = F.explode(fx.strings(["callers", "callees"])).alias("operation")
+    queries = held["catalogue"].where("kind = 'function'").select(ways, F.col("id").alias("target")).select(F.concat_ws("/", "operation", "target").alias("query_id"), "operation", "target")
+    rows = codesearch.evidenced(codegraph.search(queries, held, mode="references"), queries, held["references"], "references", held["definitions"])
+    return rows.select(
+        "query_id", "id", "place", "route", F.col("edge.source").alias("source"), F.col("edge.target").alias("target"), F.size("witnesses").cast("long").alias("n_witnesses"), F.trim(F.col("witnesses")[0]["text"]).alias("witness"),
+        F.size("definitions").cast("long").alias("n_definitions"), F.col("definitions")[0]["first_line"].alias("defined_at"), F.col("definitions")[0]["text"].alias("definition"),
+    )
+
+
+def lookups(spark, sf_dir):
+    """Names looked up in the rendered graph: ids, display names, one with a kind that fits and one with one that does not."""
+    cat = code_graph(spark, sf_dir)["catalogue"]
+    ask = lambda way, name, bare, kind: F.struct(F.lit(way).alias("way"), name.alias("name"), F.lit(bare).alias("bare"), F.lit(kind).cast("string").alias("kind"))
+    asked = cat.select(F.explode(F.array(ask("id", F.col("id"), False, None), ask("name", F.col("name"), True, None), ask("class", F.col("name"), True, "class"), ask("module", F.col("name"), True, "module"), ask("none", F.concat("name", F.lit("x")), True, None))).alias("q"))
+    queries = asked.select(F.concat_ws("/", "q.way", "q.name").alias("query_id"), "q.name", "q.bare", "q.kind").distinct()
+    return codegraph.lookup(queries, cat).select("query_id", "id", "confidence")
+
+
 def timed_points(spark, sf_dir):
     """Memories of users by week, every third one closing the latest open one of the same text: owner, session, pos, text, since, closes."""
     e = tables.table(spark, sf_dir, "events")
@@ -197,7 +218,7 @@ def memory_summary(spark, sf_dir):
     return factgraph.memory_report(factgraph.memory_metrics(found, points, questions), questions.select("question_id", "type"))
 
 
-QUERIES = {f.__name__: f for f in (code_routes, projection_edges, projection_witnesses, structural_search, routed_evaluation, memory_ranks, memory_summary, edge_frequency, callers, callees, graph_degree, orphans, containment, contained_by, innermost_scope, call_targets, fact_endpoints, multi_hop_rank, update_linking, active_memory_topk)}
+QUERIES = {f.__name__: f for f in (code_routes, projection_edges, projection_witnesses, code_evidence, lookups, structural_search, routed_evaluation, memory_ranks, memory_summary, edge_frequency, callers, callees, graph_degree, orphans, containment, contained_by, innermost_scope, call_targets, fact_endpoints, multi_hop_rank, update_linking, active_memory_topk)}
 
 EDGE_SQL = """item AS (SELECT 'supplier-' || cast(l_suppkey AS varchar) AS src, 'part-' || cast(l_partkey AS varchar) AS dst, l_returnflag <> 'N' AS is_call, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
 e AS (SELECT src, dst, count(*) AS freq, count(*) FILTER (is_call) AS calls, min(place) AS first FROM item GROUP BY ALL)"""
@@ -270,13 +291,19 @@ SQL |= {
  UNION ALL SELECT 'orphans', 'function', fn.id, row_number() OVER (ORDER BY coalesce(degree, 0) DESC, c), 'orphan_scan', 0.9 FROM fn LEFT JOIN deg ON deg.id = fn.id WHERE fn.id NOT IN (SELECT dst FROM eg WHERE calls > 0)
  UNION ALL SELECT 'callers', dst, src, row_number() OVER (PARTITION BY dst ORDER BY first, src), 'calls_incoming', 0.95 FROM eg WHERE calls > 0 UNION ALL SELECT 'callees', src, dst, row_number() OVER (PARTITION BY src ORDER BY first, dst), 'calls_outgoing', 0.95 FROM eg WHERE calls > 0)
  SELECT operation || '/' || target AS query_id, operation, id, cast(place AS integer) AS place, route, confidence FROM r WHERE place <= 512""",
+    "code_evidence": f"""WITH {GRAPH_SQL}, pr AS (SELECT src, dst, count(*) AS n_witnesses, arg_min(CASE part WHEN 1 THEN 'y = customer' || t || '(x)' ELSE 'z = customer' || t END, (path, nth * 5 + 1 + part)) AS witness FROM refs GROUP BY ALL),
+ cand AS (SELECT 'callers/' || dst AS query_id, src AS id, src, dst, 'references_incoming' AS route, cast(row_number() OVER (PARTITION BY dst ORDER BY first, src) AS integer) AS place FROM eg UNION ALL SELECT 'callees/' || src, dst, src, dst, 'references_outgoing', cast(row_number() OVER (PARTITION BY src ORDER BY first, dst) AS integer) FROM eg)
+ SELECT query_id, id, place, route, cand.src AS source, cand.dst AS target, n_witnesses, witness, 1::bigint AS n_definitions, cast(nth * 5 + 1 AS integer) AS defined_at, 'def customer' || c || '(x):' AS definition
+ FROM cand JOIN pr ON pr.src = cand.src AND pr.dst = cand.dst JOIN cu ON cand.id = 'geo/customer' || c || '().' WHERE place <= 512""",
+    "lookups": f"""WITH {GRAPH_SQL}, cat AS (SELECT 'geo/customer' || c || '().' AS id, 'customer' || c AS name, false AS struct FROM cu UNION ALL SELECT 'geo/nation' || n_nationkey || '#', 'nation' || n_nationkey, true FROM nation)
+ SELECT 'id/' || id AS query_id, id, 1.0::double AS confidence FROM cat UNION ALL SELECT 'name/' || name, id, 0.98::double FROM cat UNION ALL SELECT 'class/' || name, id, 0.98::double FROM cat WHERE struct""",
     "code_routes": f"""WITH {EDGE_SQL}, docs AS ({ROUTE_DOCS}), rq AS ({ROUTE_QUERIES}), deg AS (SELECT src AS id, count(DISTINCT dst) AS degree FROM e GROUP BY ALL UNION ALL SELECT dst, count(DISTINCT src) FROM e GROUP BY ALL),
  {parts_sql('f', CODE, 'float', 'SELECT * FROM rq', 'SELECT doc, text FROM docs')}, fs AS (SELECT query_id, doc, list_reduce(list_prepend(0::float, list(cast(part * qtf::float AS float) ORDER BY first)), lambda a, x: cast(a + x AS float)) AS score FROM f GROUP BY ALL),
- fo AS (SELECT dst AS query_id, src AS id, row_number() OVER (PARTITION BY dst ORDER BY first, src) AS place, freq FROM e WHERE calls > 0 AND dst IN (SELECT query_id FROM rq)),
+ fo AS (SELECT dst AS query_id, src AS id, row_number() OVER (PARTITION BY dst ORDER BY first, src) AS place, freq FROM e WHERE calls > 0 AND dst IN (SELECT query_id FROM rq) QUALIFY place <= 512),
  v AS (SELECT fo.query_id, fo.id, docs.doc, place, freq, coalesce(fs.score, 0)::double AS lexical, coalesce(degree, 0) AS degree FROM fo JOIN docs ON docs.id = fo.id LEFT JOIN fs ON fs.query_id = fo.query_id AND fs.doc = docs.doc LEFT JOIN deg ON deg.id = fo.id),
  c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, doc) AS c1, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, doc) AS c2, row_number() OVER (PARTITION BY query_id ORDER BY freq DESC, doc) AS c3, row_number() OVER (PARTITION BY query_id ORDER BY degree DESC, doc) AS c4 FROM v),
  w AS (SELECT rq.query_id, docs.id, docs.doc, row_number() OVER (PARTITION BY rq.query_id ORDER BY coalesce(fs.score, 0) DESC, docs.doc) AS r FROM rq CROSS JOIN docs LEFT JOIN fs ON fs.query_id = rq.query_id AND fs.doc = docs.doc WHERE rq.query_id NOT IN (SELECT query_id FROM fo) QUALIFY r <= 200),
- t AS (SELECT query_id, id, doc, 'structural' AS route, round(1::double / (60 + c1) + 1::double / (60 + c2) + 1::double / (60 + c3) + 4::double / (60 + c4), 9) AS score FROM c UNION ALL SELECT query_id, id, doc, 'bm25_fallback', round(1::double / (60 + r), 9) FROM w)
+ t AS (SELECT query_id, id, doc, 'calls_incoming' AS route, round(1::double / (60 + c1) + 1::double / (60 + c2) + 1::double / (60 + c3) + 4::double / (60 + c4), 9) AS score FROM c UNION ALL SELECT query_id, id, doc, 'bm25_fallback', round(1::double / (60 + r), 9) FROM w)
  SELECT query_id, id, cast(row_number() OVER (PARTITION BY query_id ORDER BY t.score DESC, doc) AS integer) AS rank, route, round(score, 6) AS score FROM t QUALIFY rank <= 5""",
     "routed_evaluation": f"""WITH q AS (SELECT cast(n_nationkey AS bigint) AS query_id, 'chain' AS source, 'What is the continent of the citizens of ' || n_name AS text, r_name AS answer FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey + 100, 'plain', 'Where is ' || n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
  facts AS ({RELFACTS}), {parts_sql('b', TOKENS, 'double', 'SELECT query_id, text FROM q', RELFACTS)}, boosted AS (SELECT query_id, doc, {FOLD} AS score FROM b GROUP BY ALL),

@@ -48,11 +48,27 @@ def test_a_projection_becomes_a_graph_with_witnesses(spark, tmp_path):
     documents = spark.createDataFrame([(n, i, i, "a.py", n) for n, i in enumerate(every)], "doc long, id string, text string, source string, definition_line int")
     question = spark.createDataFrame([("q", "who calls go", "a/go().")], "query_id string, text string, target string")
     found = spark.createDataFrame([("q", "a/Base#run().", 1, 1)], "query_id string, id string, place int, frequency int")
-    row = codesearch.routed(question, found, documents, codegraph.degree(held["edges"]), "callers", references=held["references"]).first()
+    row = codesearch.routed(question, found, documents, codegraph.degree(held["edges"]), "callers", references=held["references"], definitions=held["definitions"]).first()
+    assert row.route == "references_incoming" and [(d.first_line, d.text.strip(), d.available) for d in row.definitions] == [(2, "def run(self):", True)]
     assert row.edge.source == "a/Base#run()." and row.edge.target == "a/go()." and [w.text.strip() for w in row.witnesses] == ["return go()"] and row.source == "a.py"
     assert [r.id for r in codegraph.in_corpus_order(spark.createDataFrame([("t", "zz"), ("t", "a/go()."), ("t", "a/Base#")], "target string, id string"), held["catalogue"]).orderBy("place").collect()] == ["a/Base#", "a/go().", "zz"]
 
 
+def test_witnesses_of_missing_sources_line_ends_and_long_ranges(spark):
+    import hashlib
+
+    sources = spark.createDataFrame([("a", "x()\r\ny\rz\u2028w\n\n"), ("empty", "")], "path string, text string")
+    assert sorted((r.path, r.line, r.line_text) for r in codegraph.source_lines(sources).collect()) == [("a", 0, "x()"), ("a", 1, "y"), ("a", 2, "z"), ("a", 3, "w"), ("a", 4, "")]
+    one = [("a", 1, [0, 0, 3]), ("a", 2, [1, 0, 3, 1]), ("a", 3, [4, 0, 1]), ("a", 4, [9, 0, 1]), ("a", 5, [3, 0, 9, 0]), ("a", 6, [1]), ("empty", 1, [0, 0, 1]), ("gone", 1, [0, 0, 1, 1])]
+    places = spark.createDataFrame(one, "path string, point int, r array<int>").select("path", "point", codegraph.bounds(F.col("r")).alias("bounds"))
+    got = {(r.path, r.point): (r.first_line, r.last_line, r.text, r.available, r.source_hash) for r in codegraph.witnesses(places, sources).collect()}
+    a, nothing = hashlib.sha256("x()\r\ny\rz\u2028w\n\n".encode()).hexdigest(), hashlib.sha256(b"").hexdigest()
+    assert got == {
+        ("a", 1): (1, 1, "x()", True, a), ("a", 2): (2, 4, "y\nz\nw", True, a), ("a", 3): (5, 5, "", True, a), ("a", 4): (10, 10, "", True, a), ("a", 5): (4, 10, "w\n", True, a), ("a", 6): (1, 0, "", True, a),
+        ("empty", 1): (1, 1, "", False, nothing), ("gone", 1): (1, 2, "", False, nothing),
+    }
+
+
 def test_ranges_of_three_and_four_numbers(spark):
     rows = spark.createDataFrame([([1, 2, 5],), ([1, 2, 3, 4],), ([1],)], "r array<int>").select(codegraph.bounds(F.col("r")).alias("b")).collect()
     assert [r.b and tuple(r.b) for r in rows] == [(1, 2, 1, 5), (1, 2, 3, 4), None]

@@ -41,7 +41,7 @@ def test_edges_are_of_all_line_items(spark, tmp_path):
     assert {r.id for r in code.orphans(spark, here).collect()} == {f"part-{n}" for n in range(9)} - {d for _, d in called} == {"part-5", "part-6", "part-7", "part-8"}
     ends = [x for e in want for x in e]
     assert {r.id: r.degree for r in code.graph_degree(spark, here).collect()} == {x: ends.count(x) for x in ends}
-    assert {(r.query_id.split("-")[0], r.route) for r in code.code_routes(spark, here).collect()} == {("part", "structural"), ("supplier", "bm25_fallback")}
+    assert {(r.query_id.split("-")[0], r.route) for r in code.code_routes(spark, here).collect()} == {("part", "calls_incoming"), ("supplier", "bm25_fallback")}
 
 
 def test_fusion_adds_ranks_of_whole_rankings(spark, tmp_path):
