@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom import session
+
 #: Predicates with one value at a time.
 SINGLE_VALUED = ("default", "signature", "exists", "parameter_exists")
 MODES = ("baseline", "temporal", "conflict", "combined")
@@ -209,6 +211,29 @@ def closure(edges: DataFrame) -> DataFrame:
         jump = jump.join(jump.select(F.col("node").alias("next"), F.col("next").alias("further")), "next").select("node", F.col("further").alias("next")).distinct().checkpoint()
 
 
+def followed(edges: DataFrame) -> DataFrame:
+    """(source, n_after, last_node): how many nodes the edges lead to from each old_id, and the largest of them, where each node has one edge at most.
+
+    Pointer jumping: a node's pointer, the number of edges it spans and the largest node on them take over those of the
+    node it points to, so chains of any length take logarithmically many rounds and one row for each node. Two edges
+    from one node are an error, and so are cycles, which a journal does not hold.
+    """
+    once = edges.select("old_id", "new_id").distinct().groupBy("old_id").agg(F.count("*").alias("n"), F.first("new_id").alias("next"))
+    ways = once.select(F.col("old_id").alias("source"), F.when(F.col("n") > 1, F.raise_error(F.lit("a node with two edges"))).otherwise(F.col("next")).alias("next"), F.lit(1).cast("long").alias("n_after"))
+    ways = session.written(ways.withColumn("last_node", F.col("next")), "ways")
+    longest = ways.count()
+    spanned = 1
+    while True:
+        on = ways.select(F.col("source").alias("next"), F.col("next").alias("further"), F.col("n_after").alias("more"), F.col("last_node").alias("theirs"))
+        if ways.join(on, "next", "left_semi").isEmpty():
+            return ways.select("source", "n_after", "last_node")
+        if spanned > longest:
+            raise ValueError("the edges hold a cycle")
+        met = ways.join(on, "next", "left")
+        ways = session.written(met.select("source", F.coalesce("further", "next").alias("next"), (F.col("n_after") + F.coalesce("more", F.lit(0))).alias("n_after"), F.greatest("last_node", "theirs").alias("last_node")), "ways")
+        spanned *= 2
+
+
 def creates_cycle(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     """The proposals whose old fact is reachable from their new one."""
     found = reachable(edges, proposals.select(F.col("new_id").alias("source")))

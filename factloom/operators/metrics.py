@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ranges between a group's least and greatest value that its values are counted in.
-RANGES = 1000
+from factloom import session
+
+#: Parts at least that counted values are dealt to by range.
+PARTS = 64
 # Weights of the task categories.
 WEIGHTS = {"Completion": 0.32, "BugFix": 0.22, "Refactor": 0.12, "TestGen": 0.10, "FeatureAdd": 0.10, "ApiDiscovery": 0.14}
 
@@ -62,15 +64,17 @@ def paired(rows: DataFrame, metrics: list[str], reference: str, others: list[str
 def percentiles(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Median, the mean of the two middle values of an even number, and nearest-rank 95th percentile of each group.
 
-    Equal values are counted first; a group's values are counted in ranges between its least and greatest, and only
-    those ranges that hold a wanted rank are ordered. So no task orders all values of a group.
+    Equal values are counted first. The counts are dealt to parts by range, at splitters that Spark finds in the values
+    themselves, so that a part holds about as many values as another however they are spread; only parts that hold a
+    wanted rank are ordered. So no task orders all values of a group.
     """
     key = F.concat_ws("|", *[F.concat(F.col(c).isNull().cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in by])
-    counts = rows.select(*by, key.alias("__key"), F.col(value).cast("double").alias("v")).groupBy(*by, "__key", "v").agg(F.count("v").alias("n")).checkpoint()
-    whole = counts.groupBy(*by, "__key").agg(F.sum("n").cast("long").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    ends = whole.select("__key", "low", "high", (F.floor((F.col("n") - 1) / 2)).alias("m0"), (F.floor(F.col("n") / 2)).alias("m1"), (F.ceil(F.col("n") * 0.95) - 1).alias("p"))
-    part = F.coalesce(F.least(F.floor((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")
-    placed = counts.where("n > 0").join(ends, "__key").withColumn("part", part)
+    counts = rows.select(*by, key.alias("__key"), F.col(value).cast("double").alias("v")).groupBy(*by, "__key", "v").agg(F.count("v").alias("n"))
+    parts = max(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = session.written(counts.repartitionByRange(parts, "__key", "v").withColumn("part", F.spark_partition_id()), "counts")
+    whole = counts.groupBy(*by, "__key").agg(F.sum("n").cast("long").alias("n"))
+    ends = whole.select("__key", (F.floor((F.col("n") - 1) / 2)).alias("m0"), (F.floor(F.col("n") / 2)).alias("m1"), (F.ceil(F.col("n") * 0.95) - 1).alias("p"))
+    placed = counts.where("n > 0").join(ends, "__key")
     held = placed.groupBy("__key", "part").agg(F.sum("n").alias("held"), F.first("m0").alias("m0"), F.first("m1").alias("m1"), F.first("p").alias("p"))
     held = held.withColumn("before", F.sum("held").over(Window.partitionBy("__key").orderBy("part")) - F.col("held"))
     inside = lambda c: (F.col(c) >= F.col("before")) & (F.col(c) < F.col("before") + F.col("held"))

@@ -19,6 +19,8 @@ MOST_TEXT = {"entity": 160, "environment": 40, "source": 300, "text": 1500, "age
 PREDICATES = ("default", "signature", "exists", "parameter_exists", "calls")
 KNOWLEDGE = ("2026-09-01 00:00:00", "2026-09-02 00:00:00", "2026-09-03 00:00:00")
 # End of fixed values.
+#: The scope of seeded cases.
+CASES = ("cases", "seeded", "default")
 
 
 def new_room() -> str:
@@ -110,9 +112,9 @@ def seeded(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = F.explode(F.array(F.struct(F.lit("original").alias("kind"), F.col("original").alias("value_json")), F.struct(F.lit("changed").alias("kind"), F.col("changed").alias("value_json")))).alias("k")
     rows = cases.select("case_id", "entity", "source", "text", kinds).select("case_id", "entity", "source", "text", "k.*")
     first = F.col("kind") == "original"
-    told = F.struct(F.when(first, F.col("source")).otherwise(F.concat(F.lit("scenario://"), F.col("case_id").cast("string"), F.lit("/injected-change"))).alias("source"), F.when(first, F.col("text")).otherwise(F.concat(F.lit("Controlled change to "), F.col("value_json"))).alias("text"))
+    told = F.struct(F.when(first, F.col("source")).otherwise(F.concat("source", F.lit("#changed"))).alias("source"), F.when(first, F.col("text")).otherwise(F.concat(F.lit("Changed to "), F.col("value_json"))).alias("text"))
     facts = rows.select(
-        "case_id", "kind", "entity", F.lit("default").alias("predicate"), "value_json", F.lit("controlled-cases").alias("repository"), F.lit("synthetic-chain").alias("branch"), F.lit("default").alias("environment"),
+        "case_id", "kind", "entity", F.lit("default").alias("predicate"), "value_json", *[F.lit(v).alias(c) for c, v in zip(journal.SCOPE, CASES, strict=True)],
         F.when(first, 0).otherwise(1).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.when(first, F.lit(KNOWLEDGE[0])).otherwise(F.lit(KNOWLEDGE[1])).cast("timestamp").alias("recorded_at"), F.to_json(told).alias("evidence_json"), F.lit(False).alias("negated"),
     )
     facts = journal.identified(facts)
@@ -122,7 +124,7 @@ def seeded(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def knowledge_coordinates(spark: SparkSession, positions: list[int]) -> DataFrame:
     """Coordinates of every position with every step of the seeded cases' knowledge: coordinate is 10 times the position plus the step."""
-    rows = [(10 * at + step, at, known, "controlled-cases", "synthetic-chain", "default") for at in positions for step, known in enumerate(KNOWLEDGE)]
+    rows = [(10 * at + step, at, known, *CASES) for at in positions for step, known in enumerate(KNOWLEDGE)]
     return spark.createDataFrame(rows, "coordinate int, at long, known string, repository string, branch string, environment string").withColumn("known", F.to_timestamp("known"))
 
 

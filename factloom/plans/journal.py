@@ -81,8 +81,7 @@ def replacement_reachability(spark, sf_dir):
     """How many facts the replacements of each replaced fact lead to, along chains of any length."""
     facts = tables.assertions(spark, sf_dir)
     replaced = journal.replacements(tables.proposed_replacements(facts), facts)
-    found = journal.closure(replaced).where("source <> node")
-    return found.groupBy("source").agg(F.count("*").alias("n_after"), F.max("node").alias("last_node"))
+    return journal.followed(replaced)
 
 
 def event_timeline(spark, sf_dir):

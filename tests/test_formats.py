@@ -115,19 +115,21 @@ def test_gold_ids_and_served_runs(spark):
 
 
 def test_rooms_from_creation_to_replacement(spark, tmp_path):
-    lab = rooms.Rooms(spark, str(tmp_path / "journal"))
+    lab = rooms.Rooms(spark, str(tmp_path / "journal"), "lab")
     room, other = lab.create(), lab.create()
+    steps = (rooms.Step("blue", 3, "note/1", "someone", "It is blue."), rooms.Step("green", 4, "note/2", "someone else", "It is green."))
+    seen = lambda known=None: lab.snapshot(room, "wall", 4, known)
     with pytest.raises(ValueError, match="unknown"):
         lab.facts("0" * 32)
     with pytest.raises(ValueError, match="missing"):
-        lab.step(room, 3)
-    assert lab.snapshot(room)[0].first().answer == "unknown"
+        lab.step(room, 3, "wall", steps)
+    assert seen()[0].first().answer == "unknown"
     for step, answer in ((1, "supported"), (2, "conflict"), (2, "conflict"), (3, "supported"), (3, "supported")):
-        lab.step(room, step)
-        assert lab.snapshot(room)[0].first().answer == answer
+        lab.step(room, step, "wall", steps)
+        assert seen()[0].first().answer == answer
     assert lab.events(room).count() == 3 and lab.facts(other).isEmpty()
-    assert lab.snapshot(room, known=2)[0].first().answer == "conflict" and lab.snapshot(room, known=0)[0].first().n_selected == 0
-    assert sorted(r.reason for r in lab.snapshot(room)[1].collect()) == ["active", "superseded"]
+    assert seen(2)[0].first().answer == "conflict" and seen(0)[0].first().n_selected == 0
+    assert sorted(r.reason for r in seen()[1].collect()) == ["active", "superseded"]
     ids = [r.id for r in lab.facts(room).collect()]
     with pytest.raises(ValueError, match="two facts"):
         lab.replace(other, ids[0], ids[1], 42)

@@ -217,6 +217,20 @@ def test_closure_equals_the_walk_along_edges(spark):
     assert ("a", "f") in got and ("x", "f") in got and ("x", "x") in got and len(got) == 6 + 5 + 4 + 3 + 2 + 7 + 7
 
 
+def test_long_chains_are_followed_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = session.written
+    monkeypatch.setattr(session, "written", lambda df, name: rounds.append(name) or kept(df, name))
+    chain = spark.range(3000).select(F.col("id").alias("old_id"), (F.col("id") + 1).alias("new_id")).unionByName(spark.createDataFrame([(9000, 5), (9001, 7)], "old_id long, new_id long"))
+    got = {r.source: (r.n_after, r.last_node) for r in journal.followed(chain).collect()}
+    assert got == {n: (3000 - n, 3000) for n in range(3000)} | {9000: (2996, 3000), 9001: (2994, 3000)} and len(rounds) < 20
+    with pytest.raises(ValueError, match="cycle"):
+        journal.followed(spark.createDataFrame([(1, 2), (2, 1)], "old_id long, new_id long"))
+    with pytest.raises(Exception, match="two edges"):
+        journal.followed(spark.createDataFrame([(1, 2), (1, 3)], "old_id long, new_id long"))
+    assert journal.followed(chain.limit(0)).isEmpty()
+
+
 def test_places_run_on_through_a_history(spark):
     known = facts(spark, *[fact(str(n), day=1 + n // 3) for n in range(9)])
     rows = journal.timeline(known, none(spark)).orderBy("recorded_at", "ref").collect()

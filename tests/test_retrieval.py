@@ -192,6 +192,23 @@ def test_percentiles_equal_the_engine_s_own(spark):
     assert {r.g: (r.p50, r.p95, r.n) for r in metrics.percentiles(table, "v", ["g"]).collect()} == {r.g: (r.p50, r.p95, r.n) for r in want.collect()}
 
 
+def test_percentiles_of_values_with_one_far_away(spark, monkeypatch):
+    """One huge value does not press all others into one part."""
+    sizes = []
+    kept = session.written
+
+    def written(df, name):
+        out = kept(df, name)
+        sizes.extend(r["count"] for r in out.groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(session, "written", written)
+    rows = spark.range(30_000).select(F.lit("a").alias("g"), F.when(F.col("id") == 0, 1e15).otherwise(F.col("id") / 1000).alias("v"))
+    row = metrics.percentiles(rows, "v", ["g"]).first()
+    values = sorted([1e15, *(i / 1000 for i in range(1, 30_000))])
+    assert (row.p50, row.p95, row.n) == ((values[14_999] + values[15_000]) / 2, values[28_499], 30_000) and max(sizes) < 3000
+
+
 def test_bootstrap_is_seeded(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 2.0)], "cluster string, delta double")
     a, b = (metrics.cluster_bootstrap(spark, rows, 200).first() for _ in range(2))
