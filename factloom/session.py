@@ -30,7 +30,8 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that was set before.
 
-    Where neither is set, one below the warehouse is set, and a temporary one only if all runs on this machine.
+    Where neither is set, one below the warehouse is set, and a temporary one only if all runs on this machine. On a
+    cluster a warehouse on a local disk is refused: other machines do not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -39,7 +40,10 @@ def shared_folder(spark: SparkSession) -> str:
     held = context._jsc.sc().getCheckpointDir()
     if not held.isDefined():
         here = context.master == "local" or context.master.startswith("local[")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-") if here else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if not here and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {warehouse} may be this machine's own")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-") if here else f"{warehouse}/_checkpoints")
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
 

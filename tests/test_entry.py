@@ -49,3 +49,19 @@ def test_flagship(spark):
 
     rows = __spark_entry__.entry(spark)
     assert rows.columns[:2] == ["id", "entity"] and rows.count() >= 0
+
+
+def test_a_cluster_with_a_local_warehouse_is_refused(monkeypatch):
+    """Without a shared folder, a warehouse on a machine's own disk is no place for intermediate tables."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from factloom import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    for warehouse in ("file:/tmp/warehouse", "/tmp/warehouse"):
+        conf = SimpleNamespace(get=lambda key, *default, w=warehouse: w if key == "spark.sql.warehouse.dir" else None)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_folder(SimpleNamespace(conf=conf, sparkContext=context))
