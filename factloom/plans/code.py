@@ -130,7 +130,8 @@ def code_routes(spark, sf_dir, k: int = 5):
     queries = documents.where(F.col("doc") % 20 == 0).select(F.col("id").alias("query_id"), F.concat_ws(" ", "id", "text").alias("text"), F.col("id").alias("target"))
     e = edges(spark, sf_dir).checkpoint()
     found = codegraph.callers(queries.select("target"), e).where(F.col("place") <= codegraph.LIMIT)
-    found = found.join(e.select(F.col("src").alias("id"), F.col("dst").alias("target"), "freq"), ["id", "target"]).select(F.col("target").alias("query_id"), "id", "place", F.col("freq").alias("frequency")).checkpoint()
+    times = e.select(F.col("src").alias("id"), F.col("dst").alias("target"), codegraph.frequency(e, "callers").alias("frequency"))
+    found = found.join(times, ["id", "target"]).select(F.col("target").alias("query_id"), "id", "place", "frequency").checkpoint()
     rows = codesearch.routed(queries, found, documents, codegraph.degree(e), "callers", mode="calls")
     return fusion.replayed(rows, (), k).where("selected").select("query_id", "id", "rank", "route", F.round("score", 6).alias("score"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import text as fx
-from factloom.operators import dialogue, evaluation
+from factloom.operators import dates, dialogue, evaluation
 from factloom.sources import tables
 
 from . import dialogue as talk
@@ -63,9 +63,9 @@ def evaluation_audit(spark, sf_dir):
 
 
 def evaluation_dated(spark, sf_dir):
-    """Hits of questions that name a period, by profile."""
+    """Hits of questions in which the calendar rules find a date or period, by profile."""
     rows, labels, _ = run(spark, sf_dir)
-    dated = evaluation.scored(rows, labels).where(F.col("hit").isNotNull() & F.col("question").rlike(r"^In [A-Za-z]+ \d{4}"))
+    dated = evaluation.scored(rows, labels).where(F.col("hit").isNotNull() & (F.size(dates.explicit_times(F.col("question"))) > 0))
     return evaluation.binary_summary(dated.withColumn("found", F.col("hit") == 1), "found", ["profile"])
 
 
@@ -106,6 +106,7 @@ SQL = {
  fd AS (SELECT question_id, profile, session, pos FROM lo, unnest(ids) x(dia_id) JOIN turns t ON t.conversation_id = lo.conversation_id AND t.dia_id = x.dia_id), gt AS (SELECT question_id, profile, {TERMS} AS toks FROM gd WHERE text IS NOT NULL), cm AS (SELECT DISTINCT gt.question_id, profile FROM gt JOIN qt ON qt.question_id = gt.question_id AND list_contains(toks, term)),
  nr AS (SELECT DISTINCT gd.question_id, gd.profile FROM gd JOIN fd ON fd.question_id = gd.question_id AND fd.profile = gd.profile AND fd.session = gd.session AND abs(fd.pos - gd.pos) <= 2)
  SELECT gd.question_id, gd.profile, bool_or(pos IS NULL) AS missing_id, (gd.question_id, gd.profile) NOT IN (SELECT (question_id, profile) FROM cm) AS no_common_term, (gd.question_id, gd.profile) IN (SELECT (question_id, profile) FROM nr) AS near FROM gd GROUP BY ALL""",
+    "ranking_digests": f"{RUN_SQL} SELECT profile, count(*) AS rows, cast(sum(cast('0x' || left(sha256(concat_ws('|', question_id, profile, array_to_string(ids, ','))), 13) AS hugeint)) AS varchar) AS digest FROM run GROUP BY ALL",
     "evaluation_audit": f"""WITH {tables.TURNS_SQL}, {tables.LABELS_SQL}, kn AS (SELECT conversation_id, list(dia_id) AS known FROM turns GROUP BY ALL), a AS (SELECT question_id, len(gold) = 0 AS is_empty, list_filter(gold, lambda x: NOT list_contains(known, x)) AS missing, padded AS changed FROM labels JOIN kn ON kn.conversation_id = cast(split_part(question_id, '/', 1) AS bigint))
  SELECT question_id, is_empty, array_to_string(missing, ',') AS missing, changed FROM a WHERE is_empty OR len(missing) > 0 OR changed""",
     "evaluation_dated": f"{RUN_SQL} SELECT profile, count(*) AS n, count(*) FILTER (hit = 1) AS hits, round(avg((hit = 1)::int::double), 6) AS rate FROM rows_ WHERE hit IS NOT NULL AND qf_of(question) GROUP BY ALL".replace("qf_of(question)", "question LIKE 'In %'"),

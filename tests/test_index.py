@@ -58,3 +58,22 @@ def test_fusion_counts_places_that_stand_deep_in_a_ranking(spark):
         assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(x[3] - y[3]) < 2e-9 for x, y in zip(got, want, strict=True))
     assert (1, 1, 0) in [x[:3] for x in sorted(tuple(r) for r in fusion.fused_top(frames, [1.0, 0.5, 0.0], 60, 10).collect())]
     assert fusion.depth([1.0, 0.5], 60, 10) == 151
+
+
+def test_session_stamps(spark):
+    from datetime import datetime
+
+    from factloom.operators import dates
+
+    said = ["1:56 pm on 8 May, 2023", "12:05 am on 29 February, 2024", "9:00 am on 31 April, 2023", "yesterday", None]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string").select("i", dates.session_time(fx.F.col("s")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {0: datetime(2023, 5, 8, 13, 56), 1: datetime(2024, 2, 29, 0, 5), 2: None, 3: None, 4: None}
+
+
+def test_differences_between_a_frozen_run_and_its_repetition(spark):
+    from factloom.operators import metrics
+
+    was = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "id string, v int")
+    now = spark.createDataFrame([("a", 1), ("b", 3)], "id string, v int")
+    assert sorted(tuple(r) for r in metrics.differences(was, now).collect()) == [("a", 1, "left"), ("b", 2, "left"), ("b", 3, "right")]
+    assert metrics.differences(was, was).isEmpty()
