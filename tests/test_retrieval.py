@@ -230,7 +230,7 @@ def test_routes_fall_back_to_words(spark):
     found = spark.createDataFrame([("s", "a/other().", 1, 2), ("s", "a/closeFile().", 2, 1)], "query_id string, id string, place int, frequency int")
     degrees = spark.createDataFrame([("a/other().", 5)], "id string, degree long")
     rows = codesearch.routed(queries, found, docs, degrees, "callers").collect()
-    assert [(r.id, r.route) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "s"] == [("a/other().", "structural"), ("a/closeFile().", "structural")]
+    assert [(r.id, r.route) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "s"] == [("a/other().", "references_incoming"), ("a/closeFile().", "references_incoming")]
     words = [(r.id, r.route, r.score) for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == "w"]
     assert words == [(i, "bm25_fallback", round(1 / (61 + n), 9)) for n, i in enumerate(["a/closeFile().", "a/readFile().", "a/other().", "a/more()."])]
     assert all(len(r.signals) == (5 if r.query_id == "s" else 0) for r in rows)
