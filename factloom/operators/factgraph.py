@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.functions import text as fx
 
 from . import lexical
@@ -176,34 +178,81 @@ def snapshot_links(points: DataFrame) -> DataFrame:
     return linked.withColumn("until_session", F.col("until.session")).withColumn("until", F.col("until.since")).withColumn("since", F.col("since.since"))
 
 
-def as_of_sessions(points: DataFrame, questions: DataFrame) -> DataFrame:
-    """question_id and each point that its session's snapshot holds, as it was then: an update of a later session is not seen.
+def as_of(counts: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """wanted (key..., session) with the sums of counts (key..., session, numbers...) over the sessions so far, its own included.
 
-    points: from snapshot_links(). questions: (question_id, owner, session). An equi-join on the owner: a snapshot is
-    the owner's points of the sessions so far.
+    Counts and wanted rows are one ordered run for each key, so that no count is copied into later sessions.
     """
-    q = questions.select("question_id", "owner", F.col("session").alias("asked_session"))
-    seen = q.join(points, "owner").where(F.col("session") <= F.col("asked_session"))
-    return seen.withColumn("until", F.when(F.col("until_session") <= F.col("asked_session"), F.col("until"))).drop("until_session")
+    numbers = [c for c in counts.columns if c not in (*key, "session")]
+    blank = wanted.select(*key, "session", *[F.lit(0).cast("long").alias(c) for c in numbers], F.lit(True).alias("__asks")).distinct()
+    w = Window.partitionBy(*key).orderBy("session").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = counts.withColumn("__asks", F.lit(False)).unionByName(blank)
+    return both.select(*key, "session", "__asks", *[F.sum(c).over(w).alias(c) for c in numbers]).where("__asks").drop("__asks")
+
+
+def snapshot_hits(points: DataFrame, asked: DataFrame, sizes: DataFrame, postings: DataFrame) -> DataFrame:
+    """query_id, owner, held, doc, since, until, score of each point of a question's snapshot that shares a word with it.
+
+    Document frequencies and lengths are running sums by (owner, term) and owner, read as of the asked session; a
+    question then meets the postings of its own terms and owner only. until: as it was known in that session.
+    """
+    group = ["owner", "session"]
+    terms = session.written(lexical.query_terms(asked, fx.benchmark_tokens, group), "terms")
+    df = as_of(postings.groupBy("owner", "term", "session").agg(F.count("*").alias("df")), terms, ["owner", "term"]).where("df > 0")
+    mean = F.coalesce(F.nullif(F.col("tokens") / F.nullif(F.col("held"), F.lit(0)), F.lit(0.0)), F.lit(1.0)).alias("mean")
+    weights = lexical.weighted(terms, df, sizes.select(*group, F.col("held").alias("total"), mean), group).withColumnRenamed("session", "asked")
+    met = session.written(weights, "weights").join(postings, ["owner", "term"]).where(F.col("session") <= F.col("asked"))
+    parts = met.select("query_id", "owner", "asked", "session", "doc", "qtf", "first", lexical.added().alias("part"))
+    scores = parts.groupBy("query_id", "owner", "asked", "session", "doc").agg(lexical.boosted_score().alias("score")).where("score > 0")
+    when = F.when(F.col("until_session") <= F.col("asked"), F.col("until")).alias("until")
+    return scores.join(points.withColumnRenamed("pos", "doc"), [*group, "doc"]).select("query_id", "doc", "since", when, "score")
+
+
+#: Points in the first slice that fills a ranking; each further slice is twice as large.
+FIRST_SLICE = 16
 
 
 def memory_search(points: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     """question_id, arm (flat, temporal), rank, point, stale: the k best points of each question's snapshot, and of its active ones.
 
-    questions: (question_id, owner, session, text, at). Statistics are those of the snapshot as it was in that session,
-    so each (owner, session) is a collection of its own. Points without a common word fill up in their order.
+    points: from snapshot_links(), pos growing with session. questions: (question_id, owner, session, text, at).
+    A snapshot is the owner's points of the sessions so far; an update of a later session is not seen, and statistics
+    are those of the snapshot. Points without a common word fill up in their order: only questions that lack some meet
+    further points, in slices of their owner's points that double in size, until they have k or their snapshot ends.
     stale: the point is not active at the question's time.
     """
-    asked = questions.withColumn("snapshot", F.struct("owner", "session"))
-    held = as_of_sessions(points, asked.select(F.to_json("snapshot").alias("question_id"), "owner", "session").distinct()).withColumnRenamed("question_id", "snapshot").checkpoint()
-    docs = held.select("snapshot", F.col("pos").alias("doc"), "text")
-    ask = asked.select(F.col("question_id").alias("query_id"), F.to_json("snapshot").alias("snapshot"), "text")
-    scores = lexical.bm25_boosted(ask, docs, fx.benchmark_tokens, ["snapshot"]).select("query_id", "doc", "score")
-    every = ask.select("query_id", "snapshot").join(held.select("snapshot", F.col("pos").alias("doc"), "since", "until"), "snapshot").drop("snapshot")
-    rows = every.join(scores, ["query_id", "doc"], "left").fillna(0.0, ["score"]).join(questions.select(F.col("question_id").alias("query_id"), "at"), "query_id")
-    rows = rows.withColumn("stale", ~active(F.col("at"), F.col("since"), F.col("until"))).select("query_id", "doc", "score", "stale")
-    flat, temporal = lexical.top(rows, k), lexical.top(rows.where("NOT stale"), k)
-    both = flat.withColumn("arm", F.lit("flat")).unionByName(temporal.withColumn("arm", F.lit("temporal")))
+    group = ["owner", "session"]
+    asked = questions.select(F.col("question_id").alias("query_id"), *group, "text", "at")
+    postings = lexical.indexed(points.select(*group, F.col("pos").alias("doc"), "text"), fx.benchmark_tokens, group).postings
+    of_session = points.groupBy(*group).agg(F.count("*").alias("held")).join(postings.groupBy(*group).agg(F.sum("tf").alias("tokens")), group, "left").fillna(0, ["tokens"])
+    of_session = session.written(of_session, "sessions")
+    sizes = session.written(as_of(of_session, asked, ["owner"]), "sizes")
+    hits = snapshot_hits(points, asked, sizes, postings).join(asked.select("query_id", "at"), "query_id").withColumn("stale", ~active(F.col("at"), F.col("since"), F.col("until")))
+    arms = F.when(F.col("stale"), fx.strings(["flat"])).otherwise(fx.strings(["flat", "temporal"]))
+    by_arm = Window.partitionBy("query_id", "arm")
+    placed = hits.select("query_id", F.explode(arms).alias("arm"), "doc", "stale", "score").withColumn("rank", F.row_number().over(by_arm.orderBy(F.desc("score"), "doc")))
+    best = session.written(placed.where(F.col("rank") <= k).drop("rank"), "hits")
+
+    before = of_session.select(*group, (F.sum("held").over(Window.partitionBy("owner").orderBy("session")) - F.col("held")).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*group).orderBy("pos")) - 1
+    numbered = session.written(points.join(before, group).select("owner", F.col("pos").alias("doc"), "since", "until", "until_session", place.alias("place")), "places")
+    have = best.groupBy("query_id", "arm").agg(F.count("*").alias("n"))
+    lacking = asked.join(sizes, group).select("query_id", "owner", F.col("session").alias("asked"), "at", "held", F.explode(fx.strings(["flat", "temporal"])).alias("arm"))
+    lacking = lacking.join(have, ["query_id", "arm"], "left").withColumn("missing", F.lit(k) - F.coalesce("n", F.lit(0))).drop("n").where("missing > 0 AND held > 0")
+    parts, start, size = [best], 0, FIRST_SLICE
+    while True:
+        lacking = session.written(lacking, "lacking")
+        if lacking.isEmpty():
+            break
+        slice_ = numbered.where((F.col("place") >= start) & (F.col("place") < start + size))
+        seen = F.when(F.col("until_session") <= F.col("asked"), F.col("until"))
+        near = lacking.join(slice_, "owner").where(F.col("place") < F.col("held")).withColumn("stale", ~active(F.col("at"), F.col("since"), seen)).where("arm = 'flat' OR NOT stale")
+        spare = near.join(best, ["query_id", "arm", "doc"], "left_anti").withColumn("nth", F.row_number().over(by_arm.orderBy("doc"))).where("nth <= missing")
+        parts.append(session.written(spare.select("query_id", "arm", "doc", "stale", F.lit(0.0).alias("score")), "spare"))
+        got = parts[-1].groupBy("query_id", "arm").agg(F.count("*").alias("n"))
+        start, size = start + size, 2 * size
+        lacking = lacking.join(got, ["query_id", "arm"], "left").withColumn("missing", F.col("missing") - F.coalesce("n", F.lit(0))).drop("n").where((F.col("missing") > 0) & (F.col("held") > start))
+    both = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(by_arm.orderBy(F.desc("score"), "doc")))
     return both.select(F.col("query_id").alias("question_id"), "arm", "rank", F.col("doc").alias("point"), "stale")
 
 

@@ -296,6 +296,49 @@ def test_snapshots_do_not_see_later_updates(spark):
     assert (total.n, total.wins, total.losses, total.flat_stale_slots, total.temporal_stale_slots) == (2, 0, 1, 1, 0)
 
 
+def test_memories_of_a_snapshot_equal_a_plain_search(spark, monkeypatch):
+    """Statistics as of each session, late updates unseen, and rankings filled from points far down, against loops over whole snapshots."""
+    import math
+    import random
+
+    monkeypatch.setattr(factgraph, "FIRST_SLICE", 2)
+    rnd = random.Random(5)
+    words = ["tea", "milk", "cat", "dog", "blue", "green"]
+    rows = []
+    for owner in ("u", "v"):
+        for pos in range(60):
+            text = "" if pos % 13 == 5 else " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+            rows.append((owner, pos // 7, pos, text, 10 * pos, [rows[-rnd.randint(1, 6)][3]] if pos > 6 and rnd.random() < 0.7 else []))
+    points = factgraph.snapshot_links(spark.createDataFrame(rows, "owner string, session int, pos int, text string, since int, closes array<string>")).checkpoint()
+    asked = [(n, rnd.choice("uvw"), rnd.randint(-1, 9), rnd.choice(["which cat cat drinks tea", "green", "nothing known", ""]), rnd.randint(0, 700)) for n in range(40)]
+    got: dict = {}
+    for r in factgraph.memory_search(points, spark.createDataFrame(asked, "question_id int, owner string, session int, text string, at int")).collect():
+        got.setdefault((r.question_id, r.arm), {})[r["rank"]] = (r.point, r.stale)
+    held, want = points.withColumn("toks", fx.benchmark_tokens("text")).collect(), {}
+    tokens = {r.text: r.toks for r in spark.createDataFrame([(text,) for _, _, _, text, _ in asked], "text string").distinct().select("text", fx.benchmark_tokens("text").alias("toks")).collect()}
+    for n, owner, last, text, at in asked:
+        snap = [p for p in held if p.owner == owner and p.session <= last]
+        docs = {p.pos: p.toks for p in snap}
+        mean = (sum(map(len, docs.values())) / len(docs) if docs else 0) or 1.0
+        terms = tokens[text]
+        ranked = []
+        for p in snap:
+            score = 0.0
+            for t in dict.fromkeys(terms):
+                df, tf = sum(t in d for d in docs.values()), docs[p.pos].count(t)
+                if tf:
+                    score += math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[p.pos]) / mean))
+                    score *= 1 + 0.05 * min(terms.count(t) - 1, 2)
+            until = p["until"] if p.until_session is not None and p.until_session <= last else None
+            ranked.append((-round(score, 6), p.pos, not (p.since <= at and (until is None or at < until))))
+        ranked.sort()
+        for arm, rows_ in (("flat", ranked), ("temporal", [r for r in ranked if not r[2]])):
+            if rows_:
+                want[n, arm] = {i + 1: (r[1], r[2]) for i, r in enumerate(rows_[:5])}
+    assert got == want and any(any(p > 30 for p, _ in v.values()) for v in got.values())
+    assert factgraph.memory_search(points.limit(0), spark.createDataFrame(asked, "question_id int, owner string, session int, text string, at int")).isEmpty()
+
+
 def test_every_template_gives_its_ends(spark):
     rows = [(n, t.replace("(?:state in|the)", "the").replace("<s>", "Ada B").replace("<o>", "Cy D") + "." * (n % 2)) for n, t in enumerate(factgraph.TEMPLATES)] + [(99, "Nothing fits"), (100, None)]
     got = {r.doc: (r.e and (r.e.s, r.e.o)) for r in spark.createDataFrame(rows, "doc int, text string").select("doc", factgraph.endpoints(F.col("text")).alias("e")).collect()}
