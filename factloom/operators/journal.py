@@ -158,7 +158,7 @@ def judged(proposals: DataFrame, facts: DataFrame, held: DataFrame) -> DataFrame
     """
     known = refusals(proposals, facts).checkpoint()
     edges = held.select("old_id", "new_id").unionByName(known.where("refusal IS NULL").select("old_id", "new_id"))
-    bad = creates_cycle(known.where("refusal IS NULL").select("old_id", "new_id").distinct(), edges).select("old_id", "new_id", F.lit("cycle").alias("cycle"))
+    bad = on_cycles(known.where("refusal IS NULL"), edges).select("old_id", "new_id", F.lit("cycle").alias("cycle"))
     return known.join(bad, ["old_id", "new_id"], "left").withColumn("refusal", F.coalesce("refusal", "cycle")).select(*proposals.columns, "refusal")
 
 
@@ -240,6 +240,67 @@ def creates_cycle(proposals: DataFrame, edges: DataFrame) -> DataFrame:
     return proposals.join(found, (F.col("new_id") == F.col("source")) & (F.col("old_id") == F.col("node")), "left_semi")
 
 
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(node, end, rings): the last node of the chain on which each node is. links: (a, b), each node at most once as a and once as b.
+
+    Pointers double, so chains of any length take logarithmically many rounds. rings: after as many steps as there are
+    links the pointer still moves, so it goes round.
+    """
+    ways = session.written(links.select(F.col("a").alias("node"), F.col("b").alias("end")), "ways")
+    n, spanned = ways.count(), 1
+    while spanned <= n:
+        on = ways.select(F.col("node").alias("end"), F.col("end").alias("further"))
+        if ways.join(on, "end", "left_semi").isEmpty():
+            break
+        ways = session.written(ways.join(on, "end", "left").select("node", F.coalesce("further", "end").alias("end")), "ways")
+        spanned *= 2
+    moving = ways.select(F.col("node").alias("end"), F.lit(True).alias("rings"))
+    return ways.join(moving, "end", "left").select("node", "end", F.coalesce("rings", F.lit(False)).alias("rings"))
+
+
+def on_cycles(proposals: DataFrame, edges: DataFrame) -> DataFrame:
+    """The proposals (old_id, new_id), themselves among edges (old_id, new_id), that lie on a cycle of edges.
+
+    The graph is made smaller in rounds until nothing is left. Edges from a node to which none leads, and to one that
+    leads nowhere, are on no cycle and go. Edges that are the only one out of a node and the only one into the next
+    form chains, and each chain becomes one node; an edge from its end back to its start is then a loop, and all edges
+    within that node are on a cycle. Long chains, trees and rings take a few such rounds of doubled pointers each, and
+    no pairs of nodes are made. A core in which no round makes anything smaller is decided by closure(), whose pairs
+    are those of the core alone.
+    """
+    named = lambda frame, *names: frame.select(*[F.col(c).alias(n) for c, n in zip(("old_id", "new_id"), names, strict=True)]).distinct()
+    held = session.written(named(edges, "a", "b"), "edges")
+    left = named(proposals, "old_id", "new_id").select("old_id", "new_id", F.col("old_id").alias("a"), F.col("new_id").alias("b"))  # within one node where a = b
+    found, n, before = [left.limit(0)], held.count(), None
+    while n and n != before:
+        loops = session.written(left.where("a = b").join(held.where("a = b").select("a"), "a", "left_semi"), "loops")
+        found.append(loops)
+        left = left.join(loops, ["old_id", "new_id"], "left_anti")
+        held = held.where("a <> b")
+        held = session.written(held.join(held.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(held.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "edges")
+        # what has gone with its edge, or is within a node without edges, is on no cycle
+        alive = held.unionByName(held.select(F.explode(F.array("a", "b")).alias("a")).select("a", F.col("a").alias("b"))).distinct()
+        left = session.written(left.join(alive, ["a", "b"], "left_semi"), "left")
+        only = lambda c: held.groupBy(c).agg(F.count("*").alias("n")).where("n = 1").select(c)
+        links = session.written(held.join(only("a"), "a", "left_semi").join(only("b"), "b", "left_semi"), "links")
+        ends = session.written(chain_ends(links), "ends")
+        rings = ends.where("rings").select(F.col("node").alias("a"))
+        found.append(session.written(left.join(rings, "a", "left_semi"), "rings"))
+        left = left.join(rings, "a", "left_anti")
+        rest = held.join(links, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            to = ends.where("NOT rings").select(F.col("node").alias(c), F.col("end").alias("__to"))
+            rest, left = [f.join(to, c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to") for f in (rest, left)]
+        held, left = session.written(rest.select("a", "b").distinct(), "edges"), session.written(left, "left")
+        before, n = n, held.count()
+    if n:
+        ask = left.where("a <> b").select("old_id", "new_id", F.col("b").alias("source"), F.col("a").alias("node"))
+        within = left.where("a = b").drop("b").join(held, "a").select("old_id", "new_id", F.col("b").alias("source"), F.col("a").alias("node"))
+        reach = closure(held.select(F.col("a").alias("old_id"), F.col("b").alias("new_id")))
+        found.append(ask.unionByName(within).join(reach, ["source", "node"], "left_semi"))
+    return reduce(DataFrame.unionByName, [f.select("old_id", "new_id") for f in found]).distinct()
+
+
 def derived(facts: DataFrame, replaced: DataFrame, coordinates: DataFrame, entity: str | None = None) -> DataFrame:
     """Known facts at each coordinate (coordinate, at, known, and scope columns) with effective_to, superseded_by and status; of one entity only if it is named.
 

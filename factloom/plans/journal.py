@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import journal, workspace
@@ -84,6 +84,16 @@ def replacement_reachability(spark, sf_dir):
     return journal.followed(replaced)
 
 
+def refused_cycles(spark, sf_dir):
+    """A batch that says of each fact that an earlier one about the same subject replaces it, beside the journal's replacements: what becomes of each."""
+    facts = tables.assertions(spark, sf_dir)
+    w = Window.partitionBy("entity", "predicate", *journal.SCOPE).orderBy("recorded_at", "id")
+    earlier = lambda c: F.when(F.col("id") % 3 == 0, F.lag(c, 2).over(w)).otherwise(F.lag(c, 1).over(w))
+    back = facts.select(F.col("id").alias("old_id"), earlier("id").alias("new_id"), F.greatest("valid_from", earlier("valid_from")).alias("effective"), "recorded_at").where("new_id IS NOT NULL")
+    held = journal.replacements(tables.proposed_replacements(facts), facts)
+    return journal.judged(back, facts, held).select("old_id", "new_id", F.coalesce("refusal", F.lit("accepted")).alias("outcome"))
+
+
 def event_timeline(spark, sf_dir):
     """Every event of the journal with its place in its scope's history."""
     facts = tables.assertions(spark, sf_dir)
@@ -177,7 +187,7 @@ SELECT *, CASE WHEN n_conflicts > 0 THEN 'conflict' WHEN n_selected > 0 THEN 'su
 
 QUERIES = {f"recall_{m}": recall(m) for m in journal.MODES} | {
     f.__name__: f
-    for f in (recall_known_then_vs_now, situation_matrix, effective_intervals, conflict_pairs, pair_diagnosis_histogram, assertion_ids, journal_dedup, supersede_validation, replacement_reachability, event_timeline, workspace_trace, workspace_snapshots, seeded_recall)
+    for f in (recall_known_then_vs_now, situation_matrix, effective_intervals, conflict_pairs, pair_diagnosis_histogram, assertion_ids, journal_dedup, supersede_validation, replacement_reachability, refused_cycles, event_timeline, workspace_trace, workspace_snapshots, seeded_recall)
 }
 SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "recall_known_then_vs_now": f"WITH {recall_sql([(0, AT, '2024-01-10 00:00:00'), (1, AT, '2024-01-31 00:00:00')])}, p AS (SELECT id, max(status) FILTER (coordinate = 0) AS then_status, max(status) FILTER (coordinate = 1) AS now_status FROM shown GROUP BY id) SELECT then_status, now_status, count(*) AS n FROM p GROUP BY ALL",
@@ -189,6 +199,11 @@ SQL = {f"recall_{m}": mode_sql(m) for m in journal.MODES} | {
     "journal_dedup": f"WITH {FACTS_SQL} SELECT id AS event_id, {CANONICAL_SQL} AS id FROM facts WHERE facts.id % 3 <> 0",
     "supersede_validation": f"WITH {FACTS_SQL} SELECT coalesce(refusal, 'accepted') AS outcome, count(*) AS n FROM judged GROUP BY ALL",
     "replacement_reachability": f"WITH RECURSIVE {FACTS_SQL}, e AS (SELECT r.old_id, r.new_id FROM replaced r JOIN facts ON id = old_id), r AS (SELECT old_id AS source, new_id AS node FROM e UNION SELECT source, new_id FROM r JOIN e ON node = old_id) SELECT source, count(*) AS n_after, max(node) AS last_node FROM r GROUP BY ALL",
+    "refused_cycles": f"""WITH RECURSIVE {FACTS_SQL}, o AS (SELECT *, CASE WHEN id % 3 = 0 THEN lag(id, 2) OVER w ELSE lag(id, 1) OVER w END AS new_id FROM facts WINDOW w AS (PARTITION BY entity, predicate, environment ORDER BY recorded_at, id)),
+ b AS (SELECT o.id AS old_id, o.new_id, CASE WHEN greatest(o.valid_from, n.valid_from) IS NULL THEN 'effective' WHEN o.predicate = 'calls' AND o.value_json <> n.value_json THEN 'other value' WHEN o.valid_from IS NULL OR n.valid_from IS NULL THEN 'not yet valid'
+  WHEN greatest(o.valid_from, n.valid_from) >= o.valid_to OR greatest(o.valid_from, n.valid_from) >= n.valid_to THEN 'already over' END AS refusal FROM o JOIN facts n ON n.id = o.new_id),
+ e AS (SELECT old_id, new_id FROM replaced UNION SELECT old_id, new_id FROM b WHERE refusal IS NULL), r AS (SELECT new_id AS source, new_id AS node FROM b WHERE refusal IS NULL UNION SELECT source, e.new_id FROM r JOIN e ON node = e.old_id)
+ SELECT old_id, new_id, coalesce(refusal, CASE WHEN EXISTS (SELECT 1 FROM r WHERE source = b.new_id AND node = b.old_id) THEN 'cycle' ELSE 'accepted' END) AS outcome FROM b""",
     "event_timeline": f"""WITH {FACTS_SQL}, ev AS (SELECT environment, 'assertion' AS kind, cast(id AS varchar) AS ref, recorded_at FROM facts UNION ALL SELECT environment, 'replacement', 'after-' || cast(old_id AS varchar), replaced_at FROM replaced JOIN facts ON id = old_id)
 SELECT *, row_number() OVER (PARTITION BY environment ORDER BY recorded_at, ref) AS place FROM ev""",
     "workspace_snapshots": f"""WITH {FACTS_SQL},

@@ -1,6 +1,7 @@
 """The journal: identity, validation, replacement, recall, conflicts, runs and the streaming write path."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -92,6 +93,46 @@ def test_cycles_are_found_along_chains(spark):
     assert {(r.old_id, r.new_id) for r in journal.creates_cycle(proposals, edges).collect()} == {("d", "b"), ("d", "x")}
 
 
+def cycles(spark, held, asked):
+    frame = lambda rows: spark.createDataFrame(rows, "old_id long, new_id long")
+    return {(r.old_id, r.new_id) for r in journal.on_cycles(frame(asked), frame(held + asked)).collect()}
+
+
+def test_proposals_on_cycles_equal_a_walk(spark):
+    """Random graphs: forests of chains, rings, several edges in and out, and cores that no contraction makes smaller."""
+    rnd = random.Random(3)
+    held = [(201, 202), (202, 203), (211, 212), (212, 213), (212, 219), (221, 222)]
+    asked = [(203, 201), (204, 204), (213, 211), (212, 218), (231, 232)]
+    for first, nodes, n_held, n_asked in ((0, 40, 20, 10), (50, 30, 30, 10), (100, 12, 30, 8)):
+        more = {tuple(sorted(rnd.sample(range(first, first + nodes), 2))) for _ in range(n_held)}
+        held += more
+        asked += {tuple(rnd.sample(range(first, first + nodes), 2)) for _ in range(n_asked)} - more
+    after = {}
+    for a, b in held + asked:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for old, new in asked:
+        seen, todo = {new}, [new]
+        while todo:
+            more = after.get(todo.pop(), set()) - seen
+            seen |= more
+            todo += more
+        want |= {(old, new)} if old in seen else set()
+    assert {(203, 201), (204, 204), (213, 211)} <= want and (212, 218) not in want
+    assert cycles(spark, held, asked) == want
+    assert cycles(spark, [(1, 2)], []) == set()
+
+
+def test_a_batch_against_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    written = session.written
+    monkeypatch.setattr(session, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    chain = [(n, n + 1) for n in range(10_000)]
+    asked = [(9_000, 10), (20_000, 5), (7_000, 20_001), (20_001, 20_002), (20_002, 6_000), (10_000, 20_003)]
+    assert cycles(spark, chain, asked) == {(9_000, 10), (7_000, 20_001), (20_001, 20_002), (20_002, 6_000)}
+    assert rounds.count("ways") < 20
+
+
 def test_times_need_an_offset(spark):
     ok = spark.createDataFrame([("2024-05-01T02:00:00+02:00",), ("2024-05-01T00:00:00Z",)], "t string").select(journal.utc_text(journal.utc(F.col("t"))).alias("u")).collect()
     assert {r.u for r in ok} == {"2024-05-01T00:00:00.000000+00:00"}
