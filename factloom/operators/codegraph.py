@@ -61,11 +61,44 @@ def holds(b: Column, line: Column, column: Column) -> Column:
     return (here >= F.struct(b["l0"].alias("l"), b["c0"].alias("c"))) & (here < F.struct(b["l1"].alias("l"), b["c1"].alias("c")))
 
 
+def dyadic(start: Column, end: Column) -> Column:
+    """[start, end) as an array of blocks (level, block) of 2^level places each that start at a multiple of their size, two of a level at most."""
+
+    def at(level: Column) -> Column:
+        low = F.call_function("shiftright", start - 1, level) + 1
+        high = F.call_function("shiftright", end, level)
+        block = lambda b: F.struct(level.alias("level"), b.alias("block"))
+        return F.array(F.when((low < high) & (low % 2 == 1), block(low)), F.when((low < high) & (high % 2 == 1), block(high - 1)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.length(F.bin(end))), at)), lambda b: b.isNotNull())
+
+
+#: Scopes of a file that each of its points may meet one by one.
+FEW_SCOPES = 32
+
+
 def innermost_scope(points: DataFrame, scopes: DataFrame) -> DataFrame:
-    """points (path, point, line, column) with scope, the smallest of scopes (path, scope, bounds, ord) around it, else the file's own id."""
-    met = points.select("path", "point", "line", "column").join(scopes, "path").where(holds(F.col("bounds"), F.col("line"), F.col("column")))
+    """points (path, point, line, column) with scope, the smallest of scopes (path, scope, bounds, ord) around it, else the file's own id.
+
+    Places of a file are numbered by line and column. A scope covers a few blocks of places, and of all scopes that
+    cover a block whole only the smallest is kept; a point lies in one block of each size, and meets what is kept
+    there by equal columns. So the work grows with points and scopes times the bits of a place, not with their product
+    in a file, and a large file is spread over tasks by its blocks. Scopes may overlap in any way. In files of a few
+    scopes points meet these directly, which is less work there.
+    """
     size = F.struct((F.col("bounds.l1") - F.col("bounds.l0")).alias("l"), (F.col("bounds.c1") - F.col("bounds.c0")).alias("c"), F.col("ord").alias("o"))
-    best = met.groupBy("path", "point").agg(F.min_by("scope", size).alias("scope"))
+    # a column beyond all that bound a scope of the file counts like the last of them
+    files = scopes.groupBy("path").agg(F.count("*").alias("__n"), F.max(F.greatest("bounds.c0", "bounds.c1")).cast("long").alias("widest"))
+    few, widest = files.where(F.col("__n") <= FEW_SCOPES).select("path"), files.where(F.col("__n") > FEW_SCOPES).select("path", "widest")
+    met = points.select("path", "point", "line", "column").join(scopes.join(few, "path", "left_semi"), "path").where(holds(F.col("bounds"), F.col("line"), F.col("column"))).select("path", "point", F.col("scope").alias("kept"), size.alias("size"))
+    place = lambda line, column: line.cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("widest"))) + F.least(column.cast("long"), F.col("widest"))
+    placed = scopes.join(widest, "path").select("path", "scope", size.alias("size"), place(F.col("bounds.l0"), F.col("bounds.c0")).alias("start"), place(F.col("bounds.l1"), F.col("bounds.c1")).alias("end")).where("start < end")
+    cover = placed.select("path", "scope", "size", F.explode(dyadic(F.col("start"), F.col("end"))).alias("b")).groupBy("path", "b.level", "b.block").agg(F.min_by("scope", "size").alias("kept"), F.min("size").alias("size"))
+    levels = cover.groupBy("path").agg(F.collect_set("level").alias("levels")).join(widest, "path")
+    asked = points.select("path", "point", "line", "column").join(levels, "path").select("path", "point", place(F.col("line"), F.col("column")).alias("at"), F.explode("levels").alias("level"))
+    in_blocks = asked.select("path", "point", "level", F.call_function("shiftright", "at", "level").alias("block")).join(cover, ["path", "level", "block"])
+    met = met.unionByName(in_blocks.select("path", "point", "kept", "size"))
+    best = met.groupBy("path", "point").agg(F.min_by("kept", "size").alias("scope"))
     return points.join(best, ["path", "point"], "left").withColumn("scope", F.coalesce("scope", F.concat(F.lit("file:"), F.col("path"))))
 
 
@@ -103,7 +136,8 @@ def reference_edges(references: DataFrame) -> DataFrame:
 
 def marked_calls(references: DataFrame, spans: DataFrame) -> DataFrame:
     """references (path, point, line, column, ...) with is_call, whether a called name's span of the same file holds the place."""
-    called = references.select("path", "point", "line", "column").join(spans, "path").where(holds(F.col("bounds"), F.col("line"), F.col("column"))).select("path", "point").distinct().withColumn("is_call", F.lit(True))
+    marked = innermost_scope(references.select("path", "point", "line", "column"), spans.select("path", F.lit("call").alias("scope"), "bounds", F.lit(0).alias("ord")))
+    called = marked.where("scope = 'call'").select("path", "point").distinct().withColumn("is_call", F.lit(True))
     return references.join(called, ["path", "point"], "left").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
 
 

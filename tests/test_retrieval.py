@@ -275,6 +275,39 @@ def test_question_times(spark, text, want):
     assert got == want
 
 
+def test_scopes_around_points_equal_a_search_of_all(spark):
+    """Overlapping and nested scopes, empty and malformed ones, columns beyond all scopes, against every scope of the file."""
+    import random
+
+    rnd = random.Random(2)
+    scopes, points = [("h", "few", (2, 3, 9, 9), 1), ("h", "fewer", (3, 0, 8, 9), 2)], []
+    for path in ("f", "g"):
+        for n in range(60):
+            l0, l1 = rnd.randint(0, 30), rnd.randint(0, 30)
+            scopes.append((path, f"{path}{n}", None if n == 7 else (min(l0, l1), rnd.randint(0, 12), max(l0, l1), rnd.randint(0, 12)), n))
+    scopes.append(("one", "start", (0, 0, 0, 1), 0))
+    points = [(path, n, rnd.randint(0, 32), rnd.choice([0, 3, 9, 12, 13, 400])) for n, path in enumerate(["f", "g", "h"] * 80)] + [("one", 1, 0, 0), ("one", 2, 0, 1), ("one", 3, None, 1)]
+    places, around_ = spark.createDataFrame(points, "path string, point int, line int, column int"), spark.createDataFrame(scopes, "path string, scope string, bounds struct<l0:int,c0:int,l1:int,c1:int>, ord int")
+    got = codegraph.innermost_scope(places, around_)
+    held = places.join(around_, "path").where(codegraph.holds(F.col("bounds"), F.col("line"), F.col("column"))).select("path", "point").distinct()
+    assert held.count() == got.where("NOT scope LIKE 'file:%'").count()
+    want = {}
+    for path, point, line, column in points:
+        around = [((b[2] - b[0], b[3] - b[1], o), s) for p, s, b, o in scopes if p == path and b and line is not None and b[:2] <= (line, column) < b[2:]]
+        want[path, point] = min(around)[1] if around else f"file:{path}"
+    assert {(r.path, r.point): r.scope for r in got.collect()} == want and len(set(want.values())) > 20
+
+
+def test_a_file_of_many_nested_scopes(spark):
+    """100,000 points in 20,000 scopes within each other: what meets is a few rows for each point, where all pairs are 2,000,000,000."""
+    n = 20_000
+    scopes = spark.range(n).select(F.lit("f").alias("path"), F.col("id").alias("scope"), F.struct(F.col("id").cast("int").alias("l0"), F.lit(0).alias("c0"), (2 * n - F.col("id")).cast("int").alias("l1"), F.lit(0).alias("c1")).alias("bounds"), F.col("id").alias("ord"))
+    points = spark.range(100_000).select(F.lit("f").alias("path"), F.col("id").alias("point"), (F.col("id") * 7 % (2 * n)).cast("int").alias("line"), (F.col("id") % 50).cast("int").alias("column"))
+    found = codegraph.innermost_scope(points, scopes.withColumn("scope", F.col("scope").cast("string")))
+    assert found.count() == 100_000
+    assert found.where(F.col("scope") != F.least(F.col("line"), 2 * n - 1 - F.col("line"), F.lit(n - 1)).cast("string")).count() == 0
+
+
 def test_memory_times(spark):
     assert str(one(spark, fx.memory_time(F.lit("Sep 4, 2025, 19:05:11")))) == "2025-09-04 19:05:11" and one(spark, fx.memory_time(F.lit(None).cast("string"))) is None
     with pytest.raises(Exception, match="not a memory time"):
