@@ -61,3 +61,21 @@ def test_pairs_of_questions_and_turns_are_not_shuffled(spark, monkeypatch):
     fused = dialogue.fused_context(q, eps, dialogue.settings("context_balanced"))
     assert fused.groupBy("question_id").count().where("count > 5").count() == 0 and fused.count() >= n
     assert "ENSURE_REQUIREMENTS" not in plans["context"].split("is_base")[-1] and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
+def test_a_frequent_word_does_not_pair_all_queries_with_all_documents(spark, monkeypatch):
+    """The first documents by words are those of whole scores, ties and all; documents that are alike are met k at a time."""
+    from factloom.functions import text as fx
+    from factloom.operators import lexical
+
+    k = 3
+    said = F.when(F.col("id") % 50 == 0, F.concat(F.lit("common other n"), "id")).when(F.col("id") % 7 == 0, F.concat(F.lit("common common n"), "id")).otherwise(F.concat(F.lit("common n"), "id"))
+    docs = spark.range(400).select(F.col("id").alias("doc"), said.alias("text")).checkpoint()
+    queries = docs.where("doc % 5 = 0").select(F.col("doc").alias("query_id"), F.concat("text", F.lit(" common n7 other")).alias("text"))
+    sizes, keep = {}, lexical.session.written
+    monkeypatch.setattr(lexical.session, "written", lambda df, name: sizes.update({name: keep(df, name)}) or sizes[name])
+    found = lexical.first_float(queries, lexical.indexed(docs, fx.code_tokens), fx.code_tokens, k)
+    whole = lexical.top(lexical.bm25_float(queries, docs, fx.code_tokens), k)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc, r.score) for r in df.collect())
+    assert rows(found) == rows(whole) and found.count() == k * 80
+    assert sizes["pairs"].count() <= 80 * (3 * k + 2 + 8)
