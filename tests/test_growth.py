@@ -79,3 +79,25 @@ def test_a_frequent_word_does_not_pair_all_queries_with_all_documents(spark, mon
     rows = lambda df: sorted((r.query_id, r["rank"], r.doc, r.score) for r in df.collect())
     assert rows(found) == rows(whole) and found.count() == k * 80
     assert sizes["pairs"].count() <= 80 * (3 * k + 2 + 8)
+
+
+def test_scores_arise_where_documents_are(spark, monkeypatch):
+    """Whole scores are those of postings, to the last bit of single precision; no pair of a query and a document is shuffled, and of the first k a batch gives no more."""
+    from factloom.functions import text as fx
+    from factloom.operators import lexical
+
+    said = F.when(F.col("id") == 5, F.lit(None)).otherwise(F.concat_ws(" ", F.lit("word word"), F.concat(F.lit("n"), F.col("id") % 7), F.concat(F.lit("m"), F.col("id") % 3), F.repeat(F.lit("pad "), (F.col("id") % 11).cast("int"))))
+    docs = spark.range(60).select(F.col("id").alias("doc"), said.alias("text")).checkpoint()
+    queries = spark.createDataFrame([(1, "n3 n3 n3 word m1 n3 none"), (2, "pad word pad"), (3, "none")], "query_id long, text string")
+    every = {"plain": lexical.bm25, "boosted": lexical.bm25_boosted, "float": lexical.bm25_float}
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc", "score").collect()))
+    names, keep = [], lexical.session.written
+    monkeypatch.setattr(lexical.session, "written", lambda df, name: names.append(name) or keep(df, name))
+    found = {way: search(queries, docs, fx.benchmark_tokens) for way, search in every.items()}
+    assert "postings" not in names and not any("Exchange" in plan(df) for df in found.values())
+    few = lexical.best(queries, docs, fx.benchmark_tokens, 4, boosted=True)
+    assert lexical.bm25_boosted(queries, docs, fx.benchmark_tokens, first=4).count() < found["boosted"].count()
+    monkeypatch.setattr(lexical, "SENT", 0)
+    for way, search in every.items():
+        assert rows(found[way]) == rows(search(queries, docs, fx.benchmark_tokens)) and len(rows(found[way])) > 60
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, lexical.best(queries, docs, fx.benchmark_tokens, 4, boosted=True).collect()))
