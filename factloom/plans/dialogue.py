@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.functions import text as fx
 from factloom.operators import dates, dialogue
 from factloom.sources import tables
@@ -46,8 +47,8 @@ FILTERS = {"explicit": "form IN (0, 1, 3)", "month": "form = 2", "relative": "fo
 
 def inputs(spark, sf_dir):
     turns = tables.turns(spark, sf_dir)
-    eps = dialogue.episodes(turns).checkpoint()
-    return eps, dialogue.asked(tables.questions(spark, sf_dir), eps).checkpoint()
+    eps = session.written(dialogue.episodes(turns), "episodes")
+    return eps, session.written(dialogue.asked(tables.questions(spark, sf_dir), eps), "questions")
 
 
 def sentence_events(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factloom import session
 from factloom.functions import text as fx
 from factloom.operators import dates, dialogue, evaluation
 from factloom.sources import tables
@@ -17,11 +18,13 @@ PROFILES = ["bm25", "guarded"]
 def run(spark, sf_dir):
     """(rows, labels, turns): frozen runs of both profiles with their calendar answers, and what they are scored against."""
     eps, q = talk.inputs(spark, sf_dir)
-    rankings = {p: dialogue.searched(q, eps, p).checkpoint() for p in PROFILES}
+    rankings = dialogue.searched_alike(q, eps, PROFILES)
     runs = evaluation.frozen(q, PROFILES, lambda _, profile: rankings[profile]).drop("turn")
-    answers = [dialogue.date_answers(q, rankings[p]).select("question_id", F.lit(p).alias("profile"), "answer") for p in PROFILES]
-    rows = runs.join(answers[0].unionByName(answers[1]), ["question_id", "profile"]).checkpoint()
-    return rows, tables.question_labels(spark, sf_dir).checkpoint(), eps
+    # whole turns are read for answers only, which are of the first places of `when` questions
+    when = q.where(F.col("question").rlike(dialogue.WHEN))
+    answers = [dialogue.date_answers(q, dialogue.with_turns(rankings[p].where("rank = 1"), when, eps)).select("question_id", F.lit(p).alias("profile"), "answer") for p in PROFILES]
+    rows = session.written(runs.join(answers[0].unionByName(answers[1]), ["question_id", "profile"]), "runs")
+    return rows, session.written(tables.question_labels(spark, sf_dir), "labels"), eps
 
 
 def known_ids(labels, eps):
@@ -58,8 +61,8 @@ def evaluation_misses(spark, sf_dir):
 
 
 def evaluation_audit(spark, sf_dir):
-    _, labels, eps = run(spark, sf_dir)
-    return evaluation.audited(labels, known_ids(labels, eps)).select("question_id", "is_empty", F.array_join("missing", ",").alias("missing"), "changed")
+    labels = tables.question_labels(spark, sf_dir)
+    return evaluation.audited(labels, known_ids(labels, tables.turns(spark, sf_dir))).select("question_id", "is_empty", F.array_join("missing", ",").alias("missing"), "changed")
 
 
 def evaluation_dated(spark, sf_dir):

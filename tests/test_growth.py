@@ -101,3 +101,25 @@ def test_scores_arise_where_documents_are(spark, monkeypatch):
     for way, search in every.items():
         assert rows(found[way]) == rows(search(queries, docs, fx.benchmark_tokens)) and len(rows(found[way])) > 60
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, lexical.best(queries, docs, fx.benchmark_tokens, 4, boosted=True).collect()))
+
+
+def test_profiles_of_the_same_words_are_scored_once(spark, monkeypatch):
+    """Both frozen profiles come from one index and rank as searched one by one; the audit of labels searches nothing."""
+    from factloom.operators import dialogue
+    from factloom.plans import dialogue as talk
+    from factloom.plans import evaluation as plans
+
+    names, keep = [], dialogue.session.written
+    monkeypatch.setattr(dialogue.session, "written", lambda df, name: names.append(name) or keep(df, name))
+    assert plans.evaluation_audit(spark, SMALL).count() > 0 and "postings" not in names
+    rows, _, _ = plans.run(spark, SMALL)
+    assert names.count("postings") == 1
+    eps, q = talk.inputs(spark, SMALL)
+    for profile in plans.PROFILES:
+        found = dialogue.searched(q, eps, profile)
+        ids = {}
+        for r in sorted(found.select("question_id", "rank", "dia_id").collect()):
+            ids.setdefault(r.question_id, []).append(r.dia_id)
+        answers = {r.question_id: r.answer for r in dialogue.date_answers(q, found).collect()}
+        got = rows.where(F.col("profile") == profile).collect()
+        assert {r.question_id: r.ids for r in got if r.ids} == ids and {r.question_id: r.answer for r in got} == answers
