@@ -21,6 +21,8 @@ SINGLE_VALUED = ("default", "signature", "exists", "parameter_exists")
 MODES = ("baseline", "temporal", "conflict", "combined")
 SCOPE = ("repository", "branch", "environment")
 FOREVER = 1 << 62
+#: Rows that a task sorts, about; rows of facts shrink so much in a shuffle that adaptive execution would give it very many.
+SHARE = 250_000
 #: Rounds that are kept apart before they are written together.
 MOST_PARTS = 8
 
@@ -330,6 +332,11 @@ def derived(facts: DataFrame, replaced: DataFrame, coordinates: DataFrame, entit
     return out.select(*facts.columns, "coordinate", "at", "known", end.alias("effective_to"), by.alias("superseded_by"), status.alias("status"))
 
 
+def shares(rows: DataFrame) -> int:
+    """How many partitions a table is dealt to, so that a task's share does not grow with it."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // SHARE + 1)
+
+
 def selected(rows: DataFrame, mode: str) -> DataFrame:
     return rows.where(F.col("status") == "active") if mode in ("temporal", "combined") else rows
 
@@ -354,17 +361,19 @@ def diagnosis(a: str, b: str, temporal: bool) -> Column:
     return out.otherwise("conflict")
 
 
-def pairs(rows: DataFrame, mode: str) -> DataFrame:
+def pairs(rows: DataFrame, mode: str, parts: int | None = None) -> DataFrame:
     """Diagnosed pairs among derived rows in modes conflict and combined: coordinate, left_id, right_id, diagnosis, current.
 
     An equi-join on (coordinate, entity, predicate); facts that cannot be in a pair, because no fact of their key
     differs in value or sign, are left out before it by an aggregate. A key with very many facts is one that adaptive
-    execution splits, since both sides of the join are plain shuffles.
+    execution splits, since both sides of the join are plain shuffles. parts: how many partitions the keys are dealt to,
+    where the caller knows the number of rows; they are left to adaptive execution else.
     """
     key = ["coordinate", "entity", "predicate"]
     shape = F.concat_ws("|", "value_json", F.col("negated").cast("string"))
     mixed = rows.groupBy(*key).agg(F.min(shape).alias("__least"), F.max(shape).alias("__most")).where("__least <> __most").select(*key)
     able = rows.join(mixed, key, "left_semi")
+    able = able if parts is None else able.repartition(parts, *key)
     a, b = able.alias("a"), able.alias("b")
     on = (F.col("a.coordinate") == F.col("b.coordinate")) & (F.col("a.entity") == F.col("b.entity")) & (F.col("a.predicate") == F.col("b.predicate")) & (F.col("a.id") < F.col("b.id"))
     now = F.lit(True) if mode == "conflict" else (F.col("a.status") == "active") & (F.col("b.status") == "active")
@@ -376,16 +385,21 @@ def answers(rows: DataFrame, coordinates: DataFrame, *modes: str) -> DataFrame:
     """One row for each coordinate and mode, also where nothing is known: mode, n_selected, n_conflicts, answer.
 
     Mode combined asks for active facts only, which are the only ones joined for it when it is asked alone.
+    Rows are written once, and the more there are, the more partitions their pairs take, so that a task's share stays
+    the same.
     """
+    needed = ["coordinate", "id", "entity", "predicate", "value_json", "negated", *SCOPE, "valid_from", "effective_to", "status"]
+    rows = session.written(rows.select(*needed), "answered")
+    parts = shares(rows)
     active = F.col("status") == "active"
     n = rows.groupBy("coordinate").agg(F.count("*").alias("n_all"), F.count_if(active).alias("n_active"))
     out = coordinates.select("coordinate").join(n, "coordinate", "left")
     if "conflict" in modes:
-        found = pairs(rows, "combined")
+        found = pairs(rows, "combined", parts)
         bare, exact = F.count_if(F.col("diagnosis") != "different_scope"), F.count_if((F.col("diagnosis") == "conflict") & F.col("current"))
         out = out.join(found.groupBy("coordinate").agg(bare.alias("bare"), exact.alias("exact")), "coordinate", "left")
     elif "combined" in modes:
-        found = pairs(rows.where(active), "combined").where("diagnosis = 'conflict'")
+        found = pairs(rows.where(active), "combined", parts).where("diagnosis = 'conflict'")
         out = out.join(found.groupBy("coordinate").agg(F.count("*").alias("exact")), "coordinate", "left")
     mode = F.col("mode")
     out = out.withColumn("mode", F.explode(F.array(*map(F.lit, modes))))

@@ -123,3 +123,18 @@ def test_profiles_of_the_same_words_are_scored_once(spark, monkeypatch):
         answers = {r.question_id: r.answer for r in dialogue.date_answers(q, found).collect()}
         got = rows.where(F.col("profile") == profile).collect()
         assert {r.question_id: r.ids for r in got if r.ids} == ids and {r.question_id: r.answer for r in got} == answers
+
+
+def test_pairs_of_facts_take_more_tasks_as_facts_grow(spark, monkeypatch):
+    """No task's share of the facts grows with the journal; answers read one written table."""
+    from factloom.operators import journal
+    from factloom.plans import journal as plans
+
+    before = sorted(map(tuple, plans.situation_matrix(spark, SMALL).collect()))
+    monkeypatch.setattr(journal, "SHARE", 50)
+    n = plans.tables.assertions(spark, SMALL).count()
+    assert f", {n // 50 + 1})" in plan(plans.tables.proposed_replacements(plans.tables.assertions(spark, SMALL)))
+    names, keep = {}, journal.session.written
+    monkeypatch.setattr(journal.session, "written", lambda df, name: names.setdefault(name, keep(df, name)))
+    found = plans.situation_matrix(spark, SMALL)
+    assert f", {names['answered'].count() // 50 + 1})" in plan(found) and sorted(map(tuple, found.collect())) == before
