@@ -138,3 +138,77 @@ def test_pairs_of_facts_take_more_tasks_as_facts_grow(spark, monkeypatch):
     monkeypatch.setattr(journal.session, "written", lambda df, name: names.setdefault(name, keep(df, name)))
     found = plans.situation_matrix(spark, SMALL)
     assert f", {names['answered'].count() // 50 + 1})" in plan(found) and sorted(map(tuple, found.collect())) == before
+
+
+ODD = '''import a
+@a.first(
+    1)
+def f(x):
+    text = """
+def g():
+    h(
+"""
+    return longer_name_1(x).run(text)
+
+if f(1):
+    f(2)
+else:
+    f(3)
+class A(make()):
+    def m(self):
+        return "\\N{LEFT SQUARE BRACKET}" + self.m(1.e1000)
+
+    async def n(self):
+        await other_name_of_it(match=1)
+
+# end
+@a
+def last(): f(
+    4)
+'''
+
+
+def test_syntax_trees_stay_small_and_keep_no_names(monkeypatch):
+    """A source is parsed a few statements at a time, whatever pieces it comes in, with the spans of the whole; faulty ones have none."""
+    import ast
+
+    keep, sizes = codegraph.tree, []
+    names = {n.id for n in ast.walk(codegraph.tree("customer1234(customer9876)")) if isinstance(n, ast.Name)}
+    assert len(names) == 1
+    monkeypatch.setattr(codegraph, "tree", ast.parse)
+    monkeypatch.setattr(codegraph, "PIECE", 1 << 30)
+    sources = [ODD * 30, ODD.replace("\n", "\r\n") * 3, "x = 1\r" + ODD, ODD.replace("a.first", "é.first"), ODD + "def (", "'''\n" + ODD, ODD + "\n  f()\n", ODD + "\\", "", "f()"]
+    whole = [codegraph.call_target_spans(s) for s in sources]
+    assert len(whole[0]) == 30 * 10 and [not w for w in whole[4:9]] == [True] * 5
+    monkeypatch.setattr(codegraph, "tree", lambda code: sizes.append(len(code)) or keep(code))
+    monkeypatch.setattr(codegraph, "PIECE", 100)
+    for source, spans in zip(sources, whole, strict=True):
+        cut = list(codegraph.cut_source(source))
+        assert "".join(cut) == source and all(p.endswith("\n") for p in cut[:-1])
+        assert sorted(codegraph.call_target_spans(source)) == sorted(codegraph.spans_of_pieces(cut)) == sorted(codegraph.spans_of_pieces(source.splitlines(keepends=True))) == sorted(spans)
+    sizes.clear()
+    assert len(codegraph.call_target_spans(ODD * 30)) == 30 * 10 and max(sizes) < 2 * len(ODD)
+
+
+def test_sources_in_pieces_are_whole_sources(spark):
+    """Lines, hash and calls of sources in pieces, some of which end within a statement, are those of whole ones."""
+    texts = {"odd": ODD * 5, "broken": ODD + "def (\n" + ODD, "ends": "a()\x0c\nb() c = 1\r\nd()\n\ne()", "empty": ""}
+    pieces = [(p, n, x) for p, t in texts.items() for n, x in enumerate(t.split("\n\n")) for x in [x + "\n\n" if n < t.count("\n\n") else x]]
+    assert len(pieces) > 15
+    whole = spark.createDataFrame(list(texts.items()), "path string, text string").repartition(3)
+    apart = codegraph.in_pieces(spark.createDataFrame(pieces, "path string, piece int, text string").repartition(5)).checkpoint()
+    rows = lambda df: sorted(map(str, df.collect()))
+    for part in (codegraph.source_lines, codegraph.call_spans, codegraph.stamps):
+        assert rows(part(whole)) == rows(part(apart)) == rows(part(codegraph.in_pieces(whole))) != []
+
+
+def test_functions_of_a_nation_share_no_row(spark):
+    """No row holds a whole source of a nation, and edges read no line of it."""
+    from factloom.plans import code
+
+    _, _, _, sources = code.tables.code_projection(spark, SMALL.replace("0.001", "0.1"))
+    n = spark.read.parquet(SMALL.replace("0.001", "0.1") + "/customer.parquet").count()
+    assert sources.agg(F.sum(F.regexp_count("text", F.lit("def ")))).first()[0] == n > 10_000
+    assert sources.agg(F.max(F.length("text"))).first()[0] < 4 * codegraph.PIECE
+    held = code.code_graph(spark, SMALL)
+    assert held["edges"].count() > 0 and "lines" not in held and "references" not in held
