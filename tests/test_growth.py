@@ -212,3 +212,14 @@ def test_functions_of_a_nation_share_no_row(spark):
     assert sources.agg(F.max(F.length("text"))).first()[0] < 4 * codegraph.PIECE
     held = code.code_graph(spark, SMALL)
     assert held["edges"].count() > 0 and "lines" not in held and "references" not in held
+
+
+def test_structural_search_reads_no_lines(spark, monkeypatch):
+    """Its operations need called names, not lines, hashes or definitions; the catalogue is read by columns."""
+    from factloom.plans import code
+
+    names, keep = [], codegraph.session.written
+    monkeypatch.setattr(codegraph.session, "written", lambda df, name: names.append(name) or keep(df, name))
+    found = code.structural_search(spark, SMALL)
+    assert {"spans", "called", "catalogue"} <= set(names) and not {"lines", "stamps", "references", "definitions"} & set(names)
+    assert "ExistingRDD" not in plan(found) and found.count() > 0
