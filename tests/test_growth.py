@@ -223,3 +223,25 @@ def test_structural_search_reads_no_lines(spark, monkeypatch):
     found = code.structural_search(spark, SMALL)
     assert {"spans", "called", "catalogue"} <= set(names) and not {"lines", "stamps", "references", "definitions"} & set(names)
     assert "ExistingRDD" not in plan(found) and found.count() > 0
+
+
+def test_evidence_is_the_same_from_pieces_of_sources(spark, monkeypatch):
+    """Definitions and the lines that speak for a candidate do not depend on where sources are cut; their hash is that of the whole source."""
+    import hashlib
+
+    from factloom.plans import code
+
+    few = spark.read.parquet(f"{SMALL}/customer.parquet").count()
+    found = {}
+    for functions in (2, few):
+        monkeypatch.setattr(code.tables, "FUNCTIONS", functions)
+        found[functions] = sorted(map(str, code.code_evidence(spark, SMALL).collect()))
+        held = code.code_graph(spark, SMALL)
+        apart, whole = {}, {}
+        for r in code.tables.code_projection(spark, SMALL)[3].orderBy("path", "piece").collect():
+            whole[r.path] = whole.get(r.path, "") + r.text
+            apart[r.path] = apart.get(r.path, 0) + 1
+        assert (max(apart.values()) > 1) == (functions == 2)
+        said = {(r.path, r.source_hash) for part in ("references", "definitions") for r in held[part].select("path", "source_hash").collect()}
+        assert said == {(p, hashlib.sha256(t.encode()).hexdigest()) for p, t in whole.items()}
+    assert found[2] == found[few] != []
