@@ -245,3 +245,22 @@ def test_evidence_is_the_same_from_pieces_of_sources(spark, monkeypatch):
         said = {(r.path, r.source_hash) for part in ("references", "definitions") for r in held[part].select("path", "source_hash").collect()}
         assert said == {(p, hashlib.sha256(t.encode()).hexdigest()) for p, t in whole.items()}
     assert found[2] == found[few] != []
+
+
+def test_a_source_runs_through_its_hash_in_order(spark):
+    """Pieces of a source that arrive in many batches and tasks are one witness's hash; a row for each path."""
+    import hashlib
+
+    from factloom.plans import code
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        rows = spark.range(300).select(F.concat(F.lit("p"), F.col("id") % 3).alias("path"), (300 - F.col("id")).alias("piece"), F.concat(F.lit("f("), "id", F.lit(")\n")).alias("text")).repartition(7)
+        got = {(r.path, r.source_hash, r.available) for r in codegraph.stamps(codegraph.in_pieces(rows)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {(f"p{k}", hashlib.sha256("".join(f"f({i})\n" for i in range(299, -1, -1) if i % 3 == k).encode()).hexdigest(), True) for k in range(3)}
+    seen = code.projection_witnesses(spark, SMALL)
+    assert seen.where("NOT available OR first_line <> last_line OR text = ''").isEmpty() and seen.count() > 0
