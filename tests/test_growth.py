@@ -264,3 +264,11 @@ def test_a_source_runs_through_its_hash_in_order(spark):
     assert got == {(f"p{k}", hashlib.sha256("".join(f"f({i})\n" for i in range(299, -1, -1) if i % 3 == k).encode()).hexdigest(), True) for k in range(3)}
     seen = code.projection_witnesses(spark, SMALL)
     assert seen.where("NOT available OR first_line <> last_line OR text = ''").isEmpty() and seen.count() > 0
+
+
+def test_a_search_counts_edges_once(spark):
+    """Its plan reads written edges; orphans of all kinds come from one pass."""
+    from factloom.plans import code
+
+    for query in (code.structural_search, code.code_evidence):
+        assert plan(query(spark, SMALL)).count("Exchange") < 60
